@@ -20,7 +20,20 @@ NO_ACTION = "No action required. Customer exhibits stable behavior."
 
 
 def two_decimals(value: Column) -> Column:
-    return F.format_string("%.2f", F.bround(value, 2))
+    """Two decimals by the exact binary value, ties to even, as C and Python print them.
+
+    The product with 100 is split into its rounded value and the exact rest (the
+    factor is small, so both halves of the value multiply without error); the rest
+    decides where the rounded product looks like a tie.
+    """
+    cents = value * 100.0
+    upper = value * 134217729.0
+    upper = upper - (upper - value)
+    rest = (upper * 100.0 - cents) + (value - upper) * 100.0
+    whole = F.floor(cents)
+    part = cents - whole
+    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (whole % 2 != 0))))
+    return F.format_string("%.2f", (whole + up.cast("int")) / 100.0)
 
 
 def percent(value: Column) -> Column:
@@ -45,7 +58,7 @@ def case_text() -> Column:
         F.lit(", MonthlyCharges "), dollars(F.col("MonthlyCharges")),
         F.lit(", OnlineSecurity "), said(F.col("OnlineSecurity")),
         F.lit(", TechSupport "), said(F.col("TechSupport")),
-        F.lit(". Support History: sentiment "), two_decimals(F.col("sentiment_score")),
+        F.lit(". Support History: sentiment "), two_decimals(F.round("sentiment_score", 6)),
         F.lit(", escalation "), said(F.col("escalation_flag")),
         F.lit(". Intervention Taken: "), F.coalesce(F.col("intervention_type"), F.lit("none")),
         F.lit(" Outcome: "),

@@ -17,7 +17,7 @@ def _enriched(spark, sf):
 
 
 @query("customer_enrich", f"""WITH {D.CUSTOMERS}, {D.BANK}
-SELECT "customerID", "CreditScore", round("Balance", 6) AS "Balance", "NumOfProducts",
+SELECT customers."customerID", "CreditScore", round("Balance", 6) AS "Balance", "NumOfProducts",
   round("EstimatedSalary", 6) AS "EstimatedSalary", CASE WHEN "CreditScore" IS NULL THEN 0 ELSE 1 END AS matched
 FROM customers LEFT JOIN bank ON CAST(account_id AS VARCHAR) = bank."CustomerId" """)
 def customer_enrich(spark, sf):
@@ -29,7 +29,7 @@ _MEDIAN = """(SELECT quantile_cont({c}::DOUBLE, 0.5) FROM bank)"""
 
 
 @query("impute_median", f"""WITH {D.CUSTOMERS}, {D.BANK}
-SELECT "customerID",
+SELECT customers."customerID",
   coalesce("CreditScore"::DOUBLE, round_even({_MEDIAN.format(c='"CreditScore"')}, 0)) AS "CreditScore",
   round(coalesce("Balance", {_MEDIAN.format(c='"Balance"')}), 6) AS "Balance",
   coalesce("NumOfProducts"::DOUBLE, round_even({_MEDIAN.format(c='"NumOfProducts"')}, 0)) AS "NumOfProducts",

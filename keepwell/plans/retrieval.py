@@ -62,10 +62,10 @@ latest AS (SELECT * FROM outcomes QUALIFY row_number() OVER (PARTITION BY custom
 told AS (
   SELECT "customerID", '[HISTORICAL CASE] Customer ID: ' || "customerID" || '. Profile: tenure ' || tenure
     || ' months, contract ' || CASE WHEN "Contract" IN ('One year', 'Two year') THEN 'yearly' ELSE 'month-to-month' END
-    || ', MonthlyCharges $' || printf('%.2f', round_even("MonthlyCharges", 2))
+    || ', MonthlyCharges $' || printf('%.2f', "MonthlyCharges")
     || ', OnlineSecurity ' || CASE WHEN "OnlineSecurity" = 'Yes' THEN 'Yes' ELSE 'No' END
     || ', TechSupport ' || CASE WHEN "TechSupport" = 'Yes' THEN 'Yes' ELSE 'No' END
-    || '. Support History: sentiment ' || printf('%.2f', round_even(round(coalesce(s, 0.0::DOUBLE), 6), 2))
+    || '. Support History: sentiment ' || printf('%.2f', round(coalesce(s, 0.0::DOUBLE), 6))
     || ', escalation ' || CASE WHEN e = 1 THEN 'Yes' ELSE 'No' END
     || '. Intervention Taken: ' || coalesce(intervention_type, 'none')
     || ' Outcome: ' || CASE outcome WHEN 1 THEN 'Customer was retained.' WHEN 0 THEN 'Customer churned anyway.'

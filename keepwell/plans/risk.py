@@ -9,8 +9,8 @@ from keepwell.operators import explain, reports, tickets
 from keepwell.plans import views as D
 from keepwell.plans.registry import query, rounded
 
-_MONEY = """'$' || printf('%.2f', round_even("MonthlyCharges", 2))"""
-_PERCENT = """printf('%.2f', round_even(p * 100.0::DOUBLE, 2)) || '%'"""
+_MONEY = """'$' || printf('%.2f', "MonthlyCharges")"""
+_PERCENT = """printf('%.2f', p * 100.0::DOUBLE) || '%'"""
 
 
 @query("risk_scorecard", f"""WITH {D.SCORED}
