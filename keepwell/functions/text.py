@@ -1,7 +1,7 @@
 """Ticket text to structured features, as column expressions.
 
-Words match as substrings of the lower-cased text. All expressions stay inside
-the JVM and read the text once per word list; nothing here needs a shuffle.
+Words match as substrings of the lower-cased text. Everything stays inside the
+JVM and nothing here needs a shuffle.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values: the default word lists
 TOPIC_WORDS = {
@@ -68,56 +68,80 @@ def words_hit(lowered: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [lowered.contains(w).cast("int") for w in words])
 
 
-def topics(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+LOWERED = "_lowered"
+
+
+def _marks(lexicon: Lexicon) -> dict[str, Column]:
+    """One column per word list, from the lowered text."""
+    low = F.col(LOWERED)
+    marks = {f"_topic_{t}": any_word(low, w) for t, w in lexicon.topics.items()}
+    marks |= {f"_urgency_{u}": any_word(low, w) for u, w in lexicon.urgency.items()}
+    return marks | {
+        "_negative": F.least(words_hit(low, lexicon.negative), F.lit(5)),
+        "_positive": F.least(words_hit(low, lexicon.positive), F.lit(5)),
+        "_escalation": any_word(low, lexicon.escalation),
+    }
+
+
+def _topics(lexicon: Lexicon) -> Column:
     """Matched topics in list order, ``[other]`` when none, ``[]`` for no text."""
-    low = F.lower(text)
-    tags = F.array_compact(
-        F.array(*[F.when(any_word(low, words), F.lit(t)) for t, words in lexicon.topics.items()])
+    found = {t: F.col(f"_topic_{t}") for t in lexicon.topics}
+    none_found = reduce(lambda a, b: a & b, [~c for c in found.values()])
+    return (
+        F.when(F.col(LOWERED).isNull(), F.array().cast("array<string>"))
+        .when(none_found, F.array(F.lit("other")))
+        .otherwise(F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in found.items()])))
     )
-    none = F.array().cast("array<string>")
-    return F.when(text.isNull(), none).when(F.size(tags) == 0, F.array(F.lit("other"))).otherwise(tags)
 
 
-def urgency(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+def _urgency() -> Column:
     """A later, weaker list still beats the hurry list: "immediate help" is medium."""
-    low = F.lower(text)
     return (
-        F.when(any_word(low, lexicon.urgency["critical"]), "critical")
-        .when(any_word(low, lexicon.urgency["fault"]), "high")
-        .when(any_word(low, lexicon.urgency["question"]), "medium")
-        .when(any_word(low, lexicon.urgency["hurry"]), "high")
+        F.when(F.col("_urgency_critical"), "critical")
+        .when(F.col("_urgency_fault"), "high")
+        .when(F.col("_urgency_question"), "medium")
+        .when(F.col("_urgency_hurry"), "high")
         .otherwise("low")
     )
 
 
-def sentiment(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    low = F.lower(text)
-    bad = F.least(words_hit(low, lexicon.negative), F.lit(5))
-    good = F.least(words_hit(low, lexicon.positive), F.lit(5))
+def _sentiment() -> Column:
+    bad, good = F.col("_negative"), F.col("_positive")
     raw = (
-        F.when(bad > 0, F.lit(-0.5) - F.lit(0.1) * bad)
+        F.when(F.col(LOWERED).isNull(), F.lit(0.0))
+        .when(bad > 0, F.lit(-0.5) - F.lit(0.1) * bad)
         .when(good > 0, F.lit(0.3) + F.lit(0.1) * good)
         .otherwise(F.lit(0.0))
     )
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
 
 
-def escalation(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    return F.coalesce(any_word(F.lower(text), lexicon.escalation), F.lit(False))
+def with_features(df: DataFrame, column: str, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+    """Adds sentiment, urgency, topics and escalation of a text column.
 
+    Three projections, so that a long text is lowered once and searched once per
+    word list however often an answer refers to it. Unused answers are pruned.
+    """
+    marked = df.withColumn(LOWERED, F.lower(F.col(f"`{column}`"))).withColumns(_marks(lexicon))
+    return marked.withColumns({
+        "sentiment_score": _sentiment(),
+        "urgency_level": _urgency(),
+        "complaint_topics": _topics(lexicon),
+        "escalation_flag": F.coalesce(F.col("_escalation"), F.lit(False)),
+    }).drop(LOWERED, *_marks(lexicon))
 
-def feature_columns(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> dict[str, Column]:
-    return {
-        "sentiment_score": sentiment(text, lexicon),
-        "urgency_level": urgency(text, lexicon),
-        "complaint_topics": topics(text, lexicon),
-        "escalation_flag": escalation(text, lexicon),
-    }
+
+# fixed values: what counts as white space around a text
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def stripped(text: Column) -> Column:
-    """Strip every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Strip every kind of white space; plain trims take only blanks."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def content_hash(text: Column) -> Column:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from keepwell.functions.text import any_word
+from keepwell.functions.text import LOWERED, any_word
 
 
 def login_features(events: DataFrame, key: str, time: str, as_of: str) -> DataFrame:
@@ -54,11 +54,12 @@ def month_over_month(amounts: DataFrame, key: str, time: str, amount: str) -> Da
 def mention_volume(texts: DataFrame, column: str, group: str, words: list[str],
                    time: str | None = None, as_of: str | None = None, days: int = 7) -> DataFrame:
     """Texts per group that name any of the words, optionally in the last days only."""
-    hit = any_word(F.lower(F.col(column)), words)
+    hit = any_word(F.col(LOWERED), words)
     if time is not None:
         hit = hit & (F.col(time) > F.expr(f"timestamp_ntz'{as_of}' - interval {days} days")) \
             & (F.col(time) <= F.expr(f"timestamp_ntz'{as_of}'"))
-    return texts.groupBy(group).agg(F.count_if(hit).alias("n_mentions"))
+    return texts.withColumn(LOWERED, F.lower(F.col(column))).groupBy(group).agg(
+        F.count_if(hit).alias("n_mentions"))
 
 
 def review_rates(reviews: DataFrame, groups: list[str], sentiment: str, rating: str) -> DataFrame:

@@ -7,11 +7,16 @@ bounded size), and run the window only within a slice.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keepwell.session import settle
 
-SLICES = 64
+SLICE_ROWS = 1_000_000
+MAX_SLICES = 4096
+MAX_CUTS = 100_000
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
@@ -26,59 +31,102 @@ def share(word: Column) -> Column:
     return F.conv(F.substring(word, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def hash_rank(df: DataFrame, strata: list[str], key: str, seed: str, digits: int = 4) -> DataFrame:
-    """Adds ``hash_rank`` (from 1) and ``stratum_rows``: a random order per stratum.
+def hash_segments(df: DataFrame, strata: list[str], key: str, seed: str,
+                  ranks: Callable[[Column], list[Column]], output: str, digits: int = 4) -> DataFrame:
+    """Deals rows of each stratum into consecutive segments of a random order.
 
-    A stratum may hold most of the table, so its order is sliced by the first hex
-    digits of the drawn word. Those slices are even whatever the data looks like,
-    and there are at most 16**digits of them per stratum to total up.
+    ``ranks`` gives, from the stratum's row count, the last rank of each segment
+    but the final one; ``output`` is the segment number from 0. The cut between two
+    segments is found exactly: rows are counted per leading hex digits of the drawn
+    word, and only the few slices that hold a cut are ordered. The table itself is
+    then only compared with the cuts, so its rows are never shuffled, and reading
+    the result again repeats nothing but that comparison.
     """
-    drawn = df.withColumn("_word", draw(seed, F.col(key))).withColumn(
-        "_slice", F.substring("_word", 1, digits))
+    word = draw(seed, F.col(key))
+    head = F.substring("_word", 1, digits)
+    drawn = df.select(*strata, F.col(key).alias("_key"), word.alias("_word")).withColumn("_slice", head)
     sizes = drawn.groupBy(*strata, "_slice").agg(F.count("*").alias("_rows"))
-    per_stratum = Window.partitionBy(*strata)
-    offsets = sizes.select(
-        *strata, "_slice",
-        F.coalesce(F.sum("_rows").over(per_stratum.orderBy("_slice").rowsBetween(*BEFORE)),
-                   F.lit(0)).alias("_before"),
-        F.sum("_rows").over(per_stratum).alias("stratum_rows"),
+    per_stratum = Window.partitionBy(*(strata or [F.lit(0)]))
+    numbered = F.transform(F.array(*ranks(F.col("_all"))), lambda r, i: F.struct(
+        i.alias("no"), F.least(r.cast("long"), F.col("_all")).alias("rank")))
+    held = (
+        sizes.select(*strata, "_slice", "_rows",
+                     F.coalesce(F.sum("_rows").over(per_stratum.orderBy("_slice").rowsBetween(*BEFORE)),
+                                F.lit(0)).alias("_before"),
+                     F.sum("_rows").over(per_stratum).alias("_all"))
+        .withColumn("_wanted", F.filter(numbered, lambda w: (w["rank"] > F.col("_before"))
+                                        & (w["rank"] <= F.col("_before") + F.col("_rows"))))
+        .where(F.size("_wanted") > 0).select(*strata, "_slice", "_before", "_wanted")
     )
-    in_slice = Window.partitionBy(*strata, "_slice").orderBy("_word", key)
-    return (
-        drawn.withColumn("_at", F.row_number().over(in_slice))
-        .join(offsets, [*strata, "_slice"])
-        .withColumn("hash_rank", F.col("_before") + F.col("_at"))
-        .drop("_word", "_slice", "_at", "_before")
+    in_slice = Window.partitionBy(*strata, "_slice").orderBy("_word", "_key")
+    cuts = (
+        drawn.join(F.broadcast(held), [*strata, "_slice"])
+        .withColumn("_rank", F.col("_before") + F.row_number().over(in_slice))
+        .withColumn("_cut", F.explode(F.filter("_wanted", lambda w: w["rank"] == F.col("_rank"))))
+        .groupBy(*strata).agg(F.array_sort(F.collect_list(
+            F.struct(F.col("_cut.no").alias("no"), "_word", "_key"))).alias("_cuts"))
     )
+    found = cuts.limit(MAX_CUTS + 1).collect()
+    if len(found) > MAX_CUTS:
+        raise ValueError("too many strata to keep their cuts on the driver")
+    table = df.sparkSession.createDataFrame(found, cuts.schema)
+    here = F.struct(word.alias("_word"), F.col(key).alias("_key"))
+    passed = F.filter("_cuts", lambda c: F.struct(c["_word"].alias("_word"), c["_key"].alias("_key")) < here)
+    # a cut of rank 0 is not in the table: every row lies behind it
+    last = F.element_at(passed, -1)["no"] + 1
+    first = F.element_at("_cuts", 1)["no"]
+    if strata:
+        placed = df.join(F.broadcast(table), strata, "left")
+    elif found[0]["_cuts"]:
+        literal = F.array(*[F.struct(F.lit(c.no).alias("no"), F.lit(c["_word"]).alias("_word"),
+                                     F.lit(c["_key"]).alias("_key")) for c in found[0]["_cuts"]])
+        placed = df.withColumn("_cuts", literal)
+    else:
+        return df.withColumn(output, F.lit(len(ranks(F.lit(0)))))
+    segment = F.when(F.size(passed) > 0, last).otherwise(first)
+    return placed.withColumn(output, F.coalesce(segment, F.lit(len(ranks(F.lit(0)))))).drop("_cuts")
+
 
+def _slices_for(rows: int) -> int:
+    return max(1, min(MAX_SLICES, rows // SLICE_ROWS))
 
-def _sliced(df: DataFrame, group: list[str], order: str, slices: int) -> DataFrame:
-    """Adds ``_slice``: equally many rows each, non-decreasing in ``order``.
+
+def _sliced(df: DataFrame, group: list[str], order: str, slices: int | None) -> DataFrame:
+    """Adds ``_slice``: about equally many rows each, non-decreasing in ``order``.
 
     The cut points come from a mergeable sketch; a rough sketch makes uneven
-    slices but never a wrong total.
+    slices but never a wrong total. Places are searched in two steps, first among
+    every b-th cut, then among the b cuts behind it.
     """
-    cuts = F.percentile_approx(order, [i / slices for i in range(1, slices)], 1000)
+    slices = slices or _slices_for(df.count())
+    if slices == 1:
+        return df.withColumn("_slice", F.lit(0))
+    b = math.ceil(math.sqrt(slices))
+    cuts = F.percentile_approx(order, [i / slices for i in range(1, slices)], max(1000, 10 * slices))
     if group:
         table = df.join(df.groupBy(*group).agg(cuts.alias("_cuts")), group)
     else:
         table = df.withColumn("_cuts", df.agg(cuts.alias("_cuts")).scalar())
     value = F.col(order)
-    return table.withColumn(
-        "_slice", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < value)), F.lit(0))
-    ).drop("_cuts")
+    coarse = F.filter("_cuts", lambda cut, i: ((i + 1) % b == 0) & (cut < value))
+    block = F.slice("_cuts", F.col("_block") * b + 1, F.lit(b))
+    return (
+        table.withColumn("_block", F.size(coarse))
+        .withColumn("_slice", F.coalesce(F.col("_block") * b + F.size(F.filter(block, lambda cut: cut < value)), F.lit(0)))
+        .drop("_cuts", "_block")
+    )
 
 
 def running_totals(df: DataFrame, group: list[str], order: str, measures: list[str],
-                   slices: int = SLICES) -> DataFrame:
+                   slices: int | None = None) -> DataFrame:
     """Adds ``cum_<m>`` (up to and with the row) and ``all_<m>`` per group.
 
     ``df`` must hold one row per group and ``order`` value, and should be settled:
-    it is read for the cuts, the slice totals and the rows themselves.
+    it is read for its size, the cuts, the slice totals and the rows themselves.
     """
     sliced = _sliced(df, group, order, slices)
     totals = sliced.groupBy(*group, "_slice").agg(*[F.sum(m).alias(m) for m in measures])
-    whole = Window.partitionBy(*group)
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
     before = whole.orderBy("_slice").rowsBetween(*BEFORE)
     offsets = totals.select(
         *group, "_slice",
@@ -100,11 +148,12 @@ def value_counts(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exact_quantiles(counts: DataFrame, group: str, probs: list[float],
-                    slices: int = SLICES) -> DataFrame:
+                    slices: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles from settled (group, value, n) counts.
 
     Returns (group, prob, quantile). Exact: the two order statistics around each
-    position are looked up, and only the slices that hold one of them are ordered.
+    position are looked up, and only the slices that hold one of them are shuffled
+    and ordered; the table of those slices (two per probability at most) is broadcast.
     """
     sliced = _sliced(counts, [group], "value", slices)
     whole = Window.partitionBy(group)
@@ -125,7 +174,7 @@ def exact_quantiles(counts: DataFrame, group: str, probs: list[float],
     within = Window.partitionBy(group, "_slice").orderBy("value").rowsBetween(*UP_TO_HERE)
     last = F.col("_before") + F.col("_cum")
     found = (
-        sliced.join(offsets.drop("_n"), [group, "_slice"])
+        sliced.join(F.broadcast(offsets.drop("_n")), [group, "_slice"])
         .withColumn("_cum", F.sum("n").over(within))
         .withColumn("_hit", F.filter("_wanted", lambda i: (i >= last - F.col("n")) & (i < last)))
         .where(F.size("_hit") > 0)

@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from keepwell.operators.neighbours import nearest
-from keepwell.operators.ranking import draw, hash_rank, share
+from keepwell.operators.ranking import draw, hash_segments, share
 from keepwell.session import settle
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2,
                      seed: str = "42") -> DataFrame:
     """Adds ``split``: per class the first ceil(share * n) rows in drawn order are test."""
-    ranked = hash_rank(df, [label], key, seed)
-    cut = F.ceil(F.lit(test_share) * F.col("stratum_rows"))
-    return ranked.withColumn("split", F.when(F.col("hash_rank") <= cut, "test").otherwise("train")).drop(
-        "hash_rank", "stratum_rows")
+    placed = hash_segments(df, [label], key, seed, lambda n: [F.ceil(F.lit(test_share) * n)], "_segment")
+    return placed.withColumn("split", F.when(F.col("_segment") == 0, "test").otherwise("train")).drop("_segment")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 3, seed: str = "42") -> DataFrame:
-    """Adds ``fold`` 0..folds-1, dealt out per class in drawn order."""
-    ranked = hash_rank(df, [label], key, f"{seed}:fold")
-    return ranked.withColumn("fold", F.pmod(F.col("hash_rank") - 1, F.lit(folds)).cast("int")).drop(
-        "hash_rank", "stratum_rows")
+    """Adds ``fold`` 0..folds-1: per class consecutive parts of the drawn order, even up to one row."""
+    return hash_segments(df, [label], key, f"{seed}:fold",
+                         lambda n: [F.ceil(n * i / F.lit(folds)) for i in range(1, folds)], "fold")
 
 
 def oversample(df: DataFrame, label: str, key: str, features: str = "features", k: int = 5,
@@ -38,11 +35,9 @@ def oversample(df: DataFrame, label: str, key: str, features: str = "features",
     size, missing = counts[minority], max(counts.values()) - counts[minority]
     rare = settle(df.where(F.col(label) == minority).select(
         F.col(key).alias("id"), F.col(features).cast("array<double>").alias("vector")))
-    copies = F.lit(missing // size) + (F.col("hash_rank") <= missing % size).cast("int")
-    bases = (
-        hash_rank(rare, [], "id", f"{seed}:base").withColumn("copies", copies).where("copies > 0")
-        if missing else rare.withColumn("copies", F.lit(0)).where("false")
-    )
+    dealt = hash_segments(rare, [], "id", f"{seed}:base", lambda n: [F.lit(missing % size)], "_segment")
+    copies = F.lit(missing // size) + (F.col("_segment") == 0).cast("int")
+    bases = dealt.withColumn("copies", copies).where("copies > 0").drop("_segment")
     ring = (
         nearest(bases, rare, k + 1).where("query_id != neighbour_id")
         .withColumn("rank", F.row_number().over(

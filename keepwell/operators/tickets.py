@@ -9,7 +9,7 @@ from keepwell.functions import features, text as T, values as V
 
 def with_text_features(tickets: DataFrame, column: str = "Ticket Description",
                        lexicon: T.Lexicon = T.DEFAULT_LEXICON) -> DataFrame:
-    return tickets.withColumns(T.feature_columns(F.col(f"`{column}`"), lexicon))
+    return T.with_features(tickets, column, lexicon)
 
 
 def rollup(tickets: DataFrame, key: str = "customerID") -> DataFrame:

@@ -80,7 +80,7 @@ SELECT source, (doc_id % 12 + 1)::INT AS month, round(avg(sentiment_score), 6) A
   round(avg(CASE WHEN doc_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 6) AS one_star_rate
 FROM featured GROUP BY ALL""")
 def review_rates(spark, sf):
-    reviews = D.table(spark, sf, "documents").select(
+    reviews = T.with_features(D.table(spark, sf, "documents"), "text", D.LEXICON).select(
         "source", (F.col("doc_id") % 12 + 1).cast("int").alias("month"), (F.col("doc_id") % 5 + 1).alias("rating"),
-        T.sentiment(F.col("text"), D.LEXICON).alias("sentiment"))
-    return rounded(events.review_rates(reviews, ["source", "month"], "sentiment", "rating"))
+        "sentiment_score")
+    return rounded(events.review_rates(reviews, ["source", "month"], "sentiment_score", "rating"))

@@ -8,6 +8,7 @@ from keepwell.functions import values as V
 from keepwell.operators import prepare, sampling
 from keepwell.plans import views as D
 from keepwell.plans.registry import query, rounded
+from keepwell.session import settle
 
 _RANK = """row_number() OVER (PARTITION BY "Churn" ORDER BY md5('{seed}:' || "customerID"), "customerID")"""
 _SPLIT = f"""{D.CUSTOMERS},
@@ -15,8 +16,13 @@ placed AS (SELECT *, {_RANK.format(seed="42")} AS place, count(*) OVER (PARTITIO
 split AS (SELECT *, CASE WHEN place <= ceil(0.2::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM placed)"""
 
 
+def _snapshot(spark, sf):
+    """The customers as a written table, as training reads them."""
+    return settle(D.customers(spark, sf, churn=True), "snapshot")
+
+
 def _split(spark, sf):
-    return sampling.stratified_split(D.customers(spark, sf, churn=True), "Churn", "customerID")
+    return sampling.stratified_split(_snapshot(spark, sf), "Churn", "customerID")
 
 
 @query("stratified_split", f'WITH {_SPLIT} SELECT "customerID", "Churn", split FROM split')
@@ -24,11 +30,12 @@ def stratified_split(spark, sf):
     return _split(spark, sf).select("customerID", "Churn", "split")
 
 
-@query("stratified_folds", f"""WITH {D.CUSTOMERS}
-SELECT "customerID", "Churn", (({_RANK.format(seed="42:fold")} - 1) % 3)::INT AS fold FROM customers""")
+@query("stratified_folds", f"""WITH {D.CUSTOMERS},
+placed AS (SELECT *, {_RANK.format(seed="42:fold")} AS place, count(*) OVER (PARTITION BY "Churn") AS n FROM customers)
+SELECT "customerID", "Churn", CASE WHEN place <= ceil(n / 3.0::DOUBLE) THEN 0 WHEN place <= ceil(n * 2 / 3.0::DOUBLE)
+  THEN 1 ELSE 2 END AS fold FROM placed""")
 def stratified_folds(spark, sf):
-    rows = D.customers(spark, sf, churn=True)
-    return sampling.stratified_folds(rows, "Churn", "customerID").select("customerID", "Churn", "fold")
+    return sampling.stratified_folds(_snapshot(spark, sf), "Churn", "customerID").select("customerID", "Churn", "fold")
 
 
 _SCALED = ["tenure", "MonthlyCharges", "TotalCharges"]
@@ -121,7 +128,7 @@ SELECT 'new:' || d.id || ':' || d.copy AS synthetic_id, d.id AS base_id, other A
   round(p.b + step * (q.b - p.b), 6) AS b, round(p.c + step * (q.c - p.c), 6) AS c
 FROM drawn d JOIN near n ON n.id = d.id AND n.place = d.pick JOIN rare p ON p.id = d.id JOIN rare q ON q.id = other""")
 def oversample(spark, sf):
-    rows = D.customers(spark, sf, churn=True).withColumn("features", F.array(
+    rows = _snapshot(spark, sf).withColumn("features", F.array(
         F.col("tenure") / 80.0, F.col("MonthlyCharges") / 100.0, F.col("SeniorCitizen").cast("double")))
     new = sampling.oversample(rows, "Churn", "customerID")
     return new.select("synthetic_id", "base_id", "neighbour_id", "Churn", *[

@@ -8,6 +8,7 @@ from keepwell.functions import features, render, scoring, values
 from keepwell.operators import explain, reports, tickets
 from keepwell.plans import views as D
 from keepwell.plans.registry import query, rounded
+from keepwell.session import settle
 
 _MONEY = """'$' || printf('%.2f', "MonthlyCharges")"""
 _PERCENT = """printf('%.2f', p * 100.0::DOUBLE) || '%'"""
@@ -150,7 +151,7 @@ def permutation_importance(spark, sf):
 
     columns = {"contract_type_encoded": "Contract", "tenure": "tenure",
                "InternetService_Fiber optic": "InternetService", "MonthlyCharges": "MonthlyCharges"}
-    rows = D.customers(spark, sf, churn=True)
+    rows = settle(D.customers(spark, sf, churn=True), "snapshot")
     return rounded(explain.permutation_importance(rows, "customerID", "Churn", columns, predict,
                                                   _REPEATS, _SEED, _SLICE))
 

@@ -10,33 +10,35 @@ from keepwell.plans import views as D
 from keepwell.plans.registry import query, rounded
 from keepwell.sources import tables
 
+_SPACE = "'[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'"
+_STRIP = f"regexp_replace(%s, '^' || {_SPACE} || '|' || {_SPACE} || '$', '', 'g')"
 _DOCS = D.text_features_sql("documents", "doc_id, text")
 _TURNS = D.text_features_sql("(SELECT * FROM conversations WHERE role = 'user')", "conv_id, turn")
 
 
+def _documents(spark, sf):
+    return T.with_features(D.table(spark, sf, "documents"), "text", D.LEXICON)
+
+
 @query("text_topics", f"""WITH {_DOCS}
 SELECT doc_id, array_to_string(complaint_topics, ',') AS topics FROM featured""")
 def text_topics(spark, sf):
-    return D.table(spark, sf, "documents").select(
-        "doc_id", F.array_join(T.topics(F.col("text"), D.LEXICON), ",").alias("topics"))
+    return _documents(spark, sf).select("doc_id", F.array_join("complaint_topics", ",").alias("topics"))
 
 
 @query("text_urgency", f"WITH {_DOCS} SELECT doc_id, urgency_level, escalation_flag FROM featured")
 def text_urgency(spark, sf):
-    body = F.col("text")
-    return D.table(spark, sf, "documents").select(
-        "doc_id", T.urgency(body, D.LEXICON).alias("urgency_level"),
-        T.escalation(body, D.LEXICON).cast("int").alias("escalation_flag"))
+    return _documents(spark, sf).select(
+        "doc_id", "urgency_level", F.col("escalation_flag").cast("int").alias("escalation_flag"))
 
 
 @query("text_sentiment", f"WITH {_DOCS} SELECT doc_id, round(sentiment_score, 6) AS sentiment_score FROM featured")
 def text_sentiment(spark, sf):
-    return rounded(D.table(spark, sf, "documents").select(
-        "doc_id", T.sentiment(F.col("text"), D.LEXICON).alias("sentiment_score")))
+    return rounded(_documents(spark, sf).select("doc_id", "sentiment_score"))
 
 
 @query("text_dedup_cache", f"""WITH {_DOCS}
-SELECT sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS ticket_hash, count(*) AS n_texts,
+SELECT sha256({_STRIP % "text"}) AS ticket_hash, count(*) AS n_texts,
   round(any_value(sentiment_score), 6) AS sentiment_score, any_value(urgency_level) AS urgency_level,
   any_value(array_to_string(complaint_topics, ',')) AS complaint_topics, any_value(escalation_flag) AS escalation_flag
 FROM featured GROUP BY 1""")
@@ -104,9 +106,9 @@ def customer_tickets(spark, sf):
     return rounded(filled.select("customerID", "sentiment_score", "urgency_level", "escalation_flag"))
 
 
-@query("section_split", """
+@query("section_split", f"""
 SELECT doc_id, unnest(range(1, len(parts) + 1))::INT AS section_no, unnest(parts) AS section FROM (
   SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)),
-    lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '') AS parts FROM documents)""")
+    lambda p: {_STRIP % "p"}), lambda p: p <> '') AS parts FROM documents)""")
 def section_split(spark, sf):
     return corpus.sections(D.table(spark, sf, "documents"), "doc_id", "text", tag="\n")

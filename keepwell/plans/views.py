@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def churn_labels(orders: DataFrame) -> DataFrame:
-    """(o_orderkey, churned): no later order of the account within 180 days.
+def order_days(orders: DataFrame) -> DataFrame:
+    """(o_custkey, day, last_key, ends): is there no order in the 180 days after a day?
 
     The next order is looked up among distinct order days of an account, so an
     account with a third of all orders still is one window of calendar length.
@@ -38,12 +38,7 @@ def churn_labels(orders: DataFrame) -> DataFrame:
         F.max("o_orderkey").alias("last_key"))
     following = F.lead("day").over(Window.partitionBy("o_custkey").orderBy("day"))
     gap = F.datediff(following, "day")
-    days = days.withColumn("ends", F.coalesce(gap > CHURN_DAYS, F.lit(True)))
-    return (
-        orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
-        .join(days, ["o_custkey", "day"])
-        .select("o_orderkey", ((F.col("o_orderkey") == F.col("last_key")) & F.col("ends")).alias("churned"))
-    )
+    return days.withColumn("ends", F.coalesce(gap > CHURN_DAYS, F.lit(True)))
 
 
 _ADD_ONS = ["OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies"]
@@ -69,12 +64,12 @@ def customers(spark: SparkSession, sf: str, churn: bool = False, dirty: bool = F
     def answer(condition):
         return F.when(condition, "Yes").otherwise("No")
 
-    orders = table(spark, sf, "orders").withColumn("_k", F.col("o_orderkey"))
+    orders = table(spark, sf, "orders").withColumns({
+        "_k": F.col("o_orderkey"), "day": F.to_date("o_orderdate")})
     accounts = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     rows = orders.join(accounts, orders.o_custkey == accounts.c_custkey, "left")
     if churn:
-        labels = churn_labels(table(spark, sf, "orders"))
-        rows = rows.join(labels, "o_orderkey")
+        rows = rows.join(order_days(table(spark, sf, "orders")), ["o_custkey", "day"])
     tenure = F.expr("CAST(datediff(DATE'2001-08-01', to_date(o_orderdate)) DIV 30 AS INT)")
     monthly = F.col("o_totalprice") / 5000.0
     phone, online = F.expr("(_k DIV 2) % 10 > 0"), F.col("o_orderstatus") != "P"
@@ -99,10 +94,11 @@ def customers(spark: SparkSession, sf: str, churn: bool = False, dirty: bool = F
             F.concat(F.lit(" "), F.col("o_totalprice").cast("string"), F.lit(" "))) if dirty else tenure * monthly,
     }
     if churn:
-        label = answer(F.col("churned"))
+        churned = (F.col("_k") == F.col("last_key")) & F.col("ends")
+        label = answer(churned)
         columns["Churn"] = (
             F.when(F.col("_k") % 101 == 0, F.lit(None)).when(F.col("_k") % 103 == 0, "Maybe").otherwise(label)
-            if dirty else F.col("churned").cast("int"))
+            if dirty else churned.cast("int"))
     return rows.select(*[c.alias(n) for n, c in columns.items()])
 
 

@@ -54,14 +54,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written copy.
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and go on from that table.
 
     Used where a reduced table is read several times: the big scan behind it runs
-    once, and a lost executor costs a re-read instead of a re-computation.
+    once, later reads prune columns and know the size, and a lost executor costs a
+    re-read instead of a re-computation.
     """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,12 +18,14 @@ PIPELINE_VERSION = "v1.0"
 CHECKS_RUN = ["null_rate", "zero_variance", "target_leakage"]
 
 
-def read_source(spark: SparkSession, path: str, contract: Contract, keep_corrupt: bool = True) -> DataFrame:
+def read_source(spark: SparkSession, path: str, contract: Contract, keep_corrupt: bool = True,
+                order: str | None = None) -> DataFrame:
     """A CSV source typed by its contract, in one pass and without inference.
 
     Columns follow the file's own header; ones the contract does not know are
     read as text. Rows that do not parse keep their text in ``_corrupt_record``.
     A missing file and missing required columns both raise before any job runs.
+    ``order`` names a column that holds each row's place: file, block, row.
     """
     header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
     known = {f.name: f for f in contract.schema().fields}
@@ -35,6 +37,10 @@ def read_source(spark: SparkSession, path: str, contract: Contract, keep_corrupt
         .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True)
         .option("multiLine", False).csv(path)
     )
+    if order:
+        df = df.withColumn(order, F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row")))
     return require_columns(df, contract)
 
 
@@ -148,10 +154,8 @@ def distinct_text_features(texts: DataFrame, column: str, lexicon: T.Lexicon = T
     Equal texts have equal features, so any copy stands for all. A text copied a
     billion times is one row per task after the partial aggregate.
     """
-    body = F.col(column)
-    features = T.feature_columns(body, lexicon)
-    rows = texts.select(T.content_hash(body).alias("ticket_hash"), F.struct(
-        *[c.alias(n) for n, c in features.items()]).alias("f"))
+    rows = T.with_features(texts.select(F.col(column).alias("text")), "text", lexicon).select(
+        T.content_hash(F.col("text")).alias("ticket_hash"), F.struct(*_FEATURES).alias("f"))
     return rows.groupBy("ticket_hash").agg(
         F.count("*").alias("n_texts"), F.any_value("f").alias("f")).select("ticket_hash", "n_texts", "f.*")
 
