@@ -162,5 +162,5 @@ def distinct_text_features(texts: DataFrame, column: str, lexicon: T.Lexicon = T
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
     """Playbook files as whole texts (path, text); splitting is ``corpus.sections``."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("path"), F.col("value").alias("text"))
