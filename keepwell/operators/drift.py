@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from keepwell.functions import values as V
 from keepwell.functions.features import finite
 from keepwell.operators.metrics import ranking_curves
-from keepwell.operators.ranking import exact_quantiles, value_counts
+from keepwell.operators.ranking import exact_quantiles, passed_cuts
 from keepwell.session import settle
 
 
@@ -20,14 +20,13 @@ def stability_index(baseline: DataFrame, target: DataFrame, columns: list[str],
     """Population stability index per feature: (feature, psi).
 
     Cut points are the exact baseline quantiles. Shares are taken over all values,
-    so target values outside the baseline range lie in no bin. Both tables are
-    scanned once, into counts per distinct value.
+    so target values outside the baseline range lie in no bin. Tables should be
+    stored ones: the baseline is scanned for the quantiles and both for the counts,
+    which merge before the only shuffle.
     """
     spark = baseline.sparkSession
-    counts = value_counts(
-        _long(baseline, columns, "baseline").unionByName(_long(target, columns, "target")),
-        ["side", "feature", "value"])
-    cuts = exact_quantiles(counts.where("side = 'baseline'"), "feature", [i / bins for i in range(bins + 1)])
+    base = _long(baseline, columns, "baseline")
+    cuts = exact_quantiles(base.select("feature", "value"), "feature", [i / bins for i in range(bins + 1)])
     m = F.col("_m")
     edges = (
         cuts.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("_cut"))
@@ -37,36 +36,29 @@ def stability_index(baseline: DataFrame, target: DataFrame, columns: list[str],
         .drop("_cut")
     )
     value = F.col("value")
-    placed = F.size(F.filter("_edge", lambda e: e <= value))
-    binned = counts.join(F.broadcast(edges), "feature").withColumn(
-        "_bin", F.when(value == F.element_at("_edge", -1), m - 1).otherwise(placed))
-
-    def held(side: str, i: int | None = None):
-        inside = F.col("side") == side
-        if i is not None:
-            inside = inside & (F.col("_bin") == i)
-        return F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0))
-
-    per_feature = binned.groupBy("feature").agg(
-        F.max("_m").alias("_m"),
-        held("baseline").alias("_nb"), held("target").alias("_nt"),
-        F.array(*[F.struct(held("baseline", i).alias("b"), held("target", i).alias("t"))
-                  for i in range(1, bins + 1)]).alias("_bins"),
+    last = F.get("_edge", m - 1)
+    placed = passed_cuts(F.col("_edge"), value, bins + 1, closed=True)
+    counts = (
+        base.unionByName(_long(target, columns, "target")).join(F.broadcast(edges), "feature")
+        .groupBy("feature", "_m", F.when(value == last, m - 1).otherwise(placed).alias("_bin"))
+        .agg(F.count_if(F.col("side") == "baseline").alias("b"), F.count_if(F.col("side") == "target").alias("t"))
     )
+    inside = F.col("_bin").between(1, m - 1)
+    per_feature = counts.groupBy("feature", "_m").agg(
+        F.sum("b").alias("_nb"), F.sum("t").alias("_nt"),
+        F.collect_list(F.when(inside, F.struct("b", "t"))).alias("_bins"))
 
-    def part(cell):
-        b = F.greatest(F.lit(0.0), F.try_divide(cell["b"].cast("double"), F.col("_nb")))
-        t = F.greatest(F.lit(0.0), F.try_divide(cell["t"].cast("double"), F.col("_nt")))
-        b = F.when(b == 0, F.lit(V.PSI_FLOOR)).otherwise(b)
-        t = F.when(t == 0, F.lit(V.PSI_FLOOR)).otherwise(t)
+    def part(b, t):
+        b, t = [F.when(x == 0, F.lit(V.PSI_FLOOR)).otherwise(x) for x in (b, t)]
         return (t - b) * F.log(t / b)
 
-    known = F.slice("_bins", F.lit(1), F.greatest(m - 1, F.lit(0)))
-    total = F.aggregate(known, F.lit(0.0), lambda acc, cell: acc + part(cell))
+    filled = F.aggregate("_bins", F.lit(0.0), lambda acc, c: acc + part(
+        F.try_divide(c["b"].cast("double"), F.col("_nb")), F.try_divide(c["t"].cast("double"), F.col("_nt"))))
     usable = (m >= 2) & (F.col("_nb") > 0) & (F.col("_nt") > 0)
-    found = per_feature.select("feature", F.when(usable, total).otherwise(F.lit(0.0)).alias("psi"))
-    asked = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("feature"))
-    return asked.join(found, "feature", "left").na.fill(0.0, ["psi"])
+    # a bin empty on both sides weighs nothing: both shares are the floor
+    found = per_feature.select("feature", F.when(usable, filled).otherwise(F.lit(0.0)).alias("psi"))
+    asked = spark.createDataFrame([(c,) for c in columns], "feature string")
+    return F.broadcast(asked).join(found, "feature", "left").na.fill(0.0, ["psi"])
 
 
 def with_status(psi: DataFrame) -> DataFrame:

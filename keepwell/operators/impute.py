@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from keepwell.functions import values as V
 from keepwell.functions.features import as_number
-from keepwell.operators.ranking import draw, exact_quantiles, share, value_counts
+from keepwell.operators.ranking import draw, exact_quantiles, share
 
 
 def enrich_from_bank(customers: DataFrame, bank: DataFrame, key="customerID", bank_key="CustomerId",
@@ -23,17 +23,15 @@ def enrich_from_bank(customers: DataFrame, bank: DataFrame, key="customerID", ba
 def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, median, deviation, lowest, highest) over all rows, nulls left out."""
     cells = [F.struct(F.lit(c).alias("feature"), as_number(df, c).alias("value")) for c in columns]
-    counts = value_counts(df.select(F.inline(F.array(*cells))).where("value IS NOT NULL"),
-                          ["feature", "value"])
-    medians = exact_quantiles(counts, "feature", [0.5]).select("feature", F.col("quantile").alias("median"))
-    # deviation from counts: sums of (value - median) keep the digits that raw squares lose
-    centred = counts.join(medians, "feature").withColumn("_d", F.col("value") - F.col("median"))
-    n, s, q = F.sum("n"), F.sum(F.col("n") * F.col("_d")), F.sum(F.col("n") * F.col("_d") * F.col("_d"))
-    return centred.groupBy("feature").agg(
-        F.max("median").alias("median"),
-        F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / F.nullif(n - 1, F.lit(0)), F.lit(0.0)))).alias("deviation"),
-        F.min("value").alias("lowest"),
-        F.max("value").alias("highest"),
+    medians = exact_quantiles(
+        df.select(F.inline(F.array(*cells))).where("value IS NOT NULL"), "feature", [0.5])
+    spread = [F.struct(
+        F.lit(c).alias("feature"), F.stddev_samp(as_number(df, c)).alias("deviation"),
+        F.min(as_number(df, c)).alias("lowest"), F.max(as_number(df, c)).alias("highest")) for c in columns]
+    return (
+        df.agg(F.array(*spread).alias("cells")).select(F.inline("cells"))
+        .join(F.broadcast(medians), "feature")
+        .select("feature", F.col("quantile").alias("median"), "deviation", "lowest", "highest")
     )
 
 

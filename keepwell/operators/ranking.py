@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from keepwell.session import settle
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 SLICE_ROWS = 1_000_000
 MAX_SLICES = 4096
 MAX_CUTS = 100_000
+QUANTILE_MARGIN = 0.001
+SKETCH_ACCURACY = 10_000
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
@@ -142,54 +144,73 @@ def running_totals(df: DataFrame, group: list[str], order: str, measures: list[s
     )
 
 
-def value_counts(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts per distinct key tuple, settled because several passes follow."""
-    return settle(long.groupBy(*keys).agg(F.count("*").alias("n")))
+def passed_cuts(cuts: Column, value: Column, n: int, closed: bool = False) -> Column:
+    """How many of at most ``n`` sorted cuts lie below the value (or at it, if closed).
+
+    Written out per cut so that it compiles; a lambda over the array would be
+    interpreted for every row.
+    """
+    one = F.lit(1)
+    below = [F.get(cuts, F.lit(i)) for i in range(n)]
+    return reduce(lambda a, b: a + b, [
+        F.when(c <= value if closed else c < value, one).otherwise(0) for c in below])
+
+
+def _local(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
+    if len(rows) > MAX_CUTS:
+        raise ValueError("too many groups to keep their cuts on the driver")
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def exact_quantiles(counts: DataFrame, group: str, probs: list[float],
-                    slices: int | None = None) -> DataFrame:
-    """Linear-interpolated quantiles from settled (group, value, n) counts.
+def exact_quantiles(rows: DataFrame, group: str, probs: list[float],
+                    margin: float = QUANTILE_MARGIN) -> DataFrame:
+    """(group, prob, quantile), linear between neighbours, from (group, value) rows.
 
-    Returns (group, prob, quantile). Exact: the two order statistics around each
-    position are looked up, and only the slices that hold one of them are shuffled
-    and ordered; the table of those slices (two per probability at most) is broadcast.
+    Three scans and no shuffle of the data: a mergeable sketch brackets every
+    wanted position, rows are counted between the brackets, and only the distinct
+    values of the brackets that hold a position are shuffled and ordered. A poor
+    bracket makes that last step larger, never wrong. Nulls and NaN must be gone.
     """
-    sliced = _sliced(counts, [group], "value", slices)
-    whole = Window.partitionBy(group)
-    totals = sliced.groupBy(group, "_slice").agg(F.sum("n").alias("_n"))
-    before = F.sum("_n").over(whole.orderBy("_slice").rowsBetween(*BEFORE))
-    probabilities = F.array(*[F.lit(float(p)) for p in probs])
-    wanted = F.array_distinct(F.flatten(F.transform(
-        probabilities,
-        lambda p: F.array(F.floor(p * (F.col("_all") - 1)), F.ceil(p * (F.col("_all") - 1))),
-    )))
-    offsets = (
-        totals.select(group, "_slice", "_n", F.coalesce(before, F.lit(0)).alias("_before"),
-                      F.sum("_n").over(whole).alias("_all"))
-        .withColumn("_wanted", F.filter(
-            wanted, lambda i: (i >= F.col("_before")) & (i < F.col("_before") + F.col("_n"))))
-        .where(F.size("_wanted") > 0)
-    )
-    within = Window.partitionBy(group, "_slice").orderBy("value").rowsBetween(*UP_TO_HERE)
+    spark, value = rows.sparkSession, F.col("value")
+    near = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
+    kind = rows.schema[group]
+    sketched = rows.groupBy(group).agg(F.percentile_approx(value, near, SKETCH_ACCURACY).alias("_cuts"))
+    cuts = [(r[0], sorted(set(r[1]))) for r in sketched.limit(MAX_CUTS + 1).collect()]
+    placed = rows.join(
+        _local(spark, cuts, StructType([kind, *_fields("_cuts array<double>")])), group
+    ).select(group, "value", passed_cuts(F.col("_cuts"), value, len(near)).alias("_slice"))
+    sizes: dict = {}
+    for r in placed.groupBy(group, "_slice").agg(F.count("*").alias("n")).collect():
+        sizes.setdefault(r[0], {})[r[1]] = r.n
+    held, wanted = [], []
+    for name, slices in sizes.items():
+        total, before, positions = sum(slices.values()), 0, set()
+        for p in probs:
+            at = p * (total - 1)
+            low, high = math.floor(at), math.ceil(at)
+            wanted.append((name, float(p), low, high, at - low))
+            positions |= {low, high}
+        for number in sorted(slices):
+            inside = [i for i in sorted(positions) if before <= i < before + slices[number]]
+            if inside:
+                held.append((name, number, before, inside))
+            before += slices[number]
+    hits = _local(spark, held, StructType([kind, *_fields("_slice int, _before long, _wanted array<long>")]))
+    distinct = placed.join(hits.select(group, "_slice"), [group, "_slice"], "left_semi").groupBy(
+        group, "_slice", "value").agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy(group, "_slice").orderBy("value").rowsBetween(*UP_TO_HERE))
     last = F.col("_before") + F.col("_cum")
     found = (
-        sliced.join(F.broadcast(offsets.drop("_n")), [group, "_slice"])
-        .withColumn("_cum", F.sum("n").over(within))
+        distinct.withColumn("_cum", up_to).join(hits, [group, "_slice"])
         .withColumn("_hit", F.filter("_wanted", lambda i: (i >= last - F.col("n")) & (i < last)))
-        .where(F.size("_hit") > 0)
-        .select(group, "_all", "value", F.explode("_hit").alias("_position"))
-    )
-    ends = found.groupBy(group).agg(
-        F.max("_all").alias("_all"),
-        F.map_from_entries(F.collect_list(F.struct("_position", "value"))).alias("_at"),
-    )
-    return (
-        ends.select(group, "_all", "_at", F.explode(probabilities).alias("prob"))
-        .withColumn("_h", F.col("prob") * (F.col("_all") - 1))
-        .withColumns({"_low": F.try_element_at("_at", F.floor("_h")),
-                      "_high": F.try_element_at("_at", F.ceil("_h"))})
-        .select(group, "prob", (
-            F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_h") - F.floor("_h"))
-        ).alias("quantile"))
+        .select(group, "value", F.explode("_hit").alias("_position"))
     )
+    asked = _local(spark, wanted, StructType([kind, *_fields("prob double, _low long, _high long, _part double")]))
+    ends = asked.join(found, group).where("_position = _low OR _position = _high")
+    low = F.max(F.when(F.col("_position") == F.col("_low"), value))
+    high = F.max(F.when(F.col("_position") == F.col("_high"), value))
+    return ends.groupBy(group, "prob").agg((low + (high - low) * F.max("_part")).alias("quantile"))
+
+
+def _fields(ddl: str) -> list[StructField]:
+    return list(StructType.fromDDL(ddl).fields)

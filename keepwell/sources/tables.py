@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from keepwell.functions import text as T, values as V
+from keepwell.functions.features import coded, decoded
 from keepwell.sources.contracts import Contract, require_columns
 
 CORRUPT = "_corrupt_record"
@@ -151,13 +152,24 @@ def read_text_cache(spark: SparkSession, path: str) -> DataFrame:
 def distinct_text_features(texts: DataFrame, column: str, lexicon: T.Lexicon = T.DEFAULT_LEXICON) -> DataFrame:
     """(ticket_hash, n_texts, features) per distinct stripped text.
 
-    Equal texts have equal features, so any copy stands for all. A text copied a
-    billion times is one row per task after the partial aggregate.
+    Equal texts have equal features, so the largest of each stands for all. As
+    numbers they aggregate by hash without sorting, and a text copied a billion
+    times is one small row per task.
     """
+    known = [*lexicon.topics, "other"]
     rows = T.with_features(texts.select(F.col(column).alias("text")), "text", lexicon).select(
-        T.content_hash(F.col("text")).alias("ticket_hash"), F.struct(*_FEATURES).alias("f"))
+        T.content_hash(F.col("text")).alias("ticket_hash"), "sentiment_score",
+        coded(F.col("urgency_level"), V.MODEL_URGENCY_CODES).alias("urgency"),
+        sum((F.array_contains("complaint_topics", t).cast("int") * (1 << i) for i, t in enumerate(known)),
+            F.lit(0)).alias("topics"),
+        F.col("escalation_flag").cast("int").alias("escalation"))
+    topic = [F.when(F.col("topics").bitwiseAND(1 << i) != 0, F.lit(t)) for i, t in enumerate(known)]
     return rows.groupBy("ticket_hash").agg(
-        F.count("*").alias("n_texts"), F.any_value("f").alias("f")).select("ticket_hash", "n_texts", "f.*")
+        F.count("*").alias("n_texts"), *[F.max(c).alias(c) for c in rows.columns[1:]]
+    ).select(
+        "ticket_hash", "n_texts", "sentiment_score",
+        decoded(F.col("urgency"), V.MODEL_URGENCY_CODES).alias("urgency_level"),
+        F.array_compact(F.array(*topic)).alias("complaint_topics"), (F.col("escalation") == 1).alias("escalation_flag"))
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
