@@ -89,20 +89,13 @@ def hash_segments(df: DataFrame, strata: list[str], key: str, seed: str,
     return placed.withColumn(output, F.coalesce(segment, F.lit(len(ranks(F.lit(0)))))).drop("_cuts")
 
 
-def _slices_for(rows: int) -> int:
-    return max(1, min(MAX_SLICES, rows // SLICE_ROWS))
-
-
-def _sliced(df: DataFrame, group: list[str], order: str, slices: int | None) -> DataFrame:
+def _sliced(df: DataFrame, group: list[str], order: str, slices: int) -> DataFrame:
     """Adds ``_slice``: about equally many rows each, non-decreasing in ``order``.
 
     The cut points come from a mergeable sketch; a rough sketch makes uneven
     slices but never a wrong total. Places are searched in two steps, first among
     every b-th cut, then among the b cuts behind it.
     """
-    slices = slices or _slices_for(df.count())
-    if slices == 1:
-        return df.withColumn("_slice", F.lit(0))
     b = math.ceil(math.sqrt(slices))
     cuts = F.percentile_approx(order, [i / slices for i in range(1, slices)], max(1000, 10 * slices))
     if group:
@@ -125,7 +118,14 @@ def running_totals(df: DataFrame, group: list[str], order: str, measures: list[s
 
     ``df`` must hold one row per group and ``order`` value, and should be settled:
     it is read for its size, the cuts, the slice totals and the rows themselves.
+    A table of one slice's size is not cut.
     """
+    slices = slices or max(1, min(MAX_SLICES, df.count() // SLICE_ROWS))
+    if slices == 1:
+        all_rows = Window.partitionBy(*(group or [F.lit(0)]))
+        so_far = all_rows.orderBy(order).rowsBetween(*UP_TO_HERE)
+        return df.withColumns({**{f"cum_{m}": F.sum(m).over(so_far) for m in measures},
+                               **{f"all_{m}": F.sum(m).over(all_rows) for m in measures}})
     sliced = _sliced(df, group, order, slices)
     totals = sliced.groupBy(*group, "_slice").agg(*[F.sum(m).alias(m) for m in measures])
     whole = Window.partitionBy(*(group or [F.lit(0)]))
