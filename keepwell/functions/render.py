@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values: wording of the texts
 SECTION_TAG = "[PLAYBOOK SECTION:"
@@ -44,8 +44,13 @@ def dollars(value: Column) -> Column:
     return F.concat(F.lit("$"), two_decimals(value))
 
 
+def is_yes(flag: Column) -> Column:
+    """For answers as text, code or boolean alike."""
+    return F.coalesce(flag.cast("string").isin("Yes", "1", "1.0", "true"), F.lit(False))
+
+
 def said(flag: Column) -> Column:
-    return F.when(flag == 1, "Yes").otherwise("No")
+    return F.when(is_yes(flag), "Yes").otherwise("No")
 
 
 def case_text() -> Column:
@@ -68,41 +73,43 @@ def case_text() -> Column:
     )
 
 
-def driver_phrase(driver: Column) -> Column:
-    """What one driver adds to the query; null when it adds nothing.
-
-    The first matching word decides, so ``charges_per_tenure_month`` speaks of tenure.
-    """
-    name = F.lower(driver)
+def _phrases() -> dict[str, Column]:
+    """Word in a driver's name to what it says about the customer; the first match decides,
+    so ``charges_per_tenure_month`` speaks of tenure."""
     code = F.coalesce(F.col("contract_type_encoded"), F.lit(0))
     mood = F.coalesce(F.col("sentiment_score"), F.lit(0.0))
     tenure = F.coalesce(F.col("tenure"), F.lit(0)).cast("int").cast("string")
-    return (
-        F.when(name.contains("contract"),
-               F.when(code == 0, "month-to-month contract").when(code == 1, "one-year contract")
-               .otherwise("two-year contract"))
-        .when(name.contains("tenure"), F.concat(F.lit("tenure "), tenure, F.lit(" months")))
-        .when(name.contains("charges"),
-              F.concat(F.lit("monthly charges "),
-                       dollars(F.coalesce(F.col("MonthlyCharges"), F.lit(0.0)))))
-        .when(name.contains("techsupport"),
-              F.when(F.col("TechSupport") == 1, "has tech support").otherwise("no tech support"))
-        .when(name.contains("onlinesecurity"),
-              F.when(F.col("OnlineSecurity") == 1, "has online security")
-              .otherwise("no online security"))
-        .when(name.contains("escalation"),
-              F.when(F.col("escalation_flag") == 1, "escalated support ticket")
-              .otherwise("no escalation"))
-        .when(name.contains("sentiment"),
-              F.concat(F.when(mood < 0, "negative ticket sentiment ").otherwise("neutral sentiment "),
-                       two_decimals(mood)))
-    )
-
-
-def query_text(drivers: Column) -> Column:
-    phrases = F.array_compact(F.transform(drivers, driver_phrase))
-    spoken = F.when(F.size(phrases) > 0, phrases).otherwise(F.array(F.lit(FALLBACK_QUERY)))
-    return F.concat(F.lit("customer "), F.array_join(spoken, " "))
+    return {
+        "contract": F.when(code == 0, "month-to-month contract").when(code == 1, "one-year contract")
+        .otherwise("two-year contract"),
+        "tenure": F.concat(F.lit("tenure "), tenure, F.lit(" months")),
+        "charges": F.concat(F.lit("monthly charges "), dollars(F.coalesce(F.col("MonthlyCharges"), F.lit(0.0)))),
+        "techsupport": F.when(is_yes(F.col("TechSupport")), "has tech support").otherwise("no tech support"),
+        "onlinesecurity": F.when(is_yes(F.col("OnlineSecurity")), "has online security").otherwise("no online security"),
+        "escalation": F.when(is_yes(F.col("escalation_flag")), "escalated support ticket").otherwise("no escalation"),
+        "sentiment": F.concat(F.when(mood < 0, "negative ticket sentiment ").otherwise("neutral sentiment "),
+                              two_decimals(mood)),
+    }
+
+
+def with_query_text(df: DataFrame, drivers: str = "top_drivers", output: str = "query_text", k: int = 3) -> DataFrame:
+    """Adds the search text of the first k drivers.
+
+    Each phrase is made once per row and then picked per driver, which keeps the
+    generated code small enough to be compiled.
+    """
+    said_once = {f"_says_{word}": phrase for word, phrase in _phrases().items()}
+    names = {f"_driver_{i}": F.lower(F.get(F.col(drivers), F.lit(i))) for i in range(k)}
+
+    def picked(name: str) -> Column:
+        chain = F
+        for word in _phrases():
+            chain = chain.when(F.col(name).contains(word), F.col(f"_says_{word}"))
+        return chain
+
+    spoken = F.concat_ws(" ", *[picked(n) for n in names])
+    return df.withColumns({**said_once, **names}).withColumn(output, F.concat(
+        F.lit("customer "), F.coalesce(F.nullif(spoken, F.lit("")), F.lit(FALLBACK_QUERY)))).drop(*said_once, *names)
 
 
 def section_strategy(section: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from keepwell.operators.ranking import draw
+from keepwell.operators.ranking import draw, hex_number
 from keepwell.session import scratch_path
 
 DRIVER_DIGITS = 9
@@ -21,11 +21,12 @@ MAX_TREE_NODES = 5_000_000
 def additive_contributions(df: DataFrame, parts: dict[str, Column], output: str = "contributions") -> DataFrame:
     """Adds an array of (feature, value): each part minus its mean over the table.
 
-    For a sum of parts this is the exact attribution. The means are one row, read
-    as a scalar subquery.
+    For a sum of parts this is the exact attribution. The means are one row, read on
+    the driver, and enter the plan as literals.
     """
-    means = df.agg(F.struct(*[F.avg(p).alias(f"m{i}") for i, p in enumerate(parts.values())])).scalar()
-    cells = [F.struct(F.lit(n).alias("feature"), F.round(p - means[f"m{i}"], DRIVER_DIGITS).alias("value"))
+    means = df.agg(*[F.avg(p).alias(f"m{i}") for i, p in enumerate(parts.values())]).first()
+    cells = [F.struct(F.lit(n).alias("feature"),
+                      F.round(p - F.lit(means[i] or 0.0), DRIVER_DIGITS).alias("value"))
              for i, (n, p) in enumerate(parts.items())]
     return df.withColumn(output, F.array(*cells))
 
@@ -62,13 +63,14 @@ def permutation_importance(df: DataFrame, key: str, label: str, columns: dict[st
         df.select(key, F.col(label).alias("_y"), *inputs)
         .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
         .withColumn("_word", word)
-        .withColumn("_slice", F.pmod(F.conv(F.substring("_word", 9, 8), 16, 10).cast("long"), F.lit(n_slices)))
+        .withColumns({
+            "_ring": F.col("repeat") * F.lit(n_slices).cast("long") + F.pmod(hex_number(F.substring("_word", 9, 8)), F.lit(n_slices)),
+            "_word": hex_number(F.substring("_word", 1, 15))})
     )
-    ring = Window.partitionBy("repeat", "_slice").orderBy("_word", key)
+    ring = Window.partitionBy("_ring").orderBy("_word", key)
     swapped = F.struct(*inputs)
-    dealt = dealt.withColumn("_other", F.coalesce(
-        F.lead(swapped).over(ring),
-        F.first(swapped).over(ring.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = dealt.withColumn("_other", F.coalesce(F.lead(swapped).over(ring), F.first(swapped).over(whole)))
     own = {c: F.col(c) for c in inputs}
 
     def accuracy(answers: dict[str, Column]) -> Column:

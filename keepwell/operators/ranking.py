@@ -28,9 +28,13 @@ def draw(seed: str, *key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in key]))
 
 
+def hex_number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def share(word: Column) -> Column:
     """A drawn word as a number in [0, 1)."""
-    return F.conv(F.substring(word, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return hex_number(F.substring(word, 1, 8)).cast("double") / F.lit(4294967296.0)
 
 
 def hash_segments(df: DataFrame, strata: list[str], key: str, seed: str,

@@ -49,7 +49,7 @@ def contract_violations(spark, sf):
 SELECT "customerID", round(CASE WHEN k % 97 = 0 OR k % 89 = 0 THEN "TotalCharges" ELSE o_totalprice END, 6)
   AS "TotalCharges" FROM customers""")
 def coerce_numeric(spark, sf):
-    return rounded(quality.coerce_totals(D.customers(spark, sf, dirty=True)).select("customerID", "TotalCharges"))
+    return rounded(quality.coerce_totals(D.customers(spark, sf, dirty=True, accounts=False)).select("customerID", "TotalCharges"))
 
 
 @query("dedup_keep_first", """
@@ -65,13 +65,13 @@ def dedup_keep_first(spark, sf):
 SELECT count(*) FILTER ("Churn" IN ('Yes', 'No')) AS kept,
   count(*) FILTER ("Churn" IS NULL OR "Churn" NOT IN ('Yes', 'No')) AS dropped FROM dirty""")
 def label_filter(spark, sf):
-    return quality.label_report(D.customers(spark, sf, churn=True, dirty=True), "Churn")
+    return quality.label_report(D.customers(spark, sf, churn=True, dirty=True, accounts=False), "Churn")
 
 
 @query("labelled_customers", f"""WITH {_DIRTY}
 SELECT "customerID", "Churn" FROM dirty WHERE "Churn" IN ('Yes', 'No')""")
 def labelled_customers(spark, sf):
-    return quality.keep_labelled(D.customers(spark, sf, churn=True, dirty=True), "Churn").select("customerID", "Churn")
+    return quality.keep_labelled(D.customers(spark, sf, churn=True, dirty=True, accounts=False), "Churn").select("customerID", "Churn")
 
 
 _RANGES = {"l_quantity": (5.0, 45.0), "l_discount": (0.02, 0.08)}
@@ -89,7 +89,7 @@ SELECT "customerID", tenure, CASE WHEN tenure < 0 OR tenure > 72 THEN 1 ELSE 0 E
   CASE WHEN "MonthlyCharges" < 0 OR "MonthlyCharges" > 200 THEN 1 ELSE 0 END AS "MonthlyCharges_out_of_range"
 FROM customers""")
 def range_flagged_customers(spark, sf):
-    flagged = quality.with_range_flags(D.customers(spark, sf), {"tenure": (0, 72), "MonthlyCharges": (0, 200)})
+    flagged = quality.with_range_flags(D.customers(spark, sf, accounts=False), {"tenure": (0, 72), "MonthlyCharges": (0, 200)})
     return flagged.select("customerID", "tenure", *[
         F.col(f"{c}_out_of_range").cast("int").alias(f"{c}_out_of_range") for c in ("tenure", "MonthlyCharges")])
 
@@ -157,7 +157,7 @@ UNION ALL SELECT 'target_leakage', sum(f)::BIGINT, CASE WHEN sum(f) > 0 THEN 1 E
   SELECT unnest([abs(corr(tenure, "Churn")) > 0.95, abs(corr("MonthlyCharges", "Churn")) > 0.95,
     abs(corr(echo, "Churn")) > 0.95])::INT AS f FROM t)""")
 def quality_report(spark, sf):
-    rows = D.customers(spark, sf, churn=True).select(
+    rows = D.customers(spark, sf, churn=True, accounts=False).select(
         "Contract", "tenure", "MonthlyCharges", F.lit(1).alias("flat"),
         (F.col("Churn") * 2).alias("echo"), "Churn")
     return quality.quality_report(rows, "Churn")
@@ -167,7 +167,7 @@ def quality_report(spark, sf):
 SELECT '2024-03-01' AS snapshot_date, 'v1.0' AS pipeline_version, count(*) AS row_count, 'PASSED' AS status,
   'null_rate,zero_variance,target_leakage' AS checks_run FROM customers""")
 def manifest_summary(spark, sf):
-    row = tables.manifest(D.customers(spark, sf), "2024-03-01", {"customers": "orders"})
+    row = tables.manifest(D.customers(spark, sf, accounts=False), "2024-03-01", {"customers": "orders"})
     return row.select("snapshot_date", "pipeline_version", "row_count", "status",
                       F.array_join("checks_run", ",").alias("checks_run"))
 
@@ -191,7 +191,7 @@ def encode_features(spark, sf):
 SELECT "customerID", round("TotalCharges" / greatest(tenure, 1)::DOUBLE, 6) AS charges_per_tenure_month,
   CASE WHEN "Contract" = 'Month-to-month' AND tenure < 12 THEN 1 ELSE 0 END AS is_high_risk_contract FROM customers""")
 def billing_features(spark, sf):
-    return rounded(features.billing_features(D.customers(spark, sf)).select(
+    return rounded(features.billing_features(D.customers(spark, sf, accounts=False)).select(
         "customerID", "charges_per_tenure_month", "is_high_risk_contract"))
 
 
@@ -199,7 +199,7 @@ def billing_features(spark, sf):
 SELECT "customerID", len(list_filter(["PhoneService", {", ".join(f'"{c}"' for c in _ADD_ONS)}], lambda a: a = 'Yes'))::INT
   AS service_bundle_size FROM customers""")
 def service_bundle_size(spark, sf):
-    return D.customers(spark, sf).select("customerID", features.bundle_size().alias("service_bundle_size"))
+    return D.customers(spark, sf, accounts=False).select("customerID", features.bundle_size().alias("service_bundle_size"))
 
 
 @query("tenure_band", f"""WITH {D.CUSTOMERS}
@@ -207,7 +207,7 @@ SELECT CASE WHEN tenure < 0 OR tenure > 73 THEN NULL WHEN tenure <= 12 THEN '<12
     WHEN tenure <= 24 THEN '12-24 months' WHEN tenure <= 48 THEN '24-48 months' ELSE '>48 months' END AS tenure_band,
   count(*) AS n FROM customers GROUP BY 1""")
 def tenure_band(spark, sf):
-    return D.customers(spark, sf).groupBy(features.stored_tenure_band(F.col("tenure")).alias("tenure_band")).agg(
+    return D.customers(spark, sf, accounts=False).groupBy(features.stored_tenure_band(F.col("tenure")).alias("tenure_band")).agg(
         F.count("*").alias("n"))
 
 

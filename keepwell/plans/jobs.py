@@ -137,8 +137,8 @@ def briefings(scores: DataFrame, customers: DataFrame, documents: DataFrame, emb
     the search carries it to the customers.
     """
     rows = scores.select(key, "churn_score", "top_drivers").join(features.model_inputs(customers), key)
-    asked = rows.where(F.col("churn_score") >= F.lit(threshold)).select(
-        key, render.query_text(F.col("top_drivers")).alias("text"))
+    asked = render.with_query_text(rows.where(F.col("churn_score") >= F.lit(threshold)), output="text").select(
+        key, "text")
     vectors = corpus.embed(documents, embedding)
     hits = neighbours.nearest(corpus.embed(asked, embedding), vectors, NEIGHBOURS, key, "doc_id")
     kinds = documents.select(F.col("doc_id").alias("neighbour_id"), "kind", F.col("text").alias("section"))

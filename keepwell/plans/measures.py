@@ -63,7 +63,7 @@ def pr_auc(spark, sf):
   SELECT coalesce("Contract", 'none') AS contract, "Churn" AS y, "MonthlyCharges" / 100.0::DOUBLE AS p FROM scored)
 SELECT contract, round(roc_auc, 6) AS roc_auc, n_pos, n_neg FROM ({_roc("rows", by="contract")})""")
 def roc_auc_by_contract(spark, sf):
-    rows = D.customers(spark, sf, churn=True).select(
+    rows = D.customers(spark, sf, churn=True, accounts=False).select(
         F.coalesce("Contract", F.lit("none")).alias("contract"), F.col("Churn").alias("y"),
         (F.col("MonthlyCharges") / 100.0).alias("p"))
     return rounded(metrics.roc_auc(rows, "y", "p", ["contract"]))
@@ -169,7 +169,7 @@ def sample_weights(spark, sf):
 SELECT "Churn", count(*) AS n, round((SELECT count(*) FROM customers) / (2.0::DOUBLE * count(*)), 6) AS weight
 FROM customers GROUP BY "Churn" """)
 def class_weights(spark, sf):
-    return rounded(outcomes.class_weights(D.customers(spark, sf, churn=True), "Churn"))
+    return rounded(outcomes.class_weights(D.customers(spark, sf, churn=True, accounts=False), "Churn"))
 
 
 @query("outcome_semi", f"""WITH {D.OUTCOMES}

@@ -12,7 +12,7 @@ from keepwell.sources import tables
 
 
 def _enriched(spark, sf):
-    rows = D.customers(spark, sf).withColumn("account", F.col("account_id").cast("string"))
+    rows = D.customers(spark, sf, accounts=False).withColumn("account", F.col("account_id").cast("string"))
     return impute.enrich_from_bank(rows, D.bank(spark, sf), key="account")
 
 

@@ -119,7 +119,7 @@ def briefing_text(spark, sf):
         "escalation_flag": F.lit(0), "sentiment_score": F.lit(0.0)})
     nations = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"),
                                                     F.col("c_nationkey").alias("n_nationkey"))
-    asked = rows.select("customerID", "account_id", render.query_text(F.col("top_drivers")).alias("q"))
+    asked = render.with_query_text(rows, output="q").select("customerID", "account_id", "q")
     return asked.join(nations, "account_id").join(_sections(spark, sf), "n_nationkey").select(
         "customerID", render.briefing(F.col("q"), F.col("section")).alias("briefing"))
 

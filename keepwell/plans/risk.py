@@ -151,7 +151,7 @@ def permutation_importance(spark, sf):
 
     columns = {"contract_type_encoded": "Contract", "tenure": "tenure",
                "InternetService_Fiber optic": "InternetService", "MonthlyCharges": "MonthlyCharges"}
-    rows = settle(D.customers(spark, sf, churn=True), "snapshot")
+    rows = settle(D.customers(spark, sf, churn=True, accounts=False), "snapshot")
     return rounded(explain.permutation_importance(rows, "customerID", "Churn", columns, predict,
                                                   _REPEATS, _SEED, _SLICE))
 
@@ -172,4 +172,4 @@ def query_text(spark, sf):
     rows = _with_drivers(spark, sf).withColumns({
         "contract_type_encoded": features.coded(F.col("Contract"), values.CONTRACT_CODES),
         "escalation_flag": F.lit(0), "sentiment_score": F.lit(0.0)})
-    return rows.select("customerID", render.query_text(F.col("top_drivers")).alias("query_text"))
+    return render.with_query_text(rows).select("customerID", "query_text")

@@ -72,7 +72,7 @@ def stream_risk_scores(spark, sf):
     requests = _stream(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("customerID"), F.lit("Two year").alias("Contract"),
         F.lit(3).alias("tenure"), F.lit("Fiber optic").alias("InternetService"))
-    snapshot = D.customers(spark, sf).where("Contract IS NOT NULL").select(
+    snapshot = D.customers(spark, sf, accounts=False).where("Contract IS NOT NULL").select(
         "customerID", "Contract", "tenure", "InternetService")
     done = jobs.run_available(jobs.scored_requests(requests, snapshot), "scores")
     return rounded(done.select("customerID", "churn_score", "risk_level"))

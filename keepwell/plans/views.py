@@ -49,6 +49,9 @@ _PAYMENT = {"AUTOMOBILE": "Electronic check", "BUILDING": "Mailed check",
             "FURNITURE": "Bank transfer (automatic)", "HOUSEHOLD": "Credit card (automatic)"}
 
 
+_ACCOUNT_COLUMNS = {"SeniorCitizen", "Partner", "Dependents", "PaymentMethod"}
+
+
 def _mapped(column: str, names: dict[str, str], other: str | None = None):
     chain = F
     for key, value in names.items():
@@ -56,18 +59,22 @@ def _mapped(column: str, names: dict[str, str], other: str | None = None):
     return chain.otherwise(F.lit(other))
 
 
-def customers(spark: SparkSession, sf: str, churn: bool = False, dirty: bool = False) -> DataFrame:
+def customers(spark: SparkSession, sf: str, churn: bool = False, dirty: bool = False,
+              accounts: bool = True) -> DataFrame:
     """One subscription per order with the columns of the customer contract.
 
     ``churn`` adds the label, ``dirty`` blanks some totals and spoils some labels.
+    Without ``accounts`` the columns of the account, and its join, are left out.
     """
     def answer(condition):
         return F.when(condition, "Yes").otherwise("No")
 
     orders = table(spark, sf, "orders").withColumns({
         "_k": F.col("o_orderkey"), "day": F.to_date("o_orderdate")})
-    accounts = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    rows = orders.join(accounts, orders.o_custkey == accounts.c_custkey, "left")
+    rows = orders
+    if accounts:
+        holders = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+        rows = orders.join(holders, orders.o_custkey == holders.c_custkey, "left")
     if churn:
         rows = rows.join(order_days(table(spark, sf, "orders")), ["o_custkey", "day"])
     tenure = F.expr("CAST(datediff(DATE'2001-08-01', to_date(o_orderdate)) DIV 30 AS INT)")
@@ -99,6 +106,8 @@ def customers(spark: SparkSession, sf: str, churn: bool = False, dirty: bool = F
         columns["Churn"] = (
             F.when(F.col("_k") % 101 == 0, F.lit(None)).when(F.col("_k") % 103 == 0, "Maybe").otherwise(label)
             if dirty else churned.cast("int"))
+    if not accounts:
+        columns = {n: c for n, c in columns.items() if n not in _ACCOUNT_COLUMNS}
     return rows.select(*[c.alias(n) for n, c in columns.items()])
 
 
@@ -147,7 +156,7 @@ scored AS (
 
 
 def scored_customers(spark: SparkSession, sf: str, churn: bool = False) -> DataFrame:
-    return scoring.scored(customers(spark, sf, churn))
+    return scoring.scored(customers(spark, sf, churn, accounts=False))
 
 
 def bank(spark: SparkSession, sf: str) -> DataFrame:

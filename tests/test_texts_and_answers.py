@@ -55,7 +55,7 @@ def test_query_texts(spark, drivers, row, expected):
     df = spark.createDataFrame([(drivers, *values.values())], "drivers array<string>, contract_type_encoded int, "
                                "tenure int, MonthlyCharges double, TechSupport int, OnlineSecurity int, "
                                "escalation_flag int, sentiment_score double")
-    assert df.select(render.query_text(F.col("drivers"))).first()[0] == expected
+    assert render.with_query_text(df, "drivers").first().query_text == expected
 
 
 def test_sections_and_briefings(spark):
