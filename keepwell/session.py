@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(master: str | None = None, app: str = "keepwell", **conf: str) -> SparkSession:
     """A session with the settings the operators were planned for.
 
-    Shuffle width starts high and is coalesced by AQE from measured sizes; skewed
-    join partitions are split at run time. ``conf`` wins over the defaults.
+    AQE coalesces shuffle partitions from measured sizes, so the width may be set
+    high; skewed
+    join partitions are split at run time. Generated methods too long for the JIT
+    are not fused. ``conf`` wins over the defaults.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.enabled": "false",
