@@ -13,8 +13,7 @@ def build_session(master: str | None = None, app: str = "keepwell", **conf: str)
     """A session with the settings the operators were planned for.
 
     AQE coalesces shuffle partitions from measured sizes, so the width may be set
-    high; skewed
-    join partitions are split at run time. Generated methods too long for the JIT
+    high, and splits skewed join partitions. Generated methods too long for the JIT
     are not fused. ``conf`` wins over the defaults.
     """
     settings = {
