@@ -4,7 +4,8 @@ import pytest
 
 from conftest import SF
 from oracle import database, differences
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from keepwell.plans.catalogue import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,9 +13,9 @@ def con():
     return database(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    assert differences(queries()[name](spark, SF), con, oracle_sql()[name]) == []
+    assert differences(QUERIES[name](spark, SF), con, ORACLES[name]) == []
 
 
 def test_entry_has_rows_and_a_stable_schema(spark):
