@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keepwell.llm.base import lower_ascii
+from keepwell.session import settle
 
 #: Public suffixes of two labels that count as one suffix (fixed values).
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.mx", "gov.uk", "org.uk")
@@ -82,8 +83,8 @@ def reputation(observed: DataFrame, z: float = 1.64, least: float = 2.0, most: f
 
     Returns host, n, k, mean, bound. Pages of one host meet only as partial counts.
     """
-    hosts = (observed.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-             .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    hosts = settle(observed.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+                   .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     every = suffixes.agg(F.coalesce(F.try_divide(F.sum("k"), F.sum("n")), F.lit(0.5)).alias("mu"))
