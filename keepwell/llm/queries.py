@@ -1,6 +1,6 @@
 """All registered queries of the corpus operators."""
 
-from keepwell.llm import q_url  # noqa: F401  (importing registers)
+from keepwell.llm import q_decontaminate, q_exact, q_packing, q_url, q_warc  # noqa: F401  (importing registers)
 from keepwell.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
