@@ -1,18 +1,19 @@
 """Exact dedup as a stream: disk-backed keyed state without expiry.
 
 Arriving rows are reduced to a digest of their normalised text, their stable
-identifier and the locator of their content (a hash of file and row number). A
-streaming aggregation keeps, per digest and for good, the smallest identifier seen,
-the locator of that row and the number of rows: state in RocksDB on the executors'
-disks, with its log in the shared folder. Partial aggregates go ahead of the shuffle,
-so a text that makes up a third of all rows reaches its state as one row per task.
-A restarted stream goes on from its checkpoint folder; a batch that is repeated
-replaces what it wrote before.
-
-A digest only finds hits. Every hit is compared with the content at the locator byte
-by byte; rows that differ although their digests agree form groups of their own. Only
-texts in groups of several rows are read for that: a bit table of bounded size keeps
-the others out of the shuffle.
+identifier and the locator of their content (a hash of file and row number), and
+logged. A streaming aggregation over that log keeps, per digest and for good, the
+smallest identifier seen, the locator of that row and the number of rows: state in
+RocksDB on the executors' disks, with its own log in the shared folder. Partial
+aggregates go ahead of the shuffle, so a text that makes up a third of all rows
+reaches its state as one row per task. A restarted stream goes on from its folder; a
+batch that is repeated replaces what it wrote before.
+
+A digest only finds hits. The contents of all rows that share one are fetched by
+their locators and compared byte by byte, as the smallest and the largest content per
+digest, which again merges within tasks; rows that differ although their digests
+agree form groups of their own. A bit table of bounded size keeps all other texts
+out of the shuffle.
 
 Defined cases: null counts as the empty text; rows that repeat an identifier and text
 share one verdict; null identifiers rank last; an empty table gives no rows.
@@ -31,6 +32,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
@@ -48,28 +50,33 @@ def locator() -> Column:
     return F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
 
 
-def arrivals(rows: DataFrame, key: str, text: str, digest) -> DataFrame:
-    """Digest, identifier, rank and locator of every row read from files; ``content`` is the normalised text."""
-    return (rows.select(F.col(key).alias("id"), normalised(F.col(text)).alias("content"), locator().alias("locator"))
-            .withColumns({"digest": digest(F.col("content")), "rank": F.coalesce(F.col("id").cast("long"), F.lit(_LAST))}))
-
-
 def exact_name(path: str) -> str:
     """A pattern that only ``path`` matches: a stream takes a file or a folder by it alike."""
     path = path.rstrip("/")
     return f"{path[:-1]}[{path[-1]}]"
 
 
-def run_stream(spark: SparkSession, path: str, key: str, text: str, digest, folder: str, files_per_batch: int) -> DataFrame:
-    """Brings the state under ``folder`` up to date with the files of ``path``; one row per digest seen.
+def _stream(spark: SparkSession, path: str, schema, files_per_batch: int) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def ingest(spark: SparkSession, path: str, key: str, text: str, digest, folder: str, files_per_batch: int) -> DataFrame:
+    """First stream: every new row of the files as (id, digest, rank, locator), appended to the log of arrivals."""
+    rows = _stream(spark, exact_name(path), spark.read.parquet(path).schema, files_per_batch)
+    arrived = rows.select(F.col(key).alias("id"), digest(normalised(F.col(text))).alias("digest"),
+                          F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("rank"), locator().alias("locator"))
+    (arrived.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/arrivals")
+     .option("checkpointLocation", f"{folder}/arrivals-progress").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(arrived.schema).parquet(f"{folder}/arrivals")
+
 
-    Returns digest, rank (smallest), locator (of that row), n.
+def keep_state(spark: SparkSession, arrived: DataFrame, folder: str, files_per_batch: int) -> DataFrame:
+    """Second stream: the state per digest, brought up to date with the log of arrivals.
+
+    Returns digest, rank (the smallest), locator (of that row), n.
     """
-    rows = (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
-            .parquet(exact_name(path)))
-    state = (arrivals(rows, key, text, digest).groupBy("digest")
+    state = (_stream(spark, f"{folder}/arrivals", arrived.schema, files_per_batch).groupBy("digest")
              .agg(F.min("rank").alias("rank"), F.min_by("locator", "rank").alias("locator"), F.count(F.lit(1)).alias("n")))
-
     spark.createDataFrame([], _CHANGE).write.mode("overwrite").parquet(f"{folder}/changes/batch=-1")  # the folder exists
 
     def record(batch: DataFrame, number: int) -> None:
@@ -79,40 +86,43 @@ def run_stream(spark: SparkSession, path: str, key: str, text: str, digest, fold
     for name, value in _STATE.items():
         spark.conf.set(name, value)
     try:
-        running = (state.writeStream.outputMode("update").foreachBatch(record)
-                   .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
-        running.awaitTermination()
+        (state.writeStream.outputMode("update").foreachBatch(record).option("checkpointLocation", f"{folder}/state")
+         .trigger(availableNow=True).start().awaitTermination())
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-    return spark.read.schema(_CHANGE).parquet(f"{folder}/changes").groupBy("digest").agg(F.min("rank").alias("rank"), F.min_by("locator", "rank").alias("locator"),
-                                         F.max("n").alias("n"))
+    return spark.read.schema(_CHANGE).parquet(f"{folder}/changes").groupBy("digest").agg(
+        F.min("rank").alias("rank"), F.min_by("locator", "rank").alias("locator"), F.max("n").alias("n"))
+
+
+def contents(spark: SparkSession, path: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (locator, ...) with ``content``, the normalised text; only texts that may be wanted are shuffled."""
+    rows = spark.read.parquet(path).select(locator().alias("locator"), F.col(text).alias("content"))
+    found = maybe_member(rows, "locator", membership(wanted, "locator")).join(wanted, "locator")
+    return found.withColumn("content", normalised(F.col("content")))
 
 
 def dedup(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", digest=sha256_of,
           folder: str | None = None, files_per_batch: int = 1000) -> DataFrame:
     """One row per row of the files: id, keep_id, group_size, kept, digest.
 
-    ``folder`` holds the stream's progress and state log; name it to go on with a
-    growing set of files, else a new one in the shared folder is taken.
+    ``folder`` holds both logs, progress and state; name it to go on with a growing
+    set of files, else a new one in the shared folder is taken.
     """
     folder = folder or scratch_path(spark, "stream-dedup")
-    keepers = settle(run_stream(spark, path, key, text, digest, folder, files_per_batch), "keepers")
-    rows = arrivals(spark.read.parquet(path), key, text, digest)
-
-    several = keepers.where("n > 1").withColumnRenamed("locator", "kept_at").drop("rank")
-    read_again = maybe_member(rows, "digest", membership(several, "digest")).join(several, "digest")
-    first = read_again.where("locator = kept_at").select("digest", F.col("content").alias("kept_content"))
-    differing = settle(read_again.join(first, "digest").where("content != kept_content")
-                       .select("digest", "locator", "content", "rank"), "differing")
-
-    found = rows.select("id", "digest", "locator", "rank").join(keepers.select("digest", F.col("rank").alias("keep"), "n"), "digest")
-    if not differing.isEmpty():  # digests that agree for different texts
-        own = differing.groupBy("digest", "content").agg(F.min("rank").alias("own_keep"), F.count(F.lit(1)).alias("own_n"))
-        parted = differing.join(own, ["digest", "content"]).select("digest", "locator", "own_keep", "own_n")
-        gone = differing.groupBy("digest").agg(F.count(F.lit(1)).alias("gone"))
-        found = (found.join(parted, ["digest", "locator"], "left").join(gone, "digest", "left")
-                 .withColumns({"keep": F.coalesce("own_keep", "keep"),
-                               "n": F.coalesce("own_n", F.col("n") - F.coalesce("gone", F.lit(0)))}))
+    arrived = ingest(spark, path, key, text, digest, folder, files_per_batch)
+    keepers = settle(keep_state(spark, arrived, folder, files_per_batch), "keepers")
+    found = arrived.join(keepers.select("digest", F.col("rank").alias("keep"), F.col("locator").alias("kept_at"), "n"), "digest")
+
+    # every hit against the others of its digest, byte by byte: equal if the smallest and the largest content are
+    hits = found.where("n > 1").select("locator", "digest")
+    bytes_of = contents(spark, path, text, hits).groupBy("digest").agg(F.min("content").alias("low"), F.max("content").alias("high"))
+    clashes = settle(bytes_of.where("low != high").select("digest"), "clashes")
+    if not clashes.isEmpty():  # a digest shared by different texts: these are grouped by the text itself
+        parted = settle(contents(spark, path, text, found.join(clashes, "digest", "left_semi").select("locator", "digest", "rank")), "parted")
+        own = parted.groupBy("digest", "content").agg(F.min("rank").alias("own_keep"), F.count(F.lit(1)).alias("own_n"))
+        named = parted.join(own, ["digest", "content"]).select("locator", "own_keep", "own_n")
+        found = found.join(named, "locator", "left").withColumns(
+            {"keep": F.coalesce("own_keep", "keep"), "n": F.coalesce("own_n", "n")})
     return found.select("id", F.when(F.col("keep") != _LAST, F.col("keep")).alias("keep_id"), F.col("n").alias("group_size"),
                         (F.col("rank") == F.col("keep")).alias("kept"), "digest")
