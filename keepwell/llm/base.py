@@ -51,11 +51,24 @@ def membership(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFra
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("filter_mask")))
 
 
+def _marked(df: DataFrame, column: str, filter_table: DataFrame, bits: int) -> DataFrame:
+    bit = F.expr("shiftright(filter_mask, cast(filter_at & 63 as int)) & 1 = 1")
+    return (df.withColumn("filter_at", F.pmod(F.xxhash64(column), F.lit(bits)))
+            .withColumn("filter_word", F.shiftright("filter_at", 6))
+            .join(F.broadcast(filter_table), "filter_word", "left").withColumn("filter_hit", F.coalesce(bit, F.lit(False))))
+
+
 def maybe_member(df: DataFrame, column: str, filter_table: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """The rows of ``df`` whose key may be among those of ``membership``; no member is lost."""
-    at = F.pmod(F.xxhash64(column), F.lit(bits))
-    kept = (df.withColumn("filter_at", at)
-            .withColumn("filter_word", F.shiftright("filter_at", 6))
-            .join(F.broadcast(filter_table), "filter_word")
-            .where("shiftright(filter_mask, cast(filter_at & 63 as int)) & 1 = 1"))
-    return kept.drop("filter_at", "filter_word", "filter_mask")
+    return _marked(df, column, filter_table, bits).where("filter_hit").select(*df.columns)
+
+
+def surely_not(df: DataFrame, column: str, filter_table: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The other rows of ``df``: none of them is a member. They need no shuffle to be told apart."""
+    return _marked(df, column, filter_table, bits).where("not filter_hit").select(*df.columns)
+
+
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key is not in ``gone`` (one column of that name); only rows that may be in it are shuffled."""
+    bits = membership(gone, column)
+    return surely_not(df, column, bits).unionByName(maybe_member(df, column, bits).join(gone, column, "left_anti"))

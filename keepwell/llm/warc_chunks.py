@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from keepwell.llm.base import maybe_member, membership
+from keepwell.llm.base import maybe_member, membership, surely_not
 from keepwell.session import scratch_path, settle
 
 CHUNK = 1 << 16
@@ -56,9 +56,7 @@ def plan_records(rows: DataFrame, least: int = 1000) -> tuple[DataFrame, DataFra
                 .select("id", "uri", "n_bytes", "sha1", F.col("keep").alias("refers_to")))
     bits = membership(several, "content")
     unsure = maybe_member(known, "content", bits).join(several, "content", "left").where("keep is null or rank = keep")
-    sure = (known.withColumn("at", F.pmod(F.xxhash64("content"), F.lit(1 << 23)))
-            .join(F.broadcast(bits), F.shiftright("at", 6) == F.col("filter_word"), "left")
-            .where("filter_mask is null or shiftright(filter_mask, cast(at & 63 as int)) & 1 = 0"))
+    sure = surely_not(known, "content", bits)
     columns = ["id", "uri", "n_bytes", "sha1", "payload"]
     return sure.select(*columns).unionByName(unsure.select(*columns)), revisits
 
