@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keepwell.llm.base import query, table
 from keepwell.llm.line_join import removed_by_document, removed_lines
 
-SQL = """WITH l AS (SELECT doc_id, i, list_distinct(list_filter(string_split_regex(s[i + 1], '[\\x20\\x09-\\x0D]+'), x -> x <> '')) AS w
+SQL = """WITH l AS (SELECT doc_id, i, list_distinct(list_filter(string_split_regex(s[i + 1], '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w
   FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
 k AS (SELECT doc_id, i, list_sort(w) AS w FROM l WHERE len(w) > 0),
 u AS (SELECT w, min((doc_id, i)) AS f, row_number() OVER () AS id FROM k GROUP BY w),
