@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 from keepwell.functions import render
 from keepwell.functions.text import stripped
 
-# fixed value: churned customers told as cases
-MAX_CASES = 100
-
 
 def sections(texts: DataFrame, key: str, column: str, tag: str = render.SECTION_TAG,
              separator: str = " ") -> DataFrame:
@@ -31,12 +28,12 @@ def _literal(text: str) -> str:
     return "\\Q" + text + "\\E" if text.strip() else text
 
 
-def cases(customers: DataFrame, latest: DataFrame, key: str = "customerID", limit: int | None = MAX_CASES,
+def cases(customers: DataFrame, latest: DataFrame, key: str = "customerID", limit: int | None = None,
           order: str | None = None) -> DataFrame:
     """(key, text) of churned customers with their last logged intervention.
 
-    ``latest`` is (key, intervention_type, outcome), one row per customer. The limit
-    is part of the corpus definition; ``None`` tells every case.
+    ``latest`` is (key, intervention_type, outcome), one row per customer. Every
+    case is told unless a ``limit`` asks for the first few by ``order``.
     """
     churned = customers.where(F.col("Churn") == 1)
     if limit is not None:

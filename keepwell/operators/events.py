@@ -42,12 +42,15 @@ def daily_rolling(events: DataFrame, key: str, time: str, spans: tuple[int, ...]
 
 
 def month_over_month(amounts: DataFrame, key: str, time: str, amount: str) -> DataFrame:
-    """Monthly totals and their relative change against the previous month on record."""
-    months = amounts.groupBy(key, F.date_format(time, "yyyy-MM").alias("month")).agg(
-        F.sum(amount).alias("total"))
-    previous = F.lag("total").over(Window.partitionBy(key).orderBy("month"))
-    return months.withColumn("previous", previous).select(
-        key, "month", "total",
+    """Monthly totals and their relative change against the calendar month before.
+
+    A month whose predecessor has no rows has no change.
+    """
+    months = amounts.groupBy(key, F.trunc(F.to_date(time), "month").alias("_first")).agg(F.sum(amount).alias("total"))
+    before = Window.partitionBy(key).orderBy("_first")
+    adjacent = F.lag("_first").over(before) == F.add_months("_first", -1)
+    return months.withColumn("previous", F.when(adjacent, F.lag("total").over(before))).select(
+        key, F.date_format("_first", "yyyy-MM").alias("month"), "total",
         F.try_divide(F.col("total") - F.col("previous"), F.col("previous")).alias("delta"))
 
 

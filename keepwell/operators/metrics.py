@@ -38,7 +38,7 @@ def score_counts(scored: DataFrame, label: str, p: str, group: list[str] | None
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")))
 
 
-def ranking_curves(counts: DataFrame, group: list[str] | None = None) -> DataFrame:
+def ranking_curves(counts: DataFrame, group: list[str] | None = None, slices: int | None = None) -> DataFrame:
     """ROC and precision-recall areas per group.
 
     Both are sums over distinct scores: a score's point and its neighbour at the
@@ -46,7 +46,7 @@ def ranking_curves(counts: DataFrame, group: list[str] | None = None) -> DataFra
     needed. Equal scores count half; the recall axis starts at precision 1.
     """
     group = group or []
-    t = running_totals(counts, group, "score", ["pos", "neg"])
+    t = running_totals(counts, group, "score", ["pos", "neg"], slices)
     P, N, pos, neg = F.col("all_pos"), F.col("all_neg"), F.col("pos"), F.col("neg")
     below = (F.col("cum_neg") - neg).cast("double")
     above_pos = (P - F.col("cum_pos")).cast("double")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 MAX_SHIPPED_BYTES = 64 * 1024 * 1024
+MAX_QUESTION_BYTES = 16 * 1024 * 1024
 TILE_ROWS = 50_000
 MAX_PIVOTS = 256
 DIGITS = 6
@@ -75,6 +76,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "id",
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
     c = corpus.select(F.col(corpus_id).alias("neighbour_id"), F.col(vector).cast("array<double>").alias("vector"))
     schema = StructType([q.schema["query_id"], c.schema["neighbour_id"], StructField("distance", DoubleType())])
+    q, c = (t.where(F.col("vector").isNotNull()) for t in (q, c))
     first = c.select(F.size("vector").alias("n")).first()
     if first is None:
         return q.sparkSession.createDataFrame([], schema).withColumn("position", F.lit(1))
@@ -84,6 +86,48 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "id",
         hits = _against_shipped(q, c, k, schema)
     else:
         hits = _against_tiles(q, c, k, schema, tile_rows)
+    return _ranked(hits, k)
+
+
+def nearest_to_few(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "id", corpus_id: str = "id",
+                   vector: str = "vector", max_bytes: int = MAX_QUESTION_BYTES) -> DataFrame:
+    """(query_id, neighbour_id, distance, position) of a few queries against a corpus of any size.
+
+    The queries travel, behind a check of their size (beyond it ``nearest`` is taken).
+    Every task reads its part of the corpus once and gives its k best per query, so
+    k rows per query and task are merged and the corpus is neither shuffled nor collected.
+    """
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
+    c = corpus.select(F.col(corpus_id).alias("neighbour_id"), F.col(vector).cast("array<double>").alias("vector"))
+    q, c = (t.where(F.col("vector").isNotNull()) for t in (q, c))
+    schema = StructType([q.schema["query_id"], c.schema["neighbour_id"], StructField("distance", DoubleType())])
+    width = q.agg(F.max(F.size("vector"))).first()[0]
+    if width is None:
+        return q.sparkSession.createDataFrame([], schema).withColumn("position", F.lit(1))
+    fits = max_bytes // (8 * width + 32)
+    if q.limit(fits + 1).count() > fits:
+        return nearest(queries, corpus, k, query_id, corpus_id, vector)
+    asked = q.toPandas()
+    sent = q.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), _matrix(asked["vector"])))
+
+    def search(batches):
+        names, matrix = sent.value
+        best = None
+        for batch in batches:
+            if len(batch):
+                batch = batch.sort_values("neighbour_id", kind="stable")
+                rows, cols, distance = top_k(matrix, _matrix(batch["vector"]), k)
+                found = pd.DataFrame({"row": rows, "neighbour_id": batch["neighbour_id"].to_numpy()[cols], "distance": distance})
+                best = found if best is None else pd.concat([best, found])
+                best = best.sort_values(["row", "distance", "neighbour_id"]).groupby("row", sort=False).head(k)
+        if best is not None:
+            yield pd.DataFrame({"query_id": names[best["row"].to_numpy()], "neighbour_id": best["neighbour_id"].to_numpy(),
+                                "distance": best["distance"].to_numpy()})
+
+    return _ranked(c.mapInPandas(search, schema), k)
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return hits.withColumn("position", F.row_number().over(best)).where(F.col("position") <= k)
 
@@ -192,3 +236,8 @@ def cap_by_kind(hits: DataFrame, kinds: DataFrame, caps: dict[str, int]) -> Data
         allowed = F.when(F.col("kind") == kind, F.lit(cap)).otherwise(allowed)
     return hits.join(kinds, "neighbour_id").withColumn("kind_position", rank).where(
         F.col("kind_position") <= allowed)
+
+
+def first_of_kind(hits: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
+    """The nearest hit of one kind per query, among the hits given."""
+    return cap_by_kind(hits, kinds.where(F.col("kind") == kind), {kind: 1})

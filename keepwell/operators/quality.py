@@ -142,6 +142,11 @@ def quality_report(df: DataFrame, label: str, exempt: list[str] = V.CONSTANT_BY_
     return reduce(DataFrame.unionByName, rows).withColumn("failed", (F.col("n_failed") > 0).cast("int"))
 
 
+def verdict(report: DataFrame) -> Column:
+    """PASSED, or FAILED if any gate of the report failed."""
+    return F.when(report.agg(F.max("failed")).scalar() == 1, "FAILED").otherwise("PASSED")
+
+
 def require_quality(df: DataFrame, label: str, exempt: list[str] = V.CONSTANT_BY_DESIGN) -> None:
     """Raises with every finding; the verdict rows are one per column, never data."""
     found = (

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
 SLICE_ROWS = 1_000_000
-MAX_SLICES = 4096
+DRAWS = 50
 MAX_CUTS = 100_000
 QUANTILE_MARGIN = 0.001
 SKETCH_ACCURACY = 10_000
@@ -93,25 +93,41 @@ def hash_segments(df: DataFrame, strata: list[str], key: str, seed: str,
     return placed.withColumn(output, F.coalesce(segment, F.lit(len(ranks(F.lit(0)))))).drop("_cuts")
 
 
-def _sliced(df: DataFrame, group: list[str], order: str, slices: int) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys; a null key equals a null key."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys])
+    return left.join(named, alike).drop(*[f"_r_{c}" for c in keys])
+
+
+def _sliced(df: DataFrame, group: list[str], order: str, slices: int, rows: int) -> DataFrame:
     """Adds ``_slice``: about equally many rows each, non-decreasing in ``order``.
 
-    The cut points come from a mergeable sketch; a rough sketch makes uneven
-    slices but never a wrong total. Places are searched in two steps, first among
-    every b-th cut, then among the b cuts behind it.
+    The cuts are even places in a sorted draw of the values, so any orderable type
+    will do; a poor draw makes uneven slices but never a wrong total. Places are
+    searched in two steps, first among every b-th cut, then among the b cuts behind it.
     """
     b = math.ceil(math.sqrt(slices))
-    cuts = F.percentile_approx(order, [i / slices for i in range(1, slices)], max(1000, 10 * slices))
+    drawn = df.where(F.col(order).isNotNull())
+    if rows > DRAWS * slices:
+        drawn = drawn.where(share(draw("cuts", F.to_json(F.struct(*group, order)))) < DRAWS * slices / rows)
+    found = F.sort_array(F.collect_list(order))
+    place = lambda i: F.element_at("_all", F.greatest(F.ceil(i * F.size("_all") / slices).cast("int"), F.lit(1)))
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), place))
+    table = drawn.groupBy(*group).agg(found.alias("_all")).where(F.size("_all") > 0).withColumn("_cuts", cuts).drop("_all")
     if group:
-        table = df.join(df.groupBy(*group).agg(cuts.alias("_cuts")), group)
+        named = table.select(*[F.col(c).alias(f"_r_{c}") for c in group], "_cuts")
+        alike = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in group])
+        table = df.join(named, alike, "left").drop(*[f"_r_{c}" for c in group])
     else:
-        table = df.withColumn("_cuts", df.agg(cuts.alias("_cuts")).scalar())
+        table = df.withColumn("_cuts", table.select("_cuts").scalar())
     value = F.col(order)
     coarse = F.filter("_cuts", lambda cut, i: ((i + 1) % b == 0) & (cut < value))
     block = F.slice("_cuts", F.col("_block") * b + 1, F.lit(b))
+    within = F.size(F.filter(block, lambda cut: cut < value))
     return (
-        table.withColumn("_block", F.size(coarse))
-        .withColumn("_slice", F.coalesce(F.col("_block") * b + F.size(F.filter(block, lambda cut: cut < value)), F.lit(0)))
+        table.withColumn("_block", F.coalesce(F.size(coarse), F.lit(0)))
+        .withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(F.col("_block") * b + within))
         .drop("_cuts", "_block")
     )
 
@@ -124,13 +140,14 @@ def running_totals(df: DataFrame, group: list[str], order: str, measures: list[s
     it is read for its size, the cuts, the slice totals and the rows themselves.
     A table of one slice's size is not cut.
     """
-    slices = slices or max(1, min(MAX_SLICES, df.count() // SLICE_ROWS))
+    rows = df.count()
+    slices = slices or max(1, rows // SLICE_ROWS)
     if slices == 1:
         all_rows = Window.partitionBy(*(group or [F.lit(0)]))
         so_far = all_rows.orderBy(order).rowsBetween(*UP_TO_HERE)
         return df.withColumns({**{f"cum_{m}": F.sum(m).over(so_far) for m in measures},
                                **{f"all_{m}": F.sum(m).over(all_rows) for m in measures}})
-    sliced = _sliced(df, group, order, slices)
+    sliced = _sliced(df, group, order, slices, rows)
     totals = sliced.groupBy(*group, "_slice").agg(*[F.sum(m).alias(m) for m in measures])
     whole = Window.partitionBy(*(group or [F.lit(0)]))
     before = whole.orderBy("_slice").rowsBetween(*BEFORE)
@@ -141,8 +158,7 @@ def running_totals(df: DataFrame, group: list[str], order: str, measures: list[s
     )
     within = Window.partitionBy(*group, "_slice").orderBy(order).rowsBetween(*UP_TO_HERE)
     return (
-        sliced.withColumns({f"cum_{m}": F.sum(m).over(within) for m in measures})
-        .join(offsets, [*group, "_slice"])
+        _same(sliced.withColumns({f"cum_{m}": F.sum(m).over(within) for m in measures}), offsets, [*group, "_slice"])
         .withColumns({f"cum_{m}": F.col(f"cum_{m}") + F.col(f"_before_{m}") for m in measures})
         .drop("_slice", *[f"_before_{m}" for m in measures])
     )

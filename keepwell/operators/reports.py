@@ -55,7 +55,7 @@ def first_answers(rows: DataFrame, key: str = "customerID", n: int = 3) -> DataF
     return rows.orderBy(F.col("churn_score").desc(), key).limit(n).withColumn("n_found", total)
 
 
-def with_customer_id(df: DataFrame, order: str) -> DataFrame:
+def with_customer_id(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
     """A ``customerID`` in front: as given, renamed from CustomerId, or numbered by ``order``.
 
     Numbers follow the order column over the whole table; they are made slice by
@@ -65,13 +65,13 @@ def with_customer_id(df: DataFrame, order: str) -> DataFrame:
         if "CustomerId" in df.columns:
             df = df.withColumnRenamed("CustomerId", "customerID")
         else:
-            df = _numbered(df, order)
+            df = _numbered(df, order, slices)
     return df.select("customerID", *[c for c in df.columns if c != "customerID"])
 
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
+def _numbered(df: DataFrame, order: str, slices: int | None) -> DataFrame:
     keys = settle(df.select(order).withColumn("_one", F.lit(1)))
-    places = running_totals(keys, [], order, ["_one"]).select(order, (F.col("cum__one") - 1).alias("_place"))
+    places = running_totals(keys, [], order, ["_one"], slices).select(order, (F.col("cum__one") - 1).alias("_place"))
     digits = F.greatest(F.lit(4), F.length(F.col("_place").cast("string")))
     number = F.lpad(F.col("_place").cast("string"), digits, F.lit("0"))
     return df.join(places, order).withColumn("customerID", F.concat(F.lit("CUST-"), number)).drop("_place")

@@ -50,10 +50,11 @@ def support_contacts(spark, sf):
 
 
 @query("mom_delta", """
-WITH months AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) AS total
+WITH months AS (SELECT o_custkey, date_trunc('month', o_orderdate)::DATE AS month, sum(o_totalprice) AS total
   FROM orders GROUP BY ALL)
-SELECT o_custkey, month, round(total, 2) AS total, round((total - lag(total) OVER w) / lag(total) OVER w, 6) AS delta
-FROM months WINDOW w AS (PARTITION BY o_custkey ORDER BY month)""")
+SELECT a.o_custkey, strftime(a.month, '%Y-%m') AS month, round(a.total, 2) AS total,
+  round((a.total - b.total) / b.total, 6) AS delta
+FROM months a LEFT JOIN months b ON b.o_custkey = a.o_custkey AND b.month = a.month - INTERVAL 1 MONTH""")
 def mom_delta(spark, sf):
     found = events.month_over_month(D.table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
     return rounded(rounded(found, 2, ["total"]), 6, ["delta"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from keepwell.functions import features
 from keepwell.operators import quality
@@ -133,11 +135,10 @@ _LEAK_SOURCE = """(SELECT *, 7 AS always, CASE WHEN l_returnflag = 'R' THEN 1 EL
   CASE WHEN l_returnflag = 'R' THEN 3.0::DOUBLE ELSE 0.5::DOUBLE END AS refund FROM lineitem)"""
 
 
-@query("target_leakage", _union([
+@query("target_leakage", "SELECT column_name, round(r, 6) AS value, CASE WHEN r > 0.95::DOUBLE THEN 1 ELSE 0 END AS failed FROM (" + _union([
     f"""SELECT '{c}' AS column_name,
-    round(abs(covar_samp({c}::DOUBLE, y::DOUBLE) / nullif(stddev_samp({c}::DOUBLE) * stddev_samp(y::DOUBLE), 0)), 6) AS value,
-    CASE WHEN '{c}' = 'refund' THEN 1 ELSE 0 END AS failed FROM {_LEAK_SOURCE}"""
-    for c in [*_LINE, "always", "refund"]]))
+    abs(covar_samp({c}::DOUBLE, y::DOUBLE) / nullif(stddev_samp({c}::DOUBLE) * stddev_samp(y::DOUBLE), 0)) AS r FROM {_LEAK_SOURCE}"""
+    for c in [*_LINE, "always", "refund"]]) + ")")
 def target_leakage(spark, sf):
     returned = F.col("l_returnflag") == "R"
     rows = D.table(spark, sf, "lineitem").select(
@@ -163,11 +164,20 @@ def quality_report(spark, sf):
     return quality.quality_report(rows, "Churn")
 
 
-@query("manifest_summary", f"""WITH {D.CUSTOMERS}
-SELECT '2024-03-01' AS snapshot_date, 'v1.0' AS pipeline_version, count(*) AS row_count, 'PASSED' AS status,
-  'null_rate,zero_variance,target_leakage' AS checks_run FROM customers""")
+@query("manifest_summary", f"""WITH {D.CUSTOMERS},
+dated AS (SELECT '2024-03-01' AS snapshot_date, tenure, "Churn" AS churn, tenure AS extra FROM customers
+  UNION ALL SELECT '2024-03-02', tenure, "Churn", "Churn" * 2 FROM customers)
+SELECT snapshot_date, 'v1.0' AS pipeline_version, count(*) AS row_count,
+  CASE WHEN coalesce(stddev_samp(tenure) = 0 OR stddev_samp(extra) = 0 OR abs(corr(extra, churn)) > 0.95
+    OR avg((tenure IS NULL)::INT) > 0.05, false) THEN 'FAILED' ELSE 'PASSED' END AS status,
+  'null_rate,zero_variance,target_leakage' AS checks_run FROM dated GROUP BY snapshot_date""")
 def manifest_summary(spark, sf):
-    row = tables.manifest(D.customers(spark, sf, accounts=False), "2024-03-01", {"customers": "orders"})
+    """The record of a snapshot that passes, and of one whose extra column tells the label."""
+    rows = D.customers(spark, sf, churn=True, accounts=False).select("tenure", F.col("Churn").alias("churn"))
+    made = {"2024-03-01": rows.withColumn("extra", F.col("tenure")), "2024-03-02": rows.withColumn("extra", F.col("churn") * 2)}
+    row = reduce(DataFrame.unionByName, [
+        tables.manifest(t, day, {"customers": "orders"}, quality.verdict(quality.quality_report(t, "churn")))
+        for day, t in made.items()])
     return row.select("snapshot_date", "pipeline_version", "row_count", "status",
                       F.array_join("checks_run", ",").alias("checks_run"))
 

@@ -57,7 +57,7 @@ def build_snapshot(spark: SparkSession, paths: dict[str, str], root: str, snapsh
     """Reads, checks and writes one snapshot; the manifest row comes last.
 
     ``paths`` names the customers, bank and tickets files. Raises with all findings
-    when a gate fails, before anything is written.
+    when a gate fails, before anything but the failed run's manifest row is written.
     """
     raw = {name: tables.read_source(spark, paths[name], contract, keep_corrupt=False, order=ORDER)
            for name, contract in (("customers", contracts.CUSTOMERS), ("bank", contracts.BANK),
@@ -69,7 +69,12 @@ def build_snapshot(spark: SparkSession, paths: dict[str, str], root: str, snapsh
     constant = [c for c in V.SCORING_DEFAULTS if not any(
         c in t.columns for t in (options.get("activity_features"), options.get("market_features")) if t is not None)
         and c not in _MEASURED]
-    quality.require_quality(snapshot, "Churn", sorted({*V.CONSTANT_BY_DESIGN, *constant, *(exempt or [])}))
+    exempted = sorted({*V.CONSTANT_BY_DESIGN, *constant, *(exempt or [])})
+    try:
+        quality.require_quality(snapshot, "Churn", exempted)
+    except quality.QualityError:
+        tables.append_json(tables.manifest(snapshot, snapshot_date, paths, "FAILED"), f"{root}/manifest")
+        raise
     tables.write_groups(snapshot, root, snapshot_date)
     tables.append_json(tables.manifest(snapshot, snapshot_date, paths), f"{root}/manifest")
     return snapshot

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keepwell.operators import drift, metrics, outcomes
+from keepwell.operators import drift, metrics, outcomes, reports
 from keepwell.plans import views as D
 from keepwell.plans.registry import query, rounded
 
@@ -69,6 +69,24 @@ def roc_auc_by_contract(spark, sf):
     return rounded(metrics.roc_auc(rows, "y", "p", ["contract"]))
 
 
+@query("roc_auc_by_group_sliced", f"""WITH {D.SCORED}, rows AS (
+  SELECT "Contract" AS contract, "Churn" AS y, "MonthlyCharges" / 100.0::DOUBLE AS p FROM scored)
+SELECT contract, round(roc_auc, 6) AS roc_auc, n_pos, n_neg FROM ({_roc("rows", by="contract")})""")
+def roc_auc_by_group_sliced(spark, sf):
+    """The same curve with the order cut into slices, over groups of which one is null."""
+    rows = D.customers(spark, sf, churn=True, accounts=False).select(
+        F.col("Contract").alias("contract"), F.col("Churn").alias("y"), (F.col("MonthlyCharges") / 100.0).alias("p"))
+    counts = metrics.score_counts(rows, "y", "p", ["contract"])
+    return rounded(metrics.ranking_curves(counts, ["contract"], slices=7).drop("pr_auc"))
+
+
+@query("numbered_customers", """
+SELECT 'CUST-' || lpad((row_number() OVER (ORDER BY c_name) - 1)::VARCHAR, greatest(4, len((row_number() OVER (ORDER BY c_name) - 1)::VARCHAR))::INT, '0')
+  AS "customerID", c_name FROM customer""")
+def numbered_customers(spark, sf):
+    return reports.with_customer_id(D.table(spark, sf, "customer").select("c_name"), "c_name", slices=5)
+
+
 @query("threshold_cost", f"""WITH {D.GRADED},
 curve AS (
   SELECT i, {_confusion("i / 100.0::DOUBLE")} FROM graded, range(10, 90) AS steps(i) GROUP BY i),

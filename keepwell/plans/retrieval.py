@@ -11,38 +11,61 @@ from keepwell.plans.registry import query
 from keepwell.plans.risk import _with_drivers, _PARTS, _PHRASE
 
 _K = 10
-_NEAR = f"""pairs AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, b.label AS label, round(list_sum(list_transform(
-    list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6)
-    AS distance
-  FROM embeddings a, embeddings b),
+_CENTRES = """centres AS (
+  SELECT label AS query_id, list(m ORDER BY d) AS q FROM (
+    SELECT label, d, avg(v::DOUBLE) AS m FROM (
+      SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY label, d)
+  GROUP BY label)"""
+
+
+def _near_sql(k: int) -> str:
+    return f"""{_CENTRES}, pairs AS (
+  SELECT query_id, vec_id AS neighbour_id, label, round(list_sum(list_transform(
+    list_zip(q, embedding), lambda z: (z[1] - z[2]::DOUBLE) * (z[1] - z[2]::DOUBLE))), 6) AS distance
+  FROM centres, embeddings),
 near AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS position FROM pairs
-  QUALIFY position <= {_K})"""
+  QUALIFY position <= {k})"""
 
 
-def _near(spark, sf):
-    vectors = D.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return neighbours.nearest(vectors, vectors, _K, "vec_id", "vec_id")
+def _near(spark, sf, k=_K):
+    """The vectors nearest to the centre of each label: few questions against the whole corpus."""
+    vectors = D.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    places = vectors.select("label", F.posexplode("vector").alias("d", "v")).groupBy("label", "d").agg(F.avg("v").alias("m"))
+    centres = places.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("p")).select(
+        F.col("label").alias("query_id"), F.transform("p", lambda x: x["m"]).alias("vector"))
+    return neighbours.nearest_to_few(centres, vectors, k, "query_id", "vec_id")
 
 
-@query("knn_l2", f"WITH {_NEAR} SELECT query_id, neighbour_id, distance, position FROM near")
+def _kinds(spark, sf):
+    return D.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("neighbour_id"), F.when(F.col("label") < 3, "section").otherwise("case").alias("kind"))
+
+
+@query("knn_l2", f"WITH {_near_sql(_K)} SELECT query_id, neighbour_id, distance, position FROM near")
 def knn_l2(spark, sf):
     return _near(spark, sf)
 
 
-@query("knn_type_caps", f"""WITH {_NEAR}
+@query("knn_type_caps", f"""WITH {_near_sql(_K)}
 SELECT query_id, neighbour_id, CASE WHEN label < 3 THEN 'section' ELSE 'case' END AS kind, position,
   row_number() OVER (PARTITION BY query_id, label < 3 ORDER BY position)::INT AS kind_position
 FROM near QUALIFY kind_position <= CASE WHEN label < 3 THEN 1 ELSE 5 END""")
 def knn_type_caps(spark, sf):
-    kinds = D.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("neighbour_id"), F.when(F.col("label") < 3, "section").otherwise("case").alias("kind"))
-    capped = neighbours.cap_by_kind(_near(spark, sf), kinds, {"section": 1, "case": 5})
+    capped = neighbours.cap_by_kind(_near(spark, sf), _kinds(spark, sf), {"section": 1, "case": 5})
     return capped.select("query_id", "neighbour_id", "kind", "position", "kind_position")
 
 
-def _case_rows(spark, sf, limit):
+@query("question_section", f"""WITH {_near_sql(3)}
+SELECT query_id, neighbour_id, distance, position FROM near WHERE label < 3
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position) = 1""")
+def question_section(spark, sf):
+    """The first section among the three nearest texts of a question; a question without one has no row."""
+    hits = neighbours.first_of_kind(_near(spark, sf, 3), _kinds(spark, sf), "section")
+    return hits.select("query_id", "neighbour_id", "distance", "position")
+
+
+def _case_rows(spark, sf):
     log = D.outcomes(spark, sf).groupBy("customer_id").agg(
         F.max_by(F.struct("intervention_type", "outcome"), F.struct("timestamp", "id")).alias("last"))
     latest = log.select(F.col("customer_id").cast("long").alias("account_id"), "last.*")
@@ -52,7 +75,7 @@ def _case_rows(spark, sf, limit):
     rows = features.model_inputs(D.customers(spark, sf, churn=True)).join(rolled, "account_id", "left").na.fill(
         {"sentiment_score": 0.0, "escalation_flag": 0})
     known = rows.select("account_id", "customerID").join(latest, "account_id").drop("account_id")
-    return corpus.cases(rows, known, limit=limit)
+    return corpus.cases(rows, known)
 
 
 _TURNS = D.text_features_sql("(SELECT * FROM conversations WHERE role = 'user')", "conv_id, turn")
@@ -76,7 +99,7 @@ told AS (
 
 @query("case_text", f'WITH {_CASES} SELECT "customerID", text FROM told')
 def case_text(spark, sf):
-    return _case_rows(spark, sf, None)
+    return _case_rows(spark, sf)
 
 
 _SECTIONS = """sections AS (
@@ -126,8 +149,7 @@ def briefing_text(spark, sf):
 
 @query("corpus_union", f"""WITH {_CASES}, {_SECTIONS}
 SELECT 'section-' || n_nationkey || '-1' AS doc_id, 'section' AS kind, trim(section, chr(10) || ' ') AS text FROM sections
-UNION ALL SELECT 'case-' || "customerID", 'case', text
-FROM (SELECT * FROM told ORDER BY "customerID" LIMIT 100)""")
+UNION ALL SELECT 'case-' || "customerID", 'case', text FROM told""")
 def corpus_union(spark, sf):
     parts = corpus.sections(_sections(spark, sf), "n_nationkey", "section")
-    return corpus.corpus(parts, _case_rows(spark, sf, corpus.MAX_CASES))
+    return corpus.corpus(parts, _case_rows(spark, sf))

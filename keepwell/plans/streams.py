@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keepwell.plans import views as D
 from keepwell.plans.registry import query, rounded
+from keepwell.session import scratch_path
 from keepwell.streaming import jobs
 
 
@@ -30,15 +31,30 @@ def stream_login_windows(spark, sf):
     return done.select(_naive("window_start"), _naive("window_end"), "user_id", "n")
 
 
+@query("stream_login_windows_30d", """
+WITH opened AS (
+  SELECT user_id, CAST(ts AS DATE) - CAST(unnest(range(0, 30)) AS INT) AS first_day FROM events),
+closed AS (
+  SELECT CAST(first_day AS TIMESTAMP) + INTERVAL 30 DAYS AS window_end, user_id, count(*) / 30.0::DOUBLE AS a
+  FROM opened GROUP BY ALL)
+SELECT window_end, user_id, round(a, 6) AS logins_30d_rolling_avg FROM closed
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_login_windows_30d(spark, sf):
+    windows = jobs.login_windows(_stream(spark, sf, "events"), "user_id", "ts", "30 days")
+    done = jobs.run_available(windows, "login-windows-30d")
+    return rounded(jobs.login_averages(done, "user_id", 30).select(_naive("window_end"), "user_id", "logins_30d_rolling_avg"))
+
+
 @query("stream_outcome_dedup", f"""WITH {D.OUTCOMES}
 SELECT id, customer_id, outcome FROM outcomes""")
 def stream_outcome_dedup(spark, sf):
+    """Every outcome is delivered again at once, and once more forty days later."""
     events = _stream(spark, sf, "events").where("event_type IN ('purchase', 'error')")
-    delivered = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+    delivered = events.withColumn("delay", F.explode(F.array(F.lit(0), F.lit(0), F.lit(40)))).select(
         F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("customer_id"),
-        (F.col("event_type") == "purchase").cast("int").alias("outcome"), F.col("ts").alias("timestamp"))
-    once = jobs.outcomes_once(delivered)
-    return jobs.run_available(once, "outcomes").select("id", "customer_id", "outcome")
+        (F.col("event_type") == "purchase").cast("int").alias("outcome"),
+        (F.col("ts") + F.make_interval(days=F.col("delay"))).alias("timestamp"))
+    return jobs.log_outcomes(delivered, scratch_path(spark, "outcomes")).select("id", "customer_id", "outcome")
 
 
 @query("stream_ticket_features", f"""

@@ -8,6 +8,7 @@ from keepwell.functions import text as T
 from keepwell.operators import corpus, tickets
 from keepwell.plans import views as D
 from keepwell.plans.registry import query, rounded
+from keepwell.session import scratch_path
 from keepwell.sources import tables
 
 _SPACE = "'[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'"
@@ -49,6 +50,19 @@ def text_dedup_cache(spark, sf):
         "escalation_flag": F.col("escalation_flag").cast("int")}))
 
 
+@query("text_cache_update", f"""
+SELECT sha256({_STRIP % "text"}) AS ticket_hash, CASE WHEN bool_or(lang = 'en') THEN 1 ELSE 2 END AS version,
+  (SELECT count(DISTINCT sha256({_STRIP % "text"})) FROM documents WHERE lang = 'en') AS n_reused
+FROM documents GROUP BY 1""")
+def text_cache_update(spark, sf):
+    """Two deliveries: the English documents, then all; the second finds the first's texts in the cache."""
+    docs = D.table(spark, sf, "documents")
+    path = scratch_path(spark, "text-cache")
+    tables.update_text_cache(docs.where("lang = 'en'"), "text", path, 1, D.LEXICON)
+    _, reused = tables.update_text_cache(docs, "text", path, 2, D.LEXICON)
+    return spark.read.parquet(path).select("ticket_hash", "version", F.lit(reused).cast("long").alias("n_reused"))
+
+
 @query("json_normalise", """
 SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 0.0::DOUBLE ELSE value END AS sentiment_score,
   CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'low' ELSE event_type END AS urgency_level,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
@@ -77,12 +77,12 @@ def read_snapshot(spark: SparkSession, root: str, snapshot_date: str,
     return join_groups([read_group(spark, root, g, snapshot_date) for g in groups or list(V.GROUP_COLUMNS)])
 
 
-def manifest(snapshot: DataFrame, snapshot_date: str, sources: dict[str, str], status: str = "PASSED",
+def manifest(snapshot: DataFrame, snapshot_date: str, sources: dict[str, str], status: str | Column = "PASSED",
              reference: str = "N/A - Initial baseline snapshot") -> DataFrame:
     """One row that describes a run; written last, it marks the snapshot complete."""
     return snapshot.agg(F.count("*").alias("row_count")).select(
         F.lit(snapshot_date).alias("snapshot_date"), F.lit(PIPELINE_VERSION).alias("pipeline_version"),
-        "row_count", F.lit(status).alias("status"),
+        "row_count", (status if isinstance(status, Column) else F.lit(status)).alias("status"),
         F.array(*[F.lit(c) for c in CHECKS_RUN]).alias("checks_run"), F.lit(reference).alias("psi_reference"),
         F.lit(json.dumps(sources)).alias("source_files"))
 
@@ -117,22 +117,28 @@ def append_outcomes(rows: DataFrame, path: str) -> None:
 
 
 def update_text_cache(texts: DataFrame, column: str, path: str, version: int,
-                      lexicon: T.Lexicon = T.DEFAULT_LEXICON) -> int:
-    """Adds features of texts whose hash the cache does not hold; returns how many.
+                      lexicon: T.Lexicon = T.DEFAULT_LEXICON) -> tuple[int, int]:
+    """Adds features of texts whose hash the cache does not hold; returns (extracted, reused) distinct texts.
 
-    Hashes and features are computed where the text is read, so only those are
-    shuffled, never the text; the existing cache is anti-joined by hash. ``version``
-    orders the parts of the cache: a later one replaces an earlier one.
+    The hash is looked up first; features are computed for the rest only, once per
+    distinct text. ``version`` orders the parts of the cache: a later one replaces an
+    earlier one.
     """
     spark = texts.sparkSession
-    fresh = distinct_text_features(texts.where(F.col(column).isNotNull()), column, lexicon).drop("n_texts")
-    try:
-        known = spark.read.parquet(path).select("ticket_hash")
-        fresh = fresh.join(known.distinct(), "ticket_hash", "left_anti")
-    except AnalysisException:
-        pass
+    hashed = texts.where(F.col(column).isNotNull()).select(T.content_hash(F.col(column)).alias("ticket_hash"), F.col(column).alias("text"))
+    known = spark.createDataFrame([], "ticket_hash string")
+    if _exists(spark, path):
+        known = spark.read.parquet(path).select("ticket_hash").distinct()
+    reused = hashed.select("ticket_hash").distinct().join(known, "ticket_hash", "left_semi").count()
+    new = hashed.join(known, "ticket_hash", "left_anti").groupBy("ticket_hash").agg(F.min("text").alias("text"))
+    fresh = T.with_features(new, "text", lexicon).select("ticket_hash", *_FEATURES)
     fresh.withColumn("version", F.lit(version)).write.mode("append").parquet(path)
-    return spark.read.parquet(path).where(F.col("version") == version).count()
+    return spark.read.parquet(path).where(F.col("version") == version).count(), reused
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def replace_in_cache(rows: DataFrame, path: str, version: int) -> None:
@@ -144,9 +150,10 @@ _FEATURES = ["sentiment_score", "urgency_level", "complaint_topics", "escalation
 
 
 def read_text_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The latest features per hash, by aggregate instead of a per-key sort."""
-    latest = F.max_by(F.struct(*_FEATURES), "version")
-    return spark.read.parquet(path).groupBy("ticket_hash").agg(latest.alias("f")).select("ticket_hash", "f.*")
+    """The latest features per hash: the highest version is found on two columns, then its row is taken."""
+    cache = spark.read.parquet(path)
+    latest = cache.groupBy("ticket_hash").agg(F.max("version").alias("version"))
+    return cache.join(latest, ["ticket_hash", "version"]).select("ticket_hash", *_FEATURES)
 
 
 def distinct_text_features(texts: DataFrame, column: str, lexicon: T.Lexicon = T.DEFAULT_LEXICON) -> DataFrame:

@@ -11,8 +11,14 @@ from keepwell.session import scratch_path
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
-    """A Parquet table (one file or a folder) as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path + "*")
+    """A Parquet table (one file or a folder) as a stream. Neighbours of a similar name are not read."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(exact_name(path))
+
+
+def exact_name(path: str) -> str:
+    """A pattern that matches nothing but ``path``; a stream takes a file only by a pattern."""
+    path = path.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
 
 
 def event_time(df: DataFrame, column: str) -> DataFrame:
@@ -35,7 +41,7 @@ def ticket_features(tickets: DataFrame, column: str, lexicon: T.Lexicon = T.DEFA
 
 
 def outcomes_once(outcomes: DataFrame, key: str = "id", time: str = "timestamp", late: str = "1 day") -> DataFrame:
-    """Each outcome once: an id seen within the allowed lateness is dropped."""
+    """Each outcome once within the allowed lateness, in bounded state; ``log_outcomes`` has no such limit."""
     return event_time(outcomes, time).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
@@ -52,14 +58,19 @@ def scored_requests(requests: DataFrame, snapshot: DataFrame, key: str = "custom
     return scoring.scored(joined, threshold)
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what is there now and returns what it wrote.
+def login_averages(windows: DataFrame, key: str, days: int) -> DataFrame:
+    """Daily averages of closed windows of that many days, named as the batch features are."""
+    return windows.withColumn(f"logins_{days}d_rolling_avg", F.col("n") / float(days)).drop("n")
+
 
-    Output and progress live in the shared folder, so a restarted job goes on where
-    it stopped and writes every row once.
+def run_available(stream: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Runs a stream over what is there now and returns all that it has written below ``root``.
+
+    A job that names the ``root`` of an earlier run goes on where that run stopped
+    and writes every row once; without a name a new place in the shared folder is taken.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, name)
+    root = root or scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress")
@@ -69,6 +80,29 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def log_outcomes(outcomes: DataFrame, root: str, key: str = "id", time: str = "timestamp") -> DataFrame:
+    """Adds each outcome to the log below ``root`` once, however late it is delivered again.
+
+    A batch is reduced to one row per id, the earliest by ``time``, and ids that the
+    log already holds are left out; the log keeps one folder per batch, so a batch that
+    is repeated after a failure replaces its own rows. Returns the whole log.
+    """
+    spark, schema = outcomes.sparkSession, outcomes.schema
+    log = f"{root}/log"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{log}/batch=-1")
+
+    def add(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy(key).agg(F.min(F.struct(time, *[c for c in batch.columns if c not in (key, time)])).alias("f"))
+        rows = first.select(key, "f.*").select(*batch.columns)
+        known = spark.read.option("basePath", log).parquet(log).where(F.col("batch") != number).select(key)
+        rows.join(known, key, "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    query = (outcomes.writeStream.foreachBatch(add).option("checkpointLocation", f"{root}/progress")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.parquet(log).drop("batch")
+
+
 def append_to(stream: DataFrame, path: str, progress: str):
     """A running append of a stream to a Parquet table; the caller stops it."""
     return (

@@ -93,3 +93,19 @@ def test_oversampled_rows_weigh_one(spark):
     df = spark.createDataFrame(rows, "k string, y int, features array<double>, w double")
     out = balanced(df, "y", "k", weight="w").collect()
     assert {r.w for r in out if r.k.startswith("new:")} == {1.0} and {r.w for r in out if r.k.startswith("r")} == {2.0}
+
+
+def test_few_queries_scan_the_corpus_once(spark):
+    from keepwell.operators.neighbours import nearest, nearest_to_few
+
+    rng = np.random.default_rng(8)
+    corpus = spark.createDataFrame([(i, v) for i, v in enumerate(rng.integers(0, 5, (300, 4)).astype(float).tolist())] + [(999, None)],
+                                   "id long, vector array<double>").repartition(6)
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(2, 1, (5, 4)).tolist())], "id long, vector array<double>")
+    few = nearest_to_few(queries, corpus, 7)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, few.collect()))
+    assert rows == sorted(map(tuple, nearest(queries, corpus, 7).collect())) and len(rows) == 35
+    assert rows == sorted(map(tuple, nearest_to_few(queries, corpus, 7, max_bytes=100).collect()))
+    assert plan.count("Exchange hashpartitioning(query_id") == 1 and "MapInPandas" in plan and "Join" not in plan
+    assert nearest_to_few(queries.limit(0), corpus, 3).count() == 0 and nearest_to_few(queries, corpus.limit(0), 3).count() == 0

@@ -71,3 +71,17 @@ def test_segments_hold_exactly_the_asked_rows(spark, cut, digits):
     placed = hash_segments(df, [], "id", "s", lambda n: [F.lit(cut)], "segment", digits)
     assert placed.where("segment = 0").count() == min(cut, 50)
     assert placed.count() == 50
+
+
+@pytest.mark.parametrize("slices", [1, 3, 40])
+@pytest.mark.parametrize("kind", ["string", "struct", "double"])
+def test_running_totals_of_any_type_with_null_groups(spark, slices, kind):
+    rows = [(None if i % 4 == 0 else "g", i) for i in range(80)]
+    value = {"string": F.lpad(F.col("i").cast("string"), 4, "0"), "double": F.col("i").cast("double"),
+             "struct": F.struct(F.lit("f").alias("file"), F.col("i").alias("row"))}[kind]
+    df = settle(spark.createDataFrame(rows, "g string, i int").select("g", "i", value.alias("v"), F.lit(1).alias("one")))
+    found = running_totals(df, ["g"], "v", ["one"], slices).collect()
+    assert len(found) == 80
+    for name in (None, "g"):
+        mine = sorted((r.i, r.cum_one, r.all_one) for r in found if r.g == name)
+        assert [m[1] for m in mine] == list(range(1, len(mine) + 1)) and {m[2] for m in mine} == {len(mine)}

@@ -39,6 +39,33 @@ def test_outcomes_arrive_once_across_batches(spark, tmp_path):
     assert done.count() == 20 and done.select("id").distinct().count() == 20
 
 
+def outcome_rows(spark, ids, day):
+    return spark.createDataFrame([(f"o{i}", f"c{i % 3}", 1, f"2024-{day} 00:00:00") for i in ids],
+                                 "id string, customer_id string, outcome int, timestamp string").withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp_ntz")).coalesce(1)
+
+
+def test_outcomes_are_logged_once_however_late(spark, tmp_path):
+    path, root = str(tmp_path / "in.parquet"), str(tmp_path / "log")
+    outcome_rows(spark, range(9), "01-01").write.parquet(path)
+    outcome_rows(spark, [7, 7, 9], "01-02").write.mode("append").parquet(path)
+    outcome_rows(spark, [100], "01-02").write.parquet(path + "_old")
+    assert jobs.log_outcomes(stream(spark, path, files_per_batch=1), root).count() == 10
+    outcome_rows(spark, [0, 3, 10], "02-20").write.mode("append").parquet(path)
+    log = jobs.log_outcomes(stream(spark, path, files_per_batch=1), root)
+    assert sorted(r.id for r in log.collect()) == sorted(f"o{i}" for i in range(11))
+    assert jobs.log_outcomes(stream(spark, path), root).count() == 11
+
+
+def test_a_named_run_resumes(spark, tmp_path):
+    path, root = str(tmp_path / "in.parquet"), str(tmp_path / "run")
+    outcome_rows(spark, range(4), "01-01").write.parquet(path)
+    assert jobs.run_available(stream(spark, path), "r", root).count() == 4
+    outcome_rows(spark, range(4, 6), "01-02").write.mode("append").parquet(path)
+    assert jobs.run_available(stream(spark, path), "r", root).count() == 6
+    assert jobs.run_available(stream(spark, path), "r", root).count() == 6
+
+
 def test_late_events_are_dropped_and_open_windows_held(spark, tmp_path):
     path = str(tmp_path / "events")
     for days in (["2024-01-01", "2024-01-02"], ["2024-01-20"], ["2024-01-03", "2024-01-21"]):

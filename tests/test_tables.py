@@ -84,9 +84,9 @@ def test_outcome_log_appends_with_ids_and_times(spark, tmp_path):
 def test_cache_computes_each_text_once_and_replaces_by_version(spark, tmp_path):
     path = str(tmp_path / "cache")
     texts = spark.createDataFrame([("please cancel",), (" please cancel\n",), ("hello",), (None,)], "body string")
-    assert tables.update_text_cache(texts, "body", path, 1) == 2
+    assert tables.update_text_cache(texts, "body", path, 1) == (2, 0)
     more = spark.createDataFrame([("hello",), ("my bill",)], "body string")
-    assert tables.update_text_cache(more, "body", path, 2) == 1
+    assert tables.update_text_cache(more, "body", path, 2) == (1, 1)
     assert tables.read_text_cache(spark, path).count() == 3
     old = tables.read_text_cache(spark, path).where("urgency_level = 'critical'")
     tables.replace_in_cache(old.withColumn("urgency_level", F.lit("low")), path, 3)
