@@ -171,25 +171,29 @@ class Homoglyphs(dict):
 
 _HOMOGLYPHS = Homoglyphs()
 _UNSEEN = re.compile(f"[{INVISIBLE}]+")
-_words = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
-_bracketed = lambda words: rf"\s*[(\[{{<]\s*(?:{_words(words)})\s*[)\]}}>]\s*"
+_words = lambda words: "|".join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))
+_bracketed = lambda words: rf"(?<!\s)\s*[(\[{{<]\s*(?:{_words(words)})\s*[)\]}}>]\s*"
 _bare = lambda words: rf"(?<=[\w%+-])\s+(?:{_words(words)})\s+(?=[\w-])"
-_DOT = re.compile(rf"{_bracketed(DOT_WORDS)}|{_bare(DOT_WORDS)}", re.I)
+_tied = lambda words: rf"(?<=[A-Za-z0-9])([_-])(?:{_words(words)})\1(?=[A-Za-z0-9])"
+_DOT = re.compile(rf"{_bracketed((*DOT_WORDS, '.'))}|{_bare((*DOT_WORDS, '.'))}|{_tied(DOT_WORDS)}", re.I)
 _AT = re.compile(
     rf"{_bracketed((*AT_WORDS, '@'))}(?=[A-Za-z0-9-]+(?:\.|\x00))"
-    rf"|{_bare((*AT_WORDS, '@'))}(?=[A-Za-z0-9-]+(?:[.\x00][A-Za-z0-9-]+)*\x00(?:{_words(ENDINGS)})(?![A-Za-z0-9-]))", re.I)
+    rf"|(?:{_bare((*AT_WORDS, '@'))}|{_tied(AT_WORDS)})(?=[A-Za-z0-9-]+(?:[.\x00][A-Za-z0-9-]+)*\x00(?:{_words(ENDINGS)})(?![A-Za-z0-9-]))", re.I)
 _DIGIT_OF = {w: d for d, words in DIGIT_WORDS.items() for w in words}
 _SPELLED = re.compile(rf"(?<!\w)(?:{_words(_DIGIT_OF)})(?:[\s,-]+(?:{_words(_DIGIT_OF)}))*(?!\w)", re.I)
 _DIGIT_WORD = re.compile(rf"{_words(_DIGIT_OF)}", re.I)
+_BESIDE = re.compile(r"[0-9\x00]")
 _PLUS = re.compile(rf"(?<!\w)(?:{_words(PLUS_WORDS)})\s+(?=[0-9(])", re.I)
-_MAY_DOT = re.compile(_words(DOT_WORDS), re.I)
+_MAY_DOT = re.compile(rf"{_words(DOT_WORDS)}|[(\[{{<]\s*\.|\s\.\s", re.I)
 
 
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
-    """Spelled digits in runs; the gaps within a run go with the digit before them."""
+    """Spelled digits in runs of three or more, or next to a digit or a dot; the gaps within a run are dropped."""
     out: list[tuple[int, int, str]] = []
     for run in _SPELLED.finditer(text):
         found = list(_DIGIT_WORD.finditer(text, run.start(), run.end()))
+        if len(found) < 3 and not _BESIDE.search(text[max(run.start() - 2, 0):run.start()] + text[run.end():run.end() + 2]):
+            continue
         for word, after in zip(found, [*found[1:], None]):
             digit = _DIGIT_OF[word[0].lower()]
             out.append((word.start(), word.end(), digit))
@@ -198,18 +202,14 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _joined(text: str, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    return [(a, b, new) for a, b, new in edits if a < b]
-
-
 def rewrite(text: str) -> Tape:
     tape = Tape(text)
     if not text.isascii():
         tape.edit([(*m.span(), "") for m in _UNSEEN.finditer(tape.text)])
         tape.replace(tape.text.translate(_HOMOGLYPHS))
-    tape.edit(_joined(tape.text, _digit_edits(tape.text)))
     if _MAY_DOT.search(tape.text):  # a dot that was disguised is written as a mark until the at signs are decided
         tape.edit([(*m.span(), "\x00") for m in _DOT.finditer(tape.text)])
+    tape.edit([e for e in _digit_edits(tape.text) if e[0] < e[1]])
     tape.edit([(*m.span(), "@") for m in _AT.finditer(tape.text)])
     tape.edit([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
     if tape.start is not None:

@@ -42,6 +42,12 @@ def test_base_on_fixed_texts():
     ("write to john at mail dot com now", 0, "john@mail.com"),
     ("JOHN AT MAIL DOT COM", 0, "JOHN@MAIL.COM"),
     ("john{at}mail[dot]org", 0, "john@mail.org"),
+    ("x john-at-mail-dot-com y", 0, "john@mail.com"),
+    ("john_AT_mail_DOT_com", 0, "john@mail.com"),
+    ("john @ mail . com", 0, "john@mail.com"),
+    ("john[@]mail[.]com", 0, "john@mail.com"),
+    ("server 192[.]168[.]1[.]20", 1, "192.168.1.20"),
+    ("4 two 4 two 4 two 4 two 4 two 4 two 4 two 4 two", 2, "4 2 4 2 4 2 4 2 4 2 4 2 4 2 4 2"),
     ("juan arroba correo punto es", 0, "juan@correo.es"),
     ("x jоhn@exаmple.com y", 0, "john@example.com"),
     ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", 0, "john@example.com"),
@@ -64,7 +70,7 @@ def test_disguises_are_mapped_back(text, kind, normal):
 
 @pytest.mark.parametrize("text", [
     "meet me at example.com today", "look at the dot on it", "one two three four", "mail x@y.com at noon", "it is at that point in time",
-    "He was at home dot", "un deux trois points", "(at) the (dot)", "Él está más 5 cosas", "at at at dot dot dot", "1.2.3.4 x@y.zz"])
+    "He was at home dot", "un deux trois points", "un chat et six chiens", "state-of-the-art look-at-this", "a . b . c @ home", "(at) the (dot)", "Él está más 5 cosas", "at at at dot dot dot", "1.2.3.4 x@y.zz"])
 def test_plain_prose_is_left_alone(text):
     assert disguised(text, detect(text)) == []
 
