@@ -14,7 +14,8 @@ fixed order gives the right result, a good one gives few candidates.
    length filter, the positional filter (what can still overlap from the shared word
    on) and a 64-bit parity map of the sets (differing bits never exceed differing
    words) discard candidates inside the join, so what is emitted is nearly all true.
-4. Candidates of 2 and 3 are verified on the words themselves.
+4. Candidates of 2 and 3 are verified on the words themselves, the earliest of a line
+   first and the others only where that one fails.
 
 Lines of a large family are compared with their leader only, never with each other,
 and no list of lines is gathered in a row. Texts are read where they lie; those of
@@ -27,7 +28,6 @@ null identifiers rank last; other columns of the documents pass through, of any
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -36,7 +36,7 @@ from keepwell.llm.base import maybe_member, membership, surely_not
 from keepwell.session import settle
 
 SPACE = r"[\x20\x09-\x0D]+"
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 LEADERS = 3
 _LAST = (1 << 63) - 1
 
@@ -51,9 +51,9 @@ class Threshold:
     def prefix(self, n: str) -> Column:
         return F.expr(f"cast({n} - ({self.num} * {n} + {self.den - 1}) div {self.den} + 1 as int)")
 
-    def overlap(self, a: str, b: str) -> Column:
+    def overlap(self, a: Column, b: Column) -> Column:
         """The fewest common words of similar sets of these sizes."""
-        return F.expr(f"({self.num} * ({a} + {b}) + {self.num + self.den - 1}) div {self.num + self.den}")
+        return F.ceil(self.num * (a + b) / (self.num + self.den)).cast("int")
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,7 +63,10 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def words_of(content: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(content, SPACE)), "")
+    """Distinct words; splitting at one plain character needs no regular expression."""
+    for gap in "\t\x0b\x0c\r":
+        content = F.replace(content, F.lit(gap), F.lit(" "))
+    return F.array_remove(F.array_distinct(F.split(content, " ")), "")
 
 
 def rarity(docs: DataFrame, text: str) -> bytes:
@@ -71,50 +74,54 @@ def rarity(docs: DataFrame, text: str) -> bytes:
     words = docs.select(F.explode(F.split(F.col(text), SPACE)).alias("word"))
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     levels = bytearray(BUCKETS)
-    for r in counts.collect():  # at most BUCKETS rows
-        levels[r.bucket] = min(127, 1 + round(4 * math.log2(r.n)))
+    found = counts.select("bucket", F.least(F.round(4 * F.log2("n")) + 1, F.lit(127)).cast("int").alias("level")).toArrow()
+    for bucket, level in zip(*(found.column(c).to_pylist() for c in ("bucket", "level"))):  # at most BUCKETS rows
+        levels[bucket] = level
     return bytes(levels)
 
 
 def line_table(docs: DataFrame, key: str, text: str, t: Threshold) -> DataFrame:
-    """Every line with words: doc, line, digest, n (words), parity, prefix (order keys of its rarest words)."""
+    """Every line with words: doc, line, digest, n (words), parity, prefix (hashes of its rarest words, in order)."""
     levels = F.lit(rarity(docs, text))
     rows = (lines_of(docs, key, text).withColumn("words", words_of(F.col("content"))).where(F.size("words") > 0)
             .select("doc", "line", F.unhex(F.md5(F.col("content").cast("binary"))).alias("digest"), F.size("words").alias("n"),
-                    F.sort_array(F.transform("words", lambda w: order_key(w, levels))).alias("keys")))
+                    F.sort_array(F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda c: order_key(c, levels))).alias("keys")))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
-    return rows.select("doc", "line", "digest", "n", parity.alias("parity"), F.slice("keys", F.lit(1), t.prefix("n")).alias("prefix"))
+    short = F.transform(F.slice("keys", F.lit(1), t.prefix("n")), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return rows.select("doc", "line", "digest", "n", parity.alias("parity"), short.alias("prefix"))
 
 
-def order_key(word: Column, levels: Column) -> Column:
+def order_key(code: Column, levels: Column) -> Column:
     """Rarity first, then a hash: a total order up to hash collisions, which only add candidates."""
-    code = F.xxhash64(word)
     byte = F.substring(levels, F.pmod(code, F.lit(BUCKETS)).cast("int") + 1, F.lit(1))
-    level = F.ascii(byte.cast("string")).cast("long")
-    return F.shiftleft(level, 48).bitwiseOR(code.bitwiseAND(F.lit((1 << 48) - 1)))
+    return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 48).bitwiseOR(code.bitwiseAND(F.lit((1 << 48) - 1)))
 
 
-def may_match(t: Threshold, n1: str, p1: str, x1: str, n2: str, p2: str, x2: str) -> Column:
+def may_match(t: Threshold, n1: Column, p1: Column, x1: Column, n2: Column, p2: Column, x2: Column) -> Column:
     """Length, positional and parity filter at a shared word (places from 0)."""
     alpha = t.overlap(n1, n2)
-    return ((F.least(n1, n2) * t.den >= F.greatest(n1, n2) * t.num)
-            & (F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) >= alpha)
-            & (F.bit_count(F.col(x1).bitwiseXOR(F.col(x2))) <= F.col(n1) + F.col(n2) - 2 * alpha))
+    return ((F.least(n1, n2) * t.den >= F.greatest(n1, n2) * t.num) & (F.least(n1 - p1, n2 - p2) >= alpha)
+            & (F.bit_count(x1.bitwiseXOR(x2)) <= n1 + n2 - 2 * alpha))
 
 
 def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (doc, line, doc0, line0) whose word sets are similar."""
+    """(doc, line) of the pairs (doc, line, doc0, line0) whose word sets are similar."""
     wanted = settle(pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
                     .distinct(), "wanted-lines")
-    bits = membership(wanted, "doc")
     named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("t"))
-    lines = lines_of(maybe_member(named, "doc", bits), "doc", "t")
+    lines = lines_of(maybe_member(named, "doc", membership(wanted, "doc")), "doc", "t")
     words = lines.join(wanted, ["doc", "line"]).select("doc", "line", words_of(F.col("content")).alias("words"))
     words0 = words.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("words0"))
     both = pairs.join(words, ["doc", "line"]).join(words0, ["doc0", "line0"])
     common = F.size(F.array_intersect("words", "words0"))
-    return both.where(common * (t.num + t.den) >= t.num * (F.size("words") + F.size("words0"))).select("doc", "line")
+    return both.where(common * (t.num + t.den) >= t.num * (F.size("words") + F.size("words0"))).select("doc", "line").distinct()
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """The earliest candidate of every line."""
+    first = F.min(F.struct("doc0", "line0")).alias("first")
+    return pairs.groupBy("doc", "line").agg(first).select("doc", "line", "first.doc0", "first.line0")
 
 
 def removed_lines(docs: DataFrame, key: str, text: str, t: Threshold = Threshold()) -> DataFrame:
@@ -126,24 +133,32 @@ def removed_lines(docs: DataFrame, key: str, text: str, t: Threshold = Threshold
     firsts = settle(place.select("digest", F.col("doc").alias("doc0"), F.col("line").alias("line0")), "first-lines")
     tagged = every.join(firsts, "digest", "left").withColumn(
         "again", F.coalesce((F.col("doc") != F.col("doc0")) | (F.col("line") != F.col("line0")), F.lit(False))).drop("doc0", "line0")
-    copies = tagged.where("again").select("doc", "line")
-    single = settle(tagged.where("not again").drop("again", "digest"), "single-lines")
+    tagged = settle(tagged.drop("digest"), "tagged-lines")
+    copies, single = tagged.where("again").select("doc", "line"), tagged.where("not again").drop("again")
 
     few = single.select("doc", "line", "n", "parity", F.posexplode(F.slice("prefix", 1, LEADERS)).alias("pos", "word"))
     by_word = Window.partitionBy("word").orderBy("doc", "line")
     lead = F.first(F.struct("doc", "line", "n", "parity", "pos")).over(by_word.rowsBetween(Window.unboundedPreceding, 0))
     led = few.withColumn("lead", lead).select("*", *[F.col(f"lead.{c}").alias(f"{c}0") for c in ("doc", "line", "n", "parity", "pos")])
-    led = led.where((F.struct("doc0", "line0") < F.struct("doc", "line")) & may_match(t, "n", "pos", "parity", "n0", "pos0", "parity0"))
-    by_leader = settle(verified(docs, key, text, led.select("doc", "line", "doc0", "line0").distinct(), t).distinct(), "led-lines")
-
-    open_lines = single.join(by_leader.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
-    rows = open_lines.select("doc", "line", "n", "parity", F.coalesce("settled", F.lit(False)).alias("settled"), F.posexplode("prefix").alias("pos", "word"))
-    later = rows.where("not settled").drop("settled")
+    own, other = ([F.col(c + end) for c in ("n", "pos", "parity")] for end in ("", "0"))
+    led = led.where((F.struct("doc0", "line0") < F.struct("doc", "line")) & may_match(t, *own, *other))
+    by_leader = settle(verified(docs, key, text, settle(_one_each(led), "led-pairs"), t), "led-lines")
+
+    # the sign of n marks settled lines, so that both sides of the join are one table, shuffled once
+    marked = single.join(by_leader.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
+    rows = marked.select("doc", "line", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n")).alias("n"), "parity",
+                         F.posexplode("prefix").alias("pos", "word"))
     earlier = rows.select("word", *[F.col(c).alias(f"{c}0") for c in ("doc", "line", "n", "parity", "pos")])
-    met = later.join(earlier, "word").where(
-        (F.struct("doc0", "line0") < F.struct("doc", "line")) & may_match(t, "n", "pos", "parity", "n0", "pos0", "parity0"))
-    by_probe = verified(docs, key, text, settle(met.select("doc", "line", "doc0", "line0").distinct(), "probed-lines"), t)
-    return settle(copies.unionByName(by_leader).unionByName(by_probe.distinct()), "removed-lines")
+    before = F.when(F.col("n") > 0, F.struct("doc", "line")).otherwise(
+        F.struct(F.lit(-(1 << 63)).alias("doc"), F.lit(-1).alias("line")))
+    met = rows.join(earlier, "word").where((F.struct(F.col("doc0").alias("doc"), F.col("line0").alias("line")) < before) & may_match(
+        t, F.abs("n"), F.col("pos"), F.col("parity"), F.abs("n0"), F.col("pos0"), F.col("parity0")))
+    met = settle(met.select("doc", "line", "doc0", "line0").distinct(), "probed-pairs")
+    by_probe = settle(verified(docs, key, text, settle(_one_each(met), "first-pairs"), t), "probed-lines")
+    left = met.join(by_probe, ["doc", "line"], "left_anti")
+    left = left.join(_one_each(left).withColumn("tried", F.lit(True)), ["doc", "line", "doc0", "line0"], "left_anti")
+    by_rest = verified(docs, key, text, settle(left, "other-pairs"), t)
+    return settle(copies.unionByName(by_leader).unionByName(by_probe).unionByName(by_rest), "removed-lines")
 
 
 def removed_by_document(removed: DataFrame) -> DataFrame:
