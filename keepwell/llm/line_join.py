@@ -62,40 +62,50 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
         "doc", F.posexplode(F.split("t", "\n")).alias("line", "content"))
 
 
+def split_words(content: Column) -> Column:
+    """Words and empty strings; a text without other white space is split at plain blanks, which is faster."""
+    return F.when(content.rlike(r"[\x09-\x0D]"), F.split(content, SPACE)).otherwise(F.split(content, " "))
+
+
 def words_of(content: Column) -> Column:
-    """Distinct words; splitting at one plain character needs no regular expression."""
-    for gap in "\t\x0b\x0c\r":
-        content = F.replace(content, F.lit(gap), F.lit(" "))
-    return F.array_remove(F.array_distinct(F.split(content, " ")), "")
-
-
-def rarity(docs: DataFrame, text: str) -> bytes:
-    """A byte per hash bucket: how common its words are, as a rounded logarithm of their count over all texts."""
-    words = docs.select(F.explode(F.split(F.col(text), SPACE)).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    levels = bytearray(BUCKETS)
-    found = counts.select("bucket", F.least(F.round(4 * F.log2("n")) + 1, F.lit(127)).cast("int").alias("level")).toArrow()
+    return F.array_remove(F.array_distinct(split_words(content)), "")
+
+
+def rarity(docs: DataFrame, text: str) -> Column:
+    """How common the words of each hash bucket are, 0 to 99: a rounded logarithm of their count over all texts.
+
+    The table has one entry per bucket, whatever the vocabulary, and enters the plan as a constant.
+    """
+    words = docs.select(F.explode(F.split(F.col(text), "\n")).alias("content")).select(
+        F.explode(split_words(F.col("content"))).alias("word"))
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.select("bucket", F.least(F.round(3 * F.log2("n")), F.lit(99)).cast("int").alias("level")).toArrow()
+    levels = ["0"] * BUCKETS
     for bucket, level in zip(*(found.column(c).to_pylist() for c in ("bucket", "level"))):  # at most BUCKETS rows
-        levels[bucket] = level
-    return bytes(levels)
+        levels[bucket] = str(level)
+    return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
+
+
+def _bucket(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def line_table(docs: DataFrame, key: str, text: str, t: Threshold) -> DataFrame:
-    """Every line with words: doc, line, digest, n (words), parity, prefix (hashes of its rarest words, in order)."""
-    levels = F.lit(rarity(docs, text))
+    """Every line with words: doc, line, d1 and d2 (a 128-bit digest), n (words), parity, prefix (hashes of its rarest words, in order)."""
+    levels = rarity(docs, text)
     rows = (lines_of(docs, key, text).withColumn("words", words_of(F.col("content"))).where(F.size("words") > 0)
-            .select("doc", "line", F.unhex(F.md5(F.col("content").cast("binary"))).alias("digest"), F.size("words").alias("n"),
+            .select("doc", "line", F.xxhash64("content").alias("d1"), F.xxhash64(F.lit(1), "content").alias("d2"), F.size("words").alias("n"),
                     F.sort_array(F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda c: order_key(c, levels))).alias("keys")))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
     short = F.transform(F.slice("keys", F.lit(1), t.prefix("n")), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return rows.select("doc", "line", "digest", "n", parity.alias("parity"), short.alias("prefix"))
+    return rows.select("doc", "line", "d1", "d2", "n", parity.alias("parity"), short.alias("prefix"))
 
 
 def order_key(code: Column, levels: Column) -> Column:
     """Rarity first, then a hash: a total order up to hash collisions, which only add candidates."""
-    byte = F.substring(levels, F.pmod(code, F.lit(BUCKETS)).cast("int") + 1, F.lit(1))
-    return F.shiftleft(F.ascii(byte.cast("string")).cast("long"), 48).bitwiseOR(code.bitwiseAND(F.lit((1 << 48) - 1)))
+    level = F.shiftleft(F.get(levels, _bucket(code)).cast("long"), 48)
+    return level.bitwiseOR(code.bitwiseAND(F.lit((1 << 48) - 1)))
 
 
 def may_match(t: Threshold, n1: Column, p1: Column, x1: Column, n2: Column, p2: Column, x2: Column) -> Column:
@@ -128,12 +138,13 @@ def removed_lines(docs: DataFrame, key: str, text: str, t: Threshold = Threshold
     """(doc, line) of every line that has an earlier similar one; null keys appear as the largest long."""
     every = settle(line_table(docs, key, text, t), "lines")
 
-    groups = every.groupBy("digest").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "doc")
-    place = every.join(groups, ["digest", "doc"]).groupBy("digest", "doc").agg(F.min("line").alias("line"))
-    firsts = settle(place.select("digest", F.col("doc").alias("doc0"), F.col("line").alias("line0")), "first-lines")
-    tagged = every.join(firsts, "digest", "left").withColumn(
+    digest = ["d1", "d2"]
+    groups = every.groupBy(*digest).agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*digest, "doc")
+    place = every.join(groups, [*digest, "doc"]).groupBy(*digest, "doc").agg(F.min("line").alias("line"))
+    firsts = settle(place.select(*digest, F.col("doc").alias("doc0"), F.col("line").alias("line0")), "first-lines")
+    tagged = every.join(firsts, digest, "left").withColumn(
         "again", F.coalesce((F.col("doc") != F.col("doc0")) | (F.col("line") != F.col("line0")), F.lit(False))).drop("doc0", "line0")
-    tagged = settle(tagged.drop("digest"), "tagged-lines")
+    tagged = settle(tagged.drop(*digest), "tagged-lines")
     copies, single = tagged.where("again").select("doc", "line"), tagged.where("not again").drop("again")
 
     few = single.select("doc", "line", "n", "parity", F.posexplode(F.slice("prefix", 1, LEADERS)).alias("pos", "word"))
