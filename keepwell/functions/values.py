@@ -85,7 +85,7 @@ GROUP_COLUMNS = {
         "billing_delta_mom", "contract_type_encoded", "PaperlessBilling",
         "is_high_risk_contract", "PaymentMethod", "InternetService",
     ],
-    "ticket_features": [
+    "llm_features": [
         "customerID", "ticket_sentiment_score", "ticket_urgency_level",
         "ticket_complaint_topics_billing", "ticket_complaint_topics_competitor",
         "ticket_complaint_topics_performance", "ticket_escalation_flag",

@@ -14,7 +14,7 @@ from keepwell.operators.ranking import draw, hex_number
 from keepwell.session import scratch_path
 
 DRIVER_DIGITS = 9
-SLICE_ROWS = 50_000
+RINGS = 1024
 MAX_TREE_NODES = 5_000_000
 
 
@@ -48,40 +48,41 @@ def global_importance(df: DataFrame, contributions: str = "contributions") -> Da
 
 def permutation_importance(df: DataFrame, key: str, label: str, columns: dict[str, str],
                            predict: Callable[[dict[str, Column]], Column], repeats: int = 5,
-                           seed: str = "42", slice_rows: int = SLICE_ROWS) -> DataFrame:
+                           seed: str = "42", rings: int = RINGS) -> DataFrame:
     """(feature, importance_mean, importance_std): loss of accuracy when a column is permuted.
 
     ``columns`` names the input column of each feature, ``predict`` turns inputs
-    into a 0/1 answer. Rows are dealt into random slices and every row takes the
-    values of the next row of its slice: a permutation of the whole table that
-    needs no global order and no join. All features are judged on the same pass.
+    into a 0/1 answer. Rows are dealt into a fixed number of random rings and ordered
+    there once; in repeat i every row takes the values of the i-th next row of its
+    ring: a permutation of the whole table that needs no global order and no join. All
+    repeats and features are judged on the same pass.
     """
     inputs = sorted(set(columns.values()))
-    n_slices = max(1, df.count() // slice_rows)
-    word = draw(seed, F.col("repeat"), F.col(key))
-    dealt = (
-        df.select(key, F.col(label).alias("_y"), *inputs)
-        .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-        .withColumn("_word", word)
-        .withColumns({
-            "_ring": F.col("repeat") * F.lit(n_slices).cast("long") + F.pmod(hex_number(F.substring("_word", 9, 8)), F.lit(n_slices)),
-            "_word": hex_number(F.substring("_word", 1, 15))})
-    )
+    word = draw(seed, F.col(key))
+    dealt = df.select(key, F.col(label).alias("_y"), *inputs).withColumns({
+        "_ring": F.pmod(hex_number(F.substring(word, 9, 8)), F.lit(rings)), "_word": hex_number(F.substring(word, 1, 15))})
     ring = Window.partitionBy("_ring").orderBy("_word", key)
-    swapped = F.struct(*inputs)
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    dealt = dealt.withColumn("_other", F.coalesce(F.lead(swapped).over(ring), F.first(swapped).over(whole)))
+    swapped = F.struct(*inputs)
+    place, size = F.row_number().over(ring), F.count(F.lit(1)).over(whole)
+    heads = [F.nth_value(swapped, i).over(whole) for i in range(1, repeats + 1)]
+    dealt = dealt.select("_y", *inputs, place.alias("_place"), size.alias("_size"), F.array(*heads).alias("_heads"),
+                         *[F.lead(swapped, i).over(ring).alias(f"_lead{i}") for i in range(1, repeats + 1)])
+    around = lambda i: F.get("_heads", ((F.col("_place") + (i - 1)) % F.col("_size")).cast("int"))
+    others = [F.when(F.col("_place") + i <= F.col("_size"), F.col(f"_lead{i}")).otherwise(around(i)).alias(f"_other{i}")
+              for i in range(1, repeats + 1)]
     own = {c: F.col(c) for c in inputs}
 
     def accuracy(answers: dict[str, Column]) -> Column:
         return F.avg((predict(answers) == F.col("_y")).cast("int"))
 
-    per_repeat = dealt.groupBy("repeat").agg(
+    judged = dealt.select("_y", *inputs, *others).agg(
         accuracy(own).alias("_base"),
-        *[accuracy({**own, c: F.col("_other")[c]}).alias(f"a{i}") for i, c in enumerate(columns.values())])
-    cells = [F.struct(F.lit(f).alias("feature"), (F.col("_base") - F.col(f"a{i}")).alias("loss"))
-             for i, f in enumerate(columns)]
-    return per_repeat.select(F.inline(F.array(*cells))).groupBy("feature").agg(
+        *[accuracy({**own, c: F.col(f"_other{i}")[c]}).alias(f"a{n}_{i}")
+          for n, c in enumerate(columns.values()) for i in range(1, repeats + 1)])
+    cells = [F.struct(F.lit(f).alias("feature"), (F.col("_base") - F.col(f"a{n}_{i}")).alias("loss"))
+             for n, f in enumerate(columns) for i in range(1, repeats + 1)]
+    return judged.select(F.inline(F.array(*cells))).groupBy("feature").agg(
         F.avg("loss").alias("importance_mean"), F.stddev_pop("loss").alias("importance_std"))
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keepwell.functions import features, render, scoring, text as T, values as V
 from keepwell.operators import (
-    corpus, events as activity, explain, impute, metrics, neighbours, prepare, quality, sampling, tickets, training,
+    corpus, drift, events as activity, explain, impute, metrics, neighbours, outcomes, prepare, quality, sampling, tickets,
+    training,
 )
 from keepwell.session import settle
 from keepwell.sources import contracts, tables
@@ -122,6 +124,69 @@ def train(snapshot: DataFrame, params: training.BoostedParams = training.Boosted
     return Trained(model, scaler, categories, names, best["threshold"], report)
 
 
+def save_trained(trained: Trained, path: str) -> None:
+    """The model with all that scoring needs: scaler, categories, names, threshold, report."""
+    spark = trained.scaler.sparkSession
+    trained.model.write().overwrite().save(f"{path}/model")
+    trained.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
+    trained.metrics.write.mode("overwrite").parquet(f"{path}/report")
+    spark.createDataFrame([(trained.categories, trained.names, trained.threshold)],
+                          "categories map<string,array<string>>, names array<string>, threshold double") \
+        .write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load_trained(spark: SparkSession, path: str) -> Trained:
+    settings = spark.read.parquet(f"{path}/settings").first()
+    return Trained(GBTClassificationModel.load(f"{path}/model"), spark.read.parquet(f"{path}/scaler"),
+                   dict(settings.categories), list(settings.names), settings.threshold, spark.read.parquet(f"{path}/report"))
+
+
+def record_training(trained: Trained, importances: DataFrame, root: str) -> None:
+    """Appends the chosen threshold with the report, and writes the fifteen largest importances."""
+    tables.append_json(trained.metrics.withColumn("threshold", F.lit(trained.threshold)), f"{root}/thresholds")
+    explain.top_importances(importances).write.mode("overwrite").json(f"{root}/importances")
+
+
+def driver_importances(trained: Trained, snapshot: DataFrame, key: str = "customerID") -> DataFrame:
+    """(feature, importance_mean): mean absolute contribution over the snapshot."""
+    matrix = prepare.model_matrix(snapshot, trained.scaler, trained.categories, trained.names).select(key, "features")
+    explained, _ = explain.tree_contributions(matrix, trained.model, trained.names)
+    return explain.global_importance(explained).withColumnRenamed("mean_abs", "importance_mean")
+
+
+def retrain(snapshot: DataFrame, psi: DataFrame, decay: DataFrame, outcome_log: DataFrame, root: str, run_date: str,
+            params: training.BoostedParams = training.RETRAIN_PARAMS, key: str = "customerID") -> DataFrame:
+    """Trigger, weights, training, comparison, gate, record. Returns the run's one-row record.
+
+    The candidate is trained on customers weighed by their last logged outcome and
+    compared with the model stored below ``root``, if there is one, on the report of
+    its own test part. It replaces that model only if the safety gate holds.
+    """
+    spark = snapshot.sparkSession
+    fired = drift.retrain_trigger(psi, decay).first()
+    cells = {"run_date": run_date, "n_drifted": fired.n_drifted, "decayed": fired.decayed, "fired": fired.fire,
+             "roc_auc": None, "threshold": None, "promoted": 0}
+    if fired.fire:
+        weights = outcomes.sample_weights(snapshot.select(key), outcome_log, key)
+        candidate = train(snapshot, params, weights, key, name="candidate")
+        report = settle(candidate.metrics, "candidate-report")
+        current = f"{root}/production"
+        known = tables.exists(spark, f"{current}/report")
+        compared = report
+        if known:
+            compared = report.unionByName(spark.read.parquet(f"{current}/report").withColumn("model", F.lit("production")))
+        gate = metrics.promotion_gate(compared, "model", "production" if known else None).where("model = 'candidate'").first()
+        cells |= {"roc_auc": gate.roc_auc, "threshold": candidate.threshold, "promoted": gate.safety_ok}
+        record_training(candidate, driver_importances(candidate, snapshot, key), f"{root}/runs/{run_date}")
+        if gate.safety_ok:
+            candidate.metrics = report
+            save_trained(candidate, current)
+    row = spark.createDataFrame([tuple(cells.values())], "run_date string, n_drifted long, decayed int, fired int, "
+                                "roc_auc double, threshold double, promoted int")
+    tables.append_json(row, f"{root}/retraining")
+    return row
+
+
 def score_snapshot(trained: Trained, snapshot: DataFrame, key: str = "customerID") -> DataFrame:
     """(key, churn_score, risk_level, top_drivers) for every customer."""
     matrix = prepare.model_matrix(snapshot, trained.scaler, trained.categories, trained.names).select(key, "features")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keepwell.functions import values as V
-from keepwell.operators import prepare, sampling
+from keepwell.operators import outcomes, prepare, sampling
 from keepwell.plans import views as D
 from keepwell.plans.registry import query, rounded
 from keepwell.session import settle
@@ -16,13 +16,17 @@ placed AS (SELECT *, {_RANK.format(seed="42")} AS place, count(*) OVER (PARTITIO
 split AS (SELECT *, CASE WHEN place <= ceil(0.2::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM placed)"""
 
 
-def _snapshot(spark, sf):
-    """The customers as a written table, as training reads them."""
-    return settle(D.customers(spark, sf, churn=True), "snapshot")
+_OF_ACCOUNT = {"SeniorCitizen", "Partner", "Dependents", "PaymentMethod"}
 
 
-def _split(spark, sf):
-    return sampling.stratified_split(_snapshot(spark, sf), "Churn", "customerID")
+def _snapshot(spark, sf, *columns: str):
+    """The customers as a written table, as training reads them: the columns it needs."""
+    rows = D.customers(spark, sf, churn=True, accounts=bool(_OF_ACCOUNT & {*columns}))
+    return settle(rows.select("customerID", "Churn", *columns), "snapshot")
+
+
+def _split(spark, sf, *columns: str):
+    return sampling.stratified_split(_snapshot(spark, sf, *columns), "Churn", "customerID")
 
 
 @query("stratified_split", f'WITH {_SPLIT} SELECT "customerID", "Churn", split FROM split')
@@ -48,7 +52,7 @@ def _fitted(c: str) -> str:
 @query("scaler_fit", f"WITH {_SPLIT} " + "\nUNION ALL ".join(
     f"SELECT '{c}' AS feature, round(m, 6) AS mean, round(s, 6) AS deviation FROM {_fitted(c)}" for c in _SCALED))
 def scaler_fit(spark, sf):
-    return rounded(prepare.fit_scaler(_split(spark, sf).where("split = 'train'"), _SCALED))
+    return rounded(prepare.fit_scaler(_split(spark, sf, *_SCALED).where("split = 'train'"), _SCALED))
 
 
 @query("standard_scale", f"""WITH {_SPLIT}
@@ -56,7 +60,7 @@ SELECT "customerID", split, {", ".join(
     f'round(("{c}" - (SELECT m FROM {_fitted(c)})) / (SELECT s FROM {_fitted(c)}), 6) AS "{c}"' for c in _SCALED)}
 FROM split""")
 def standard_scale(spark, sf):
-    rows = _split(spark, sf)
+    rows = _split(spark, sf, *_SCALED)
     scaler = prepare.fit_scaler(rows.where("split = 'train'"), _SCALED)
     return rounded(prepare.scale(rows, scaler).select("customerID", "split", *_SCALED))
 
@@ -88,10 +92,14 @@ def _cell(name: str) -> str:
     }.get(name, "0.0::DOUBLE")
 
 
+_INPUTS = sorted({*_SCALED, *V.CATEGORY_VALUES, *V.BUNDLE_COLUMNS, "Contract", "Partner", "Dependents", "PaperlessBilling",
+                  "TechSupport", "OnlineSecurity", "SeniorCitizen"} - {"customerID", "Churn"})
+
+
 @query("feature_matrix", f"""WITH {_SPLIT} SELECT "customerID", {", ".join(
     f"round({_cell(n)}, 6) AS x{i:02d}" for i, n in enumerate(V.model_columns()))} FROM split""")
 def feature_matrix(spark, sf):
-    rows = _split(spark, sf)
+    rows = _split(spark, sf, *_INPUTS)
     scaler = prepare.fit_scaler(rows.where("split = 'train'"), _SCALED)
     return prepare.model_matrix(rows, scaler).select("customerID", *[
         F.round(F.col("features")[i], 6).alias(f"x{i:02d}") for i in range(len(V.model_columns()))])
@@ -128,8 +136,28 @@ SELECT 'new:' || d.id || ':' || d.copy AS synthetic_id, d.id AS base_id, other A
   round(p.b + step * (q.b - p.b), 6) AS b, round(p.c + step * (q.c - p.c), 6) AS c
 FROM drawn d JOIN near n ON n.id = d.id AND n.place = d.pick JOIN rare p ON p.id = d.id JOIN rare q ON q.id = other""")
 def oversample(spark, sf):
-    rows = _snapshot(spark, sf).withColumn("features", F.array(
-        F.col("tenure") / 80.0, F.col("MonthlyCharges") / 100.0, F.col("SeniorCitizen").cast("double")))
+    rows = D.customers(spark, sf, churn=True).select("customerID", "Churn", F.array(
+        F.col("tenure") / 80.0, F.col("MonthlyCharges") / 100.0, F.col("SeniorCitizen").cast("double")).alias("features"))
     new = sampling.oversample(rows, "Churn", "customerID")
     return new.select("synthetic_id", "base_id", "neighbour_id", "Churn", *[
         F.round(F.col("features")[i], 6).alias(n) for i, n in enumerate("abc")])
+
+
+@query("retrain_weights_after_oversampling", f"""WITH {D.CUSTOMERS}, {D.OUTCOMES},
+latest AS (SELECT * FROM outcomes QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY "timestamp" DESC, id DESC) = 1),
+weighed AS (
+  SELECT "Churn" AS y, CASE outcome WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM customers LEFT JOIN latest ON CAST(k AS VARCHAR) = customer_id),
+counts AS (SELECT y, count(*) AS n FROM weighed GROUP BY y),
+rows AS (
+  SELECT y, weight, 0 AS is_new, count(*) AS n FROM weighed GROUP BY ALL
+  UNION ALL SELECT (SELECT y FROM counts ORDER BY n, y LIMIT 1), 1.0::DOUBLE, 1, (SELECT max(n) - min(n) FROM counts))
+SELECT y, weight, is_new, n::BIGINT AS n FROM rows WHERE n > 0""")
+def retrain_weights_after_oversampling(spark, sf):
+    """Rows a retraining learns from: customers weighed by their last outcome, new rows at 1."""
+    rows = D.customers(spark, sf, churn=True).select("customerID", "Churn", F.array(
+        F.col("tenure") / 80.0, F.col("MonthlyCharges") / 100.0, F.col("SeniorCitizen").cast("double")).alias("features"))
+    weighed = outcomes.sample_weights(rows, D.outcomes(spark, sf), "customerID")
+    learned = sampling.balanced(settle(weighed, "weighed"), "Churn", "customerID", weight="weight")
+    return learned.groupBy(F.col("Churn").alias("y"), "weight", F.col("customerID").startswith("new:").cast("int").alias("is_new")).agg(
+        F.count(F.lit(1)).alias("n"))

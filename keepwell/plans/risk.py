@@ -106,29 +106,51 @@ def top_drivers(spark, sf):
         "customerID", *[F.col("top_drivers")[i].alias(f"d{i + 1}") for i in range(3)])
 
 
+@query("top_two_drivers", f"""WITH {_PARTS}
+SELECT "customerID", d1 || ',' || d2 AS drivers FROM drivers""")
+def top_two_drivers(spark, sf):
+    """The cut itself: two of three features are named."""
+    rows = explain.additive_contributions(D.scored_customers(spark, sf), scoring.points())
+    return rows.select("customerID", F.array_join(explain.top_drivers(F.col("contributions"), 2), ",").alias("drivers"))
+
+
+@query("contract_names", f"""WITH {D.CUSTOMERS}
+SELECT "customerID", CASE WHEN "Contract" IN ('Month-to-month', 'One year', 'Two year') THEN "Contract" ELSE 'Unknown' END
+  AS "Contract" FROM customers""")
+def contract_names(spark, sf):
+    coded = features.encode_customers(D.customers(spark, sf, accounts=False)).drop("Contract")
+    return reports.with_contract_name(coded).select("customerID", "Contract")
+
+
+@query("scores_joined", f"""WITH {D.SCORED}
+SELECT "customerID", tenure, round(p, 6) AS churn_score, CASE WHEN p >= 0.32::DOUBLE THEN 'High Risk' ELSE 'Low Risk' END
+  AS risk_level FROM scored""")
+def scores_joined(spark, sf):
+    """Scores stored as a table of their own, then joined to the customers they belong to."""
+    scores = settle(D.scored_customers(spark, sf).select("customerID", "churn_score", "risk_level"), "scores")
+    return rounded(D.customers(spark, sf, accounts=False).select("customerID", "tenure").join(scores, "customerID"))
+
+
 @query("global_importance", f"""WITH {_PARTS}
 SELECT feature, round(avg(abs(value)), 6) AS mean_abs FROM contributions GROUP BY feature""")
 def global_importance(spark, sf):
     return rounded(explain.global_importance(_with_drivers(spark, sf)))
 
 
-_REPEATS, _SEED, _SLICE = 5, "42", 50_000
+_REPEATS, _SEED, _RINGS = 5, "42", 1024
 
 
 @query("permutation_importance", f"""WITH {D.CUSTOMERS},
-dealt AS (
-  SELECT *, md5('{_SEED}:' || r || ':' || "customerID") AS word
-  FROM customers, range(1, {_REPEATS + 1}) AS t(r)),
-sliced AS (
-  SELECT *, CAST('0x' || substr(word, 9, 8) AS BIGINT)
-    % greatest(1, (SELECT count(*) FROM orders) // {_SLICE}) AS slice FROM dealt),
+dealt AS (SELECT *, md5('{_SEED}:' || "customerID") AS word FROM customers),
+sliced AS (SELECT *, CAST('0x' || substr(word, 9, 8) AS BIGINT) % {_RINGS} AS slice FROM dealt),
 ring AS (
-  SELECT *, lead(k) OVER w AS next_k, first_value(k) OVER w AS first_k
-  FROM sliced WINDOW w AS (PARTITION BY r, slice ORDER BY word, "customerID")),
+  SELECT *, row_number() OVER (PARTITION BY slice ORDER BY substr(word, 1, 15), "customerID") AS place,
+    count(*) OVER (PARTITION BY slice) AS size FROM sliced),
 pairs AS (
-  SELECT a.r, a."Churn" AS y, a."Contract" AS c, a.tenure AS t, a."InternetService" AS i, a."MonthlyCharges" AS m,
+  SELECT r, a."Churn" AS y, a."Contract" AS c, a.tenure AS t, a."InternetService" AS i, a."MonthlyCharges" AS m,
     b."Contract" AS c2, b.tenure AS t2, b."InternetService" AS i2
-  FROM ring a JOIN customers b ON b.k = coalesce(a.next_k, a.first_k)),
+  FROM (SELECT * FROM ring, range(1, {_REPEATS + 1}) AS t(r)) a
+  JOIN ring b ON b.slice = a.slice AND b.place = (a.place + a.r - 1) % a.size + 1),
 answers AS (
   SELECT r, y, unnest(['base', 'contract_type_encoded', 'tenure', 'InternetService_Fiber optic', 'MonthlyCharges'])
       AS feature,
@@ -151,9 +173,9 @@ def permutation_importance(spark, sf):
 
     columns = {"contract_type_encoded": "Contract", "tenure": "tenure",
                "InternetService_Fiber optic": "InternetService", "MonthlyCharges": "MonthlyCharges"}
-    rows = settle(D.customers(spark, sf, churn=True, accounts=False), "snapshot")
+    rows = D.customers(spark, sf, churn=True, accounts=False)
     return rounded(explain.permutation_importance(rows, "customerID", "Churn", columns, predict,
-                                                  _REPEATS, _SEED, _SLICE))
+                                                  _REPEATS, _SEED, _RINGS))
 
 
 _PHRASE = """CASE WHEN contains(lower(d), 'contract') THEN CASE code WHEN 0 THEN ' month-to-month contract'
@@ -161,15 +183,31 @@ _PHRASE = """CASE WHEN contains(lower(d), 'contract') THEN CASE code WHEN 0 THEN
     WHEN contains(lower(d), 'tenure') THEN ' tenure ' || tenure || ' months' ELSE '' END"""
 
 
-@query("query_text", f"""WITH {_PARTS},
-told AS (
-  SELECT "customerID", tenure, place, coalesce(CASE "Contract" WHEN 'Month-to-month' THEN 0 WHEN 'One year' THEN 1
-    WHEN 'Two year' THEN 2 END, 0) AS code, feature AS d
-  FROM placed JOIN scored USING ("customerID"))
-SELECT "customerID", 'customer' || string_agg({_PHRASE}, '' ORDER BY place) AS query_text
-FROM told GROUP BY "customerID" """)
+@query("query_text", f"""WITH {_PARTS}, {_FLAGS},
+flags AS (SELECT conv_id, max(escalation_flag) AS e, avg(sentiment_score) AS s FROM featured GROUP BY conv_id),
+facts AS (
+  SELECT "customerID", [
+    CASE "Contract" WHEN 'One year' THEN 'one-year contract' WHEN 'Two year' THEN 'two-year contract'
+      ELSE 'month-to-month contract' END,
+    'tenure ' || tenure || ' months', 'monthly charges ' || {_MONEY},
+    CASE WHEN "TechSupport" = 'Yes' THEN 'has tech support' ELSE 'no tech support' END,
+    CASE WHEN "OnlineSecurity" = 'Yes' THEN 'has online security' ELSE 'no online security' END,
+    CASE WHEN e = 1 THEN 'escalated support ticket' ELSE 'no escalation' END,
+    CASE WHEN round(coalesce(s, 0), 6) < 0 THEN 'negative ticket sentiment ' ELSE 'neutral sentiment ' END
+      || printf('%.2f', round(coalesce(s, 0.0::DOUBLE), 6))] AS said
+  FROM scored LEFT JOIN flags ON account_id = conv_id)
+SELECT "customerID", first_driver, 'customer ' || said[first_driver] || ' ' || said[first_driver % 7 + 1] AS query_text
+FROM facts, range(1, 8) AS t(first_driver)""")
 def query_text(spark, sf):
-    rows = _with_drivers(spark, sf).withColumns({
+    """Every phrase for every customer: each feature leads once and the next one follows."""
+    names = ["contract_type_encoded", "tenure", "MonthlyCharges", "TechSupport", "OnlineSecurity",
+             "ticket_escalation_flag", "ticket_sentiment_score"]
+    rolled = tickets.rollup(tickets.with_text_features(D.tickets(spark, sf), lexicon=D.LEXICON)).select(
+        F.col("customerID").cast("long").alias("account_id"), F.col("ticket_escalation_flag").alias("escalation_flag"),
+        F.round("ticket_sentiment_score", 6).alias("sentiment_score"))
+    rows = D.scored_customers(spark, sf).join(rolled, "account_id", "left").na.fill(0, ["escalation_flag"]).withColumns({
         "contract_type_encoded": features.coded(F.col("Contract"), values.CONTRACT_CODES),
-        "escalation_flag": F.lit(0), "sentiment_score": F.lit(0.0)})
-    return render.with_query_text(rows).select("customerID", "query_text")
+        "first_driver": F.explode(F.sequence(F.lit(1), F.lit(len(names))))})
+    pairs = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in zip(names, [*names[1:], names[0]])])
+    asked = rows.withColumn("top_drivers", F.get(pairs, F.col("first_driver") - 1))
+    return render.with_query_text(asked).select("customerID", F.col("first_driver").cast("long").alias("first_driver"), "query_text")

@@ -127,7 +127,7 @@ def update_text_cache(texts: DataFrame, column: str, path: str, version: int,
     spark = texts.sparkSession
     hashed = texts.where(F.col(column).isNotNull()).select(T.content_hash(F.col(column)).alias("ticket_hash"), F.col(column).alias("text"))
     known = spark.createDataFrame([], "ticket_hash string")
-    if _exists(spark, path):
+    if exists(spark, path):
         known = spark.read.parquet(path).select("ticket_hash").distinct()
     reused = hashed.select("ticket_hash").distinct().join(known, "ticket_hash", "left_semi").count()
     new = hashed.join(known, "ticket_hash", "left_anti").groupBy("ticket_hash").agg(F.min("text").alias("text"))
@@ -136,7 +136,7 @@ def update_text_cache(texts: DataFrame, column: str, path: str, version: int,
     return spark.read.parquet(path).where(F.col("version") == version).count(), reused
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 

@@ -97,3 +97,25 @@ def test_train_score_and_brief(spark, store):
         quiet = r.recommended_action == jobs.render.NO_ACTION
         assert quiet == (r.churn_score < trained.threshold)
     assert scores.where(F.col("churn_score") >= trained.threshold).count() > 0
+
+
+def test_retraining_runs_records_and_promotes(spark, store, tmp_path):
+    snapshot = tables.read_snapshot(spark, store, "2024-03-01")
+    root, params = str(tmp_path / "models"), training.BoostedParams(trees=3, depth=3, rate=0.3)
+    log = spark.createDataFrame([("c000", 1, 5), ("c001", 0, 6)], "customer_id string, outcome int, id long").withColumn(
+        "timestamp", F.lit("2024-02-01").cast("timestamp_ntz"))
+    decay = spark.createDataFrame([(0,)], "alert int")
+    calm = spark.createDataFrame([("tenure", 0.01)], "feature string, psi double")
+    drifted = spark.createDataFrame([("tenure", 0.9)], "feature string, psi double")
+    assert jobs.retrain(snapshot, calm, decay, log, root, "2024-04-01", params).first().fired == 0
+    first = jobs.retrain(snapshot, drifted, decay, log, root, "2024-04-02", params).first()
+    assert (first.fired, first.n_drifted, first.promoted) == (1, 1, 1) and first.roc_auc > 0.5
+    kept = jobs.load_trained(spark, f"{root}/production")
+    assert kept.threshold == first.threshold and kept.metrics.first().roc_auc == first.roc_auc
+    scores = jobs.score_snapshot(kept, snapshot)
+    assert scores.count() == 160 and scores.where("churn_score BETWEEN 0 AND 1").count() == 160
+    again = jobs.retrain(snapshot, drifted, decay, log, root, "2024-04-03", params).first()
+    assert again.promoted == int(again.roc_auc >= first.roc_auc - V.PROMOTION_MARGIN)
+    assert spark.read.json(f"{root}/retraining").count() == 3
+    assert spark.read.json(f"{root}/runs/2024-04-02/thresholds").first().threshold == first.threshold
+    assert 1 <= spark.read.json(f"{root}/runs/2024-04-02/importances").count() <= 15
