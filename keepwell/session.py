@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,28 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the store that holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``settle`` for tables that are needed within a block only; they are deleted at its end.
+
+    What leaves the block must have been settled elsewhere.
+    """
+    root = scratch_path(spark, name)
+
+    def here(df: DataFrame, label: str) -> DataFrame:
+        path = f"{root}/{label}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield here
+    finally:
+        delete(spark, root)
