@@ -28,17 +28,19 @@ null identifiers rank last; other columns of the documents pass through, of any
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keepwell.llm.base import maybe_member, membership, surely_not
-from keepwell.session import settle
+from keepwell.session import scratch, settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
 LEADERS = 3
 _LAST = (1 << 63) - 1
+Settle = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -115,7 +117,7 @@ def may_match(t: Threshold, n1: Column, p1: Column, x1: Column, n2: Column, p2:
             & (F.bit_count(x1.bitwiseXOR(x2)) <= n1 + n2 - 2 * alpha))
 
 
-def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, t: Threshold) -> DataFrame:
+def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, t: Threshold, settle: Settle = settle) -> DataFrame:
     """(doc, line) of the pairs (doc, line, doc0, line0) whose word sets are similar."""
     wanted = settle(pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
                     .distinct(), "wanted-lines")
@@ -136,15 +138,20 @@ def _one_each(pairs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, key: str, text: str, t: Threshold = Threshold()) -> DataFrame:
     """(doc, line) of every line that has an earlier similar one; null keys appear as the largest long."""
-    every = settle(line_table(docs, key, text, t), "lines")
+    with scratch(docs.sparkSession, "line-join") as here:
+        found = _removed(docs, key, text, t, here)
+        return settle(found, "removed-lines")
 
+
+def _removed(docs: DataFrame, key: str, text: str, t: Threshold, settle: Settle) -> DataFrame:
     digest = ["d1", "d2"]
-    groups = every.groupBy(*digest).agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*digest, "doc")
-    place = every.join(groups, [*digest, "doc"]).groupBy(*digest, "doc").agg(F.min("line").alias("line"))
-    firsts = settle(place.select(*digest, F.col("doc").alias("doc0"), F.col("line").alias("line0")), "first-lines")
-    tagged = every.join(firsts, digest, "left").withColumn(
-        "again", F.coalesce((F.col("doc") != F.col("doc0")) | (F.col("line") != F.col("line0")), F.lit(False))).drop("doc0", "line0")
-    tagged = settle(tagged.drop(*digest), "tagged-lines")
+    with scratch(docs.sparkSession, "line-table") as here:
+        every = here(line_table(docs, key, text, t), "lines")
+        groups = every.groupBy(*digest).agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*digest, "doc")
+        place = every.join(groups, [*digest, "doc"]).groupBy(*digest, "doc").agg(F.min("line").alias("line"))
+        firsts = here(place.select(*digest, F.col("doc").alias("doc0"), F.col("line").alias("line0")), "first-lines")
+        again = F.coalesce((F.col("doc") != F.col("doc0")) | (F.col("line") != F.col("line0")), F.lit(False))
+        tagged = settle(every.join(firsts, digest, "left").withColumn("again", again).drop("doc0", "line0", *digest), "tagged-lines")
     copies, single = tagged.where("again").select("doc", "line"), tagged.where("not again").drop("again")
 
     few = single.select("doc", "line", "n", "parity", F.posexplode(F.slice("prefix", 1, LEADERS)).alias("pos", "word"))
@@ -153,7 +160,7 @@ def removed_lines(docs: DataFrame, key: str, text: str, t: Threshold = Threshold
     led = few.withColumn("lead", lead).select("*", *[F.col(f"lead.{c}").alias(f"{c}0") for c in ("doc", "line", "n", "parity", "pos")])
     own, other = ([F.col(c + end) for c in ("n", "pos", "parity")] for end in ("", "0"))
     led = led.where((F.struct("doc0", "line0") < F.struct("doc", "line")) & may_match(t, *own, *other))
-    by_leader = settle(verified(docs, key, text, settle(_one_each(led), "led-pairs"), t), "led-lines")
+    by_leader = settle(verified(docs, key, text, settle(_one_each(led), "led-pairs"), t, settle), "led-lines")
 
     # the sign of n marks settled lines, so that both sides of the join are one table, shuffled once
     marked = single.join(by_leader.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
@@ -165,11 +172,11 @@ def removed_lines(docs: DataFrame, key: str, text: str, t: Threshold = Threshold
     met = rows.join(earlier, "word").where((F.struct(F.col("doc0").alias("doc"), F.col("line0").alias("line")) < before) & may_match(
         t, F.abs("n"), F.col("pos"), F.col("parity"), F.abs("n0"), F.col("pos0"), F.col("parity0")))
     met = settle(met.select("doc", "line", "doc0", "line0").distinct(), "probed-pairs")
-    by_probe = settle(verified(docs, key, text, settle(_one_each(met), "first-pairs"), t), "probed-lines")
+    by_probe = settle(verified(docs, key, text, settle(_one_each(met), "first-pairs"), t, settle), "probed-lines")
     left = met.join(by_probe, ["doc", "line"], "left_anti")
     left = left.join(_one_each(left).withColumn("tried", F.lit(True)), ["doc", "line", "doc0", "line0"], "left_anti")
-    by_rest = verified(docs, key, text, settle(left, "other-pairs"), t)
-    return settle(copies.unionByName(by_leader).unionByName(by_probe).unionByName(by_rest), "removed-lines")
+    by_rest = verified(docs, key, text, settle(left, "other-pairs"), t, settle)
+    return copies.unionByName(by_leader).unionByName(by_probe).unionByName(by_rest)
 
 
 def removed_by_document(removed: DataFrame) -> DataFrame:

@@ -127,9 +127,10 @@ def training_rows(docs: DataFrame, key: str, text: str, labels: DataFrame, how:
     """label and __stats of at most ``how.rows`` labelled keys, chosen by the hash of the key."""
     known = (labels.where("label is not null").groupBy("key").agg(F.max("label").cast("double").alias("label"))
              .orderBy(F.xxhash64("key"), "key").limit(how.rows))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key").dropDuplicates(["key"])
-    rows = with_statistics(rows, "text").select("key", "label", "__stats")
-    return settle(rows.coalesce(1).sortWithinPartitions("key"), "training-rows")  # bounded by how.rows
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key")
+    rows = with_statistics(rows, "text").select("key", "label", "__stats").groupBy("key").agg(
+        F.max("label").alias("label"), F.min("__stats").alias("__stats"))
+    return settle(rows.repartition(1).sortWithinPartitions("key"), "training-rows")  # bounded by how.rows
 
 
 def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, how: Fit = Fit()) -> Rules:
