@@ -13,7 +13,8 @@ fixed order gives the right result, a good one gives few candidates.
    the rarest n - ceil(t n) + 1 words; two similar sets must share one there. The
    length filter, the positional filter (what can still overlap from the shared word
    on) and a 64-bit parity map of the sets (differing bits never exceed differing
-   words) discard candidates inside the join, so what is emitted is nearly all true.
+   words) discard candidates inside the join; larger maps of long lines discard most
+   of what passes, so what is left is nearly all true.
 4. Candidates of 2 and 3 are verified on the words themselves, the earliest of a line
    first and the others only where that one fails.
 
@@ -39,6 +40,8 @@ from keepwell.session import scratch, settle
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
 LEADERS = 3
+#: Lines of more words have a second parity map of WIDE longs, for candidates that the first lets through.
+NARROW, WIDE = 64, 8
 _LAST = (1 << 63) - 1
 Settle = Callable[[DataFrame, str], DataFrame]
 
@@ -93,15 +96,17 @@ def _bucket(code: Column) -> Column:
 
 
 def line_table(docs: DataFrame, key: str, text: str, t: Threshold) -> DataFrame:
-    """Every line with words: doc, line, d1 and d2 (a 128-bit digest), n (words), parity, prefix (hashes of its rarest words, in order)."""
+    """Every line with words: doc, line, d1 and d2 (a 128-bit digest), n (words), parity, wide (a larger parity map of long lines), prefix (hashes of its rarest words, in order)."""
     levels = rarity(docs, text)
     rows = (lines_of(docs, key, text).withColumn("words", words_of(F.col("content"))).where(F.size("words") > 0)
             .select("doc", "line", F.xxhash64("content").alias("d1"), F.xxhash64(F.lit(1), "content").alias("d2"), F.size("words").alias("n"),
                     F.sort_array(F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda c: order_key(c, levels))).alias("keys")))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
+    parity_of = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
+    part = lambda i: F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
+    wide = F.when(F.col("n") > NARROW, F.array(*[parity_of(part(i)) for i in range(WIDE)]))
     short = F.transform(F.slice("keys", F.lit(1), t.prefix("n")), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return rows.select("doc", "line", "d1", "d2", "n", parity.alias("parity"), short.alias("prefix"))
+    return rows.select("doc", "line", "d1", "d2", "n", parity_of(F.col("keys")).alias("parity"), wide.alias("wide"), short.alias("prefix"))
 
 
 def order_key(code: Column, levels: Column) -> Column:
@@ -130,6 +135,20 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, t: Threshol
     return both.where(common * (t.num + t.den) >= t.num * (F.size("words") + F.size("words0"))).select("doc", "line").distinct()
 
 
+def screened(pairs: DataFrame, lines: DataFrame, t: Threshold) -> DataFrame:
+    """Distinct (doc, line, doc0, line0) of the candidates (also n, n0) that the larger maps do not rule out."""
+    maps = lines.where("wide is not null").select("doc", "line", "wide")
+    maps0 = maps.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("wide").alias("wide0"))
+    pairs = pairs.select("doc", "line", F.abs("n").alias("n"), "doc0", "line0", F.abs("n0").alias("n0")).distinct()
+    n, n0 = F.col("n"), F.col("n0")
+    both_long = (n > NARROW) & (n0 > NARROW)
+    differing = sum((F.bit_count(F.col("wide")[i].bitwiseXOR(F.col("wide0")[i])) for i in range(WIDE)), F.lit(0))
+    rest = pairs.where(both_long).join(maps, ["doc", "line"]).join(maps0, ["doc0", "line0"]).where(
+        differing <= n + n0 - 2 * t.overlap(n, n0))
+    columns = ["doc", "line", "doc0", "line0"]
+    return pairs.where(~both_long).select(*columns).unionByName(rest.select(*columns))
+
+
 def _one_each(pairs: DataFrame) -> DataFrame:
     """The earliest candidate of every line."""
     first = F.min(F.struct("doc0", "line0")).alias("first")
@@ -160,7 +179,8 @@ def _removed(docs: DataFrame, key: str, text: str, t: Threshold, settle: Settle)
     led = few.withColumn("lead", lead).select("*", *[F.col(f"lead.{c}").alias(f"{c}0") for c in ("doc", "line", "n", "parity", "pos")])
     own, other = ([F.col(c + end) for c in ("n", "pos", "parity")] for end in ("", "0"))
     led = led.where((F.struct("doc0", "line0") < F.struct("doc", "line")) & may_match(t, *own, *other))
-    by_leader = settle(verified(docs, key, text, settle(_one_each(led), "led-pairs"), t, settle), "led-lines")
+    led = settle(_one_each(screened(led, single, t)), "led-pairs")
+    by_leader = settle(verified(docs, key, text, led, t, settle), "led-lines")
 
     # the sign of n marks settled lines, so that both sides of the join are one table, shuffled once
     marked = single.join(by_leader.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
@@ -171,7 +191,7 @@ def _removed(docs: DataFrame, key: str, text: str, t: Threshold, settle: Settle)
         F.struct(F.lit(-(1 << 63)).alias("doc"), F.lit(-1).alias("line")))
     met = rows.join(earlier, "word").where((F.struct(F.col("doc0").alias("doc"), F.col("line0").alias("line")) < before) & may_match(
         t, F.abs("n"), F.col("pos"), F.col("parity"), F.abs("n0"), F.col("pos0"), F.col("parity0")))
-    met = settle(met.select("doc", "line", "doc0", "line0").distinct(), "probed-pairs")
+    met = settle(screened(met, single, t), "probed-pairs")
     by_probe = settle(verified(docs, key, text, settle(_one_each(met), "first-pairs"), t, settle), "probed-lines")
     left = met.join(by_probe, ["doc", "line"], "left_anti")
     left = left.join(_one_each(left).withColumn("tried", F.lit(True)), ["doc", "line", "doc0", "line0"], "left_anti")
