@@ -41,7 +41,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
 LEADERS = 3
 #: Lines of more words have a second parity map of WIDE longs, for candidates that the first lets through.
-NARROW, WIDE = 64, 8
+NARROW, WIDE = 100, 4
 _LAST = (1 << 63) - 1
 Settle = Callable[[DataFrame, str], DataFrame]
 
@@ -170,7 +170,10 @@ def _removed(docs: DataFrame, key: str, text: str, t: Threshold, settle: Settle)
         place = every.join(groups, [*digest, "doc"]).groupBy(*digest, "doc").agg(F.min("line").alias("line"))
         firsts = here(place.select(*digest, F.col("doc").alias("doc0"), F.col("line").alias("line0")), "first-lines")
         again = F.coalesce((F.col("doc") != F.col("doc0")) | (F.col("line") != F.col("line0")), F.lit(False))
-        tagged = settle(every.join(firsts, digest, "left").withColumn("again", again).drop("doc0", "line0", *digest), "tagged-lines")
+        bits = membership(firsts, "d1")
+        several = maybe_member(every, "d1", bits).join(firsts, digest, "left").withColumn("again", again).drop("doc0", "line0", *digest)
+        alone = surely_not(every, "d1", bits).drop(*digest).withColumn("again", F.lit(False))
+        tagged = settle(alone.unionByName(several), "tagged-lines")
     copies, single = tagged.where("again").select("doc", "line"), tagged.where("not again").drop("again")
 
     few = single.select("doc", "line", "n", "parity", F.posexplode(F.slice("prefix", 1, LEADERS)).alias("pos", "word"))
@@ -183,9 +186,12 @@ def _removed(docs: DataFrame, key: str, text: str, t: Threshold, settle: Settle)
     by_leader = settle(verified(docs, key, text, led, t, settle), "led-lines")
 
     # the sign of n marks settled lines, so that both sides of the join are one table, shuffled once
-    marked = single.join(by_leader.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
-    rows = marked.select("doc", "line", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n")).alias("n"), "parity",
-                         F.posexplode("prefix").alias("pos", "word"))
+    named = single.select("doc", "line", "n", "parity", "prefix", F.xxhash64("doc", "line").alias("place"))
+    bits = membership(by_leader.select(F.xxhash64("doc", "line").alias("place")), "place")
+    maybe = maybe_member(named, "place", bits).join(by_leader.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
+    maybe = maybe.withColumn("n", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n"))).drop("settled")
+    rows = surely_not(named, "place", bits).unionByName(maybe).select(
+        F.posexplode("prefix").alias("pos", "word"), "doc", "line", "n", "parity").select("word", "doc", "line", "n", "parity", "pos")
     earlier = rows.select("word", *[F.col(c).alias(f"{c}0") for c in ("doc", "line", "n", "parity", "pos")])
     before = F.when(F.col("n") > 0, F.struct("doc", "line")).otherwise(
         F.struct(F.lit(-(1 << 63)).alias("doc"), F.lit(-1).alias("line")))
