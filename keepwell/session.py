@@ -26,6 +26,7 @@ def build_session(master: str | None = None, app: str = "keepwell", **conf: str)
         "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.ui.enabled": "false",
         **conf,
     }
