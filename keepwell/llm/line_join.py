@@ -192,11 +192,13 @@ def _removed(docs: DataFrame, key: str, text: str, t: Threshold, settle: Settle)
     maybe = maybe.withColumn("n", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n"))).drop("settled")
     rows = surely_not(named, "place", bits).unionByName(maybe).select(
         F.posexplode("prefix").alias("pos", "word"), "doc", "line", "n", "parity").select("word", "doc", "line", "n", "parity", "pos")
-    earlier = rows.select("word", *[F.col(c).alias(f"{c}0") for c in ("doc", "line", "n", "parity", "pos")])
-    before = F.when(F.col("n") > 0, F.struct("doc", "line")).otherwise(
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    before = F.when(x("n") > 0, F.struct(x("doc").alias("doc"), x("line").alias("line"))).otherwise(
         F.struct(F.lit(-(1 << 63)).alias("doc"), F.lit(-1).alias("line")))
-    met = rows.join(earlier, "word").where((F.struct(F.col("doc0").alias("doc"), F.col("line0").alias("line")) < before) & may_match(
-        t, F.abs("n"), F.col("pos"), F.col("parity"), F.abs("n0"), F.col("pos0"), F.col("parity0")))
+    met = rows.alias("x").join(rows.alias("y"), x("word") == y("word")).where(
+        (F.struct(y("doc").alias("doc"), y("line").alias("line")) < before)
+        & may_match(t, F.abs(x("n")), x("pos"), x("parity"), F.abs(y("n")), y("pos"), y("parity")))
+    met = met.select(*[x(c).alias(c) for c in ("doc", "line", "n")], *[y(c).alias(f"{c}0") for c in ("doc", "line", "n")])
     met = settle(screened(met, single, t), "probed-pairs")
     by_probe = settle(verified(docs, key, text, settle(_one_each(met), "first-pairs"), t, settle), "probed-lines")
     left = met.join(by_probe, ["doc", "line"], "left_anti")
