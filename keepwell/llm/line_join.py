@@ -7,8 +7,10 @@ fixed order gives the right result, a good one gives few candidates.
 
 1. Equal lines are grouped by digest; all but the first are removed and only the first
    goes on.
-2. The leaders: lines that share one of their three rarest words are compared with the
-   earliest of them. In a family of many near copies this settles nearly all.
+2. The leaders: of the lines that share one of the eight last words of their prefix, which
+   near copies have in common most often, each is compared with the earliest and the two
+   before it, and the closest candidate is kept. In a family of many near copies this
+   settles nearly all.
 3. The lines that are left probe all lines that share a word of the prefix, that is, of
    the rarest n - ceil(t n) + 1 words; two similar sets must share one there. The
    length filter, the positional filter (what can still overlap from the shared word
@@ -18,8 +20,8 @@ fixed order gives the right result, a good one gives few candidates.
 4. Candidates of 2 and 3 are verified on the words themselves, the earliest of a line
    first and the others only where that one fails.
 
-Lines of a large family are compared with their leader only, never with each other,
-and no list of lines is gathered in a row. Texts are read where they lie; those of
+Lines of a large family are compared with a few others only, not with each other, and
+no list of lines is gathered in a row. Texts are read where they lie; those of
 candidate lines alone are shuffled.
 
 Defined cases: null texts have no lines that count; lines without words are kept; equal
@@ -39,7 +41,7 @@ from keepwell.session import scratch, settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
-LEADERS = 3
+LEADERS = 8
 #: Lines of more words have a second parity map of WIDE longs, for candidates that the first lets through.
 NARROW, WIDE = 100, 4
 _LAST = (1 << 63) - 1
@@ -176,13 +178,23 @@ def _removed(docs: DataFrame, key: str, text: str, t: Threshold, settle: Settle)
         tagged = settle(alone.unionByName(several), "tagged-lines")
     copies, single = tagged.where("again").select("doc", "line"), tagged.where("not again").drop("again")
 
-    few = single.select("doc", "line", "n", "parity", F.posexplode(F.slice("prefix", 1, LEADERS)).alias("pos", "word"))
-    by_word = Window.partitionBy("word").orderBy("doc", "line")
-    lead = F.first(F.struct("doc", "line", "n", "parity", "pos")).over(by_word.rowsBetween(Window.unboundedPreceding, 0))
-    led = few.withColumn("lead", lead).select("*", *[F.col(f"lead.{c}").alias(f"{c}0") for c in ("doc", "line", "n", "parity", "pos")])
-    own, other = ([F.col(c + end) for c in ("n", "pos", "parity")] for end in ("", "0"))
-    led = led.where((F.struct("doc0", "line0") < F.struct("doc", "line")) & may_match(t, *own, *other))
-    led = settle(_one_each(screened(led, single, t)), "led-pairs")
+    common = F.slice("prefix", -F.least(F.size("prefix"), F.lit(LEADERS)), LEADERS)
+    few = single.select("doc", "line", "n", "parity", F.explode(common).alias("word"))
+    by_word, row = Window.partitionBy("word").orderBy("doc", "line"), F.struct("doc", "line", "n", "parity")
+    others = [F.first(row).over(by_word.rowsBetween(Window.unboundedPreceding, 0)), F.lag(row, 1).over(by_word), F.lag(row, 2).over(by_word)]
+    few = few.withColumns({f"other{i}": o for i, o in enumerate(others)})
+
+    def near(o: Column) -> Column:
+        earlier = F.struct(o["doc"].alias("doc"), o["line"].alias("line")) < F.struct("doc", "line")
+        none = F.lit(0)  # words of the prefix may be shared before this one, so its place rules nothing out
+        passes = earlier & may_match(t, F.col("n"), none, F.col("parity"), o["n"], none, o["parity"])
+        return F.when(passes, F.struct(F.bit_count(F.col("parity").bitwiseXOR(o["parity"])).alias("far"),
+                                       o["doc"].alias("doc0"), o["line"].alias("line0"), o["n"].alias("n0")))
+
+    best = F.least(*[near(F.col(f"other{i}")) for i in range(len(others))])
+    led = few.select("doc", "line", "n", best.alias("best")).where("best is not null").groupBy("doc", "line").agg(
+        F.max("n").alias("n"), F.min("best").alias("best")).select("doc", "line", "n", "best.doc0", "best.line0", "best.n0")
+    led = settle(screened(led, single, t), "led-pairs")
     by_leader = settle(verified(docs, key, text, led, t, settle), "led-lines")
 
     # the sign of n marks settled lines, so that both sides of the join are one table, shuffled once
