@@ -64,10 +64,15 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def with_statistics(docs: DataFrame, text: str, name: str = "__stats") -> DataFrame:
-    """``docs`` with one column of all statistics, computed once per row."""
+def with_statistics(docs: DataFrame, text: str, name: str = "__stats", barrier: bool = False) -> DataFrame:
+    """``docs`` with one column of all statistics, computed once per row.
+
+    ``barrier`` adds a row number at the end: the optimizer then moves no filter on a
+    score below this column, where every rule would compute the statistics anew.
+    """
     found = statistics(F.col(text))
-    return docs.withColumn(name, F.array(*[found[x] for x in NAMES]))
+    last = [F.monotonically_increasing_id().cast("double")] if barrier else []
+    return docs.withColumn(name, F.array(*[found[x] for x in NAMES], *last))
 
 
 NAMES = ["chars", "words", "word_length", "distinct", "repeated", "upper", "digits", "symbols", "calls", "stops", "lines"]
@@ -156,5 +161,5 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, how: Fit = Fit(
 
 def score(docs: DataFrame, text: str, rules: Rules, cut: float = 0.3) -> DataFrame:
     """``docs`` with score (probability of label 1) and predicted."""
-    scored = with_statistics(docs, text).withColumn("score", rules.score(F.col("__stats"))).drop("__stats")
+    scored = with_statistics(docs, text, barrier=True).withColumn("score", rules.score(F.col("__stats"))).drop("__stats")
     return scored.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
