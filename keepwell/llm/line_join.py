@@ -24,8 +24,9 @@ Lines of a large family are compared with a few others only, not with each other
 no list of lines is gathered in a row. Texts are read where they lie; those of
 candidate lines alone are shuffled.
 
-Defined cases: null texts have no lines that count; lines without words are kept; equal
-identifiers are taken for one document, so their lines of one number share a verdict;
+Defined cases: null texts have no lines that count; lines without words are kept; rows
+with one identifier, or with none, are documents of their own if their texts differ (by
+64 bits of a hash, which also orders them); rows equal in both share their verdicts;
 null identifiers rank last; other columns of the documents pass through, of any name.
 """
 
@@ -45,6 +46,9 @@ LEADERS = 8
 #: Lines of more words have a second parity map of WIDE longs, for candidates that the first lets through.
 NARROW, WIDE = 100, 4
 _LAST = (1 << 63) - 1
+#: What a line is known by, and the same of an earlier line.
+PLACE = ["doc", "copy", "line"]
+PLACE0 = [f"{c}0" for c in PLACE]
 Settle = Callable[[DataFrame, str], DataFrame]
 
 
@@ -63,10 +67,33 @@ class Threshold:
         return F.ceil(self.num * (a + b) / (self.num + self.den)).cast("int")
 
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, line, content: every line with its place."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("t")).select(
-        "doc", F.posexplode(F.split("t", "\n")).alias("line", "content"))
+def repeated_ids(docs: DataFrame, key: str, settle: Settle = settle) -> DataFrame | None:
+    """A bit table of the identifiers that several rows have, None if there are none."""
+    ids = docs.select(F.col(key).cast("long").alias("__doc")).where("__doc is not null")
+    several = settle(membership(ids.groupBy("__doc").count().where("count > 1"), "__doc"), "repeated-ids")
+    return None if several.isEmpty() else several
+
+
+def identified(docs: DataFrame, key: str, text: str, repeated: DataFrame | None) -> DataFrame:
+    """``docs`` with __doc, the identifier (nulls last), and __copy, which tells rows apart that share it.
+
+    __copy is a hash of the text where the identifier is null or in ``repeated``, 0 elsewhere.
+    """
+    doc, code = F.col(key).cast("long"), F.xxhash64(F.col(text))
+    named = docs.withColumns({"__doc": F.coalesce(doc, F.lit(_LAST)), "__copy": F.when(doc.isNull(), code).otherwise(F.lit(0).cast("long"))})
+    if repeated is None:
+        return named
+    return surely_not(named, "__doc", repeated).unionByName(maybe_member(named, "__doc", repeated).withColumn("__copy", code))
+
+
+def lines_of(own: DataFrame, text: str) -> DataFrame:
+    """doc, copy, line, content of ``identified`` rows: every line with its place."""
+    return own.select(F.col("__doc").alias("doc"), F.col("__copy").alias("copy"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "content"))
+
+
+def earlier(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether place a comes before place b."""
+    return F.struct(*[a(c).alias(c) for c in PLACE]) < F.struct(*[b(c).alias(c) for c in PLACE])
 
 
 def split_words(content: Column) -> Column:
@@ -97,18 +124,18 @@ def _bucket(code: Column) -> Column:
     return code.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def line_table(docs: DataFrame, key: str, text: str, t: Threshold) -> DataFrame:
-    """Every line with words: doc, line, d1 and d2 (a 128-bit digest), n (words), parity, wide (a larger parity map of long lines), prefix (hashes of its rarest words, in order)."""
-    levels = rarity(docs, text)
-    rows = (lines_of(docs, key, text).withColumn("words", words_of(F.col("content"))).where(F.size("words") > 0)
-            .select("doc", "line", F.xxhash64("content").alias("d1"), F.xxhash64(F.lit(1), "content").alias("d2"), F.size("words").alias("n"),
+def line_table(own: DataFrame, text: str, t: Threshold) -> DataFrame:
+    """Every line with words: doc, copy, line, d1 and d2 (a 128-bit digest), n (words), parity, wide (a larger parity map of long lines), prefix (hashes of its rarest words, in order)."""
+    levels = rarity(own, text)
+    rows = (lines_of(own, text).withColumn("words", words_of(F.col("content"))).where(F.size("words") > 0)
+            .select(*PLACE, F.xxhash64("content").alias("d1"), F.xxhash64(F.lit(1), "content").alias("d2"), F.size("words").alias("n"),
                     F.sort_array(F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda c: order_key(c, levels))).alias("keys")))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     parity_of = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
     part = lambda i: F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
     wide = F.when(F.col("n") > NARROW, F.array(*[parity_of(part(i)) for i in range(WIDE)]))
     short = F.transform(F.slice("keys", F.lit(1), t.prefix("n")), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return rows.select("doc", "line", "d1", "d2", "n", parity_of(F.col("keys")).alias("parity"), wide.alias("wide"), short.alias("prefix"))
+    return rows.select(*PLACE, "d1", "d2", "n", parity_of(F.col("keys")).alias("parity"), wide.alias("wide"), short.alias("prefix"))
 
 
 def order_key(code: Column, levels: Column) -> Column:
@@ -124,113 +151,121 @@ def may_match(t: Threshold, n1: Column, p1: Column, x1: Column, n2: Column, p2:
             & (F.bit_count(x1.bitwiseXOR(x2)) <= n1 + n2 - 2 * alpha))
 
 
-def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, t: Threshold, settle: Settle = settle) -> DataFrame:
-    """(doc, line) of the pairs (doc, line, doc0, line0) whose word sets are similar."""
-    wanted = settle(pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
-                    .distinct(), "wanted-lines")
-    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("t"))
-    lines = lines_of(maybe_member(named, "doc", membership(wanted, "doc")), "doc", "t")
-    words = lines.join(wanted, ["doc", "line"]).select("doc", "line", words_of(F.col("content")).alias("words"))
-    words0 = words.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("words0"))
-    both = pairs.join(words, ["doc", "line"]).join(words0, ["doc0", "line0"])
+def verified(own: DataFrame, text: str, pairs: DataFrame, t: Threshold, settle: Settle = settle) -> DataFrame:
+    """The lines (doc, copy, line) of the pairs with an earlier line (doc0, copy0, line0) whose word sets are similar."""
+    wanted = settle(pairs.select(*PLACE).unionByName(pairs.select(*[F.col(f"{c}0").alias(c) for c in PLACE])).distinct(), "wanted-lines")
+    of_row = lambda doc, copy: F.xxhash64(doc, copy).alias("row")
+    named = own.select("__doc", "__copy", F.col(text).alias("t"), of_row("__doc", "__copy"))
+    lines = lines_of(maybe_member(named, "row", membership(wanted.select(of_row("doc", "copy")), "row")), "t")
+    words = lines.join(wanted, PLACE).select(*PLACE, words_of(F.col("content")).alias("words"))
+    words0 = words.select(*[F.col(c).alias(f"{c}0") for c in PLACE], F.col("words").alias("words0"))
+    both = pairs.join(words, PLACE).join(words0, PLACE0)
     common = F.size(F.array_intersect("words", "words0"))
-    return both.where(common * (t.num + t.den) >= t.num * (F.size("words") + F.size("words0"))).select("doc", "line").distinct()
+    return both.where(common * (t.num + t.den) >= t.num * (F.size("words") + F.size("words0"))).select(*PLACE).distinct()
 
 
 def screened(pairs: DataFrame, lines: DataFrame, t: Threshold) -> DataFrame:
-    """Distinct (doc, line, doc0, line0) of the candidates (also n, n0) that the larger maps do not rule out."""
-    maps = lines.where("wide is not null").select("doc", "line", "wide")
-    maps0 = maps.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("wide").alias("wide0"))
-    pairs = pairs.select("doc", "line", F.abs("n").alias("n"), "doc0", "line0", F.abs("n0").alias("n0")).distinct()
+    """Distinct places of both lines of the candidates (also n, n0) that the larger maps do not rule out."""
+    maps = lines.where("wide is not null").select(*PLACE, "wide")
+    maps0 = maps.select(*[F.col(c).alias(f"{c}0") for c in (*PLACE, "wide")])
+    pairs = pairs.select(*PLACE, F.abs("n").alias("n"), *PLACE0, F.abs("n0").alias("n0")).distinct()
     n, n0 = F.col("n"), F.col("n0")
     both_long = (n > NARROW) & (n0 > NARROW)
     differing = sum((F.bit_count(F.col("wide")[i].bitwiseXOR(F.col("wide0")[i])) for i in range(WIDE)), F.lit(0))
-    rest = pairs.where(both_long).join(maps, ["doc", "line"]).join(maps0, ["doc0", "line0"]).where(
+    rest = pairs.where(both_long).join(maps, PLACE).join(maps0, PLACE0).where(
         differing <= n + n0 - 2 * t.overlap(n, n0))
-    columns = ["doc", "line", "doc0", "line0"]
+    columns = [*PLACE, *PLACE0]
     return pairs.where(~both_long).select(*columns).unionByName(rest.select(*columns))
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:
     """The earliest candidate of every line."""
-    first = F.min(F.struct("doc0", "line0")).alias("first")
-    return pairs.groupBy("doc", "line").agg(first).select("doc", "line", "first.doc0", "first.line0")
+    first = F.min(F.struct(*PLACE0)).alias("first")
+    return pairs.groupBy(*PLACE).agg(first).select(*PLACE, "first.*")
 
 
 def removed_lines(docs: DataFrame, key: str, text: str, t: Threshold = Threshold()) -> DataFrame:
-    """(doc, line) of every line that has an earlier similar one; null keys appear as the largest long."""
-    with scratch(docs.sparkSession, "line-join") as here:
-        found = _removed(docs, key, text, t, here)
+    """(doc, copy, line) of every line that has an earlier similar one; null keys appear as the largest long."""
+    return removed_of(identified(docs, key, text, repeated_ids(docs, key)), text, t)
+
+
+def removed_of(own: DataFrame, text: str, t: Threshold = Threshold()) -> DataFrame:
+    """``removed_lines`` of ``identified`` rows."""
+    with scratch(own.sparkSession, "line-join") as here:
+        found = _removed(own, text, t, here)
         return settle(found, "removed-lines")
 
 
-def _removed(docs: DataFrame, key: str, text: str, t: Threshold, settle: Settle) -> DataFrame:
+def _removed(own: DataFrame, text: str, t: Threshold, settle: Settle) -> DataFrame:
     digest = ["d1", "d2"]
-    with scratch(docs.sparkSession, "line-table") as here:
-        every = here(line_table(docs, key, text, t), "lines")
+    with scratch(own.sparkSession, "line-table") as here:
+        every = here(line_table(own, text, t), "lines")
+        # a row that repeats another one, identifier and text, repeats its places; they count once
         groups = every.groupBy(*digest).agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*digest, "doc")
-        place = every.join(groups, [*digest, "doc"]).groupBy(*digest, "doc").agg(F.min("line").alias("line"))
-        firsts = here(place.select(*digest, F.col("doc").alias("doc0"), F.col("line").alias("line0")), "first-lines")
-        again = F.coalesce((F.col("doc") != F.col("doc0")) | (F.col("line") != F.col("line0")), F.lit(False))
+        place = (every.join(groups, [*digest, "doc"]).groupBy(*digest, "doc", "copy").agg(F.min("line").alias("line"))
+                 .groupBy(*digest, "doc").agg(F.min(F.struct("copy", "line")).alias("first")))
+        firsts = here(place.select(*digest, F.col("doc").alias("doc0"), F.col("first.copy").alias("copy0"), F.col("first.line").alias("line0")), "first-lines")
+        again = F.coalesce((F.col("doc") != F.col("doc0")) | (F.col("copy") != F.col("copy0")) | (F.col("line") != F.col("line0")), F.lit(False))
         bits = membership(firsts, "d1")
-        several = maybe_member(every, "d1", bits).join(firsts, digest, "left").withColumn("again", again).drop("doc0", "line0", *digest)
+        several = maybe_member(every, "d1", bits).join(firsts, digest, "left").withColumn("again", again).drop(*PLACE0, *digest)
         alone = surely_not(every, "d1", bits).drop(*digest).withColumn("again", F.lit(False))
         tagged = settle(alone.unionByName(several), "tagged-lines")
-    copies, single = tagged.where("again").select("doc", "line"), tagged.where("not again").drop("again")
+    copies, single = tagged.where("again").select(*PLACE), tagged.where("not again").drop("again")
 
     common = F.slice("prefix", -F.least(F.size("prefix"), F.lit(LEADERS)), LEADERS)
-    few = single.select("doc", "line", "n", "parity", F.explode(common).alias("word"))
-    by_word, row = Window.partitionBy("word").orderBy("doc", "line"), F.struct("doc", "line", "n", "parity")
+    few = single.select(*PLACE, "n", "parity", F.explode(common).alias("word"))
+    by_word, row = Window.partitionBy("word").orderBy(*PLACE), F.struct(*PLACE, "n", "parity")
     others = [F.first(row).over(by_word.rowsBetween(Window.unboundedPreceding, 0)), F.lag(row, 1).over(by_word), F.lag(row, 2).over(by_word)]
     few = few.withColumns({f"other{i}": o for i, o in enumerate(others)})
 
     def near(o: Column) -> Column:
-        earlier = F.struct(o["doc"].alias("doc"), o["line"].alias("line")) < F.struct("doc", "line")
         none = F.lit(0)  # words of the prefix may be shared before this one, so its place rules nothing out
-        passes = earlier & may_match(t, F.col("n"), none, F.col("parity"), o["n"], none, o["parity"])
+        passes = earlier(lambda c: o[c], F.col) & may_match(t, F.col("n"), none, F.col("parity"), o["n"], none, o["parity"])
         return F.when(passes, F.struct(F.bit_count(F.col("parity").bitwiseXOR(o["parity"])).alias("far"),
-                                       o["doc"].alias("doc0"), o["line"].alias("line0"), o["n"].alias("n0")))
+                                       *[o[c].alias(f"{c}0") for c in PLACE], o["n"].alias("n0")))
 
     best = F.least(*[near(F.col(f"other{i}")) for i in range(len(others))])
-    led = few.select("doc", "line", "n", best.alias("best")).where("best is not null").groupBy("doc", "line").agg(
-        F.max("n").alias("n"), F.min("best").alias("best")).select("doc", "line", "n", "best.doc0", "best.line0", "best.n0")
+    led = few.select(*PLACE, "n", best.alias("best")).where("best is not null").groupBy(*PLACE).agg(
+        F.max("n").alias("n"), F.min("best").alias("best")).select(*PLACE, "n", *[f"best.{c}" for c in PLACE0], "best.n0")
     led = settle(screened(led, single, t), "led-pairs")
-    by_leader = settle(verified(docs, key, text, led, t, settle), "led-lines")
+    by_leader = settle(verified(own, text, led, t, settle), "led-lines")
 
     # the sign of n marks settled lines, so that both sides of the join are one table, shuffled once
-    named = single.select("doc", "line", "n", "parity", "prefix", F.xxhash64("doc", "line").alias("place"))
-    bits = membership(by_leader.select(F.xxhash64("doc", "line").alias("place")), "place")
-    maybe = maybe_member(named, "place", bits).join(by_leader.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
+    named = single.select(*PLACE, "n", "parity", "prefix", F.xxhash64(*PLACE).alias("place"))
+    bits = membership(by_leader.select(F.xxhash64(*PLACE).alias("place")), "place")
+    maybe = maybe_member(named, "place", bits).join(by_leader.withColumn("settled", F.lit(True)), PLACE, "left")
     maybe = maybe.withColumn("n", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n"))).drop("settled")
     rows = surely_not(named, "place", bits).unionByName(maybe).select(
-        F.posexplode("prefix").alias("pos", "word"), "doc", "line", "n", "parity").select("word", "doc", "line", "n", "parity", "pos")
+        F.posexplode("prefix").alias("pos", "word"), *PLACE, "n", "parity").select("word", *PLACE, "n", "parity", "pos")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    before = F.when(x("n") > 0, F.struct(x("doc").alias("doc"), x("line").alias("line"))).otherwise(
-        F.struct(F.lit(-(1 << 63)).alias("doc"), F.lit(-1).alias("line")))
+    # settled lines stay on both sides until they meet: a filter on one side would cost a second shuffle
+    before = lambda c: F.when(x("n") > 0, x(c)).otherwise(F.lit(-1 if c == "line" else -(1 << 63)))
     met = rows.alias("x").join(rows.alias("y"), x("word") == y("word")).where(
-        (F.struct(y("doc").alias("doc"), y("line").alias("line")) < before)
+        earlier(y, before)
         & may_match(t, F.abs(x("n")), x("pos"), x("parity"), F.abs(y("n")), y("pos"), y("parity")))
-    met = met.select(*[x(c).alias(c) for c in ("doc", "line", "n")], *[y(c).alias(f"{c}0") for c in ("doc", "line", "n")])
+    met = met.select(*[x(c).alias(c) for c in (*PLACE, "n")], *[y(c).alias(f"{c}0") for c in (*PLACE, "n")])
     met = settle(screened(met, single, t), "probed-pairs")
-    by_probe = settle(verified(docs, key, text, settle(_one_each(met), "first-pairs"), t, settle), "probed-lines")
-    left = met.join(by_probe, ["doc", "line"], "left_anti")
-    left = left.join(_one_each(left).withColumn("tried", F.lit(True)), ["doc", "line", "doc0", "line0"], "left_anti")
-    by_rest = verified(docs, key, text, settle(left, "other-pairs"), t, settle)
+    by_probe = settle(verified(own, text, settle(_one_each(met), "first-pairs"), t, settle), "probed-lines")
+    left = met.join(by_probe, PLACE, "left_anti")
+    left = left.join(_one_each(left).withColumn("tried", F.lit(True)), [*PLACE, *PLACE0], "left_anti")
+    by_rest = verified(own, text, settle(left, "other-pairs"), t, settle)
     return copies.unionByName(by_leader).unionByName(by_probe).unionByName(by_rest)
 
 
 def removed_by_document(removed: DataFrame) -> DataFrame:
-    """One row per document that loses lines: doc and ``gone``, their numbers in order."""
-    return removed.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    """One row per document that loses lines: doc, copy and ``gone``, their numbers in order."""
+    return removed.groupBy("doc", "copy").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, key: str, text: str, t: Threshold = Threshold()) -> DataFrame:
     """``docs`` with later matches taken out of ``text``; all rows and columns stay. Unaffected texts are not shuffled."""
-    gone = settle(removed_by_document(removed_lines(docs, key, text, t)).withColumnRenamed("doc", "__doc"), "removed-by-document")
-    own = docs.withColumn("__doc", F.coalesce(F.col(key).cast("long"), F.lit(_LAST)))
-    bits = membership(gone, "__doc")
+    own = identified(docs, key, text, repeated_ids(docs, key))
+    gone = settle(removed_by_document(removed_of(own, text, t)).withColumnsRenamed({"doc": "__doc", "copy": "__copy", "gone": "__gone"}), "removed-by-document")
+    place = F.xxhash64("__doc", "__copy")
+    own = own.withColumn("__row", place)
+    bits = membership(gone.select(place.alias("__row")), "__row")
     lines = F.split(F.col(text), "\n")
     stay = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    changed = (maybe_member(own, "__doc", bits).join(gone.withColumnRenamed("gone", "__gone"), "__doc", "left")
+    changed = (maybe_member(own, "__row", bits).join(gone, ["__doc", "__copy"], "left")
                .withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(stay)))
-    return surely_not(own, "__doc", bits).select(*docs.columns).unionByName(changed.select(*docs.columns))
+    return surely_not(own, "__row", bits).select(*docs.columns).unionByName(changed.select(*docs.columns))

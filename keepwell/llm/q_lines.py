@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keepwell.llm.base import query, table
-from keepwell.llm.line_join import removed_by_document, removed_lines
+from keepwell.llm.line_join import identified, removed_by_document, removed_of, repeated_ids
 
 SQL = """WITH l AS (SELECT doc_id, i, list_distinct(list_filter(string_split_regex(s[i + 1], '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w
   FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
@@ -28,8 +28,9 @@ FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
 @query("op8_line_join", SQL)
 def op8_line_join(spark, sf):
     docs = table(spark, sf, "documents")
-    gone = removed_by_document(removed_lines(docs, "doc_id", "text"))
-    sizes = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    return sizes.join(gone, F.col("doc_id") == F.col("doc"), "left").select(
+    own = identified(docs, "doc_id", "text", repeated_ids(docs, "doc_id"))
+    gone = removed_by_document(removed_of(own, "text"))
+    sizes = own.select("doc_id", "__doc", "__copy", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    return sizes.join(gone, (F.col("__doc") == F.col("doc")) & (F.col("__copy") == F.col("copy")), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))

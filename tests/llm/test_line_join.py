@@ -60,3 +60,13 @@ def test_repeated_and_null_identifiers(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "x y z")]
     out = sorted(str(r.text) for r in dedup_lines(frame(spark, rows), "doc_id", "text").collect())
     assert out == ["", "a b c", "a b c", "x y z"] or out == ["", "", "a b c", "a b c"]
+
+
+def test_rows_that_share_an_identifier_or_have_none_lose_their_own_lines_only(spark):
+    rows = [(1, "a b c\nfirst of one"), (None, "a b c\nu v w"), (None, "x y z\nk l m"), (None, "p q r"), (7, "a b c"), (7, "d e f"), (7, None)]
+    out = sorted((r.doc_id or 0, r.text or "-") for r in dedup_lines(frame(spark, rows), "doc_id", "text").collect())
+    assert out == [(0, "p q r"), (0, "u v w"), (0, "x y z\nk l m"), (1, "a b c\nfirst of one"), (7, "-"), (7, "-"), (7, "d e f")]
+    words = lambda i, n: " ".join(f"v{i}x{k}" for k in range(n))  # near copies, found by leaders and by the probe
+    rows = [(None, f"{words(i, 20)}\nonly {words(100 + i, 9)}") for i in range(8)] + [(3, words(i, 20) + " more") for i in range(4)]
+    got = {r.text for r in dedup_lines(frame(spark, rows), "doc_id", "text").collect()}
+    assert got == {f"only {words(100 + i, 9)}" if i < 4 else f"{words(i, 20)}\nonly {words(100 + i, 9)}" for i in range(8)} | {words(i, 20) + " more" for i in range(4)}
