@@ -40,9 +40,15 @@ INVISIBLE = "­​‌‍⁠﻿"
 AT_WORDS = ("at", "arroba")
 DOT_WORDS = ("dot", "punto", "punkt", "point")
 PLUS_WORDS = ("plus", "más")
-#: Between bare words, "at" and "dot" are a disguise only before one of these endings (fixed values).
+#: Signs that occur in prose ("at" before "point" or a spaced "."; after a word of PROSE) are a disguise only before
+#: one of these endings (fixed values); all others before any ending of 2 to 24 letters.
 ENDINGS = ("at", "be", "biz", "br", "ca", "ch", "co", "com", "de", "dev", "edu", "es", "eu", "fr", "gov", "info", "io", "it",
            "jp", "mx", "net", "nl", "org", "pl", "pt", "ru", "se", "test", "uk", "us")
+#: Words before "dot" and after it that are prose where "at" stands alone (fixed values).
+PROSE = (*AT_WORDS, *DOT_WORDS, "the", "a", "an", "that", "this", "these", "those", "each", "every", "one", "some", "any", "no", "which",
+         "my", "your", "his", "her", "its", "our", "their", "polka", "quantum", "red", "blue", "black", "white", "green", "yellow",
+         "tiny", "small", "little", "big", "single", "last", "first", "second")
+PROSE_AFTER = (*AT_WORDS[1:], *DOT_WORDS, "and", "or", "the", "that", "then", "of", "on", "if", "was", "were", "with", "for", "from", "when", "which", "while")
 DIGIT_WORDS = {
     "0": ("zero", "oh", "cero", "zéro", "null"), "1": ("one", "uno", "un", "eins"), "2": ("two", "dos", "deux", "zwei"),
     "3": ("three", "tres", "trois", "drei"), "4": ("four", "cuatro", "quatre", "vier"),
@@ -174,15 +180,24 @@ _UNSEEN = re.compile(f"[{INVISIBLE}]+")
 _words = lambda words: "|".join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))
 _bracketed = lambda words: rf"(?<!\s)\s*[(\[{{<]\s*(?:{_words(words)})\s*[)\]}}>]\s*"
 _bare = lambda words: rf"(?<=[\w%+-])\s+(?:{_words(words)})\s+(?=[\w-])"
-_tied = lambda words: rf"(?<=[A-Za-z0-9])([_-])(?:{_words(words)})\1(?=[A-Za-z0-9])"
+_tied = lambda words: rf"(?<=[A-Za-z0-9])(?:_(?:{_words(words)})_|-(?:{_words(words)})-)(?=[A-Za-z0-9])"
 _DOT = re.compile(rf"{_bracketed((*DOT_WORDS, '.'))}|{_bare((*DOT_WORDS, '.'))}|{_tied(DOT_WORDS)}", re.I)
+#: What disguised dots are written as until the at signs are decided; UNSURE stands for those that prose has as well.
+SURE, UNSURE = "\x00", "\ufdd0"
+_PROSE_DOT = re.compile(r"\s+(?:point|\.)\s+", re.I)
+_LABEL = "[A-Za-z0-9-]+"
+_labels = f"{_LABEL}(?:[.{SURE}{UNSURE}]{_LABEL})*?"
+_ending = "[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 _AT = re.compile(
-    rf"{_bracketed((*AT_WORDS, '@'))}(?=[A-Za-z0-9-]+(?:\.|\x00))"
-    rf"|(?:{_bare((*AT_WORDS, '@'))}|{_tied(AT_WORDS)})(?=[A-Za-z0-9-]+(?:[.\x00][A-Za-z0-9-]+)*\x00(?:{_words(ENDINGS)})(?![A-Za-z0-9-]))", re.I)
+    rf"{_bracketed((*AT_WORDS, '@'))}(?={_LABEL}[.{SURE}{UNSURE}])"
+    rf"|(?:{_bare((*AT_WORDS, '@'))}|{_tied(AT_WORDS)})(?={_LABEL}(?:[.{SURE}{UNSURE}]{_LABEL})*[{SURE}{UNSURE}](?:{_words(ENDINGS)})(?![A-Za-z0-9-]))"
+    rf"|(?:{_bare((*AT_WORDS[1:], '@'))})(?={_labels}(?:{SURE}|{UNSURE}(?!(?-i:[A-Z][a-z]))){_ending})"
+    rf"|(?:{_tied(AT_WORDS)})(?={_labels}{SURE}{_ending})"
+    rf"|(?:{_bare(AT_WORDS[:1])})(?!(?:{_words(PROSE)})[{SURE}{UNSURE}])(?={_labels}{SURE}(?!(?:{_words(PROSE_AFTER)})(?![A-Za-z0-9-])){_ending})", re.I)
 _DIGIT_OF = {w: d for d, words in DIGIT_WORDS.items() for w in words}
 _SPELLED = re.compile(rf"(?<!\w)(?:{_words(_DIGIT_OF)})(?:[\s,-]+(?:{_words(_DIGIT_OF)}))*(?!\w)", re.I)
 _DIGIT_WORD = re.compile(rf"{_words(_DIGIT_OF)}", re.I)
-_BESIDE = re.compile(r"[0-9\x00]")
+_BESIDE = re.compile(f"[0-9{SURE}{UNSURE}]")
 _PLUS = re.compile(rf"(?<!\w)(?:{_words(PLUS_WORDS)})\s+(?=[0-9(])", re.I)
 _MAY_DOT = re.compile(rf"{_words(DOT_WORDS)}|[(\[{{<]\s*\.|\s\.\s", re.I)
 
@@ -208,12 +223,12 @@ def rewrite(text: str) -> Tape:
         tape.edit([(*m.span(), "") for m in _UNSEEN.finditer(tape.text)])
         tape.replace(tape.text.translate(_HOMOGLYPHS))
     if _MAY_DOT.search(tape.text):  # a dot that was disguised is written as a mark until the at signs are decided
-        tape.edit([(*m.span(), "\x00") for m in _DOT.finditer(tape.text)])
+        tape.edit([(*m.span(), UNSURE if _PROSE_DOT.fullmatch(m[0]) else SURE) for m in _DOT.finditer(tape.text)])
     tape.edit([e for e in _digit_edits(tape.text) if e[0] < e[1]])
     tape.edit([(*m.span(), "@") for m in _AT.finditer(tape.text)])
     tape.edit([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
     if tape.start is not None:
-        tape.replace(tape.text.replace("\x00", "."))
+        tape.replace(tape.text.replace(SURE, ".").replace(UNSURE, "."))
     return tape
 
 

@@ -107,3 +107,27 @@ def test_odd_rows(spark):
     got = [[(s.kind, s.start, s.end, s.added) for s in r.spans] for r in out.collect()]
     assert got == [[], [], [("email", 0, 6, False)], [("email", 0, 6, False)], [("email", 0, 11, True)]]
     assert find_identifiers(docs.limit(0), "text").collect() == []
+
+
+@pytest.mark.parametrize("text,normal", [
+    ("jane at mail dot in", "jane@mail.in"), ("maria arroba correo punto cl", "maria@correo.cl"), ("john_at_mail_dot_ai", "john@mail.ai"),
+    ("x jane-at-mail-dot-xyz y", "jane@mail.xyz"), ("jane at mail dot co dot nz today", "jane@mail.co.nz"), ("jane @ mail . app", "jane@mail.app"),
+    ("juan arroba correo point kr", "juan@correo.kr"), ("JANE AT MAIL DOT AU", "JANE@MAIL.AU"), ("jane at mail dot photography.", "jane@mail.photography"),
+    ("write to jane at mail.example dot cz now", "jane@mail.example.cz"), ("jane at mail[.]ie", "jane@mail.ie"), ("jane at the dot com", "jane@the.com")])
+def test_any_ending_when_at_and_dot_are_disguised(text, normal):
+    found = disguised(text, detect(text))
+    assert [n for _, n in found] == [normal]
+    (start, _, end), _ = found[0]
+    assert text[start:end].lower().startswith(normal[:4].lower()) and text[:end].lower().endswith(normal.rsplit(".", 1)[1].lower())
+
+
+@pytest.mark.parametrize("text", [
+    "look at the dot in it", "staring at polka dot dresses", "we met at home . then we left", "a party @ home . Then we left", "we were at work dot and then",
+    "stop at this point in the text", "she stood at one dot of ink", "come at nine dot dot dot", "at any point we look at his dot art"])
+def test_prose_with_at_and_dot_is_left_alone(text):
+    assert disguised(text, detect(text)) == []
+
+
+def test_long_chains_take_linear_time():
+    text = "x at " + "a dot " * 100_000 + "1"
+    assert disguised(text, detect(text)) == []
