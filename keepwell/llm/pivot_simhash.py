@@ -84,7 +84,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
             spans = list(zip(starts.tolist(), ends[shingle - 1:].tolist()))
             for at in range(0, len(spans), 1 << 16):
                 add([code(line[a:b], 42) for a, b in spans[at:at + (1 << 16)]])
-        carry = words[len(words) - shingle + 1:] if shingle > 1 else []
+        carry = words[max(0, len(words) - shingle + 1):] if shingle > 1 else []
     if n == 0 and carry:
         add([code(b" ".join(carry), 42)])
     return sum(1 << int(b) for b in np.flatnonzero(2 * ones > n))

@@ -117,7 +117,7 @@ def search_text(text: str | None, classes: list[LengthClass]) -> tuple[int, list
             skip = max(0, len(carry) - c.m + 1)
             c.search(words[skip:] if skip else words, base + skip, spans, items)
         n += len(part)
-        carry = words[len(words) - longest + 1:] if longest > 1 else []
+        carry = words[max(0, len(words) - longest + 1):] if longest > 1 else []
         if len(spans) > 10_000:
             spans = merged(spans)
     return n, merged(spans), items

@@ -97,3 +97,13 @@ def test_components_of_a_long_path(spark):
     path = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     assert {r.root for r in components(path).collect()} == {0}
     assert components(path.limit(0)).collect() == []
+
+
+def test_wide_shingles_over_slices_of_few_words(monkeypatch):
+    import keepwell.llm.pivot_simhash as module
+
+    text = " ".join(f"w{i}" for i in range(30))
+    whole, expected = module._word_slices, fingerprint(text, 6)
+    for size in (1, 4, 9, 12):
+        monkeypatch.setattr(module, "_word_slices", lambda t: whole(t, size))
+        assert fingerprint(text, 6) == expected

@@ -59,3 +59,15 @@ def test_operator_in_parts_and_odd_rows(spark):
             assert (r.n_words, r.n_hit, set(r["items"])) == (n, len(hit), owners)
     assert decontaminate(docs, bench.limit(0), "item_id", "body").where("n_hit > 0").count() == 0
     assert decontaminate(docs.limit(0), bench, "item_id", "body").count() == 0
+
+
+def test_wide_windows_over_slices_of_one_or_two_words(monkeypatch):
+    import keepwell.llm.wu_manber as module
+
+    text = " ".join(f"w{i}" for i in range(40))
+    items = [(str(i), " ".join(f"w{k}" for k in range(i, i + 10))) for i in (0, 1, 3, 7, 29)]
+    classes = length_classes(items, 10)
+    for size in (1, 2, 4, 15, 20, 24):
+        monkeypatch.setattr(module, "word_slices", lambda t: word_slices(t, size))
+        got = search_text(text, classes)
+        assert got == (40, [(0, 17), (29, 39)], {"0", "1", "3", "7", "29"})
