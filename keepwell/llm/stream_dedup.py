@@ -56,8 +56,12 @@ def exact_name(path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]"
 
 
+MAX_AGE = "36500d"
+
+
 def _stream(spark: SparkSession, path: str, schema, files_per_batch: int) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    # without a long age, a run taken up again passes over new files that are dated a week before the newest one seen
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", MAX_AGE).parquet(path)
 
 
 def ingest(spark: SparkSession, path: str, key: str, text: str, digest, folder: str, files_per_batch: int) -> DataFrame:

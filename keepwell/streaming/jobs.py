@@ -12,7 +12,9 @@ from keepwell.session import scratch_path
 
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     """A Parquet table (one file or a folder) as a stream. Neighbours of a similar name are not read."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(exact_name(path))
+    # files of any date are read, also when a run is taken up again
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "36500d")
+            .parquet(exact_name(path)))
 
 
 def exact_name(path: str) -> str:

@@ -57,3 +57,32 @@ def test_state_lasts_over_restarts(spark, tmp_path):
 
 def test_exact_name():
     assert exact_name("/a/b.parquet/") == "/a/b.parque[t]"
+
+
+def test_old_dated_files_of_a_later_run_are_read(spark, tmp_path):
+    import os
+    import time
+
+    from keepwell.llm.stream_dedup import dedup
+    from keepwell.streaming.jobs import read_files
+
+    path, folder = str(tmp_path / "docs"), str(tmp_path / "progress")
+
+    def streamed():
+        rows = read_files(spark, path, spark.read.parquet(path).schema)
+        (rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/rows-progress")
+         .trigger(availableNow=True).start().awaitTermination())
+        return spark.read.parquet(f"{folder}/rows").count()
+
+    def add(rows, days):
+        before = set(tmp_path.glob("docs/part-*"))
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+        for file in set(tmp_path.glob("docs/part-*")) - before:
+            os.utime(file, (time.time() - days * 86400,) * 2)
+
+    add([(2, "a"), (3, "b")], 0)
+    assert dedup(spark, path, folder=f"{folder}/dedup").count() == 2 and streamed() == 2
+    add([(1, "a"), (4, "c")], 30)
+    rows = {r.id: (r.keep_id, r.group_size, r.kept) for r in dedup(spark, path, folder=f"{folder}/dedup").collect()}
+    assert rows == {1: (1, 2, True), 2: (1, 2, False), 3: (3, 1, True), 4: (4, 1, True)}
+    assert streamed() == 4
