@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from keepwell.llm import (  # noqa: F401  (importing registers)
-    q_alignment, q_audit, q_decontaminate, q_exact, q_lines, q_lm, q_packing, q_pii, q_quality, q_simhash, q_url, q_warc,
+    q_alignment, q_audit, q_decontaminate, q_exact, q_lines, q_lm, q_nearest, q_packing, q_pii, q_quality, q_simhash, q_url, q_warc,
 )
 from keepwell.llm.base import ORACLES, QUERIES
 
