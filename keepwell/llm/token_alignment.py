@@ -27,7 +27,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -39,15 +39,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from keepwell.session import settle
 
-BLOCK_CHARS = 2_000_000
-BLOCK_ROWS = 4096
+BLOCK_CHARS = 500_000
+BLOCK_ROWS = 2048
 LINKS_AT_ONCE = 1 << 22
 LARGE_GROUP = 4096  # links from which a group's equal ids are counted before they are paired
 TABLE_WORDS = 1 << 18
-TABLE_IDS = 1 << 22
+TABLE_PAIRS = 1 << 22
 SENT_PAIRS = 1 << 20
 LANE = 64
 
+#: Fixed value: the split of byte-level tokenizer files.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 
 
@@ -67,9 +69,9 @@ class ByteLevel:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        letters = _byte_letters()
-        self.bytes = [b""] * (max(self.tokenizer.get_vocab().values()) + 1)
-        for token, i in self.tokenizer.get_vocab().items():
+        letters, vocabulary = _byte_letters(), self.tokenizer.get_vocab()
+        self.bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
             known = all(c in letters for c in token)
             self.bytes[i] = bytes(letters[c] for c in token) if known else token.encode()
         with open(path, encoding="utf-8") as file:
@@ -78,8 +80,25 @@ class ByteLevel:
         #: The byte-level pattern never joins a space to what stands before it.
         self.words = (parts.get("normalizer") is None and split.get("type") == "ByteLevel"
                       and not split.get("add_prefix_space", True) and split.get("use_regex", True))
+        self.ranked = self._ranked(parts["model"]) if self.words else None
+
+    def _ranked(self, model: dict):
+        """The same vocabulary as ranks, where ids stand in the order of the merges: a faster library then gives the same ids."""
+        if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            return None
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(set(merged)) or (merged and merged[0] < 256):
+            return None
+        import tiktoken
+
+        special = {t["id"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]}
+        ranks = {b: i for i, b in enumerate(self.bytes) if i not in special}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked is not None:
+            encode = self.ranked.encode_ordinary
+            return [encode(" " + t) for t in texts]
         return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
 
 
@@ -93,7 +112,7 @@ class Pieces:
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
                       for i, p in enumerate(names)]
-        probe = "a  ﬁ éé \t  b "
+        probe = "a  ﬁ éé \t  b "
         #: No piece has a space after another character, and texts are taken as they are.
         self.words = (all(re.fullmatch("▁*[^▁]*", p) for p in names)
                       and self.model.normalize(probe) == "▁" + probe.replace(" ", "▁"))
@@ -102,75 +121,6 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def _flat(lists, kind: str) -> array:
-    return array(kind, chain.from_iterable(lists))
-
-
-class Words:
-    """Ids of both sides per piece of text that starts after a space, computed once and looked up."""
-
-    def __init__(self, path_a: str, path_b: str):
-        self.sides = (ByteLevel(path_a), Pieces(path_b))
-        self.cut = all(s.words for s in self.sides)
-        self.lengths = [np.array([len(b) for b in s.bytes], dtype=np.int64) for s in self.sides]
-        size_a, size_b = (len(s.bytes) for s in self.sides)
-        self.size_b = size_b
-        inner, last = [f"{i}," for i in range(max(size_a, size_b))], [[f"{i}{end}" for i in range(n)] for n, end in ((size_a, "|"), (size_b, ";"))]
-        self.spelled = np.array([x for n, ends in zip((size_a, size_b), last) for pair in zip(inner[:n], ends) for x in pair], dtype=object)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = (array("i"), array("i"))
-        self.starts = (array("q", [0]), array("q", [0]))
-        self.sound = bytearray()
-
-    def pieces(self, text: str) -> list[str]:
-        """What stands after the cut spaces of space+text."""
-        if not text:
-            return []
-        if not self.cut:
-            return [text]
-        if text.isprintable() and "  " not in text and text[0] != " " and text[-1] != " ":
-            return text.split(" ")
-        return [p[1:] for p in CUT.split(" " + text)]
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.index) > TABLE_WORDS or sum(map(len, self.ids)) > TABLE_IDS:
-            self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if not new:
-            return
-        found = [side.ids(new) for side in self.sides]
-        for number, (word, a, b) in enumerate(zip(new, *found), len(self.index)):
-            self.index[word] = number
-            wanted = (" " + word).encode()
-            self.sound.append(all(b"".join(map(s.bytes.__getitem__, x)) == wanted for s, x in zip(self.sides, (a, b))))
-            for side, ids in enumerate((a, b)):
-                self.ids[side].extend(ids)
-                self.starts[side].append(len(self.ids[side]))
-
-    def tokens(self, side: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words at these places, one after the other, and how many each word has."""
-        starts = np.frombuffer(self.starts[side], dtype=np.int64)
-        first, n = starts[at], starts[at + 1] - starts[at]
-        total = int(n.sum())
-        place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)
-        ids = np.frombuffer(self.ids[side], dtype=np.int32)[place] if total else np.empty(0, np.int32)
-        return ids.astype(np.int64), n
-
-    def joins(self, text: str, at: np.ndarray) -> bool:
-        """Whether the tokens of a whole text, of both sides, join to its bytes."""
-        wanted = (" " + text).encode()
-        return all(b"".join(s.bytes[i] for i in self.tokens(n, at)[0]) == wanted for n, s in enumerate(self.sides))
-
-
-@cache
-def words_of(path_a: str, path_b: str) -> Words:
-    """One table per Python worker."""
-    return Words(path_a, path_b)
-
-
 def common_ends(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in both ascending lists of the values that both hold.
 
@@ -210,105 +160,181 @@ def common_ends(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, times
+    """Ascending distinct keys with their summed times; most occur once and are sorted without their times."""
+    once = np.sort(keys[times == 1])
+    first = np.flatnonzero(np.append(True, once[1:] != once[:-1])) if len(once) else np.empty(0, np.int64)
+    single, n = once[first], np.diff(np.append(first, len(once)))
+    if len(once) == len(keys):
+        return single, n
+    keys, times = np.append(single, keys[times != 1]), np.append(n, times[times != 1])
     order = np.argsort(keys, kind="stable")
     keys, times = keys[order], times[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return keys[first], np.add.reduceat(times, first)
 
 
-def distinct_links(ids: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], doc: np.ndarray,
+def _places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., n[0] of them, then those from first[1] on, and so forth."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def distinct_links(ids: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], text: np.ndarray,
                    width: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending doc * span + a * width + b over all links of all groups, and how often each occurs.
+    """Ascending text * span + a * width + b over all links of all groups, and how often each occurs.
 
-    ``sizes`` are the tokens of each group on both sides, ``doc`` the document of each group.
+    ``sizes`` are the tokens of each group on both sides, ``text`` the text of each group.
     """
     na, nb = sizes
     first_a, first_b = (np.cumsum(s) - s for s in sizes)
     links = na * nb
     large = links > LARGE_GROUP
-    keys, times = [], []
+    keys, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
-    def keep(k, t):
-        k, t = _summed(k, t)
-        keys.append(k)
-        times.append(t)
+    def keep(found: tuple[np.ndarray, np.ndarray]) -> None:
+        keys.append(found[0])
+        times.append(found[1])
 
     small = np.flatnonzero(~large)
     before = np.cumsum(links[small]) // LINKS_AT_ONCE
     for part in np.split(small, np.flatnonzero(np.diff(before)) + 1):
         # A tokens of these groups, each repeated for every B token of its group
-        group = np.repeat(part, na[part])
-        a = np.repeat(first_a[part] - (np.cumsum(na[part]) - na[part]), na[part]) + np.arange(len(group))
+        group, a = np.repeat(part, na[part]), _places(first_a[part], na[part])
         n = nb[group]
-        b = np.repeat(first_b[group] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        keep(np.repeat(doc[group] * span + ids[0][a] * width, n) + ids[1][b], np.ones(len(b), dtype=np.int64))
+        key = np.repeat(text[group] * span + ids[0][a] * width, n) + ids[1][_places(first_b[group], n)]
+        keep(_summed(key, np.ones(len(key), dtype=np.int64)))
     for g in np.flatnonzero(large):
         ua, ca = np.unique(ids[0][first_a[g]:first_a[g] + na[g]], return_counts=True)
         ub, cb = np.unique(ids[1][first_b[g]:first_b[g] + nb[g]], return_counts=True)
         step = max(1, LINKS_AT_ONCE // len(ub))
         for i in range(0, len(ua), step):
-            keep((doc[g] * span + ua[i:i + step, None] * width + ub).ravel(), (ca[i:i + step, None] * cb).ravel())
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+            keep(((text[g] * span + ua[i:i + step, None] * width + ub).ravel(), (ca[i:i + step, None] * cb).ravel()))
     return _summed(np.concatenate(keys), np.concatenate(times))
 
 
-def align_block(words: Words, texts: list[str]) -> dict[str, object]:
-    """Counts per text, its groups as text, and its distinct linked pairs with their occurrences."""
-    pieces = [words.pieces(t) for t in texts]
-    words.learn(list(chain.from_iterable(pieces)))
-    at = np.fromiter(map(words.index.__getitem__, chain.from_iterable(pieces)), dtype=np.int64)
-    n_pieces = np.array([len(p) for p in pieces], dtype=np.int64)
-    bounds = np.append(0, np.cumsum(n_pieces))
-    sound = np.frombuffer(bytes(words.sound), dtype=np.uint8)[at] if len(at) else np.empty(0, np.uint8)
-    odd = np.append(0, np.cumsum(sound == 0))
-    for i in np.flatnonzero(odd[bounds[1:]] > odd[bounds[:-1]]):
-        if not words.joins(texts[i], at[bounds[i]:bounds[i + 1]]):
-            n_pieces[i] = -n_pieces[i]  # has no tokens
-    piece_doc = np.repeat(np.arange(len(texts)), np.abs(n_pieces))
-    used = n_pieces[piece_doc] > 0
-    at, piece_doc = at[used], piece_doc[used]
-
-    ids, doc, n_tokens, ends = [], [], [], []
-    for side in (0, 1):
-        tokens, n = words.tokens(side, at)
-        ids.append(tokens)
-        doc.append(np.repeat(piece_doc, n))
-        n_tokens.append(np.bincount(doc[side], minlength=len(texts)))
-        ends.append(np.cumsum(words.lengths[side][tokens]))  # texts follow each other, so both sides end each text alike
-    meets = ([], [])
-    a_drives = n_tokens[0] <= n_tokens[1]
-    for driver, driven in ((0, a_drives), (1, ~a_drives)):
-        mine, other = (np.flatnonzero(driven[doc[s]]) for s in (driver, 1 - driver))
-        i, j = common_ends(ends[driver][mine], ends[1 - driver][other])
-        meets[driver].append(mine[i])
-        meets[1 - driver].append(other[j])
-    last = [np.sort(np.concatenate(m)) for m in meets]
-    sizes = tuple(np.diff(m, prepend=-1) for m in last)
-    group_doc = doc[0][last[0]]
-    n_groups = np.bincount(group_doc, minlength=len(texts))
-    group_bounds = np.append(0, np.cumsum(n_groups))
-    links = np.append(0, np.cumsum(sizes[0] * sizes[1]))
-
-    # each group's A tokens, then its B tokens
-    offsets = (np.cumsum(sizes[1]) - sizes[1], np.cumsum(sizes[0]))
-    spelled = np.empty(len(ids[0]) + len(ids[1]), dtype=np.int64)
-    for side in (0, 1):
-        place = np.arange(len(ids[side])) + np.repeat(offsets[side], sizes[side])
-        code = ids[side] * 2 + 2 * side * len(words.lengths[0])
-        code[last[side]] += 1
-        spelled[place] = code
-    bounds = np.append(0, np.cumsum(n_tokens[0] + n_tokens[1]))
-    groups = ["".join(words.spelled[spelled[s:e]].tolist())[:-1] for s, e in zip(bounds[:-1], bounds[1:])]
-
-    span = len(words.lengths[0]) * words.size_b
-    keys, times = distinct_links(tuple(ids), sizes, group_doc, words.size_b, span)
-    pair_bounds = np.searchsorted(keys, np.arange(len(texts) + 1) * span)
-    return {"n_a": n_tokens[0], "n_b": n_tokens[1], "n_groups": n_groups,
-            "n_links": links[group_bounds[1:]] - links[group_bounds[:-1]], "groups": groups,
-            "pairs": (pair_bounds, keys % span), "times": (pair_bounds, times)}
+class Aligner:
+    """Both tokenizers, loaded once per worker, and what was found for words seen before.
+
+    A word is what stands between cut spaces; where the files allow no cut it is the text.
+    Both sides end a token at its end, so a text's groups are those of its words.
+    """
+
+    def __init__(self, path_a: str, path_b: str):
+        self.sides = (ByteLevel(path_a), Pieces(path_b))
+        self.cut = all(s.words for s in self.sides)
+        self.lengths = [np.array([len(b) for b in s.bytes], dtype=np.int64) for s in self.sides]
+        self.width = len(self.sides[1].bytes)
+        self.span = len(self.sides[0].bytes) * self.width
+        # per id: inside a group, and as its side's last one there
+        self.spelled = np.array([f"{i}{end}" for s, last in zip(self.sides, "|;") for i in range(len(s.bytes)) for end in "," + last], dtype=object)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.numbers = {n: array("q") for n in ("n_a", "n_b", "n_groups", "n_links", "sound")}
+        self.bounds, self.pairs, self.times = array("q", [0]), array("q"), array("q")
+
+    def words(self, text: str) -> list[str]:
+        """What stands after the cut spaces of space+text."""
+        if not text:
+            return []
+        if not self.cut:
+            return [text]
+        if text.isprintable() and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [p[1:] for p in CUT.split(" " + text)]
+
+    def learn(self, words: Iterable[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        if not new:
+            return
+        found = self.align(new)
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.groups.extend(found["groups"])
+        for n, values in self.numbers.items():
+            values.frombytes(found[n].astype(np.int64).tobytes())
+        bounds, pairs, times = found["links"]
+        self.bounds.frombytes((bounds[1:] + len(self.pairs)).astype(np.int64).tobytes())
+        self.pairs.frombytes(pairs.tobytes())
+        self.times.frombytes(times.tobytes())
+
+    def align(self, texts: list[str]) -> dict[str, object]:
+        """Tokens of both sides of space+text, their common ends, the groups between and the links in them."""
+        count, wanted = len(texts), [(" " + t).encode() for t in texts]
+        found = [side.ids(texts) for side in self.sides]
+        sound = np.ones(count, dtype=bool)
+        for side, lists in zip(self.sides, found):
+            for i, (ids, w) in enumerate(zip(lists, wanted)):
+                if b"".join(map(side.bytes.__getitem__, ids)) != w:
+                    sound[i] = False
+        found = [[ids if s else [] for ids, s in zip(lists, sound)] for lists in found]
+        n_tokens = [np.fromiter(map(len, lists), dtype=np.int64, count=count) for lists in found]
+        ids = [np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(n.sum())) for lists, n in zip(found, n_tokens)]
+        text = [np.repeat(np.arange(count), n) for n in n_tokens]
+        ends = [np.cumsum(lengths[i]) for lengths, i in zip(self.lengths, ids)]  # texts in a row: both sides end each text alike
+        meets = ([], [])
+        a_drives = n_tokens[0] <= n_tokens[1]
+        for driver, driven in ((0, a_drives), (1, ~a_drives)):
+            mine, other = (np.flatnonzero(driven[text[s]]) for s in (driver, 1 - driver))
+            i, j = common_ends(ends[driver][mine], ends[1 - driver][other])
+            meets[driver].append(mine[i])
+            meets[1 - driver].append(other[j])
+        last = [np.sort(np.concatenate(m)) for m in meets]
+        sizes = tuple(np.diff(m, prepend=-1) for m in last)
+        owner = text[0][last[0]]
+        n_groups = np.bincount(owner, minlength=count)
+        group_bounds = np.append(0, np.cumsum(n_groups))
+        links = np.append(0, np.cumsum(sizes[0] * sizes[1]))
+
+        # each group's A tokens, then its B tokens
+        offsets = (np.cumsum(sizes[1]) - sizes[1], np.cumsum(sizes[0]))
+        codes = np.empty(len(ids[0]) + len(ids[1]), dtype=np.int64)
+        for side in (0, 1):
+            code = ids[side] * 2 + 2 * side * len(self.lengths[0])
+            code[last[side]] += 1
+            codes[np.arange(len(code)) + np.repeat(offsets[side], sizes[side])] = code
+        bounds = np.append(0, np.cumsum(n_tokens[0] + n_tokens[1])).tolist()
+        spelled = self.spelled[codes].tolist()
+        keys, times = distinct_links(tuple(ids), sizes, owner, self.width, self.span)
+        link_bounds = np.searchsorted(keys, np.arange(count + 1) * self.span)
+        return {"n_a": n_tokens[0], "n_b": n_tokens[1], "n_groups": n_groups, "sound": sound,
+                "n_links": np.diff(links[group_bounds]), "groups": ["".join(spelled[s:e])[:-1] for s, e in zip(bounds, bounds[1:])],
+                "links": (link_bounds, keys % self.span, times)}
+
+    def block(self, texts: list[str]) -> dict[str, object]:
+        """Counts per text, its groups spelled out, and its distinct linked pairs with their occurrences."""
+        if len(self.index) > TABLE_WORDS or len(self.pairs) > TABLE_PAIRS:
+            self.clear()
+        words = [self.words(t) for t in texts]
+        self.learn(chain.from_iterable(words))
+        sound = self.numbers["sound"]
+        for i, (text, own) in enumerate(zip(texts, words)):
+            if not all(map(sound.__getitem__, map(self.index.__getitem__, own))):
+                self.learn([text])  # the cut may be what keeps a word's tokens from joining to its bytes
+                words[i] = [text] if sound[self.index[text]] else []
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), dtype=np.int64)
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words))))
+        out: dict[str, object] = {
+            n: np.diff(np.append(0, np.cumsum(np.frombuffer(self.numbers[n], dtype=np.int64)[at]))[ends]) if len(at) else np.zeros(len(texts), np.int64)
+            for n in ("n_a", "n_b", "n_groups", "n_links")}
+        places = at.tolist()
+        out["groups"] = [";".join(map(self.groups.__getitem__, places[s:e])) for s, e in zip(ends.tolist(), ends.tolist()[1:])]
+        if len(at):
+            bounds = np.frombuffer(self.bounds, dtype=np.int64)
+            first, n = bounds[at], bounds[at + 1] - bounds[at]
+            place = _places(first, n)
+            owner = np.repeat(np.repeat(np.arange(len(texts)), np.diff(ends)), n)
+            keys, times = _summed(np.frombuffer(self.pairs, dtype=np.int64)[place] + owner * self.span, np.frombuffer(self.times, dtype=np.int64)[place])
+        else:
+            keys = times = np.empty(0, np.int64)
+        pair_bounds = np.searchsorted(keys, np.arange(len(texts) + 1) * self.span)
+        return out | {"pairs": (pair_bounds, keys % self.span), "times": (pair_bounds, times)}
+
+
+@cache
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """One per Python worker."""
+    return Aligner(path_a, path_b)
 
 
 _LONG = T.LongType()
@@ -332,7 +358,7 @@ def aligned(docs: DataFrame, key: str, text: str, path_a: str, path_b: str) -> D
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, row = words_of(path_a, path_b), TaskContext.get().partitionId() << 33
+        side_by_side, row = aligner(path_a, path_b), TaskContext.get().partitionId() << 33
         for batch in batches:
             start, chars, texts = 0, 0, []
             for i, value in enumerate(batch.column(1)):
@@ -340,7 +366,7 @@ def aligned(docs: DataFrame, key: str, text: str, path_a: str, path_b: str) -> D
                 chars += len(texts[-1])
                 if chars < BLOCK_CHARS and len(texts) < BLOCK_ROWS and i + 1 < batch.num_rows:
                     continue
-                out = align_block(words, texts)
+                out = side_by_side.block(texts)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, len(texts)), pa.array(np.arange(row, row + len(texts))),
                     *[pa.array(out[n], pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")],
@@ -419,6 +445,5 @@ def alignment(docs: DataFrame, key: str, text: str, path_a: str, path_b: str, ke
     keep = keep or {"groups": F.col("groups")}
     links = settle(aligned(docs, key, text, path_a, path_b).select(
         "key", "row", "n_a", "n_b", "n_groups", "n_links", "pairs", "times", *[c.alias(n) for n, c in keep.items()]), "links")
-    width = len(words_of(path_a, path_b).sides[1].bytes)
-    counts = settle(pair_counts(links, width), "pair-best")
+    counts = settle(pair_counts(links, aligner(path_a, path_b).width), "pair-best")
     return link_scores(links, counts, most).drop("row").withColumnRenamed("key", key)

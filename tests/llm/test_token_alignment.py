@@ -90,15 +90,25 @@ def test_empty_table(spark):
     assert TA.alignment(docs, "doc_id", "text", *PATHS).collect() == []
 
 
-def test_cut_texts_have_the_tokens_of_whole_texts():
-    words = TA.Words(*PATHS)
-    assert words.cut
-    for text in filter(None, ODD):
-        pieces = words.pieces(text)
-        words.learn(pieces)
-        at = np.array([words.index[p] for p in pieces])
-        for side in (0, 1):
-            assert words.tokens(side, at)[0].tolist() == words.sides[side].ids([text])[0], text
+def test_cut_texts_are_aligned_like_whole_texts():
+    cut, whole = TA.Aligner(*PATHS), TA.Aligner(*PATHS)
+    assert cut.cut and cut.sides[0].ranked is not None
+    whole.cut = False
+    whole.sides[0].ranked = None  # the file's own library
+    one, other = cut.block([t or "" for t in ODD]), whole.block([t or "" for t in ODD])
+    for name, values in one.items():
+        if name in ("pairs", "times"):
+            assert [v.tolist() for v in values] == [v.tolist() for v in other[name]], name
+        else:
+            assert list(values) == list(other[name]), name
+
+
+def test_forgotten_words_are_found_again(monkeypatch):
+    texts, kept = [t or "" for t in ODD], TA.Aligner(*PATHS)
+    before = kept.block(texts)
+    monkeypatch.setattr(TA, "TABLE_WORDS", 3)
+    again = kept.block(texts)
+    assert again["groups"] == before["groups"] and again["pairs"][1].tolist() == before["pairs"][1].tolist()
 
 
 def test_galloping_search_finds_what_a_set_finds():
