@@ -45,16 +45,31 @@ def stream_login_windows_30d(spark, sf):
     return rounded(jobs.login_averages(done, "user_id", 30).select(_naive("window_end"), "user_id", "logins_30d_rolling_avg"))
 
 
-@query("stream_outcome_dedup", f"""WITH {D.OUTCOMES}
-SELECT id, customer_id, outcome FROM outcomes""")
-def stream_outcome_dedup(spark, sf):
+def _deliveries(spark, sf):
     """Every outcome is delivered again at once, and once more forty days later."""
     events = _stream(spark, sf, "events").where("event_type IN ('purchase', 'error')")
-    delivered = events.withColumn("delay", F.explode(F.array(F.lit(0), F.lit(0), F.lit(40)))).select(
+    return events.withColumn("delay", F.explode(F.array(F.lit(0), F.lit(0), F.lit(40)))).select(
         F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("customer_id"),
         (F.col("event_type") == "purchase").cast("int").alias("outcome"),
         (F.col("ts") + F.make_interval(days=F.col("delay"))).alias("timestamp"))
-    return jobs.log_outcomes(delivered, scratch_path(spark, "outcomes")).select("id", "customer_id", "outcome")
+
+
+@query("stream_outcome_dedup", f"""WITH {D.OUTCOMES}
+SELECT id, customer_id, outcome FROM outcomes""")
+def stream_outcome_dedup(spark, sf):
+    return jobs.log_outcomes(_deliveries(spark, sf), scratch_path(spark, "outcomes")).select("id", "customer_id", "outcome")
+
+
+@query("stream_outcome_rejects", f"""WITH {D.OUTCOMES}
+SELECT 'logged' AS state, id, customer_id, outcome FROM outcomes WHERE id % 7 != 0
+UNION ALL SELECT 'rejected', NULL, customer_id, outcome FROM outcomes, range(3) WHERE id % 7 = 0""")
+def stream_outcome_rejects(spark, sf):
+    """Some outcomes come without an identifier: each delivery of them is kept, apart from the log."""
+    some = F.when(F.col("id") % 7 != 0, F.col("id"))
+    delivered, root = _deliveries(spark, sf).withColumn("id", some), scratch_path(spark, "outcomes")
+    logged = jobs.log_outcomes(delivered, root).withColumn("state", F.lit("logged"))
+    rejected = jobs.rejected_outcomes(spark, root, delivered.schema).withColumn("state", F.lit("rejected"))
+    return logged.unionByName(rejected).select("state", "id", "customer_id", "outcome")
 
 
 @query("stream_ticket_features", f"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -82,27 +85,48 @@ def run_available(stream: DataFrame, name: str, root: str | None = None) -> Data
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def log_outcomes(outcomes: DataFrame, root: str, key: str = "id", time: str = "timestamp") -> DataFrame:
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB on the executors; the session's own settings come back."""
+    before = {name: spark.conf.get(name, None) for name in STATE_ON_DISK}
+    for name, value in STATE_ON_DISK.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def first_deliveries(outcomes: DataFrame, key: str = "id") -> DataFrame:
+    """Each identifier's outcome once, for good: its key stays in state without expiry. Rows without one are left out."""
+    return outcomes.where(F.col(key).isNotNull()).dropDuplicates([key])
+
+
+def log_outcomes(outcomes: DataFrame, root: str, key: str = "id") -> DataFrame:
     """Adds each outcome to the log below ``root`` once, however late it is delivered again.
 
-    A batch is reduced to one row per id, the earliest by ``time``, and ids that the
-    log already holds are left out; the log keeps one folder per batch, so a batch that
-    is repeated after a failure replaces its own rows. Returns the whole log.
+    The identifiers logged so far are keyed state on disk, not read back from the log: a
+    batch costs what its own rows cost. Of copies that arrive in one batch, any one is
+    logged. Rows without identifier cannot be told from redeliveries; all of them go to a
+    table of their own, ``rejected_outcomes``. Both tables are written exactly once per
+    row by the file sink, also when a run stops and is taken up again. Returns the log.
     """
-    spark, schema = outcomes.sparkSession, outcomes.schema
-    log = f"{root}/log"
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{log}/batch=-1")
-
-    def add(batch: DataFrame, number: int) -> None:
-        first = batch.groupBy(key).agg(F.min(F.struct(time, *[c for c in batch.columns if c not in (key, time)])).alias("f"))
-        rows = first.select(key, "f.*").select(*batch.columns)
-        known = spark.read.option("basePath", log).parquet(log).where(F.col("batch") != number).select(key)
-        rows.join(known, key, "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{log}/batch={number}")
-
-    query = (outcomes.writeStream.foreachBatch(add).option("checkpointLocation", f"{root}/progress")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.parquet(log).drop("batch")
+    with state_on_disk(outcomes.sparkSession):
+        log = run_available(first_deliveries(outcomes, key), "outcomes", f"{root}/accepted")
+    run_available(outcomes.where(F.col(key).isNull()), "rejected", f"{root}/rejected")
+    return log
+
+
+def rejected_outcomes(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The rows that ``log_outcomes`` could not log, each as often as it was delivered."""
+    return spark.read.schema(schema).parquet(f"{root}/rejected/out")
 
 
 def append_to(stream: DataFrame, path: str, progress: str):

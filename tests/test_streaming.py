@@ -57,6 +57,39 @@ def test_outcomes_are_logged_once_however_late(spark, tmp_path):
     assert jobs.log_outcomes(stream(spark, path), root).count() == 11
 
 
+def test_outcomes_without_identifier_are_all_kept(spark, tmp_path):
+    path, root = str(tmp_path / "in.parquet"), str(tmp_path / "log")
+    rows = outcome_rows(spark, range(3), "01-01")
+    nameless = rows.withColumn("id", F.lit(None).cast("string"))
+    rows.unionByName(nameless).unionByName(nameless.limit(1)).coalesce(1).write.parquet(path)
+    assert jobs.log_outcomes(stream(spark, path), root).count() == 3
+    assert jobs.rejected_outcomes(spark, root, rows.schema).count() == 4
+    rows.unionByName(nameless).coalesce(1).write.mode("append").parquet(path)
+    log = jobs.log_outcomes(stream(spark, path), root)
+    assert sorted(r.id for r in log.collect()) == ["o0", "o1", "o2"]
+    rejected = jobs.rejected_outcomes(spark, root, rows.schema).collect()
+    assert len(rejected) == 7 and all(r.id is None and r.customer_id for r in rejected)
+
+
+def test_known_outcomes_are_state_and_the_log_is_not_read(spark, tmp_path):
+    path, root = str(tmp_path / "in.parquet"), str(tmp_path / "log")
+    outcome_rows(spark, range(5), "01-01").write.parquet(path)
+    assert jobs.log_outcomes(stream(spark, path), root).count() == 5
+    outcome_rows(spark, range(4, 6), "01-02").write.mode("append").parquet(path)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with jobs.state_on_disk(spark):
+        query = (jobs.first_deliveries(stream(spark, path)).writeStream.format("parquet").option("path", f"{root}/accepted/out")
+                 .option("checkpointLocation", f"{root}/accepted/progress").trigger(availableNow=True).start())
+        query.awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    plan = query._jsq.explainInternal(True)
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert "StreamingDeduplicate" in plan and scans and not [s for s in scans if root in s]
+    state = query.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] == 6 and any("rocksdb" in name for name in state["customMetrics"])
+    assert spark.read.parquet(f"{root}/accepted/out").count() == 6
+
+
 def test_a_named_run_resumes(spark, tmp_path):
     path, root = str(tmp_path / "in.parquet"), str(tmp_path / "run")
     outcome_rows(spark, range(4), "01-01").write.parquet(path)
