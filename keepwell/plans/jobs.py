@@ -55,8 +55,8 @@ def customer_features(customers: DataFrame, bank: DataFrame, ticket_rows: DataFr
 
 
 def build_snapshot(spark: SparkSession, paths: dict[str, str], root: str, snapshot_date: str,
-                   exempt: list[str] | None = None, **options) -> DataFrame:
-    """Reads, checks and writes one snapshot; the manifest row comes last.
+                   exempt: list[str] | None = None, buckets: int | None = None, **options) -> DataFrame:
+    """Reads, checks and writes one snapshot; its commit and then the manifest row come last.
 
     ``paths`` names the customers, bank and tickets files. Raises with all findings
     when a gate fails, before anything but the failed run's manifest row is written.
@@ -77,7 +77,7 @@ def build_snapshot(spark: SparkSession, paths: dict[str, str], root: str, snapsh
     except quality.QualityError:
         tables.append_json(tables.manifest(snapshot, snapshot_date, paths, "FAILED"), f"{root}/manifest")
         raise
-    tables.write_groups(snapshot, root, snapshot_date)
+    tables.write_groups(snapshot, root, snapshot_date, buckets=buckets)
     tables.append_json(tables.manifest(snapshot, snapshot_date, paths), f"{root}/manifest")
     return snapshot
 
@@ -203,8 +203,8 @@ def briefings(scores: DataFrame, customers: DataFrame, documents: DataFrame, emb
     """(key, recommended_action) for scored customers.
 
     Only customers at or above the threshold are searched for. ``documents`` is
-    (doc_id, kind, text); it holds the sections and a bounded number of cases, so
-    the search carries it to the customers.
+    (doc_id, kind, text), the sections and all cases; ``nearest`` carries them to the
+    customers if their size allows, else both sides meet cell by cell.
     """
     rows = scores.select(key, "churn_score", "top_drivers").join(features.model_inputs(customers), key)
     asked = render.with_query_text(rows.where(F.col("churn_score") >= F.lit(threshold)), output="text").select(

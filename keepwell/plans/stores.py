@@ -8,7 +8,7 @@ from keepwell.functions import features, text as T
 from keepwell.plans import views as D
 from keepwell.plans.registry import query
 from keepwell.session import scratch_path
-from keepwell.sources import contracts, tables
+from keepwell.sources import contracts, snapshots, tables
 
 _TWO_GROUPS = {"who": ["customerID", "tenure"], "terms": ["customerID", "Contract"]}
 
@@ -24,6 +24,27 @@ def snapshot_of_date(spark, sf):
     return tables.read_snapshot(spark, root, "2024-03-01", list(_TWO_GROUPS))
 
 
+@query("snapshot_as_committed", f"""WITH {D.CUSTOMERS}
+SELECT '2024-03-01' AS day, 1 AS version, false AS latest, "customerID", tenure, "Contract" FROM customers
+UNION ALL SELECT '2024-03-01', 2, true, "customerID", tenure + 1, "Contract" FROM customers""")
+def snapshot_as_committed(spark, sf):
+    """Two versions of one date, a third one and another date whose writers stopped before their commit: what readers find."""
+    rows = D.customers(spark, sf, accounts=False).select("customerID", "tenure", "Contract")
+    root = scratch_path(spark, "commits")
+    for more in (0, 1):
+        snapshots.write_groups(rows.withColumn("tenure", F.col("tenure") + more), root, "2024-03-01", _TWO_GROUPS)
+    for day in ("2024-03-01", "2024-04-01"):
+        snapshots.write_files(rows.withColumn("tenure", F.lit(-1)), root, day, _TWO_GROUPS)
+    found = None
+    for entry in snapshots.commits(spark, root).orderBy("snapshot_date", "version").collect():  # one per version
+        day, version = entry.snapshot_date, entry.version
+        latest = version == snapshots.versions(spark, root, day)[-1]
+        read = snapshots.read_snapshot(spark, root, day, list(_TWO_GROUPS), None if latest else version)
+        read = read.select(F.lit(day).alias("day"), F.lit(version).alias("version"), F.lit(latest).alias("latest"), *read.columns)
+        found = read if found is None else found.unionByName(read)
+    return found
+
+
 @query("outcome_log", f"""WITH {D.OUTCOMES}
 SELECT customer_id, intervention_type, outcome, count(*) AS n FROM outcomes GROUP BY ALL""")
 def outcome_log(spark, sf):

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
-from pyspark.sql.utils import AnalysisException
 
 from keepwell.functions import text as T, values as V
 from keepwell.functions.features import coded, decoded
 from keepwell.sources.contracts import Contract, require_columns
+from keepwell.sources.snapshots import join_groups, read_group, read_snapshot, write_groups  # noqa: F401
 
 CORRUPT = "_corrupt_record"
 OUTCOME_SCHEMA = "id string, customer_id string, intervention_type string, outcome int, timestamp timestamp"
@@ -45,41 +44,9 @@ def read_source(spark: SparkSession, path: str, contract: Contract, keep_corrupt
     return require_columns(df, contract)
 
 
-def write_groups(snapshot: DataFrame, root: str, snapshot_date: str,
-                 groups: dict[str, list[str]] = V.GROUP_COLUMNS) -> None:
-    """One Parquet table per feature group, one partition per snapshot date."""
-    for name, columns in groups.items():
-        (snapshot.select(*columns).withColumn("snapshot_date", F.lit(snapshot_date))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("snapshot_date").parquet(f"{root}/{name}"))
-
-
-def read_group(spark: SparkSession, root: str, name: str, snapshot_date: str) -> DataFrame:
-    """One group of one date by partition pruning; raises when it was never written."""
-    try:
-        table = spark.read.parquet(f"{root}/{name}/snapshot_date={snapshot_date}")
-    except AnalysisException as missing:
-        raise FileNotFoundError(f"no snapshot {snapshot_date} of {name} in {root}") from missing
-    return table
-
-
-def join_groups(groups: list[DataFrame], key: str = "customerID") -> DataFrame:
-    """Inner joins on the key; a column already present is not taken again."""
-    def add(left: DataFrame, right: DataFrame) -> DataFrame:
-        new = [c for c in right.columns if c == key or c not in left.columns]
-        return left.join(right.select(*new), key, "inner")
-
-    return reduce(add, groups)
-
-
-def read_snapshot(spark: SparkSession, root: str, snapshot_date: str,
-                  groups: list[str] | None = None) -> DataFrame:
-    return join_groups([read_group(spark, root, g, snapshot_date) for g in groups or list(V.GROUP_COLUMNS)])
-
-
 def manifest(snapshot: DataFrame, snapshot_date: str, sources: dict[str, str], status: str | Column = "PASSED",
              reference: str = "N/A - Initial baseline snapshot") -> DataFrame:
-    """One row that describes a run; written last, it marks the snapshot complete."""
+    """One row that describes a run, passed or failed; what readers see is decided by the commits of ``snapshots``."""
     return snapshot.agg(F.count("*").alias("row_count")).select(
         F.lit(snapshot_date).alias("snapshot_date"), F.lit(PIPELINE_VERSION).alias("pipeline_version"),
         "row_count", (status if isinstance(status, Column) else F.lit(status)).alias("status"),

@@ -66,7 +66,7 @@ def test_groups_by_date_and_snapshot(spark, tmp_path):
     march = tables.read_snapshot(spark, root, "2024-03-01", ["one", "two"])
     assert march.columns == ["customerID", "a", "b"] and march.count() == 2
     assert tables.read_snapshot(spark, root, "2024-04-01", ["one", "two"]).count() == 1
-    with pytest.raises(FileNotFoundError, match="2024-05-01 of one"):
+    with pytest.raises(FileNotFoundError, match="no committed snapshot 2024-05-01"):
         tables.read_snapshot(spark, root, "2024-05-01", ["one", "two"])
     partial = tables.join_groups([df, df.limit(1).select("customerID", F.lit(1).alias("c"))])
     assert partial.count() == 1
