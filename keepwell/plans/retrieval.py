@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keepwell.functions import features, render, values as V
-from keepwell.operators import corpus, neighbours, tickets
+from keepwell.operators import corpus, neighbours, tickets, vector_index
 from keepwell.plans import views as D
 from keepwell.plans.registry import query
 from keepwell.plans.risk import _with_drivers, _PARTS, _PHRASE
+from keepwell.session import scratch_path
 
 _K = 10
 _CENTRES = """centres AS (
@@ -31,10 +32,13 @@ near AS (
 def _near(spark, sf, k=_K):
     """The vectors nearest to the centre of each label: few questions against the whole corpus."""
     vectors = D.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    return neighbours.nearest_to_few(_label_centres(vectors), vectors, k, "query_id", "vec_id")
+
+
+def _label_centres(vectors):
     places = vectors.select("label", F.posexplode("vector").alias("d", "v")).groupBy("label", "d").agg(F.avg("v").alias("m"))
-    centres = places.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("p")).select(
+    return places.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("p")).select(
         F.col("label").alias("query_id"), F.transform("p", lambda x: x["m"]).alias("vector"))
-    return neighbours.nearest_to_few(centres, vectors, k, "query_id", "vec_id")
 
 
 def _kinds(spark, sf):
@@ -47,6 +51,16 @@ def knn_l2(spark, sf):
     return _near(spark, sf)
 
 
+@query("knn_stored_index", f"WITH {_near_sql(_K)} SELECT query_id, neighbour_id, distance, position FROM near")
+def knn_stored_index(spark, sf):
+    """The same neighbours from a stored index that was built on a part of the vectors and then added to."""
+    vectors = D.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    root = scratch_path(spark, "vector-index")
+    vector_index.build(vectors.where("vec_id % 3 != 0"), root, "vec_id")
+    vector_index.append(vectors.where("vec_id % 3 = 0"), root, "vec_id")
+    return vector_index.search(_label_centres(vectors), root, _K, "query_id")
+
+
 @query("knn_type_caps", f"""WITH {_near_sql(_K)}
 SELECT query_id, neighbour_id, CASE WHEN label < 3 THEN 'section' ELSE 'case' END AS kind, position,
   row_number() OVER (PARTITION BY query_id, label < 3 ORDER BY position)::INT AS kind_position
