@@ -141,6 +141,10 @@ def write_archives(responses: DataFrame, revisits: DataFrame, folder: str, date:
     return settle(rows.mapInArrow(run, "file string, records long, bytes long"), "archive-files")
 
 
+_BLANK = b"\r\n\r\n"
+_HEAD = 1 << 20  # a header is no longer than this
+
+
 class _Unpacked:
     """The bytes behind a stream of gzip members, or of plain text, in order and in small parts."""
 
@@ -176,6 +180,19 @@ class _Unpacked:
         del self.buffer[:at + len(mark)]
         return found
 
+    def head(self, most: int) -> bytes | None:
+        """What comes before the first blank line within ``most`` bytes, without taking it; None if there is none."""
+        seen = 0
+        while (at := self.buffer.find(_BLANK, max(0, seen - 3), most)) < 0:
+            seen = len(self.buffer)
+            if seen >= min(most, _HEAD) or not self.more():
+                return None
+        return bytes(self.buffer[:at])
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            n -= len(self.take(min(n, _READ)))
+
     def take(self, n: int) -> bytes:
         while len(self.buffer) < n:
             if not self.more():
@@ -195,20 +212,31 @@ RECORD = ("record_id string, record_type string, uri string, refers_to string, c
 
 
 def records_of(source, chunk: int, keep_data: bool) -> Iterator[tuple]:
-    """Chunk rows of one archive, as in ``RECORD``."""
+    """Chunk rows of one archive, as in ``RECORD``.
+
+    The payload of a response, request or revisit that holds HTTP is what follows the
+    HTTP header; of all other records (warcinfo, metadata, resource, and blocks without
+    a blank line) it is the whole block. A revisit states its payload, it has none.
+    """
     unpacked = _Unpacked(source)
-    while (head := unpacked.upto(b"\r\n\r\n")) is not None:
-        warc = _fields(head.lstrip(b"\r\n"))
-        left = int(warc["content-length"])
-        http_block = unpacked.upto(b"\r\n\r\n") if left else b""
-        left -= len(http_block) + 4 if http_block else 0
-        stated = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex() if "warc-payload-digest" in warc else None
+    while (top := unpacked.upto(_BLANK)) is not None:
+        warc = _fields(top.lstrip(b"\r\n"))
+        if not warc.get("content-length", "").isdigit():
+            raise ValueError("a record without Content-Length")
+        left, kind = int(warc["content-length"]), warc.get("warc-type")
+        holds_http = kind in ("response", "request", "revisit") and warc.get("content-type", "application/http").startswith("application/http")
+        http_block = unpacked.head(left) if holds_http else None
+        digest_field = warc.get("warc-payload-digest", "")
+        stated = base64.b32decode(digest_field.removeprefix("sha1:")).hex() if digest_field.startswith("sha1:") else None
         uri = warc.get("warc-target-uri", "").replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
-        fixed = (warc.get("warc-record-id"), warc.get("warc-type"), uri, warc.get("warc-refers-to"))
-        if fixed[1] == "revisit":
-            unpacked.take(left + 4)
-            yield (*fixed, 0, b"" if keep_data else None, int(_fields(http_block)["content-length"]), stated, True, None)
+        fixed = (warc.get("warc-record-id"), kind, uri, warc.get("warc-refers-to"))
+        if kind == "revisit":
+            size = _fields(http_block or b"").get("content-length", "")
+            unpacked.skip(left + 4)
+            yield (*fixed, 0, b"" if keep_data else None, int(size) if size.isdigit() else None, stated, True, None)
             continue
+        if http_block is not None:
+            left -= len(unpacked.take(len(http_block) + len(_BLANK)))
         digest, n, number = hashlib.sha1(), 0, 0
         while True:
             data = unpacked.take(min(chunk, left))

@@ -62,3 +62,30 @@ def test_plain_and_cut_off_files():
     assert [r[5] for r in records_of(io.BytesIO(packed), 5, True)] == [b"abc"] * 2
     with pytest.raises(EOFError):
         list(records_of(io.BytesIO(packed[:-30]), 5, True))
+
+
+def test_records_of_other_writers():
+    def record(kind, block, *more, length=True):
+        head = [b"WARC/1.0", b"WARC-Type: " + kind, *([b"Content-Length: %d" % len(block)] if length else []), *more]
+        return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http, info = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\npage", b"software: x\r\nformat: WARC"
+    kinds = [(b"warcinfo", info, info), (b"request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", b""), (b"response", http, b"page"),
+             (b"metadata", b"a: b\r\n\r\nc", b"a: b\r\n\r\nc"), (b"resource", b"", b""), (b"response", b"no blank line", b"no blank line"),
+             (b"response", b"", b""), (b"conversion", b"plain\r\n\r\ntext" * 9, b"plain\r\n\r\ntext" * 9)]
+    archive = b"".join(record(k, block) for k, block, _ in kinds) + record(b"response", http, b"Content-Type: text/dns")
+    archive += record(b"revisit", b"") + record(b"revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 12\r\n\r\n")
+    for data in (archive, gzip.compress(archive)):
+        rows = list(records_of(io.BytesIO(data), 7, True))
+        payloads, kept = [], b""
+        for r in rows:
+            kept += r[5]
+            if r[8]:
+                payloads.append((r[1].encode(), kept))
+                kept = b""
+        assert payloads == [(k, p) for k, _, p in kinds] + [(b"response", http), (b"revisit", b""), (b"revisit", b"")]
+        assert [r[6] for r in rows[-2:]] == [None, 12] and all(r[9] for r in rows if r[8] and r[1] != "revisit")
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(records_of(io.BytesIO(record(b"response", http, length=False)), 7, True))
+    with pytest.raises(EOFError):
+        list(records_of(io.BytesIO(record(b"warcinfo", info)[:-9]), 7, True))
