@@ -27,6 +27,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -51,21 +59,26 @@ def membership(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFra
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("filter_mask")))
 
 
-def _marked(df: DataFrame, column: str, filter_table: DataFrame, bits: int) -> DataFrame:
-    bit = F.expr("shiftright(filter_mask, cast(filter_at & 63 as int)) & 1 = 1")
-    return (df.withColumn("filter_at", F.pmod(F.xxhash64(column), F.lit(bits)))
-            .withColumn("filter_word", F.shiftright("filter_at", 6))
-            .join(F.broadcast(filter_table), "filter_word", "left").withColumn("filter_hit", F.coalesce(bit, F.lit(False))))
+def _marked(df: DataFrame, column: str, filter_table: DataFrame, bits: int) -> tuple[DataFrame, Column]:
+    """``df`` with helper columns of unused names, and whether the filter lets a row through."""
+    at, word, mask = (unused(df, f"filter_{n}") for n in ("at", "word", "mask"))
+    named = filter_table.select(F.col("filter_word").alias(word), F.col("filter_mask").alias(mask))
+    bit = F.expr(f"shiftright({mask}, cast({at} & 63 as int)) & 1 = 1")
+    marked = (df.withColumn(at, F.pmod(F.xxhash64(column), F.lit(bits))).withColumn(word, F.shiftright(at, 6))
+              .join(F.broadcast(named), word, "left"))
+    return marked, F.coalesce(bit, F.lit(False))
 
 
 def maybe_member(df: DataFrame, column: str, filter_table: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """The rows of ``df`` whose key may be among those of ``membership``; no member is lost."""
-    return _marked(df, column, filter_table, bits).where("filter_hit").select(*df.columns)
+    marked, hit = _marked(df, column, filter_table, bits)
+    return marked.where(hit).select(*df.columns)
 
 
 def surely_not(df: DataFrame, column: str, filter_table: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """The other rows of ``df``: none of them is a member. They need no shuffle to be told apart."""
-    return _marked(df, column, filter_table, bits).where("not filter_hit").select(*df.columns)
+    marked, hit = _marked(df, column, filter_table, bits)
+    return marked.where(~hit).select(*df.columns)
 
 
 def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:

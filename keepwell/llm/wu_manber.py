@@ -6,12 +6,12 @@ that block. A block that no test string holds allows m - 1 words at once. Where
 shift is 0, the block selects the few test strings that end in it; their first block
 and then the words themselves are compared.
 
-The test strings are sent to the tasks in parts of bounded size. Parts beyond the
-first are further narrow passes over the same rows, so any number of items works and
-nothing is shuffled.
+The test strings are sent to the tasks in parts of bounded size. Each part beyond the
+first is a pass of its own that writes its hits, so any number of items works with one
+part in memory; only rows that may have further hits are shuffled.
 
 Defined cases: null or empty texts have no words and no hits; an item without words
-never occurs; one shorter than the window is a single shorter test string; repeated
+never occurs; one without identifier hits words but is not listed; one shorter than the window is a single shorter test string; repeated
 rows are searched alike; an empty item table marks nothing; all columns of the input
 are kept, one named like a result is replaced.
 """
@@ -24,6 +24,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from keepwell.llm.base import maybe_member, membership, surely_not, unused
+from keepwell.session import settle
+
 #: Bytes a-z, 0-9 and everything beyond ASCII stay, A-Z are lower-cased, the rest separates.
 _FOLD = bytes(b if b >= 128 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else b + 32 if 65 <= b <= 90 else 32
               for b in range(256))
@@ -90,7 +93,7 @@ def length_classes(items: list[tuple[str, str]], window: int) -> list[LengthClas
         m = min(window, len(words))
         for at in range(len(words) - m + 1 if m else 0):
             owners = by_length.setdefault(m, {}).setdefault(tuple(words[at:at + m]), [])
-            if item not in owners:
+            if item is not None and item not in owners:
                 owners.append(item)
     return [LengthClass(m, strings) for m, strings in sorted(by_length.items())]
 
@@ -152,22 +155,43 @@ def _covered(found: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, text: str = "text", window: int = 10,
                   part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (ids as sorted strings), hit_starts, hit_ends (word spans)."""
+    """``docs`` with n_words, n_hit, items (ids as sorted strings), hit_starts, hit_ends (word spans).
+
+    Items of more than ``part_bytes`` are searched part by part: each part is one job over the
+    texts that writes the hits of this part, so a task holds one part however many there are.
+    """
     wanted = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
-    part = F.pmod(F.xxhash64("item"), F.lit(parts))
-    found = F.lit(None)
-    out = docs
-    for k in range(parts):
-        here = [(r.item, r.text) for r in wanted.where(part == k).collect()]  # at most about part_bytes
-        out = out.withColumn(f"__part{k}", _searcher(docs.sparkSession, here, window)(F.col(text)))
-        mine = F.col(f"__part{k}")
-        found = mine if k == 0 else F.struct(
-            mine["n_words"].alias("n_words"), F.concat(found["starts"], mine["starts"]).alias("starts"),
-            F.concat(found["ends"], mine["ends"]).alias("ends"), F.array_union(found["items"], mine["items"]).alias("items"))
-    hit = F.aggregate(F.zip_with(found["ends"], found["starts"], lambda b, a: b - a), F.lit(0).cast("long"),
-                      lambda acc, n: acc + n) if parts == 1 else _covered(found)
-    return out.withColumns({
-        "n_words": found["n_words"], "n_hit": hit, "items": F.array_sort(found["items"]),
-        "hit_starts": found["starts"], "hit_ends": found["ends"]}).drop(*[f"__part{k}" for k in range(parts)])
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+
+    def here(k: int) -> list[tuple[str, str]]:
+        return [(r.item, r.text) for r in wanted.where(part == k).collect()]  # at most about part_bytes
+
+    name, row = unused(docs, "found"), unused(docs, "row")
+    found = docs.withColumn(name, _searcher(docs.sparkSession, here(0), window)(F.col(text)))
+    if parts == 1:
+        covered = F.aggregate(F.zip_with(F.col(name)["ends"], F.col(name)["starts"], lambda b, a: b - a), F.lit(0).cast("long"),
+                              lambda acc, n: acc + n)
+        return _told(found, name, covered)
+    found = settle(found.withColumn(row, F.monotonically_increasing_id()), "texts")
+    hits = None
+    for k in range(1, parts):
+        mine = found.select(F.col(row).alias("row"), _searcher(docs.sparkSession, here(k), window)(F.col(text)).alias("found"))
+        mine = settle(mine.where(F.size("found.starts") > 0).select("row", "found.starts", "found.ends", "found.items"), "part-hits")
+        hits = mine if hits is None else hits.unionByName(mine)
+    more = hits.groupBy("row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")])  # a row per part
+    more = settle(more.select(F.col("row").alias(row), F.struct("starts", "ends", "items").alias(more_name := unused(found, "more"))), "further-hits")
+    bits = membership(more, row)
+    first, others = F.col(name), F.col(more_name)
+    both = F.struct(first["n_words"].alias("n_words"), F.concat(first["starts"], others["starts"]).alias("starts"),
+                    F.concat(first["ends"], others["ends"]).alias("ends"), F.array_union(first["items"], others["items"]).alias("items"))
+    joined = maybe_member(found, row, bits).join(more, row, "left")
+    joined = joined.withColumn(name, F.when(others.isNotNull(), both).otherwise(first)).select(*found.columns)
+    return _told(surely_not(found, row, bits).unionByName(joined).drop(row), name, _covered(F.col(name)))
+
+
+def _told(found: DataFrame, name: str, covered: Column) -> DataFrame:
+    mine = F.col(name)
+    return found.withColumns({"n_words": mine["n_words"], "n_hit": covered, "items": F.array_sort(mine["items"]),
+                              "hit_starts": mine["starts"], "hit_ends": mine["ends"]}).drop(name)

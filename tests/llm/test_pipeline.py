@@ -104,3 +104,13 @@ def test_odd_rows_through_every_stage(spark):
             assert name == "packing" or out.columns == docs.columns
             out.count()
             now = out if name != "packing" else now
+
+
+def test_filters_leave_columns_of_any_name_alone(spark):
+    from keepwell.llm.base import without
+
+    names = ["filter_at", "filter_word", "filter_mask", "filter_hit", "Filter_Word2"]
+    rows = spark.createDataFrame([(i, *[f"{n}-{i}" for n in names]) for i in range(20)], ["doc_id", *names])
+    left = without(rows, "doc_id", rows.where("doc_id < 15").select("doc_id"))
+    assert left.columns == rows.columns
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, rows.where("doc_id >= 15").collect()))

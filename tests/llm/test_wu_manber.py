@@ -45,15 +45,22 @@ def test_long_texts_are_read_in_slices(monkeypatch):
 
 def test_operator_in_parts_and_odd_rows(spark):
     texts = ["One two three four five", "", None, "x", "one TWO three", "one two three four five six seven eight", "x" * 200_000]
-    docs = spark.createDataFrame([(i, t, "n", i) for i, t in enumerate(texts)] + [(0, texts[0], "n", 0)],
-                                 "doc_id long, text string, items string, n_words int")
+    docs = spark.createDataFrame([(i, t, "n", i, "f", "p") for i, t in enumerate(texts)] + [(0, texts[0], "n", 0, "f", "p")],
+                                 "doc_id long, text string, items string, n_words int, found string, __part0 string")
     items = [(1, "two three four"), (2, "seven Eight"), (None, "x"), (4, ""), (5, None), (6, "three four five six seven")]
     bench = spark.createDataFrame(items, "item_id long, body string")
-    expected = {i: slow(t, [(str(k), b) for k, b in items if b and k], 3) for i, t in enumerate(texts)}
-    for part_bytes in (1 << 20, 30):
-        got = decontaminate(docs, bench.where("item_id is not null"), "item_id", "body", window=3, part_bytes=part_bytes)
+    items += [(None, "two three four")]  # shares its window with a named item
+    bench = spark.createDataFrame(items, "item_id long, body string")
+    expected = {}
+    for i, t in enumerate(texts):  # an item without identifier hits words, but cannot be listed
+        n, hit, owners = slow(t, [(str(k), b) for k, b in items if b], 3)
+        expected[i] = n, hit, owners - {"None"}
+    for part_bytes in (1 << 20, 30, 1):
+        got = decontaminate(docs, bench, "item_id", "body", window=3, part_bytes=part_bytes)
+        python = got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+        assert python == (1 if part_bytes == 1 << 20 else 0)  # further parts are jobs of their own
         rows = got.collect()
-        assert len(rows) == 8 and got.columns.count("items") == 1
+        assert len(rows) == 8 and all(r.found == "f" and r["__part0"] == "p" for r in rows) and got.columns.count("items") == 1
         for r in rows:
             n, hit, owners = expected[r.doc_id]
             assert (r.n_words, r.n_hit, set(r["items"])) == (n, len(hit), owners)
