@@ -164,11 +164,14 @@ def verified(own: DataFrame, text: str, pairs: DataFrame, t: Threshold, settle:
     return both.where(common * (t.num + t.den) >= t.num * (F.size("words") + F.size("words0"))).select(*PLACE).distinct()
 
 
-def screened(pairs: DataFrame, lines: DataFrame, t: Threshold) -> DataFrame:
-    """Distinct places of both lines of the candidates (also n, n0) that the larger maps do not rule out."""
+def screened(pairs: DataFrame, lines: DataFrame, t: Threshold, settle: Settle = settle) -> DataFrame:
+    """Distinct places of both lines of the candidates (also n, n0) that the larger maps do not rule out.
+
+    The candidates are written first: they are read by two branches, and what is behind them is dear.
+    """
     maps = lines.where("wide is not null").select(*PLACE, "wide")
     maps0 = maps.select(*[F.col(c).alias(f"{c}0") for c in (*PLACE, "wide")])
-    pairs = pairs.select(*PLACE, F.abs("n").alias("n"), *PLACE0, F.abs("n0").alias("n0")).distinct()
+    pairs = settle(pairs.select(*PLACE, F.abs("n").alias("n"), *PLACE0, F.abs("n0").alias("n0")).distinct(), "candidates")
     n, n0 = F.col("n"), F.col("n0")
     both_long = (n > NARROW) & (n0 > NARROW)
     differing = sum((F.bit_count(F.col("wide")[i].bitwiseXOR(F.col("wide0")[i])) for i in range(WIDE)), F.lit(0))
@@ -227,7 +230,7 @@ def _removed(own: DataFrame, text: str, t: Threshold, settle: Settle) -> DataFra
     best = F.least(*[near(F.col(f"other{i}")) for i in range(len(others))])
     led = few.select(*PLACE, "n", best.alias("best")).where("best is not null").groupBy(*PLACE).agg(
         F.max("n").alias("n"), F.min("best").alias("best")).select(*PLACE, "n", *[f"best.{c}" for c in PLACE0], "best.n0")
-    led = settle(screened(led, single, t), "led-pairs")
+    led = settle(screened(led, single, t, settle), "led-pairs")
     by_leader = settle(verified(own, text, led, t, settle), "led-lines")
 
     # the sign of n marks settled lines, so that both sides of the join are one table, shuffled once
@@ -244,7 +247,7 @@ def _removed(own: DataFrame, text: str, t: Threshold, settle: Settle) -> DataFra
         earlier(y, before)
         & may_match(t, F.abs(x("n")), x("pos"), x("parity"), F.abs(y("n")), y("pos"), y("parity")))
     met = met.select(*[x(c).alias(c) for c in (*PLACE, "n")], *[y(c).alias(f"{c}0") for c in (*PLACE, "n")])
-    met = settle(screened(met, single, t), "probed-pairs")
+    met = settle(screened(met, single, t, settle), "probed-pairs")
     by_probe = settle(verified(own, text, settle(_one_each(met), "first-pairs"), t, settle), "probed-lines")
     left = met.join(by_probe, PLACE, "left_anti")
     left = left.join(_one_each(left).withColumn("tried", F.lit(True)), [*PLACE, *PLACE0], "left_anti")
