@@ -182,40 +182,71 @@ def _local(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def exact_quantiles(rows: DataFrame, group: str, probs: list[float],
-                    margin: float = QUANTILE_MARGIN) -> DataFrame:
+def exact_quantiles(rows: DataFrame, group: str, probs: list[float], margin: float = QUANTILE_MARGIN,
+                    sketches: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(group, prob, quantile), linear between neighbours, from (group, value) rows.
 
-    Three scans and no shuffle of the data: a mergeable sketch brackets every
-    wanted position, rows are counted between the brackets, and only the distinct
-    values of the brackets that hold a position are shuffled and ordered. A poor
-    bracket makes that last step larger, never wrong. Nulls and NaN must be gone.
+    A mergeable sketch brackets every wanted position, rows are counted between the
+    brackets, and only brackets that hold a position go on: one of more than
+    ``slice_rows`` rows is bracketed anew, until what is left is small or a single
+    value. Only then are distinct values shuffled and ordered. A poor bracket costs
+    another pass, never a wrong result. ``sketches`` (group, sketch) may hold stored KLL
+    sketches, which save the first pass. Nulls and NaN must be gone.
     """
-    spark, value = rows.sparkSession, F.col("value")
     near = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
+    cuts = _sketched_cuts(rows, group, near) if sketches is None else _stored_cuts(sketches, group, near)
+    placed, sizes = _between_cuts(rows, group, cuts)
+    asked, positions = [], {}
+    for name, slices in sizes.items():
+        total = sum(slices.values())
+        for p in probs:
+            at = p * (total - 1)
+            low, high = math.floor(at), math.ceil(at)
+            asked.append((name, float(p), low, high, at - low))
+            positions.setdefault(name, set()).update((low, high))
+    found = _at_positions(placed, sizes, group, positions, slice_rows)
     kind = rows.schema[group]
-    sketched = rows.groupBy(group).agg(F.percentile_approx(value, near, SKETCH_ACCURACY).alias("_cuts"))
-    cuts = [(r[0], sorted(set(r[1]))) for r in sketched.limit(MAX_CUTS + 1).collect()]
-    placed = rows.join(
-        _local(spark, cuts, StructType([kind, *_fields("_cuts array<double>")])), group
-    ).select(group, "value", passed_cuts(F.col("_cuts"), value, len(near)).alias("_slice"))
+    ends = _local(rows.sparkSession, asked, StructType([kind, *_fields("prob double, _low long, _high long, _part double")]))
+    ends = ends.join(found, group).where("_position = _low OR _position = _high")
+    low = F.max(F.when(F.col("_position") == F.col("_low"), F.col("value")))
+    high = F.max(F.when(F.col("_position") == F.col("_high"), F.col("value")))
+    return ends.groupBy(group, "prob").agg((low + (high - low) * F.max("_part")).alias("quantile"))
+
+
+def _sketched_cuts(rows: DataFrame, group: str, near: list[float]) -> dict:
+    found = rows.groupBy(group).agg(F.percentile_approx("value", near, SKETCH_ACCURACY).alias("cuts"))
+    return {r[0]: sorted(set(r[1])) for r in found.limit(MAX_CUTS + 1).collect()}
+
+
+def _stored_cuts(sketches: DataFrame, group: str, near: list[float]) -> dict:
+    cuts = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(p)) for p in near])
+    return {r[0]: sorted(set(r[1])) for r in sketches.where("sketch is not null").select(group, cuts).limit(MAX_CUTS + 1).collect()}
+
+
+def _between_cuts(rows: DataFrame, group: str, cuts: dict) -> tuple[DataFrame, dict]:
+    """Rows with the slice they lie in, and rows per group and slice."""
+    most = max(map(len, cuts.values()), default=0)
+    local = _local(rows.sparkSession, list(cuts.items()), StructType([rows.schema[group], *_fields("_cuts array<double>")]))
+    placed = rows.join(local, group).select(group, "value", passed_cuts(F.col("_cuts"), F.col("value"), max(most, 1)).alias("_slice"))
     sizes: dict = {}
     for r in placed.groupBy(group, "_slice").agg(F.count("*").alias("n")).collect():
         sizes.setdefault(r[0], {})[r[1]] = r.n
-    held, wanted = [], []
+    return placed, sizes
+
+
+def _at_positions(placed: DataFrame, sizes: dict, group: str, positions: dict, slice_rows: int) -> DataFrame:
+    """(group, _position, value) of the wanted places of each group's order, from 0."""
+    spark, kind = placed.sparkSession, placed.schema[group]
+    small, large = [], []
     for name, slices in sizes.items():
-        total, before, positions = sum(slices.values()), 0, set()
-        for p in probs:
-            at = p * (total - 1)
-            low, high = math.floor(at), math.ceil(at)
-            wanted.append((name, float(p), low, high, at - low))
-            positions |= {low, high}
+        before, whole = 0, sum(slices.values())
         for number in sorted(slices):
-            inside = [i for i in sorted(positions) if before <= i < before + slices[number]]
+            inside = [i for i in sorted(positions[name]) if before <= i < before + slices[number]]
             if inside:
-                held.append((name, number, before, inside))
+                again = slices[number] > slice_rows and slices[number] < whole  # a slice that is all of its group cannot be cut
+                (large if again else small).append((name, number, before, inside))
             before += slices[number]
-    hits = _local(spark, held, StructType([kind, *_fields("_slice int, _before long, _wanted array<long>")]))
+    hits = _local(spark, small, StructType([kind, *_fields("_slice int, _before long, _wanted array<long>")]))
     distinct = placed.join(hits.select(group, "_slice"), [group, "_slice"], "left_semi").groupBy(
         group, "_slice", "value").agg(F.count("*").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy(group, "_slice").orderBy("value").rowsBetween(*UP_TO_HERE))
@@ -223,13 +254,23 @@ def exact_quantiles(rows: DataFrame, group: str, probs: list[float],
     found = (
         distinct.withColumn("_cum", up_to).join(hits, [group, "_slice"])
         .withColumn("_hit", F.filter("_wanted", lambda i: (i >= last - F.col("n")) & (i < last)))
-        .select(group, "value", F.explode("_hit").alias("_position"))
+        .select(group, F.explode("_hit").alias("_position"), "value")
     )
-    asked = _local(spark, wanted, StructType([kind, *_fields("prob double, _low long, _high long, _part double")]))
-    ends = asked.join(found, group).where("_position = _low OR _position = _high")
-    low = F.max(F.when(F.col("_position") == F.col("_low"), value))
-    high = F.max(F.when(F.col("_position") == F.col("_high"), value))
-    return ends.groupBy(group, "prob").agg((low + (high - low) * F.max("_part")).alias("quantile"))
+    if not large:
+        return found
+    part = f"{group}_" if group.startswith("_part") else "_part"
+    named = _local(spark, [(name, number, i, before) for i, (name, number, before, _) in enumerate(large)],
+                   StructType([kind, *_fields(f"_slice int, {part} int, _before long")]))
+    inner = placed.join(named, [group, "_slice"]).select(part, "value")
+    cuts = {}
+    for i, (name, number, before, inside) in enumerate(large):
+        n = sizes[name][number]
+        cuts[i] = sorted({min(max((p - before) / (n - 1) + d, 0.0), 1.0) for p in inside for d in (-QUANTILE_MARGIN, QUANTILE_MARGIN)})
+    wanted = sorted({p for near in cuts.values() for p in near})
+    again, counts = _between_cuts(inner, part, _sketched_cuts(inner, part, wanted))
+    deeper = _at_positions(again, counts, part, {i: {p - x[2] for p in x[3]} for i, x in enumerate(large)}, slice_rows)
+    back = deeper.join(named, part).select(group, (F.col("_position") + F.col("_before")).alias("_position"), "value")
+    return found.unionByName(back)
 
 
 def _fields(ddl: str) -> list[StructField]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keepwell.operators import drift, metrics, outcomes, reports
 from keepwell.plans import views as D
+from keepwell.session import settle
 from keepwell.plans.registry import query, rounded
 
 
@@ -159,6 +160,18 @@ def psi(spark, sf):
     return rounded(_psi(spark, sf))
 
 
+@query("psi_stored_baseline", f"WITH {_PSI} SELECT feature, round(psi, 6) AS psi FROM psi")
+def psi_stored_baseline(spark, sf):
+    """The same index from a stored baseline of two parts, whose sketches are merged; the target alone is scanned for it."""
+    rows = D.table(spark, sf, "lineitem")
+    before = F.col("l_shipdate") < F.lit(f"{_SPLIT_DAY} 00:00:00").cast("timestamp_ntz")
+    older = F.col("l_shipdate") < F.lit("1995-06-01 00:00:00").cast("timestamp_ntz")
+    parts = [settle(drift.feature_sketches(rows.where(p), _MEASURES), "sketches") for p in (older, before & ~older)]
+    merged = settle(drift.merged_sketches(parts[0].unionByName(parts[1])), "merged-sketches")
+    stored = settle(drift.baseline_bins(rows.where(before), _MEASURES, sketches=merged), "baseline")
+    return rounded(drift.stability_against(stored, rows.where(~before), _MEASURES))
+
+
 @query("psi_status", f"""WITH {_PSI}
 SELECT count(*) FILTER (psi > 0.2) AS n_red, count(*) FILTER (psi > 0.1 AND psi <= 0.2) AS n_yellow,
   round(avg(psi), 6) AS mean_psi FROM psi""")

@@ -85,3 +85,46 @@ def test_running_totals_of_any_type_with_null_groups(spark, slices, kind):
     for name in (None, "g"):
         mine = sorted((r.i, r.cum_one, r.all_one) for r in found if r.g == name)
         assert [m[1] for m in mine] == list(range(1, len(mine) + 1)) and {m[2] for m in mine} == {len(mine)}
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, 50, 10 ** 6])
+def test_large_brackets_are_narrowed_again(spark, slice_rows):
+    rng = np.random.default_rng(4)
+    features = {"spread": rng.normal(size=900), "ties": np.repeat([1.0, 2.0, 2.5], 300), "one": np.full(50, 3.5), "few": np.array([5.0, 1.0]),
+                "tail": np.concatenate([np.zeros(800), rng.normal(size=100) * 1e9])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in features.items() for v in x], "feature string, value double")
+    probs = [0.0, 0.1, 0.5, 0.77, 0.999, 1.0]
+    for margin in (0.001, 0.6):  # the wide one leaves everything between two cuts
+        found = {(r.feature, r.prob): r.quantile for r in exact_quantiles(df, "feature", probs, margin, slice_rows=slice_rows).collect()}
+        for name, x in features.items():
+            for p in probs:
+                assert found[name, p] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12)
+
+
+def test_stored_sketches_merge_and_bracket(spark):
+    from keepwell.operators import drift
+
+    rng = np.random.default_rng(5)
+    base = [(float(v), float(w) if i % 9 else None) for i, (v, w) in enumerate(zip(rng.normal(size=4000), rng.integers(0, 5, 4000)))]
+    rows = spark.createDataFrame(base, "a double, b double").repartition(4).cache()
+    target = spark.createDataFrame([(v + 0.3, 9.0) for v, _ in base[:900]], "a double, b double")
+    parts = drift.feature_sketches(rows.where("a < 0"), ["a", "b"]).unionByName(drift.feature_sketches(rows.where("a >= 0"), ["a", "b"]))
+    merged = drift.merged_sketches(parts)
+    assert {r.feature: r.n for r in merged.collect()} == {"a": 4000, "b": sum(w is not None for _, w in base)}
+    stored = drift.baseline_bins(rows, ["a", "b"], sketches=merged)
+    expected = {r.feature: r.psi for r in drift.stability_index(rows, target, ["a", "b"]).collect()}
+    got = {r.feature: r.psi for r in drift.stability_against(stored, target, ["a", "b"]).collect()}
+    assert got == pytest.approx(expected) and expected["a"] > 0.01 and expected["b"] > 0.5
+    empty = drift.stability_against(stored, target.limit(0), ["a", "b"])
+    assert {r.psi for r in empty.collect()} == {0.0}
+
+
+def test_a_stored_baseline_is_not_scanned(spark, tmp_path):
+    from keepwell.operators import drift
+
+    for name in ("base", "target"):
+        spark.range(500).selectExpr("double(id % 37) as a").write.parquet(str(tmp_path / name))
+    drift.baseline_bins(spark.read.parquet(str(tmp_path / "base")), ["a"]).write.parquet(str(tmp_path / "stored"))
+    index = drift.stability_against(spark.read.parquet(str(tmp_path / "stored")), spark.read.parquet(str(tmp_path / "target")), ["a"])
+    folders = {f.split("/")[-2] for f in index.inputFiles()}
+    assert folders == {"stored", "target"} and index.first().psi == pytest.approx(0.0)
