@@ -9,6 +9,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from keepwell.functions import text as T, values as V
 from keepwell.functions.features import coded, decoded
+from keepwell.operators.membership import maybe_member, membership
+from keepwell.session import settle
 from keepwell.sources.contracts import Contract, require_columns
 from keepwell.sources.snapshots import join_groups, read_group, read_snapshot, write_groups  # noqa: F401
 
@@ -87,20 +89,23 @@ def update_text_cache(texts: DataFrame, column: str, path: str, version: int,
                       lexicon: T.Lexicon = T.DEFAULT_LEXICON) -> tuple[int, int]:
     """Adds features of texts whose hash the cache does not hold; returns (extracted, reused) distinct texts.
 
-    The hash is looked up first; features are computed for the rest only, once per
-    distinct text. ``version`` orders the parts of the cache: a later one replaces an
-    earlier one.
+    Hashes alone are compared with the cache. A bit table of the missing ones, of
+    bounded size, goes to the texts, so features are computed where a text lies and
+    for the missing ones only; no text is shuffled. ``version`` orders the parts of the
+    cache: a later one replaces an earlier one.
     """
     spark = texts.sparkSession
     hashed = texts.where(F.col(column).isNotNull()).select(T.content_hash(F.col(column)).alias("ticket_hash"), F.col(column).alias("text"))
     known = spark.createDataFrame([], "ticket_hash string")
     if exists(spark, path):
         known = spark.read.parquet(path).select("ticket_hash").distinct()
-    reused = hashed.select("ticket_hash").distinct().join(known, "ticket_hash", "left_semi").count()
-    new = hashed.join(known, "ticket_hash", "left_anti").groupBy("ticket_hash").agg(F.min("text").alias("text"))
-    fresh = T.with_features(new, "text", lexicon).select("ticket_hash", *_FEATURES)
+    asked = hashed.select("ticket_hash").distinct().join(known.withColumn("known", F.lit(True)), "ticket_hash", "left")
+    asked = settle(asked, "asked-hashes")
+    missing = asked.where("known is null").select("ticket_hash")
+    rows = maybe_member(hashed, "ticket_hash", membership(missing, "ticket_hash"))
+    fresh = distinct_text_features(rows, "text", lexicon).join(missing, "ticket_hash", "left_semi").select("ticket_hash", *_FEATURES)
     fresh.withColumn("version", F.lit(version)).write.mode("append").parquet(path)
-    return spark.read.parquet(path).where(F.col("version") == version).count(), reused
+    return missing.count(), asked.where("known").count()
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -94,6 +94,25 @@ def test_cache_computes_each_text_once_and_replaces_by_version(spark, tmp_path):
     assert levels == {"low"} and tables.read_text_cache(spark, path).count() == 3
 
 
+def test_only_missing_texts_are_extracted_and_none_is_shuffled(spark, tmp_path, monkeypatch):
+    path, plans = str(tmp_path / "cache"), []
+    texts = spark.createDataFrame([(f"my bill {i % 40}", "x", "y") for i in range(200)], "body string, filter_word string, known string")
+    assert tables.update_text_cache(texts.where("body < 'my bill 3'"), "body", path, 1) == (23, 0)
+    real = tables.distinct_text_features
+
+    def seen(rows, *args):
+        assert rows.select("text").distinct().count() == 17  # the others are known
+        out = real(rows, *args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(tables, "distinct_text_features", seen)
+    assert tables.update_text_cache(texts, "body", path, 2) == (17, 23)
+    assert tables.read_text_cache(spark, path).count() == 40
+    exchanged = [line for line in plans[0].split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanged and not any("text#" in line for line in exchanged)
+
+
 def test_results_as_csv_and_json(spark, tmp_path):
     rows = spark.createDataFrame([("a", 0.5, ["x", "y"])], "customerID string, churn_score double, top_drivers array<string>")
     tables.write_csv(rows, str(tmp_path / "csv"))
