@@ -6,7 +6,7 @@ import pytest
 
 from keepwell.functions import text as T
 
-# text, topics, urgency, sentiment, escalation
+# Ticket texts with known answers (text, topics, urgency, sentiment, escalation).
 CASES = [
     # "issue" holds "sue"
     ("I was billed $80 instead of $50 as per my contract. Please correct this immediately. This is billing issue.",
