@@ -8,7 +8,8 @@ stands for. The same detectors run on the result, and what they find beyond the
 is mapped back, so every span counts code points of the text as it came.
 
 Detectors take time in proportion to the text: each anchors at a rare character or
-consumes maximal runs. Texts that no transducer changes are not copied.
+consumes maximal runs; whether a sign stands before a domain is read off chains of labels
+that are walked once. Texts that no transducer changes are not copied.
 
 Defined cases: null counts as empty and has no spans; a disguised span that overlaps a
 base span of its kind is left out (base spans stay as they are); repeated rows give
@@ -185,15 +186,79 @@ _DOT = re.compile(rf"{_bracketed((*DOT_WORDS, '.'))}|{_bare((*DOT_WORDS, '.'))}|
 #: What disguised dots are written as until the at signs are decided; UNSURE stands for those that prose has as well.
 SURE, UNSURE = "\x00", "\ufdd0"
 _PROSE_DOT = re.compile(r"\s+(?:point|\.)\s+", re.I)
-_LABEL = "[A-Za-z0-9-]+"
-_labels = f"{_LABEL}(?:[.{SURE}{UNSURE}]{_LABEL})*?"
-_ending = "[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-_AT = re.compile(
-    rf"{_bracketed((*AT_WORDS, '@'))}(?={_LABEL}[.{SURE}{UNSURE}])"
-    rf"|(?:{_bare((*AT_WORDS, '@'))}|{_tied(AT_WORDS)})(?={_LABEL}(?:[.{SURE}{UNSURE}]{_LABEL})*[{SURE}{UNSURE}](?:{_words(ENDINGS)})(?![A-Za-z0-9-]))"
-    rf"|(?:{_bare((*AT_WORDS[1:], '@'))})(?={_labels}(?:{SURE}|{UNSURE}(?!(?-i:[A-Z][a-z]))){_ending})"
-    rf"|(?:{_tied(AT_WORDS)})(?={_labels}{SURE}{_ending})"
-    rf"|(?:{_bare(AT_WORDS[:1])})(?!(?:{_words(PROSE)})[{SURE}{UNSURE}])(?={_labels}{SURE}(?!(?:{_words(PROSE_AFTER)})(?![A-Za-z0-9-])){_ending})", re.I)
+_LABEL = re.compile("[A-Za-z0-9-]+")
+_SIGN = re.compile(rf"(?P<bracketed>{_bracketed((*AT_WORDS, '@'))})|(?P<bare>{_bare((*AT_WORDS, '@'))})|(?P<tied>{_tied(AT_WORDS)})", re.I)
+#: What the labels of a chain after the first hold: a listed ending after a disguised dot; any ending after one, by how sure the dot is.
+LISTED, ANY_DOT, SURE_DOT, NO_PROSE = 1, 2, 4, 8
+
+
+def _ending(dot: str, label: str) -> int:
+    """What a label says as the ending of a domain, by the dot before it."""
+    if dot == ".":
+        return 0
+    low = label.lower() if len(label) <= 24 else ""
+    out = LISTED if low in ENDINGS else 0
+    if len(low) > 1 and low.isalpha():
+        if dot == SURE:
+            out |= ANY_DOT | SURE_DOT | (0 if low in PROSE_AFTER else NO_PROSE)
+        elif not (label[0].isupper() and label[1].islower()):
+            out |= ANY_DOT
+    return out
+
+
+class Chains:
+    """Chains of labels and dots in a text; every label is visited once, however many signs stand before or in it."""
+
+    def __init__(self, text: str):
+        self.text, self.run, self.rest = text, (0, 0), {}
+
+    def label(self, at: int) -> int:
+        """The end of the label from ``at`` on; places are asked for from left to right."""
+        if not self.run[0] <= at < self.run[1]:
+            found = _LABEL.match(self.text, at)
+            self.run = (at, found.end() if found else at)
+        return self.run[1]
+
+    def after(self, end: int) -> int:
+        """What the labels hold that follow one that ends at ``end``."""
+        text, rest, way, at = self.text, self.rest, [], end
+        while at not in rest:
+            found = _LABEL.match(text, at + 1) if text[at:at + 1] in (".", SURE, UNSURE) else None
+            if found is None:
+                rest[at] = 0
+                break
+            way.append((at, _ending(text[at], found[0])))
+            at = found.end()
+        have = rest[at]
+        for at, here in reversed(way):
+            have = rest[at] = have | here
+        return rest[end]
+
+
+def at_signs(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of disguised at signs in a text whose disguised dots are marked: those before a chain that may be a domain."""
+    chains, at = Chains(text), 0
+    while found := _SIGN.search(text, at):
+        start, end = found.span()
+        stop = chains.label(end)
+        if end == stop:
+            sign = False
+        elif found["bracketed"]:
+            sign = text[stop:stop + 1] in (".", SURE, UNSURE)
+        else:
+            have = chains.after(stop)
+            if found["tied"]:
+                sign = have & (LISTED | SURE_DOT)
+            elif found["bare"].strip().lower() != AT_WORDS[0]:
+                sign = have & (LISTED | ANY_DOT)
+            else:
+                prose = text[stop:stop + 1] in (SURE, UNSURE) and text[end:stop].lower() in PROSE
+                sign = have & (LISTED if prose else LISTED | NO_PROSE)
+        if sign:
+            yield start, end
+        at = end if sign else start + 1
+
+
 _DIGIT_OF = {w: d for d, words in DIGIT_WORDS.items() for w in words}
 _SPELLED = re.compile(rf"(?<!\w)(?:{_words(_DIGIT_OF)})(?:[\s,-]+(?:{_words(_DIGIT_OF)}))*(?!\w)", re.I)
 _DIGIT_WORD = re.compile(rf"{_words(_DIGIT_OF)}", re.I)
@@ -225,7 +290,7 @@ def rewrite(text: str) -> Tape:
     if _MAY_DOT.search(tape.text):  # a dot that was disguised is written as a mark until the at signs are decided
         tape.edit([(*m.span(), UNSURE if _PROSE_DOT.fullmatch(m[0]) else SURE) for m in _DOT.finditer(tape.text)])
     tape.edit([e for e in _digit_edits(tape.text) if e[0] < e[1]])
-    tape.edit([(*m.span(), "@") for m in _AT.finditer(tape.text)])
+    tape.edit([(*span, "@") for span in at_signs(tape.text)])
     tape.edit([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
     if tape.start is not None:
         tape.replace(tape.text.replace(SURE, ".").replace(UNSURE, "."))

@@ -2,12 +2,13 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from conftest import SF
-from keepwell.llm.deobfuscate import KINDS, detect, disguised, find_identifiers, luhn, rewrite
+from keepwell.llm.deobfuscate import ENDINGS, KINDS, PROSE, PROSE_AFTER, SURE, UNSURE, at_signs, detect, disguised, find_identifiers, luhn, rewrite
 from keepwell.llm.queries import QUERIES
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -131,3 +132,43 @@ def test_prose_with_at_and_dot_is_left_alone(text):
 def test_long_chains_take_linear_time():
     text = "x at " + "a dot " * 100_000 + "1"
     assert disguised(text, detect(text)) == []
+
+
+def test_chains_of_signs_take_linear_time():
+    for part in ("-at-x", "at-", "a-at-b(dot)", "-at-", "a at b dot ", "a at ", "x_at_", "a(at)", "a at b.", "a-at-b\x00"):
+        text = "x" + part * (1_000_000 // len(part))
+        start = time.perf_counter()
+        disguised(text, detect(text))
+        assert time.perf_counter() - start < 20, part
+
+
+def by_patterns(text):
+    """The signs by one backtracking pattern, which looks along the whole chain at every sign."""
+    dots, label = f"[.{SURE}{UNSURE}]", "[A-Za-z0-9-]+"
+    labels, ending, after = f"{label}(?:{dots}{label})*?", "[A-Za-z]{2,24}(?![A-Za-z0-9-])", "(?![A-Za-z0-9-])"
+    bare = lambda words: rf"(?<=[\w%+-])\s+(?:{words})\s+(?=[\w-])"
+    tied = "(?<=[A-Za-z0-9])(?:_(?:at|arroba)_|-(?:at|arroba)-)(?=[A-Za-z0-9])"
+    pattern = re.compile(
+        rf"(?<!\s)\s*[(\[{{<]\s*(?:at|arroba|@)\s*[)\]}}>]\s*(?={label}{dots})"
+        rf"|(?:{bare('at|arroba|@')}|{tied})(?={labels}[{SURE}{UNSURE}](?:{'|'.join(ENDINGS)}){after})"
+        rf"|{bare('arroba|@')}(?={labels}(?:{SURE}|{UNSURE}(?!(?-i:[A-Z][a-z]))){ending})"
+        rf"|{tied}(?={labels}{SURE}{ending})"
+        rf"|{bare('at')}(?!(?:{'|'.join(PROSE)})[{SURE}{UNSURE}])(?={labels}{SURE}(?!(?:{'|'.join(PROSE_AFTER)}){after}){ending})", re.I)
+    return [m.span() for m in pattern.finditer(text)]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Bo", "x-", "at", " at ", " @ ", " arroba ", "-at-", "_at_", "(at)", " ", ".", SURE, UNSURE, "com", "the", "and", "point", "Abc", "7", "é", "_"]),
+                max_size=16).map("".join))
+def test_signs_equal_those_of_the_patterns(text):
+    assert list(at_signs(text)) == by_patterns(text)
+
+
+def test_recall_of_planted_disguises():
+    """Every way of writing at and dot that the tables name, in the middle of prose."""
+    ats = [" (at) ", "[at]", " at ", "-at-", "_at_", " arroba ", "{@}", " @ "]
+    dots = [" (dot) ", "[.]", " dot ", " punto ", "-dot-", "_dot_"]
+    cases = [(f"please write to jane{a}mail{d}com and wait", "jane@mail.com") for a in ats for d in dots]
+    cases += [("call plus four nine one five one two three four five six seven", "+49151234567"), ("host one nine two dot 168 dot 0 dot 1 is down", "192.168.0.1")]
+    caught = [wanted in [n for _, n in disguised(text, detect(text))] for text, wanted in cases]
+    assert sum(caught) / len(cases) >= 0.95, [c for c, ok in zip(cases, caught) if not ok]
