@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -90,9 +90,31 @@ def top_importances(importances: DataFrame, n: int = 15) -> DataFrame:
     return importances.orderBy(F.col("importance_mean").desc(), "feature").limit(n)
 
 
+def leaf_shares(inside: np.ndarray, open_share: np.ndarray, value: float) -> np.ndarray:
+    """Shapley values of the features on the way to one leaf, per row.
+
+    ``inside`` tells, per row and feature, whether the row passes all splits of that
+    feature on the way; a feature out of the coalition passes the share ``open_share``
+    of the rows. The weighted sum over all coalitions is an integral of a polynomial
+    whose degree is below the number of features, so a Gauss rule gives it exactly.
+    """
+    width = len(open_share)
+    if 1 << width < len(inside):  # fewer patterns than rows
+        bits = np.arange(width)
+        every = (np.arange(1 << width)[:, None] >> bits & 1).astype(bool)
+        return leaf_shares(every, open_share, value)[inside @ (1 << bits)]
+    at, weight = np.polynomial.legendre.leggauss((width + 1) // 2)
+    at, weight = (at + 1) / 2, weight / 2
+    factor = open_share[:, None] * (1 - at) + inside[:, :, None] * at
+    others = factor.prod(axis=1, keepdims=True) / np.maximum(factor, np.finfo(float).tiny)
+    return value * (inside - open_share) * (others @ weight)
+
+
 class TreeTable:
     """The nodes of a tree ensemble as flat arrays; its size is that of the model."""
 
+    ROWS = 4096
+
     def __init__(self, nodes: pd.DataFrame, weights: list[float]):
         nodes = nodes.sort_values(["tree", "id"], kind="stable")
         sizes = nodes.groupby("tree").size()
@@ -104,23 +126,40 @@ class TreeTable:
         self.feature = nodes["feature"].to_numpy()
         self.threshold = nodes["threshold"].to_numpy()
         self.value = nodes["value"].to_numpy()
+        self.cover = nodes["cover"].to_numpy().astype(float)
         self.weights = np.asarray(weights, float)
-        self.base = float(self.value[self.roots] @ self.weights)
+        #: What the ensemble answers if no feature is known.
+        self.base = float(sum(weight * self.value[leaf] * np.prod(list(shares.values()))
+                              for root, weight in zip(self.roots, self.weights) for leaf, _, shares in self.ways(root)))
+
+    def ways(self, root: int) -> Iterator[tuple[int, list[tuple[int, bool]], dict[int, float]]]:
+        """Per leaf of a tree: the splits before it, each with the side taken, and per feature the share of rows that pass them."""
+        todo: list = [(root, [], {})]
+        while todo:
+            node, splits, shares = todo.pop()
+            if self.leaf[node]:
+                yield node, splits, shares
+                continue
+            split, cover = self.feature[node], max(self.cover[node], np.finfo(float).tiny)
+            for child, left in ((self.left[node], True), (self.right[node], False)):
+                passed = shares.get(split, 1.0) * self.cover[child] / cover
+                todo.append((child, [*splits, (node, left)], {**shares, split: passed}))
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
-        """Per row and feature the change of node value at the splits on its path."""
-        out = np.zeros_like(x)
-        for root, weight in zip(self.roots, self.weights):
-            at = np.full(len(x), root)
-            moving = np.flatnonzero(~self.leaf[at])
-            while len(moving):
-                node = at[moving]
-                split = self.feature[node]
-                goes_left = x[moving, split] <= self.threshold[node]
-                child = np.where(goes_left, self.left[node], self.right[node])
-                out[moving, split] += weight * (self.value[child] - self.value[node])
-                at[moving] = child
-                moving = moving[~self.leaf[child]]
+        """Per row and feature the exact Shapley value, where an unknown feature's splits are averaged by how many rows they had."""
+        out = np.zeros(x.shape)
+        for at in range(0, len(x), self.ROWS):
+            rows, part = x[at:at + self.ROWS], out[at:at + self.ROWS]
+            for root, weight in zip(self.roots, self.weights):
+                for leaf, splits, shares in self.ways(root):
+                    if not splits:
+                        continue
+                    features = list(shares)
+                    inside = np.ones((len(rows), len(features)), dtype=bool)
+                    for node, left in splits:
+                        split = self.feature[node]
+                        inside[:, features.index(split)] &= (rows[:, split] <= self.threshold[node]) == left
+                    part[:, features] += leaf_shares(inside, np.array(list(shares.values())), weight * self.value[leaf])
         return out
 
 
@@ -133,13 +172,15 @@ def tree_table(spark: SparkSession, model) -> TreeTable:
     model.write().save(path)
     boosted = isinstance(model, GBTClassificationModel)
     stats = F.col("nodeData.impurityStats")
-    share = F.element_at(stats, 2) / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    rows = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    share = F.element_at(stats, 2) / rows
     nodes = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"),
         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.coalesce(F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)), F.lit(0.0)).alias("threshold"),
         (F.col("nodeData.prediction") if boosted else share).alias("value"),
+        (F.element_at(stats, 1) if boosted else rows).alias("cover"),
     )
     table = nodes.limit(MAX_TREE_NODES + 1).toPandas()
     if len(table) > MAX_TREE_NODES:
@@ -150,7 +191,7 @@ def tree_table(spark: SparkSession, model) -> TreeTable:
 
 def tree_contributions(df: DataFrame, model, names: list[str], features: str = "features",
                        output: str = "contributions") -> tuple[DataFrame, float]:
-    """Adds an array of (feature, value) per row; base + sum of values is the model's answer.
+    """Adds an array of (feature, Shapley value) per row; base + sum of values is the model's answer.
 
     The node table is broadcast (its size is capped) and rows are explained where
     they are, batch by batch.
