@@ -42,13 +42,13 @@ class Lexicon:
     escalation: list[str] = field(default_factory=lambda: ESCALATION_WORDS)
 
     def extended(self, topics=None, urgency=None, negative=(), positive=(), escalation=()) -> Lexicon:
-        """A copy with more words, for corpora in other languages."""
+        """A copy with more words, for corpora in other languages, and with more topics."""
         def merged(base, more):
             return {k: [*words, *(more or {}).get(k, [])] for k, words in base.items()}
 
         return replace(
             self,
-            topics=merged(self.topics, topics),
+            topics={**{t: list(words) for t, words in (topics or {}).items()}, **merged(self.topics, topics)},
             urgency=merged(self.urgency, urgency),
             negative=[*self.negative, *negative],
             positive=[*self.positive, *positive],

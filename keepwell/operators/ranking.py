@@ -39,7 +39,7 @@ def share(word: Column) -> Column:
 
 def hash_segments(df: DataFrame, strata: list[str], key: str, seed: str,
                   ranks: Callable[[Column], list[Column]], output: str, digits: int = 4) -> DataFrame:
-    """Deals rows of each stratum into consecutive segments of a random order.
+    """Deals rows of each stratum into consecutive segments of a random order; rows of null strata are one, too.
 
     ``ranks`` gives, from the stratum's row count, the last rank of each segment
     but the final one; ``output`` is the segment number from 0. The cut between two
@@ -66,7 +66,7 @@ def hash_segments(df: DataFrame, strata: list[str], key: str, seed: str,
     )
     in_slice = Window.partitionBy(*strata, "_slice").orderBy("_word", "_key")
     cuts = (
-        drawn.join(F.broadcast(held), [*strata, "_slice"])
+        _same(drawn, F.broadcast(held), [*strata, "_slice"])
         .withColumn("_rank", F.col("_before") + F.row_number().over(in_slice))
         .withColumn("_cut", F.explode(F.filter("_wanted", lambda w: w["rank"] == F.col("_rank"))))
         .groupBy(*strata).agg(F.array_sort(F.collect_list(
@@ -82,7 +82,7 @@ def hash_segments(df: DataFrame, strata: list[str], key: str, seed: str,
     last = F.element_at(passed, -1)["no"] + 1
     first = F.element_at("_cuts", 1)["no"]
     if strata:
-        placed = df.join(F.broadcast(table), strata, "left")
+        placed = _same(df, F.broadcast(table), strata, "left")
     elif found[0]["_cuts"]:
         literal = F.array(*[F.struct(F.lit(c.no).alias("no"), F.lit(c["_word"]).alias("_word"),
                                      F.lit(c["_key"]).alias("_key")) for c in found[0]["_cuts"]])
@@ -93,11 +93,11 @@ def hash_segments(df: DataFrame, strata: list[str], key: str, seed: str,
     return placed.withColumn(output, F.coalesce(segment, F.lit(len(ranks(F.lit(0)))))).drop("_cuts")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on equal keys; a null key equals a null key."""
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys; a null key equals a null key."""
     named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys])
-    return left.join(named, alike).drop(*[f"_r_{c}" for c in keys])
+    return left.join(named, alike, how).drop(*[f"_r_{c}" for c in keys])
 
 
 def _sliced(df: DataFrame, group: list[str], order: str, slices: int, rows: int) -> DataFrame:

@@ -11,7 +11,7 @@ from keepwell.session import settle
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2,
                      seed: str = "42") -> DataFrame:
-    """Adds ``split``: per class the first ceil(share * n) rows in drawn order are test."""
+    """Adds ``split``: per class the first ceil(share * n) rows in drawn order are test; rows without a label are a class."""
     placed = hash_segments(df, [label], key, seed, lambda n: [F.ceil(F.lit(test_share) * n)], "_segment")
     return placed.withColumn("split", F.when(F.col("_segment") == 0, "test").otherwise("train")).drop("_segment")
 

@@ -44,13 +44,13 @@ def fill_missing_tickets(customers: DataFrame, rolled: DataFrame, key: str = "cu
 
 
 def topics_per_customer(tickets: DataFrame, key: str = "customerID",
-                        known: list[str] | None = None) -> DataFrame:
+                        lexicon: T.Lexicon = T.DEFAULT_LEXICON) -> DataFrame:
     """The union of topics in alphabetical order.
 
-    Topics come from a fixed list, so one flag per topic replaces collecting the
+    Topics are those of the lexicon that found them, so one flag per topic replaces collecting the
     arrays: a customer with millions of tickets still is one small row.
     """
-    known = sorted(known or [*T.TOPIC_WORDS, "other"])
+    known = sorted({*lexicon.topics, "other"})
     flags = tickets.where(F.col(key).isNotNull()).groupBy(key).agg(
         *[F.max(F.array_contains("complaint_topics", t)).alias(f"_{i}") for i, t in enumerate(known)])
     tags = F.array_compact(F.array(*[F.when(F.col(f"_{i}"), F.lit(t)) for i, t in enumerate(known)]))

@@ -103,7 +103,7 @@ SELECT CAST(conv_id AS VARCHAR) AS "customerID",
   array_to_string(list_sort(list_distinct(flatten(list(complaint_topics)))), ',') AS topics
 FROM featured GROUP BY conv_id""")
 def ticket_topics(spark, sf):
-    found = tickets.topics_per_customer(tickets.with_text_features(D.tickets(spark, sf), lexicon=D.LEXICON))
+    found = tickets.topics_per_customer(tickets.with_text_features(D.tickets(spark, sf), lexicon=D.LEXICON), lexicon=D.LEXICON)
     return found.select("customerID", F.array_join("complaint_topics", ",").alias("topics"))
 
 

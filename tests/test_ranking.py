@@ -128,3 +128,16 @@ def test_a_stored_baseline_is_not_scanned(spark, tmp_path):
     index = drift.stability_against(spark.read.parquet(str(tmp_path / "stored")), spark.read.parquet(str(tmp_path / "target")), ["a"])
     folders = {f.split("/")[-2] for f in index.inputFiles()}
     assert folders == {"stored", "target"} and index.first().psi == pytest.approx(0.0)
+
+
+def test_rows_without_a_label_are_a_stratum_of_their_own(spark):
+    rows = [(i, None if i % 4 == 0 else i % 2, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, y int, _note string")
+    found = stratified_split(df, "y", "k", 0.2)
+    assert found.columns == ["k", "y", "_note", "split"]
+    sizes = {(r.y, r.split): r["count"] for r in found.groupBy("y", "split").count().collect()}
+    assert sizes == {(None, "test"): 10, (None, "train"): 40, (0, "test"): 10, (0, "train"): 40, (1, "test"): 20, (1, "train"): 80}
+    folds = stratified_folds(df, "y", "k", 5).groupBy("y", "fold").count().collect()
+    assert sorted(r["count"] for r in folds) == [10] * 10 + [20] * 5
+    unlabelled = stratified_split(df.where("y is null"), "y", "k", 0.2)
+    assert unlabelled.where("split = 'test'").count() == 10

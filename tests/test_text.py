@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 from keepwell.functions import text as T
+from keepwell.operators import tickets
 
 # Ticket texts with known answers (text, topics, urgency, sentiment, escalation).
 CASES = [
@@ -74,3 +75,11 @@ def test_extraction_answers_get_defaults(spark):
     parsed = rows.select(*[c.alias(n) for n, c in T.parsed_extraction(T.F.col("payload")).items()]).collect()
     assert tuple(parsed[0]) == (-0.5, "high", ["billing"], True)
     assert tuple(parsed[1]) == tuple(parsed[2]) == (0.0, "low", ["other"], False)
+
+
+def test_topics_of_any_lexicon_reach_the_customer(spark):
+    lexicon = T.DEFAULT_LEXICON.extended(topics={"delivery": ["parcel"], "billing": ["quittance"]})
+    rows = [("c1", "my parcel is lost"), ("c1", "wrong quittance"), ("c2", "hello"), (None, "parcel")]
+    marked = tickets.with_text_features(spark.createDataFrame(rows, "customerID string, body string"), "body", lexicon)
+    found = {r.customerID: r.complaint_topics for r in tickets.topics_per_customer(marked, lexicon=lexicon).collect()}
+    assert found == {"c1": ["billing", "delivery"], "c2": ["other"]}
