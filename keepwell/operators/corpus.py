@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from keepwell.functions import render
 from keepwell.functions.text import stripped
+from keepwell.operators.ranking import hex_number
+from keepwell.session import settle
 
 
 def sections(texts: DataFrame, key: str, column: str, tag: str = render.SECTION_TAG,
@@ -64,3 +66,22 @@ def fit_embedding(texts: DataFrame, column: str = "text", dimensions: int = 512)
 def embed(texts: DataFrame, embedding: PipelineModel) -> DataFrame:
     return embedding.transform(texts).withColumn("vector", vector_to_array("_unit")).drop(
         "_words", "_counts", "_weights", "_unit")
+
+
+def term_weights(texts: DataFrame, key: str, column: str = "text", dimensions: int = 512) -> DataFrame:
+    """(key, bucket, weight): term weights of every text, hashed to ``dimensions`` buckets, of length 1.
+
+    The same weighting as ``fit_embedding`` as rows: how often a bucket's words stand
+    in the text, times log((n + 1) / (texts with the bucket + 1)). Words are counted
+    before the shuffle, and a text has at most ``dimensions`` rows. Texts without words
+    or without a key have no rows; keys are unique.
+    """
+    named = texts.where(F.col(key).isNotNull())
+    word = F.explode(F.split(F.lower(column), r"[^\p{L}\p{N}]+")).alias("word")
+    bucket = (hex_number(F.substring(F.md5("word"), 1, 8)) % dimensions).alias("bucket")
+    counts = settle(named.select(key, word).where("word != ''").groupBy(key, bucket).agg(F.count("*").alias("n")), "term-counts")
+    total = named.agg(F.count("*").alias("n")).scalar()
+    idf = counts.groupBy("bucket").agg(F.log((total + 1) / (F.count("*") + 1)).alias("idf"))  # one row per bucket
+    raw = counts.join(F.broadcast(idf), "bucket").select(key, "bucket", (F.col("n") * F.col("idf")).alias("raw"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "bucket", F.coalesce(F.try_divide("raw", length), F.lit(0.0)).alias("weight"))

@@ -47,6 +47,16 @@ def contract_violations(spark, sf):
     return contracts.violations(D.customers(spark, sf, churn=True, dirty=True), contracts.CUSTOMERS)
 
 
+_ABSENT = ["SeniorCitizen", "Partner", "Dependents", "PaymentMethod", "Churn"]
+
+
+@query("contract_missing_columns", f"""WITH {D.CUSTOMERS} {_union(
+    f"SELECT '{c}' AS column_name, 'missing' AS rule, count(*) AS n_bad FROM customers" for c in _ABSENT)}""")
+def contract_missing_columns(spark, sf):
+    """Customers as they come without the account's columns and the label."""
+    return contracts.absent_columns(D.customers(spark, sf, accounts=False), contracts.CUSTOMERS)
+
+
 @query("coerce_numeric", f"""WITH {D.CUSTOMERS}
 SELECT "customerID", round(CASE WHEN k % 97 = 0 OR k % 89 = 0 THEN "TotalCharges" ELSE o_totalprice END, 6)
   AS "TotalCharges" FROM customers""")

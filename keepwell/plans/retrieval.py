@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keepwell.functions import features, render, values as V
 from keepwell.operators import corpus, neighbours, tickets, vector_index
 from keepwell.plans import views as D
-from keepwell.plans.registry import query
+from keepwell.plans.registry import query, rounded
 from keepwell.plans.risk import _with_drivers, _PARTS, _PHRASE
 from keepwell.session import scratch_path
 
@@ -167,3 +167,12 @@ UNION ALL SELECT 'case-' || "customerID", 'case', text FROM told""")
 def corpus_union(spark, sf):
     parts = corpus.sections(_sections(spark, sf), "n_nationkey", "section")
     return corpus.corpus(parts, _case_rows(spark, sf))
+
+
+@query("term_weights", r"""WITH words AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents),
+counted AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 512 AS bucket, count(*) AS n FROM words WHERE w <> '' GROUP BY ALL),
+idf AS (SELECT bucket, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)::DOUBLE) AS idf FROM counted GROUP BY bucket),
+raw AS (SELECT doc_id, bucket, n * idf AS raw FROM counted JOIN idf USING (bucket))
+SELECT doc_id, bucket, round(coalesce(raw / nullif(sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 0), 0), 6) AS weight FROM raw""")
+def term_weights(spark, sf):
+    return rounded(corpus.term_weights(D.table(spark, sf, "documents"), "doc_id"))

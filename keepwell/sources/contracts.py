@@ -72,6 +72,14 @@ def require_columns(df: DataFrame, contract: Contract) -> DataFrame:
     return df
 
 
+def absent_columns(df: DataFrame, contract: Contract) -> DataFrame:
+    """(column_name, rule, n_bad) of every required column that the table lacks: all its rows lack a value there."""
+    cells = [F.struct(F.lit(c).alias("column_name"), F.lit("missing").alias("rule"), F.col("n").alias("n_bad"))
+             for c in missing_columns(df, contract)]
+    rows = F.array(*cells).cast("array<struct<column_name:string,rule:string,n_bad:bigint>>")
+    return df.agg(F.count("*").alias("n")).select(F.inline(rows))
+
+
 def rule_breaks(df: DataFrame, contract: Contract) -> dict[tuple[str, str], Column]:
     """One condition per column and rule; null breaks only the ``required`` rule."""
     types = dict(df.dtypes)
