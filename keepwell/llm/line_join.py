@@ -10,13 +10,14 @@ fixed order gives the right result, a good one gives few candidates.
 2. The leaders: of the lines that share one of the eight last words of their prefix, which
    near copies have in common most often, each is compared with the earliest and the two
    before it, and the closest candidate is kept. In a family of many near copies this
-   settles nearly all.
+   settles nearly all. The lines of a common word are dealt into parts by a hash, as many as
+   its count asks for: any choice of candidates is right here.
 3. The lines that are left probe all lines that share a word of the prefix, that is, of
    the rarest n - ceil(t n) + 1 words; two similar sets must share one there. The
    length filter, the positional filter (what can still overlap from the shared word
-   on) and a 64-bit parity map of the sets (differing bits never exceed differing
-   words) discard candidates inside the join; larger maps of long lines discard most
-   of what passes, so what is left is nearly all true.
+   on) and a parity map of the sets (differing bits never exceed differing words), of
+   64 bits or, where both lines are long, 256, discard candidates inside the join, so
+   what is left is nearly all true.
 4. Candidates of 2 and 3 are verified on the words themselves, the earliest of a line
    first and the others only where that one fails.
 
@@ -43,8 +44,11 @@ from keepwell.session import scratch, settle
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
 LEADERS = 8
-#: Lines of more words have a second parity map of WIDE longs, for candidates that the first lets through.
-NARROW, WIDE = 100, 4
+#: Lines of more words are compared by parity maps of four longs: 64 bits hardly tell them apart.
+NARROW = 100
+MAPS = ["parity", "map1", "map2", "map3"]
+#: Words that occur more often than two to this power have their leaders sought in parts of that size.
+PART_BITS = 16
 _LAST = (1 << 63) - 1
 #: What a line is known by, and the same of an earlier line.
 PLACE = ["doc", "copy", "line"]
@@ -125,17 +129,27 @@ def _bucket(code: Column) -> Column:
 
 
 def line_table(own: DataFrame, text: str, t: Threshold) -> DataFrame:
-    """Every line with words: doc, copy, line, d1 and d2 (a 128-bit digest), n (words), parity, wide (a larger parity map of long lines), prefix (hashes of its rarest words, in order)."""
+    """Every line with words: doc, copy, line, d1 and d2 (a 128-bit digest), n (words), parity maps, prefix (hashes of its rarest words, in order), parts (as powers of two, for the last words of the prefix).
+
+    ``parity`` is the map of all words. Long lines also have three maps of a quarter of the words each, others
+    zeros; the fourth follows from these, since parity is the exclusive or of the four.
+    """
     levels = rarity(own, text)
     rows = (lines_of(own, text).withColumn("words", words_of(F.col("content"))).where(F.size("words") > 0)
             .select(*PLACE, F.xxhash64("content").alias("d1"), F.xxhash64(F.lit(1), "content").alias("d2"), F.size("words").alias("n"),
                     F.sort_array(F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda c: order_key(c, levels))).alias("keys")))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     parity_of = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
-    part = lambda i: F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
-    wide = F.when(F.col("n") > NARROW, F.array(*[parity_of(part(i)) for i in range(WIDE)]))
-    short = F.transform(F.slice("keys", F.lit(1), t.prefix("n")), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return rows.select(*PLACE, "d1", "d2", "n", parity_of(F.col("keys")).alias("parity"), wide.alias("wide"), short.alias("prefix"))
+    quarter = lambda i: F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == i)
+    maps = [F.when(F.col("n") > NARROW, parity_of(quarter(i))).otherwise(F.lit(0).cast("long")).alias(m) for i, m in enumerate(MAPS[1:], 1)]
+    prefix = F.slice("keys", F.lit(1), t.prefix("n"))
+    short = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    parts = F.transform(last_of(prefix), lambda k: F.greatest(F.ceil(F.shiftright(k, 48) / 3).cast("int") - PART_BITS, F.lit(0)))
+    return rows.select(*PLACE, "d1", "d2", "n", parity_of(F.col("keys")).alias("parity"), *maps, short.alias("prefix"), parts.alias("parts"))
+
+
+def last_of(prefix: Column) -> Column:
+    return F.slice(prefix, -F.least(F.size(prefix), F.lit(LEADERS)), LEADERS)
 
 
 def order_key(code: Column, levels: Column) -> Column:
@@ -144,11 +158,20 @@ def order_key(code: Column, levels: Column) -> Column:
     return level.bitwiseOR(code.bitwiseAND(F.lit((1 << 48) - 1)))
 
 
-def may_match(t: Threshold, n1: Column, p1: Column, x1: Column, n2: Column, p2: Column, x2: Column) -> Column:
+def differing(a: Callable[[str], Column], b: Callable[[str], Column], n1: Column, n2: Column) -> Column:
+    """A lower bound of the number of words that one of two lines has and the other has not."""
+    all_four, *three = [a(m).bitwiseXOR(b(m)) for m in MAPS]
+    fourth = all_four
+    for x in three:
+        fourth = fourth.bitwiseXOR(x)
+    return F.when((n1 > NARROW) & (n2 > NARROW), sum((F.bit_count(x) for x in three), F.bit_count(fourth))).otherwise(F.bit_count(all_four))
+
+
+def may_match(t: Threshold, n1: Column, p1: Column, n2: Column, p2: Column, differ: Column) -> Column:
     """Length, positional and parity filter at a shared word (places from 0)."""
     alpha = t.overlap(n1, n2)
     return ((F.least(n1, n2) * t.den >= F.greatest(n1, n2) * t.num) & (F.least(n1 - p1, n2 - p2) >= alpha)
-            & (F.bit_count(x1.bitwiseXOR(x2)) <= n1 + n2 - 2 * alpha))
+            & (differ <= n1 + n2 - 2 * alpha))
 
 
 def verified(own: DataFrame, text: str, pairs: DataFrame, t: Threshold, settle: Settle = settle) -> DataFrame:
@@ -164,23 +187,6 @@ def verified(own: DataFrame, text: str, pairs: DataFrame, t: Threshold, settle:
     return both.where(common * (t.num + t.den) >= t.num * (F.size("words") + F.size("words0"))).select(*PLACE).distinct()
 
 
-def screened(pairs: DataFrame, lines: DataFrame, t: Threshold, settle: Settle = settle) -> DataFrame:
-    """Distinct places of both lines of the candidates (also n, n0) that the larger maps do not rule out.
-
-    The candidates are written first: they are read by two branches, and what is behind them is dear.
-    """
-    maps = lines.where("wide is not null").select(*PLACE, "wide")
-    maps0 = maps.select(*[F.col(c).alias(f"{c}0") for c in (*PLACE, "wide")])
-    pairs = settle(pairs.select(*PLACE, F.abs("n").alias("n"), *PLACE0, F.abs("n0").alias("n0")).distinct(), "candidates")
-    n, n0 = F.col("n"), F.col("n0")
-    both_long = (n > NARROW) & (n0 > NARROW)
-    differing = sum((F.bit_count(F.col("wide")[i].bitwiseXOR(F.col("wide0")[i])) for i in range(WIDE)), F.lit(0))
-    rest = pairs.where(both_long).join(maps, PLACE).join(maps0, PLACE0).where(
-        differing <= n + n0 - 2 * t.overlap(n, n0))
-    columns = [*PLACE, *PLACE0]
-    return pairs.where(~both_long).select(*columns).unionByName(rest.select(*columns))
-
-
 def _one_each(pairs: DataFrame) -> DataFrame:
     """The earliest candidate of every line."""
     first = F.min(F.struct(*PLACE0)).alias("first")
@@ -215,39 +221,40 @@ def _removed(own: DataFrame, text: str, t: Threshold, settle: Settle) -> DataFra
         tagged = settle(alone.unionByName(several), "tagged-lines")
     copies, single = tagged.where("again").select(*PLACE), tagged.where("not again").drop("again")
 
-    common = F.slice("prefix", -F.least(F.size("prefix"), F.lit(LEADERS)), LEADERS)
-    few = single.select(*PLACE, "n", "parity", F.explode(common).alias("word"))
-    by_word, row = Window.partitionBy("word").orderBy(*PLACE), F.struct(*PLACE, "n", "parity")
+    few = single.select(*PLACE, "n", *MAPS, F.explode(F.arrays_zip(last_of(F.col("prefix")).alias("word"), "parts")).alias("at"))
+    part = F.xxhash64(*PLACE).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at.parts")) - 1)
+    few = few.select(*PLACE, "n", *MAPS, F.col("at.word").alias("word"), part.alias("part"))
+    by_word, row = Window.partitionBy("word", "part").orderBy(*PLACE), F.struct(*PLACE, "n", *MAPS)
     others = [F.first(row).over(by_word.rowsBetween(Window.unboundedPreceding, 0)), F.lag(row, 1).over(by_word), F.lag(row, 2).over(by_word)]
     few = few.withColumns({f"other{i}": o for i, o in enumerate(others)})
 
     def near(o: Column) -> Column:
         none = F.lit(0)  # words of the prefix may be shared before this one, so its place rules nothing out
-        passes = earlier(lambda c: o[c], F.col) & may_match(t, F.col("n"), none, F.col("parity"), o["n"], none, o["parity"])
-        return F.when(passes, F.struct(F.bit_count(F.col("parity").bitwiseXOR(o["parity"])).alias("far"),
-                                       *[o[c].alias(f"{c}0") for c in PLACE], o["n"].alias("n0")))
+        differ = differing(F.col, lambda c: o[c], F.col("n"), o["n"])
+        passes = earlier(lambda c: o[c], F.col) & may_match(t, F.col("n"), none, o["n"], none, differ)
+        return F.when(passes, F.struct(differ.alias("far"), *[o[c].alias(f"{c}0") for c in PLACE]))
 
     best = F.least(*[near(F.col(f"other{i}")) for i in range(len(others))])
-    led = few.select(*PLACE, "n", best.alias("best")).where("best is not null").groupBy(*PLACE).agg(
-        F.max("n").alias("n"), F.min("best").alias("best")).select(*PLACE, "n", *[f"best.{c}" for c in PLACE0], "best.n0")
-    led = settle(screened(led, single, t, settle), "led-pairs")
+    led = few.select(*PLACE, best.alias("best")).where("best is not null").groupBy(*PLACE).agg(
+        F.min("best").alias("best")).select(*PLACE, *[f"best.{c}" for c in PLACE0])
+    led = settle(led, "led-pairs")
     by_leader = settle(verified(own, text, led, t, settle), "led-lines")
 
     # the sign of n marks settled lines, so that both sides of the join are one table, shuffled once
-    named = single.select(*PLACE, "n", "parity", "prefix", F.xxhash64(*PLACE).alias("place"))
+    named = single.select(*PLACE, "n", *MAPS, "prefix", F.xxhash64(*PLACE).alias("place"))
     bits = membership(by_leader.select(F.xxhash64(*PLACE).alias("place")), "place")
     maybe = maybe_member(named, "place", bits).join(by_leader.withColumn("settled", F.lit(True)), PLACE, "left")
     maybe = maybe.withColumn("n", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n"))).drop("settled")
     rows = surely_not(named, "place", bits).unionByName(maybe).select(
-        F.posexplode("prefix").alias("pos", "word"), *PLACE, "n", "parity").select("word", *PLACE, "n", "parity", "pos")
+        F.posexplode("prefix").alias("pos", "word"), *PLACE, "n", *MAPS).select("word", *PLACE, "n", *MAPS, "pos")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     # settled lines stay on both sides until they meet: a filter on one side would cost a second shuffle
     before = lambda c: F.when(x("n") > 0, x(c)).otherwise(F.lit(-1 if c == "line" else -(1 << 63)))
+    n, n0 = F.abs(x("n")), F.abs(y("n"))
     met = rows.alias("x").join(rows.alias("y"), x("word") == y("word")).where(
-        earlier(y, before)
-        & may_match(t, F.abs(x("n")), x("pos"), x("parity"), F.abs(y("n")), y("pos"), y("parity")))
-    met = met.select(*[x(c).alias(c) for c in (*PLACE, "n")], *[y(c).alias(f"{c}0") for c in (*PLACE, "n")])
-    met = settle(screened(met, single, t, settle), "probed-pairs")
+        earlier(y, before) & may_match(t, n, x("pos"), n0, y("pos"), differing(x, y, n, n0)))
+    # written at once: several branches read it, and what is behind it is dear
+    met = settle(met.select(*[x(c).alias(c) for c in PLACE], *[y(c).alias(f"{c}0") for c in PLACE]).distinct(), "probed-pairs")
     by_probe = settle(verified(own, text, settle(_one_each(met), "first-pairs"), t, settle), "probed-lines")
     left = met.join(by_probe, PLACE, "left_anti")
     left = left.join(_one_each(left).withColumn("tried", F.lit(True)), [*PLACE, *PLACE0], "left_anti")
