@@ -45,7 +45,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
 LEADERS = 8
 #: Lines of more words are compared by parity maps of four longs: 64 bits hardly tell them apart.
-NARROW = 100
+NARROW = 48
 MAPS = ["parity", "map1", "map2", "map3"]
 #: Words that occur more often than two to this power have their leaders sought in parts of that size.
 PART_BITS = 16
