@@ -3,7 +3,10 @@
 Labelled pages are counted per host. The bad rate of a host is shrunk towards that
 of its registered domain, the domain towards its suffix, the suffix towards all
 pages; each level is a beta prior whose strength is estimated from the spread of
-the level below (method of moments of the beta-binomial). A host is blocked when
+the level below (method of moments of the beta-binomial). The chain starts from
+Jeffreys' prior, so a few labels of one kind prove little, and each level's variance
+holds that of its parent's mean, as far as the parent decides: with the total variance
+a host without labels is never surer than what it was shrunk to. A host is blocked when
 the lower bound of its posterior bad rate, mean - z * standard deviation, exceeds
 a limit. Everything after the first count runs on one row per host.
 
@@ -72,10 +75,19 @@ def _strength(children: DataFrame, least: float, most: float) -> DataFrame:
     return children.where("n > 0").agg((1 / rho - 1).alias("m"))
 
 
+def _beta_variance(a: Column, b: Column) -> Column:
+    return a * b / ((a + b) * (a + b) * (a + b + 1))
+
+
 def _shrunk(children: DataFrame, least: float, most: float) -> DataFrame:
-    """Adds ``m``, and ``rate``: the posterior mean under the parent's mean ``mu``."""
+    """Adds ``m``, ``rate`` (the posterior mean under the parent's mean ``mu``) and ``var``.
+
+    The parent's mean has the variance ``mu_var``, of which the share m / (n + m) of the rate inherits.
+    """
     own = children.withColumn("m", _strength(children, least, most).scalar())
-    return own.withColumn("rate", (F.col("k") + F.col("m") * F.col("mu")) / (F.col("n") + F.col("m")))
+    n, k, m, mu = (F.col(c) for c in ("n", "k", "m", "mu"))
+    inherited = (m / (n + m)) * (m / (n + m)) * F.col("mu_var")
+    return own.withColumns({"rate": (k + m * mu) / (n + m), "var": _beta_variance(k + m * mu, n - k + m * (1 - mu)) + inherited})
 
 
 def reputation(observed: DataFrame, z: float = 1.64, least: float = 2.0, most: float = 1000.0) -> DataFrame:
@@ -87,14 +99,15 @@ def reputation(observed: DataFrame, z: float = 1.64, least: float = 2.0, most: f
                    .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    every = suffixes.agg(F.coalesce(F.try_divide(F.sum("k"), F.sum("n")), F.lit(0.5)).alias("mu"))
-    suffixes = _shrunk(suffixes.withColumn("mu", every.scalar()), least, most).select("suffix", F.col("rate").alias("mu"))
-    domains = _shrunk(domains.join(suffixes, "suffix"), least, most).select("domain", F.col("rate").alias("mu"))
+    good, bad = F.coalesce(F.sum(F.col("n") - F.col("k")), F.lit(0)) + 0.5, F.coalesce(F.sum("k"), F.lit(0)) + 0.5
+    root = suffixes.agg((bad / (bad + good)).alias("mu"), _beta_variance(bad, good).alias("mu_var"))
+    suffixes = suffixes.withColumns({c: root.select(c).scalar() for c in ("mu", "mu_var")})
+    passed_on = [F.col("rate").alias("mu"), F.col("var").alias("mu_var")]
+    suffixes = _shrunk(suffixes, least, most).select("suffix", *passed_on)
+    domains = _shrunk(domains.join(suffixes, "suffix"), least, most).select("domain", *passed_on)
     hosts = _shrunk(hosts.join(domains, "domain"), least, most)
-    a, b = F.col("k") + F.col("m") * F.col("mu"), F.col("n") - F.col("k") + F.col("m") * (1 - F.col("mu"))
-    deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return hosts.select("host", "n", "k", F.col("rate").alias("mean"),
-                        F.greatest(F.col("rate") - z * deviation, F.lit(0.0)).alias("bound"))
+                        F.greatest(F.col("rate") - z * F.sqrt("var"), F.lit(0.0)).alias("bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float = 0.2, **prior: float) -> DataFrame:

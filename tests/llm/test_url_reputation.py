@@ -40,22 +40,29 @@ def test_posterior_matches_python(spark):
     domain = {"a.x.org": "x.org", "b.x.org": "x.org", "c.y.org": "y.org", "d.y.org": "y.org", "e.co.uk": "e.co.uk"}
     suffix = {"x.org": "org", "y.org": "org", "e.co.uk": "co.uk"}
 
-    def level(children, mus):
-        num = sum(n * (k / n - m) ** 2 - m * (1 - m) for (n, k), m in zip(children, mus) if n)
-        den = sum((n - 1) * m * (1 - m) for (n, k), m in zip(children, mus) if n)
+    beta = lambda a, b: a * b / ((a + b) ** 2 * (a + b + 1))
+
+    def level(children, parents):
+        """(mean, variance) of every child under the (mean, variance) of its parent."""
+        num = sum(n * (k / n - m) ** 2 - m * (1 - m) for (n, k), (m, _) in zip(children, parents) if n)
+        den = sum((n - 1) * m * (1 - m) for (n, k), (m, _) in zip(children, parents) if n)
         m0 = 1 / min(max(num / den, 1 / 1001), 1 / 3) - 1
-        return m0, [(k + m0 * m) / (n + m0) for (n, k), m in zip(children, mus)]
+        return [((k + m0 * m) / (n + m0), beta(k + m0 * m, n - k + m0 * (1 - m)) + (m0 / (n + m0)) ** 2 * v)
+                for (n, k), (m, v) in zip(children, parents)]
 
     up = lambda table, by: {p: tuple(sum(table[c][i] for c in table if by[c] == p) for i in (0, 1)) for p in set(by.values())}
     d = up(counts, domain)
     s = up(d, suffix)
-    rate = sum(k for _, k in s.values()) / sum(n for n, _ in s.values())
-    _, rs = level(list(s.values()), [rate] * len(s))
-    rs = dict(zip(s, rs))
-    _, rd = level(list(d.values()), [rs[suffix[x]] for x in d])
-    rd = dict(zip(d, rd))
-    m, rh = level(list(counts.values()), [rd[domain[h]] for h in counts])
-    for (h, (n, k)), r in zip(counts.items(), rh):
-        a, b = k + m * rd[domain[h]], n - k + m * (1 - rd[domain[h]])
-        low = max(r - 1.64 * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))), 0)
-        assert math.isclose(got[h].mean, r, rel_tol=1e-9) and math.isclose(got[h].bound, low, rel_tol=1e-9, abs_tol=1e-12)
+    bad, good = sum(k for _, k in s.values()) + 0.5, sum(n - k for n, k in s.values()) + 0.5
+    rs = dict(zip(s, level(list(s.values()), [(bad / (bad + good), beta(bad, good))] * len(s))))
+    rd = dict(zip(d, level(list(d.values()), [rs[suffix[x]] for x in d])))
+    for h, (mean, var) in zip(counts, level(list(counts.values()), [rd[domain[h]] for h in counts])):
+        low = max(mean - 1.64 * math.sqrt(var), 0)
+        assert math.isclose(got[h].mean, mean, rel_tol=1e-9) and math.isclose(got[h].bound, low, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_one_bad_label_does_not_block_the_others(spark):
+    got = judged(spark, ["http://a.org/x", "http://b.net.nz/y", None, "http://c.org/z"], [(0, 1)])
+    assert [got[i].verdict for i in (1, 2, 3)] == ["allow"] * 3
+    many = judged(spark, ["http://a.org/x"] * 30 + ["http://b.org/y"] * 30 + [None], [(i, int(i < 30)) for i in range(60)])
+    assert many[0].verdict == "block" and many[30].verdict == "allow" and many[60].verdict == "allow"
