@@ -5,6 +5,11 @@ k nearest in place and nothing is shuffled. A larger corpus is cut into cells
 around pivots; the triangle inequality rules out cells that cannot hold a nearest
 vector, and queries meet the remaining cells in tiles of bounded size. Tasks only
 ever emit k rows per query and tile.
+
+Vectors of few components are searched once per distinct vector, against at most k
+copies of one vector: of equal vectors, the k lowest ids alone can be among the
+nearest. Within a task they lie in ``Blocks``, of which a query meets those that its
+nearest found so far cannot rule out.
 """
 
 from __future__ import annotations
@@ -16,10 +21,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from keepwell.session import settle
+
 MAX_SHIPPED_BYTES = 64 * 1024 * 1024
 MAX_QUESTION_BYTES = 16 * 1024 * 1024
 TILE_ROWS = 50_000
 MAX_PIVOTS = 256
+#: Vectors of at most so many components are narrow: boxes around them rule out nearly all others.
+NARROW = 4
+MAX_NARROW_PIVOTS = 2048
 DIGITS = 6
 BLOCK_CELLS = 4_000_000
 
@@ -59,8 +69,86 @@ def top_k(queries: np.ndarray, corpus: np.ndarray, k: int):
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def _hits(q: pd.DataFrame, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    rows, cols, distance = top_k(_matrix(q["vector"]), c, k) if len(q) else top_k(np.empty((0, 0)), c, 0)
+class Blocks:
+    """Narrow vectors in boxes of about the square root of their number; ``search`` gives what ``top_k`` gives.
+
+    Rows are parted along the widest side, so that every box holds k rows or all of them. ``compared`` counts the distances taken.
+    """
+
+    def __init__(self, corpus: np.ndarray, k: int):
+        self.corpus, self.k, self.compared = corpus, min(k, len(corpus)), 0
+        rows = max(128, 4 * k, math.isqrt(len(corpus)))
+        self.parts, waiting = [], [np.arange(len(corpus))] if len(corpus) else []
+        while waiting:
+            part = waiting.pop()
+            inside = corpus[part]
+            sides = inside.max(0) - inside.min(0)
+            if len(part) <= rows or not sides.any():
+                self.parts.append(np.sort(part))
+                continue
+            side, middle = inside[:, sides.argmax()], len(part) // 2
+            order = np.argpartition(side, middle)
+            # equal values go to one side, else boxes overlap; unless that leaves a side of fewer than k rows
+            under = [side < side[order[middle]], side <= side[order[middle]]]
+            under = max(under, key=lambda u: min(u.sum(), len(u) - u.sum()))
+            if min(under.sum(), len(under) - under.sum()) < k:
+                under = np.zeros(len(part), bool)
+                under[order[:middle]] = True
+            waiting += [part[under], part[~under]]
+        self.inside = [np.ascontiguousarray(corpus[p].T) for p in self.parts]
+        self.low, self.high = (np.array([f(x, axis=1) for x in self.inside]) for f in (np.min, np.max))
+
+    def _distances(self, queries: np.ndarray, b: int) -> np.ndarray:
+        self.compared += len(queries) * len(self.parts[b])
+        return sum((queries[:, a, None] - side[None, :]) ** 2 for a, side in enumerate(self.inside[b]))
+
+    def search(self, queries: np.ndarray):
+        found = []
+        step = max(1, BLOCK_CELLS // max(len(self.parts), 1))
+        for start in range(0, len(queries) if self.k else 0, step):
+            rows, cols = self._candidates(queries[start:start + step])
+            exact = np.round(((queries[rows + start] - self.corpus[cols]) ** 2).sum(1), DIGITS)
+            order = np.lexsort((cols, exact, rows))
+            rows, cols, exact = rows[order], cols[order], exact[order]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k
+            found.append((rows[keep] + start, cols[keep], exact[keep]))
+        if not found:
+            return np.empty(0, int), np.empty(0, int), np.empty(0)
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+    def _candidates(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of queries and of the corpus that may be among the k nearest: no more is ruled out."""
+        off = sum(np.maximum(np.maximum(self.low[None, :, a] - queries[:, a, None], queries[:, a, None] - self.high[None, :, a]), 0.0) ** 2
+                  for a in range(queries.shape[1]))
+        home = off.argmin(1)
+        limit = np.empty(len(queries))
+        for b, mine in _runs(home, np.arange(len(queries))):
+            limit[mine] = np.partition(self._distances(queries[mine], b), self.k - 1, axis=1)[:, self.k - 1]
+        limit = limit * (1 + 1e-9) + 2.0 * 10.0 ** -DIGITS
+        asking, blocks = np.nonzero(off <= limit[:, None])
+        out = []
+        for b, mine in _runs(blocks, asking):
+            rows, cols = np.nonzero(self._distances(queries[mine], b) <= limit[mine, None])
+            out.append((mine[rows], self.parts[b][cols]))
+        return tuple(np.concatenate(part) for part in zip(*out)) if out else (np.empty(0, int), np.empty(0, int))
+
+
+def _runs(keys: np.ndarray, values: np.ndarray):
+    """(key, its values) of every key."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    return zip(keys[order][starts], np.split(values[order], starts[1:]))
+
+
+def searcher(corpus: np.ndarray, k: int):
+    """A function from queries to what ``top_k`` gives."""
+    if 0 < corpus.shape[1] <= NARROW and np.isfinite(corpus).all():
+        return Blocks(corpus, k).search
+    return lambda queries: top_k(queries, corpus, k)
+
+
+def _hits(q: pd.DataFrame, c_ids: np.ndarray, search) -> pd.DataFrame:
+    rows, cols, distance = search(_matrix(q["vector"]) if len(q) else np.empty((0, 0)))
     return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "neighbour_id": c_ids[cols],
                          "distance": distance})
 
@@ -80,13 +168,23 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "id",
     first = c.select(F.size("vector").alias("n")).first()
     if first is None:
         return q.sparkSession.createDataFrame([], schema).withColumn("position", F.lit(1))
+    narrow = 0 < first.n <= NARROW
+    asked = q
+    if narrow:
+        copy = F.row_number().over(Window.partitionBy("vector").orderBy("neighbour_id"))
+        c = settle(c.withColumn("copy", copy).where(F.col("copy") <= k).drop("copy"))
+        asked = settle(q.select(F.col("vector").alias("query_id"), "vector").distinct())
+        schema = StructType([asked.schema["query_id"], *schema.fields[1:]])
     row_bytes = max(1, first.n) * 8 + 32
     fits = max_bytes // row_bytes
     if c.limit(fits + 1).count() <= fits:
-        hits = _against_shipped(q, c, k, schema)
+        hits = _against_shipped(asked, c, k, schema)
     else:
-        hits = _against_tiles(q, c, k, schema, tile_rows)
-    return _ranked(hits, k)
+        hits = _against_tiles(asked, c, k, schema, tile_rows, MAX_NARROW_PIVOTS if narrow else MAX_PIVOTS)
+    best = _ranked(hits, k)
+    if not narrow:
+        return best
+    return q.join(best.withColumnRenamed("query_id", "vector"), "vector").drop("vector")
 
 
 def nearest_to_few(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "id", corpus_id: str = "id",
@@ -139,16 +237,17 @@ def _against_shipped(q: DataFrame, c: DataFrame, k: int, schema: StructType) ->
 
     def search(batches):
         ids, matrix = shipped.value
+        find = searcher(matrix, k)
         for batch in batches:
             if len(batch):
-                yield _hits(batch, ids, matrix, k)
+                yield _hits(batch, ids, find)
 
     return q.mapInPandas(search, schema)
 
 
-def _against_tiles(q: DataFrame, c: DataFrame, k: int, schema: StructType, tile_rows: int) -> DataFrame:
+def _against_tiles(q: DataFrame, c: DataFrame, k: int, schema: StructType, tile_rows: int, most: int = MAX_PIVOTS) -> DataFrame:
     total = c.count()
-    n_pivots = min(MAX_PIVOTS, max(1, math.ceil(total / tile_rows)))
+    n_pivots = min(most, max(1, math.ceil(total / tile_rows)))
     chosen = c.orderBy(F.xxhash64(F.col("neighbour_id").cast("string")), "neighbour_id").limit(n_pivots)
     pivots = _matrix(chosen.toPandas()["vector"])
 
@@ -216,7 +315,7 @@ def _against_tiles(q: DataFrame, c: DataFrame, k: int, schema: StructType, tile_
             return pd.DataFrame({"query_id": a["query_id"][:0], "neighbour_id": b["neighbour_id"][:0],
                                  "distance": np.empty(0)})
         b = b.sort_values("neighbour_id", kind="stable")
-        return _hits(a, b["neighbour_id"].to_numpy(), _matrix(b["vector"]), k)
+        return _hits(a, b["neighbour_id"].to_numpy(), searcher(_matrix(b["vector"]), k))
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
 

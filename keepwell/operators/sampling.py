@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from keepwell.operators.neighbours import nearest
 from keepwell.operators.ranking import draw, hash_segments, share
@@ -38,14 +38,9 @@ def oversample(df: DataFrame, label: str, key: str, features: str = "features",
     dealt = hash_segments(rare, [], "id", f"{seed}:base", lambda n: [F.lit(missing % size)], "_segment")
     copies = F.lit(missing // size) + (F.col("_segment") == 0).cast("int")
     bases = dealt.withColumn("copies", copies).where("copies > 0").drop("_segment")
-    ring = (
-        nearest(bases, rare, k + 1).where("query_id != neighbour_id")
-        .withColumn("rank", F.row_number().over(
-            Window.partitionBy("query_id").orderBy("distance", "neighbour_id")))
-        .where(F.col("rank") <= k)
-    )
-    around = ring.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "neighbour_id"))).alias("ring"))
+    found = nearest(bases, rare, k + 1).where("query_id != neighbour_id")  # k + 1 rows per query at most
+    around = found.groupBy("query_id").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("position", "neighbour_id"))), 1, k).alias("ring"))
     number = F.col("copy").cast("string")
     pick = F.floor(share(draw(f"{seed}:pick", F.col("id"), number)) * F.size("ring")).cast("int") + 1
     drawn = (

@@ -109,3 +109,29 @@ def test_few_queries_scan_the_corpus_once(spark):
     assert rows == sorted(map(tuple, nearest_to_few(queries, corpus, 7, max_bytes=100).collect()))
     assert plan.count("Exchange hashpartitioning(query_id") == 1 and "MapInPandas" in plan and "Join" not in plan
     assert nearest_to_few(queries.limit(0), corpus, 3).count() == 0 and nearest_to_few(queries, corpus.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("route", [{}, {"max_bytes": 0, "tile_rows": 17}, {"max_bytes": 0, "tile_rows": 1000}])
+def test_narrow_vectors_with_copies_and_ties(spark, route):
+    rng = np.random.default_rng(6)
+    c = np.concatenate([rng.integers(0, 5, (150, 3)) / 4.0, np.full((90, 3), 0.25), rng.normal(size=(60, 3)) * 1e-4, rng.normal(size=(60, 3))])
+    c = c[rng.permutation(len(c))]
+    q = np.concatenate([c[:60], c[:20] + 0.01, np.full((20, 3), 9.0)])
+    found = neighbours.nearest(table(spark, q), table(spark, c), 7, **route).orderBy("query_id", "position").collect()
+    expected = brute(q, c, 7)
+    assert len(found) == 7 * len(q)
+    for at, r in enumerate(found):
+        assert r.position == at % 7 + 1
+        name, distance = expected[r.query_id][at % 7]
+        assert (r.neighbour_id, r.distance) == (name, pytest.approx(distance))
+
+
+def test_a_narrow_query_meets_few_vectors_however_many_there_are():
+    rng = np.random.default_rng(7)
+    for c in (rng.normal(size=(40_000, 3)), np.stack([rng.integers(0, 80, 40_000) / 80, rng.random(40_000) * 10, rng.integers(0, 2, 40_000)], 1).astype(float)):
+        blocks = neighbours.Blocks(c, 6)
+        q = c[:200]
+        rows, cols, exact = blocks.search(q)
+        for mine, theirs in zip((rows, cols, exact), neighbours.top_k(q, c, 6)):
+            assert mine.tolist() == theirs.tolist()
+        assert blocks.compared < len(q) * len(c) / 20
