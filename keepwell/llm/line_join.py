@@ -6,18 +6,17 @@ ordered by rarity, with the counts of the whole corpus in a table of bounded siz
 fixed order gives the right result, a good one gives few candidates.
 
 1. Equal lines are grouped by digest; all but the first are removed and only the first
-   goes on.
-2. The leaders: of the lines that share one of the eight last words of their prefix, which
-   near copies have in common most often, each is compared with the earliest and the two
-   before it, and the closest candidate is kept. In a family of many near copies this
-   settles nearly all. The lines of a common word are dealt into parts by a hash, as many as
-   its count asks for: any choice of candidates is right here.
+   goes on: the words of copies are never made.
+2. The leaders: of the rarer half of the words, the smallest and the largest of each of two
+   hashes are taken, which near copies mostly share. A line is compared with the earliest of those that share
+   two of the four with it, and the closest of these at most six is kept. In a family of many
+   near copies this settles nearly all; any choice of candidates is right here.
 3. The lines that are left probe all lines that share a word of the prefix, that is, of
    the rarest n - ceil(t n) + 1 words; two similar sets must share one there. The
    length filter, the positional filter (what can still overlap from the shared word
-   on) and a parity map of the sets (differing bits never exceed differing words), of
-   64 bits or, where both lines are long, 256, discard candidates inside the join, so
-   what is left is nearly all true.
+   on) and a parity map of the sets (differing bits never exceed differing words) of
+   128 bits discard candidates inside the join, so what is left is nearly all true. Lines
+   go through it by a number of their own; only pairs that are left get their places.
 4. Candidates of 2 and 3 are verified on the words themselves, the earliest of a line
    first and the others only where that one fails.
 
@@ -35,20 +34,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from keepwell.llm.base import maybe_member, membership, surely_not
 from keepwell.session import scratch, settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
-LEADERS = 8
-#: Lines of more words are compared by parity maps of four longs: 64 bits hardly tell them apart.
-NARROW = 48
-MAPS = ["parity", "map1", "map2", "map3"]
-#: Words that occur more often than two to this power have their leaders sought in parts of that size.
-PART_BITS = 16
+#: The halves of the parity map: of the words whose hash is negative, and of the others.
+MAPS = ["map0", "map1"]
+EXTREMES = ["least1", "most1", "least2", "most2"]
+#: Characters that separate words, without the end of line.
+BLANKS = " \t\x0b\x0c\r"
 _LAST = (1 << 63) - 1
 #: What a line is known by, and the same of an earlier line.
 PLACE = ["doc", "copy", "line"]
@@ -114,8 +113,7 @@ def rarity(docs: DataFrame, text: str) -> Column:
 
     The table has one entry per bucket, whatever the vocabulary, and enters the plan as a constant.
     """
-    words = docs.select(F.explode(F.split(F.col(text), "\n")).alias("content")).select(
-        F.explode(split_words(F.col("content"))).alias("word"))
+    words = docs.select(F.explode(split_words(F.replace(F.col(text), F.lit("\n"), F.lit(" ")))).alias("word"))
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     found = counts.select("bucket", F.least(F.round(3 * F.log2("n")), F.lit(99)).cast("int").alias("level")).toArrow()
     levels = ["0"] * BUCKETS
@@ -128,43 +126,60 @@ def _bucket(code: Column) -> Column:
     return code.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def line_table(own: DataFrame, text: str, t: Threshold) -> DataFrame:
-    """Every line with words: doc, copy, line, d1 and d2 (a 128-bit digest), n (words), parity maps, prefix (hashes of its rarest words, in order), parts (as powers of two, for the last words of the prefix).
+def digests(own: DataFrame, text: str) -> DataFrame:
+    """doc, copy, line, content, d1 and d2 (a 128-bit digest) of every line with words."""
+    return lines_of(own, text).where(F.btrim("content", F.lit(BLANKS)) != "").select(
+        "*", F.xxhash64("content").alias("d1"), F.xxhash64(F.lit(1), "content").alias("d2"))
 
-    ``parity`` is the map of all words. Long lines also have three maps of a quarter of the words each, others
-    zeros; the fourth follows from these, since parity is the exclusive or of the four.
-    """
-    levels = rarity(own, text)
-    rows = (lines_of(own, text).withColumn("words", words_of(F.col("content"))).where(F.size("words") > 0)
-            .select(*PLACE, F.xxhash64("content").alias("d1"), F.xxhash64(F.lit(1), "content").alias("d2"), F.size("words").alias("n"),
-                    F.sort_array(F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda c: order_key(c, levels))).alias("keys")))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    parity_of = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
-    quarter = lambda i: F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == i)
-    maps = [F.when(F.col("n") > NARROW, parity_of(quarter(i))).otherwise(F.lit(0).cast("long")).alias(m) for i, m in enumerate(MAPS[1:], 1)]
-    prefix = F.slice("keys", F.lit(1), t.prefix("n"))
-    short = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    parts = F.transform(last_of(prefix), lambda k: F.greatest(F.ceil(F.shiftright(k, 48) / 3).cast("int") - PART_BITS, F.lit(0)))
-    return rows.select(*PLACE, "d1", "d2", "n", parity_of(F.col("keys")).alias("parity"), *maps, short.alias("prefix"), parts.alias("parts"))
 
+def same_place() -> Column:
+    return F.struct(*PLACE) == F.struct(*[F.col(p).alias(c) for p, c in zip(PLACE0, PLACE)])
 
-def last_of(prefix: Column) -> Column:
-    return F.slice(prefix, -F.least(F.size(prefix), F.lit(LEADERS)), LEADERS)
+
+def first_lines(seen: DataFrame, settle: Settle) -> tuple[DataFrame, DataFrame]:
+    """Of ``digests``: d1, d2 and the place of the first of equal lines, where there are several; the places of the others."""
+    digest = ["d1", "d2"]
+    seen = settle(seen.select(*PLACE, *digest), "digests")
+    groups = settle(seen.groupBy(*digest).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "groups")
+    several = settle(maybe_member(seen, "d1", membership(groups, "d1")).join(groups, digest), "several")
+    # a row that repeats another one, identifier and text, repeats its places; they count once
+    place = (several.where("doc = first").groupBy(*digest, "doc", "copy").agg(F.min("line").alias("line"))
+             .groupBy(*digest, "doc").agg(F.min(F.struct("copy", "line")).alias("at")))
+    firsts = settle(place.select(*digest, F.col("doc").alias("doc0"), F.col("at.copy").alias("copy0"), F.col("at.line").alias("line0")), "first-lines")
+    return firsts, several.join(firsts, digest).where(~same_place()).select(*PLACE)
+
+
+def single_lines(own: DataFrame, text: str, firsts: DataFrame) -> DataFrame:
+    """doc, copy, line, content of the lines with words, without copies; only lines that may have any are shuffled."""
+    rows, bits = digests(own, text), membership(firsts, "d1")
+    several = maybe_member(rows, "d1", bits).join(firsts, ["d1", "d2"], "left").where(F.col("doc0").isNull() | same_place())
+    return surely_not(rows, "d1", bits).select(*PLACE, "content").unionByName(several.select(*PLACE, "content"))
+
+
+def line_table(lines: DataFrame, levels: Column, t: Threshold) -> DataFrame:
+    """doc, copy, line, n (words), parity maps, prefix (hashes of the rarest words, in order) and extremes (of two hashes of the rarer words) of lines with words."""
+    rows = lines.select(*PLACE, F.array_distinct(F.transform(F.array_remove(split_words(F.col("content")), ""), lambda w: F.xxhash64(w))).alias("codes"))
+    rows = rows.select(*PLACE, "codes", F.size("codes").alias("n"),
+                       F.sort_array(F.transform("codes", lambda c: order_key(c, levels))).alias("keys"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    parity_of = lambda half: F.aggregate("codes", F.lit(0).cast("long"), lambda acc, k: F.when(half(k), acc.bitwiseXOR(bit(k))).otherwise(acc))
+    maps = [parity_of(half).alias(m) for m, half in zip(MAPS, (lambda k: k < 0, lambda k: k >= 0))]
+    half = F.slice("keys", F.lit(1), F.expr("n div 2 + 1"))  # common words say little about a line
+    hashes = [F.transform(half, lambda c: F.xxhash64(F.lit(i), c)) for i in (1, 2)]
+    extremes = [f(h).alias(e) for e, (h, f) in zip(EXTREMES, [(h, f) for h in hashes for f in (F.array_min, F.array_max)])]
+    short = F.transform(F.slice("keys", F.lit(1), t.prefix("n")), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return rows.select(*PLACE, "n", *maps, short.alias("prefix"), *extremes)
 
 
 def order_key(code: Column, levels: Column) -> Column:
     """Rarity first, then a hash: a total order up to hash collisions, which only add candidates."""
-    level = F.shiftleft(F.get(levels, _bucket(code)).cast("long"), 48)
+    level = F.shiftleft(F.coalesce(F.get(levels, _bucket(code)), F.lit(0)).cast("long"), 48)  # never null: such arrays sort faster
     return level.bitwiseOR(code.bitwiseAND(F.lit((1 << 48) - 1)))
 
 
-def differing(a: Callable[[str], Column], b: Callable[[str], Column], n1: Column, n2: Column) -> Column:
+def differing(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     """A lower bound of the number of words that one of two lines has and the other has not."""
-    all_four, *three = [a(m).bitwiseXOR(b(m)) for m in MAPS]
-    fourth = all_four
-    for x in three:
-        fourth = fourth.bitwiseXOR(x)
-    return F.when((n1 > NARROW) & (n2 > NARROW), sum((F.bit_count(x) for x in three), F.bit_count(fourth))).otherwise(F.bit_count(all_four))
+    return sum((F.bit_count(a(m).bitwiseXOR(b(m))) for m in MAPS[1:]), F.bit_count(a(MAPS[0]).bitwiseXOR(b(MAPS[0]))))
 
 
 def may_match(t: Threshold, n1: Column, p1: Column, n2: Column, p2: Column, differ: Column) -> Column:
@@ -175,22 +190,32 @@ def may_match(t: Threshold, n1: Column, p1: Column, n2: Column, p2: Column, diff
 
 
 def verified(own: DataFrame, text: str, pairs: DataFrame, t: Threshold, settle: Settle = settle) -> DataFrame:
-    """The lines (doc, copy, line) of the pairs with an earlier line (doc0, copy0, line0) whose word sets are similar."""
+    """The lines (doc, copy, line, id) of the pairs with an earlier line (doc0, copy0, line0) whose word sets are similar."""
     wanted = settle(pairs.select(*PLACE).unionByName(pairs.select(*[F.col(f"{c}0").alias(c) for c in PLACE])).distinct(), "wanted-lines")
     of_row = lambda doc, copy: F.xxhash64(doc, copy).alias("row")
     named = own.select("__doc", "__copy", F.col(text).alias("t"), of_row("__doc", "__copy"))
     lines = lines_of(maybe_member(named, "row", membership(wanted.select(of_row("doc", "copy")), "row")), "t")
+    of_line = F.xxhash64(*PLACE).alias("place")
+    lines = maybe_member(lines.select("*", of_line), "place", membership(wanted.select(of_line), "place")).drop("place")
     words = lines.join(wanted, PLACE).select(*PLACE, words_of(F.col("content")).alias("words"))
     words0 = words.select(*[F.col(c).alias(f"{c}0") for c in PLACE], F.col("words").alias("words0"))
     both = pairs.join(words, PLACE).join(words0, PLACE0)
     common = F.size(F.array_intersect("words", "words0"))
-    return both.where(common * (t.num + t.den) >= t.num * (F.size("words") + F.size("words0"))).select(*PLACE).distinct()
+    return both.where(common * (t.num + t.den) >= t.num * (F.size("words") + F.size("words0"))).select(*PLACE, "id").distinct()
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:
     """The earliest candidate of every line."""
     first = F.min(F.struct(*PLACE0)).alias("first")
-    return pairs.groupBy(*PLACE).agg(first).select(*PLACE, "first.*")
+    return pairs.groupBy(*PLACE, "id").agg(first).select(*PLACE, "id", "first.*")
+
+
+def placed(pairs: DataFrame, single: DataFrame, *more: str) -> DataFrame:
+    """Pairs of numbers (id, id0) with the places of both and more columns of both, where id0 is the earlier line."""
+    wanted = membership(pairs.select("id").unionByName(pairs.select(F.col("id0").alias("id"))), "id")
+    known = maybe_member(single.select("id", *PLACE, *more), "id", wanted)
+    known0 = known.select(*[F.col(c).alias(f"{c}0") for c in known.columns])
+    return pairs.join(known, "id").join(known0, "id0").where(earlier(lambda c: F.col(f"{c}0"), F.col))
 
 
 def removed_lines(docs: DataFrame, key: str, text: str, t: Threshold = Threshold()) -> DataFrame:
@@ -206,60 +231,43 @@ def removed_of(own: DataFrame, text: str, t: Threshold = Threshold()) -> DataFra
 
 
 def _removed(own: DataFrame, text: str, t: Threshold, settle: Settle) -> DataFrame:
-    digest = ["d1", "d2"]
-    with scratch(own.sparkSession, "line-table") as here:
-        every = here(line_table(own, text, t), "lines")
-        # a row that repeats another one, identifier and text, repeats its places; they count once
-        groups = every.groupBy(*digest).agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*digest, "doc")
-        place = (every.join(groups, [*digest, "doc"]).groupBy(*digest, "doc", "copy").agg(F.min("line").alias("line"))
-                 .groupBy(*digest, "doc").agg(F.min(F.struct("copy", "line")).alias("first")))
-        firsts = here(place.select(*digest, F.col("doc").alias("doc0"), F.col("first.copy").alias("copy0"), F.col("first.line").alias("line0")), "first-lines")
-        again = F.coalesce((F.col("doc") != F.col("doc0")) | (F.col("copy") != F.col("copy0")) | (F.col("line") != F.col("line0")), F.lit(False))
-        bits = membership(firsts, "d1")
-        several = maybe_member(every, "d1", bits).join(firsts, digest, "left").withColumn("again", again).drop(*PLACE0, *digest)
-        alone = surely_not(every, "d1", bits).drop(*digest).withColumn("again", F.lit(False))
-        tagged = settle(alone.unionByName(several), "tagged-lines")
-    copies, single = tagged.where("again").select(*PLACE), tagged.where("not again").drop("again")
-
-    few = single.select(*PLACE, "n", *MAPS, F.explode(F.arrays_zip(last_of(F.col("prefix")).alias("word"), "parts")).alias("at"))
-    part = F.xxhash64(*PLACE).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at.parts")) - 1)
-    few = few.select(*PLACE, "n", *MAPS, F.col("at.word").alias("word"), part.alias("part"))
-    by_word, row = Window.partitionBy("word", "part").orderBy(*PLACE), F.struct(*PLACE, "n", *MAPS)
-    others = [F.first(row).over(by_word.rowsBetween(Window.unboundedPreceding, 0)), F.lag(row, 1).over(by_word), F.lag(row, 2).over(by_word)]
-    few = few.withColumns({f"other{i}": o for i, o in enumerate(others)})
-
-    def near(o: Column) -> Column:
-        none = F.lit(0)  # words of the prefix may be shared before this one, so its place rules nothing out
-        differ = differing(F.col, lambda c: o[c], F.col("n"), o["n"])
-        passes = earlier(lambda c: o[c], F.col) & may_match(t, F.col("n"), none, o["n"], none, differ)
-        return F.when(passes, F.struct(differ.alias("far"), *[o[c].alias(f"{c}0") for c in PLACE]))
-
-    best = F.least(*[near(F.col(f"other{i}")) for i in range(len(others))])
-    led = few.select(*PLACE, best.alias("best")).where("best is not null").groupBy(*PLACE).agg(
-        F.min("best").alias("best")).select(*PLACE, *[f"best.{c}" for c in PLACE0])
-    led = settle(led, "led-pairs")
+    firsts, copies = first_lines(digests(own, text), settle)
+    # numbers that stay, once written
+    single = line_table(single_lines(own, text, firsts), rarity(own, text), t).withColumn("id", F.monotonically_increasing_id())
+    single = settle(single, "lines")
+
+    two = [F.xxhash64(F.lit(i), a, b) for i, (a, b) in enumerate(combinations(EXTREMES, 2))]
+    keyed = single.select("id", "doc", F.explode(F.array(*two)).alias("key"))
+    leaders = settle(keyed.groupBy("key").agg(F.min_by("id", "doc").alias("id0"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key", "id0"), "leaders")
+    led = settle(maybe_member(keyed, "key", membership(leaders, "key")).join(leaders, "key").where("id != id0").select("id", "id0").distinct(), "led-numbers")
+    none, differ = F.lit(0), differing(F.col, lambda c: F.col(f"{c}0"))
+    best = F.min(F.struct(differ.alias("far"), *PLACE0)).alias("best")
+    led = placed(led, single, "n", *MAPS).where(may_match(t, F.col("n"), none, F.col("n0"), none, differ))
+    led = settle(led.groupBy(*PLACE, "id").agg(best).select(*PLACE, "id", *[f"best.{c}" for c in PLACE0]), "led-pairs")
     by_leader = settle(verified(own, text, led, t, settle), "led-lines")
 
-    # the sign of n marks settled lines, so that both sides of the join are one table, shuffled once
-    named = single.select(*PLACE, "n", *MAPS, "prefix", F.xxhash64(*PLACE).alias("place"))
-    bits = membership(by_leader.select(F.xxhash64(*PLACE).alias("place")), "place")
-    maybe = maybe_member(named, "place", bits).join(by_leader.withColumn("settled", F.lit(True)), PLACE, "left")
-    maybe = maybe.withColumn("n", F.when(F.col("settled"), -F.col("n")).otherwise(F.col("n"))).drop("settled")
-    rows = surely_not(named, "place", bits).unionByName(maybe).select(
-        F.posexplode("prefix").alias("pos", "word"), *PLACE, "n", *MAPS).select("word", *PLACE, "n", *MAPS, "pos")
+    # settled lines have the complement of their number, so that both sides of the join are one table, shuffled once
+    named = single.select("id", "doc", "n", *MAPS, "prefix")
+    bits, complement = membership(by_leader, "id"), lambda c: F.bitwise_not(c)
+    maybe = maybe_member(named, "id", bits).join(by_leader.select("id", F.lit(True).alias("settled")), "id", "left")
+    maybe = maybe.withColumn("id", F.when(F.col("settled"), complement(F.col("id"))).otherwise(F.col("id"))).drop("settled")
+    rows = surely_not(named, "id", bits).unionByName(maybe).select(F.posexplode("prefix").alias("pos", "word"), "id", "doc", "n", *MAPS)
+    rows = rows.select("word", "id", "doc", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("sized"), *MAPS)
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    n_of, pos_of = (lambda s: F.shiftright(s("sized"), 32)), (lambda s: s("sized").bitwiseAND(F.lit((1 << 32) - 1)))
     # settled lines stay on both sides until they meet: a filter on one side would cost a second shuffle
-    before = lambda c: F.when(x("n") > 0, x(c)).otherwise(F.lit(-1 if c == "line" else -(1 << 63)))
-    n, n0 = F.abs(x("n")), F.abs(y("n"))
+    asks = F.when(x("id") >= 0, y("doc") <= x("doc")).otherwise(F.lit(False))
     met = rows.alias("x").join(rows.alias("y"), x("word") == y("word")).where(
-        earlier(y, before) & may_match(t, n, x("pos"), n0, y("pos"), differing(x, y, n, n0)))
+        asks & (x("id") != y("id")) & may_match(t, n_of(x), pos_of(x), n_of(y), pos_of(y), differing(x, y)))
+    met = met.select(x("id").alias("id"), F.when(y("id") < 0, complement(y("id"))).otherwise(y("id")).alias("id0")).distinct()
     # written at once: several branches read it, and what is behind it is dear
-    met = settle(met.select(*[x(c).alias(c) for c in PLACE], *[y(c).alias(f"{c}0") for c in PLACE]).distinct(), "probed-pairs")
+    met = settle(met, "probed-numbers")
+    met = settle(placed(met, single).drop("id0"), "probed-pairs")
     by_probe = settle(verified(own, text, settle(_one_each(met), "first-pairs"), t, settle), "probed-lines")
-    left = met.join(by_probe, PLACE, "left_anti")
-    left = left.join(_one_each(left).withColumn("tried", F.lit(True)), [*PLACE, *PLACE0], "left_anti")
-    by_rest = verified(own, text, settle(left, "other-pairs"), t, settle)
-    return copies.unionByName(by_leader).unionByName(by_probe).unionByName(by_rest)
+    left = met.join(by_probe, "id", "left_anti")
+    left = settle(left.join(_one_each(left).withColumn("tried", F.lit(True)), ["id", *PLACE0], "left_anti").select(met.columns), "other-pairs")
+    found = copies.unionByName(by_leader.select(*PLACE)).unionByName(by_probe.select(*PLACE))
+    return found if left.isEmpty() else found.unionByName(verified(own, text, left, t, settle).select(*PLACE))
 
 
 def removed_by_document(removed: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 import random
 import re
 
-from keepwell.llm.line_join import Threshold, dedup_lines, removed_lines
+from pyspark.sql import functions as F
+
+from keepwell.llm.line_join import Threshold, dedup_lines, digests, first_lines, identified, line_table, removed_lines, single_lines
+from keepwell.session import settle
 
 
 def slow(docs, t=Threshold()):
@@ -70,3 +73,19 @@ def test_rows_that_share_an_identifier_or_have_none_lose_their_own_lines_only(sp
     rows = [(None, f"{words(i, 20)}\nonly {words(100 + i, 9)}") for i in range(8)] + [(3, words(i, 20) + " more") for i in range(4)]
     got = {r.text for r in dedup_lines(frame(spark, rows), "doc_id", "text").collect()}
     assert got == {f"only {words(100 + i, 9)}" if i < 4 else f"{words(i, 20)}\nonly {words(100 + i, 9)}" for i in range(8)} | {words(i, 20) + " more" for i in range(4)}
+
+
+def test_words_are_made_once_and_not_of_copies(spark):
+    docs = corpus(random.Random(5), 60) + [(3000 + i, "one hot line of copies\n \nand another") for i in range(30)]
+    own = identified(frame(spark, docs), "doc_id", "text", None)
+    seen = digests(own, "text")
+    firsts, copies = first_lines(seen, settle)
+    single = single_lines(own, "text", firsts)
+    lines = [(i, n, x) for i, t in docs for n, x in enumerate(t.split("\n")) if x.strip()]
+    first = {}
+    for i, n, x in sorted(lines):
+        first.setdefault(x, (i, n))
+    assert {(r.content, (r.doc, r.line)) for r in single.collect()} == set(first.items()) and single.count() == len(first)
+    assert {(r.doc, r.line) for r in copies.collect()} == {(i, n) for i, n, _ in lines} - set(first.values())
+    plan = line_table(seen, F.array(F.lit(0)), Threshold())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1  # a condition on the words was moved below them, which made them twice
