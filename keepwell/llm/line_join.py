@@ -149,11 +149,11 @@ def first_lines(seen: DataFrame, settle: Settle) -> tuple[DataFrame, DataFrame]:
     return firsts, several.join(firsts, digest).where(~same_place()).select(*PLACE)
 
 
-def single_lines(own: DataFrame, text: str, firsts: DataFrame) -> DataFrame:
-    """doc, copy, line, content of the lines with words, without copies; only lines that may have any are shuffled."""
+def single_lines(own: DataFrame, text: str, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc, copy, line, content of the lines with words, without copies: those that surely have none, and the others, which alone are shuffled."""
     rows, bits = digests(own, text), membership(firsts, "d1")
     several = maybe_member(rows, "d1", bits).join(firsts, ["d1", "d2"], "left").where(F.col("doc0").isNull() | same_place())
-    return surely_not(rows, "d1", bits).select(*PLACE, "content").unionByName(several.select(*PLACE, "content"))
+    return surely_not(rows, "d1", bits).select(*PLACE, "content"), several.select(*PLACE, "content")
 
 
 def line_table(lines: DataFrame, levels: Column, t: Threshold) -> DataFrame:
@@ -232,9 +232,11 @@ def removed_of(own: DataFrame, text: str, t: Threshold = Threshold()) -> DataFra
 
 def _removed(own: DataFrame, text: str, t: Threshold, settle: Settle) -> DataFrame:
     firsts, copies = first_lines(digests(own, text), settle)
-    # numbers that stay, once written
-    single = line_table(single_lines(own, text, firsts), rarity(own, text), t).withColumn("id", F.monotonically_increasing_id())
-    single = settle(single, "lines")
+    levels = rarity(own, text)
+    # one table each, since a plan of both would hold the levels twice; the numbers stay, once written
+    parts = [settle(line_table(lines, levels, t).withColumn("id", F.monotonically_increasing_id() + F.lit(i << 62)), f"lines-{i}")
+             for i, lines in enumerate(single_lines(own, text, firsts))]
+    single = parts[0].unionByName(parts[1])
 
     two = [F.xxhash64(F.lit(i), a, b) for i, (a, b) in enumerate(combinations(EXTREMES, 2))]
     keyed = single.select("id", "doc", F.explode(F.array(*two)).alias("key"))

@@ -80,7 +80,8 @@ def test_words_are_made_once_and_not_of_copies(spark):
     own = identified(frame(spark, docs), "doc_id", "text", None)
     seen = digests(own, "text")
     firsts, copies = first_lines(seen, settle)
-    single = single_lines(own, "text", firsts)
+    alone, several = single_lines(own, "text", firsts)
+    single = alone.unionByName(several)
     lines = [(i, n, x) for i, t in docs for n, x in enumerate(t.split("\n")) if x.strip()]
     first = {}
     for i, n, x in sorted(lines):
